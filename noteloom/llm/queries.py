@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import bpe, quality_rules, simhash
+from noteloom.llm import bpe, ppm, quality_rules, simhash
 from noteloom.llm.common import table
 
 
@@ -17,12 +17,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op8_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op5_bpe, op8_quality_rules, op9_ppm, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
