@@ -5,10 +5,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import bpe, ppm, quality_rules, simhash
+from noteloom.llm import bpe, byte_cnn, pii, ppm, quality_rules, simhash
 from noteloom.llm.common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -26,7 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op8_quality_rules, op9_ppm, op10_simhash)}
+    return {f.__name__: f for f in (op3_pii, op4_quality_cnn, op5_bpe, op8_quality_rules, op9_ppm, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
