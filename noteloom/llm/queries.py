@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import bpe, byte_cnn, decontaminate, pii, ppm, quality_rules, simhash
+from noteloom.llm import bpe, byte_cnn, decontaminate, pii, ppm, quality_rules, sharding, simhash
 from noteloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +42,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_quality_cnn, op5_bpe, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
+    return {f.__name__: f for f in (op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_sharding": sharding.ORACLE_SQL}
