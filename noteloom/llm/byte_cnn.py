@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
             texts = [spread(np.frombuffer(t or b"", np.uint8), TRAIN_BYTES).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc_id", "text", "quality"])
 
-    table = found.mapInArrow(clip, "doc_id long, text binary, quality int").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    table = found.mapInArrow(clip, "doc_id long, text binary, quality int").toArrow().to_pandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     if not len(table):
         return None
     return Network().fit([np.frombuffer(t, np.uint8) for t in table["text"]], table["quality"].to_numpy(np.float32), epochs)
