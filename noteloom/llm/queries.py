@@ -5,10 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import bpe, byte_cnn, decontaminate, html_text, pii, ppm, quality_rules, sharding, simhash
+from noteloom.llm import bpe, byte_cnn, decontaminate, html_text, pii, ppm, quality_rules, sharding, simhash, suffix_dedup
 from noteloom.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
