@@ -556,7 +556,7 @@ def recent_errors(spark, d):
 
 
 # ---- front ends ---------------------------------------------------------------------
-@query(f"WITH {_POSTINGS}, {_bm25(QUERY, K)} SELECT rank, doc_id, printf('%.4f', score) AS score, title, strftime(date, '%Y-%m-%d') AS date, array_to_string(tags, ',') AS tags, left(text, 150) AS text FROM bm25 JOIN docs ON docs.id = doc_id")
+@query(f"WITH {_POSTINGS}, {_bm25(QUERY, K)} SELECT rank, doc_id, printf('%.4f', round(score, 4)) AS score, title, strftime(date, '%Y-%m-%d') AS date, array_to_string(tags, ',') AS tags, left(text, 150) AS text FROM bm25 JOIN docs ON docs.id = doc_id")
 def memo_results(spark, d):
     s = _searcher(spark, d)
     rows = S.memo_results(s.bm25(QUERY, K), s.docs)
