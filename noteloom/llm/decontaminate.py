@@ -73,21 +73,22 @@ class Walks:
     def __init__(self, n: int, size: int, n_walks: int, samples: int, seed: int):
         rng = np.random.default_rng([seed, n])
         self.n, self.steps = n, 3 * n
-        self.bits = rng.integers(0, 2, (n_walks, self.steps, size), np.uint8)
-        self.bits[:, :, -1] = 0  # past the end the walk stays
+        # The bit of a step and a word is the parity of what their two random numbers share.
+        self.of_word = rng.integers(0, 1 << 62, size, np.int64)
+        self.of_word[-1] = 0  # past the end the walk stays
+        self.of_step = rng.integers(0, 1 << 62, (n_walks, self.steps), np.int64)
         self.places = rng.integers(0, self.steps, (n_walks, KEYS, samples))
         self.mix = rng.integers(1, 1 << 62, (n_walks, KEYS, samples), np.int64).view(np.uint64) | np.uint64(1)
 
     def keys(self, windows: np.ndarray, walk: int) -> np.ndarray:
         """(rows, KEYS) keys of windows of n words, by one walk."""
-        x = np.concatenate([windows, np.full((len(windows), 1), self.bits.shape[2] - 1, windows.dtype)], axis=1)
+        x = np.concatenate([windows, np.full((len(windows), 1), len(self.of_word) - 1, windows.dtype)], axis=1)
         rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
         out = np.empty((self.steps, len(x)), np.int32)
-        bits = self.bits[walk]
-        for j in range(self.steps):
+        for j, step in enumerate(self.of_step[walk]):
             w = x[rows, at]
             out[j] = w
-            at += bits[j][w]
+            at += np.bitwise_count(self.of_word[w] & step) & 1
             np.minimum(at, self.n, out=at)
         sampled = out[self.places[walk]].astype(np.uint64) + np.uint64(1)  # (KEYS, samples, rows)
         mixed = sampled * self.mix[walk][:, :, None]
