@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import buffer, cut, pieces
 
 LENGTH, GRAM = 100, 24
-SHARD_BYTES, PIECE_BYTES = 4 << 20, 4 << 20
+SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 2 << 20, 4 << 20, 1 << 15, 21
 HOT, SALT_ROWS, MOST_SALTED = 1000, 1000, 10_000
 #: Consecutive windows of a hot anchor that are dealt together.
 DEAL = 8
 _U = np.uint64
 _P = [_U(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
+_BYTES = _U(1) << np.arange(0, 64, 8).astype(_U)
 _LAST = np.int64(2**63 - 1)
 
 
@@ -60,11 +61,10 @@ def words(data: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
-def gram_hashes(data: np.ndarray, w: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``GRAM`` bytes at each position, and its order among others (high bits; greatest where the gram leaves its text)."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes at each position that has so many."""
+    w = words(data)
     n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, _U), np.zeros(0, np.uint32)
     h = w[:n] * _P[0]
     h ^= h >> _U(32)
     h += w[8 : 8 + n]
@@ -74,12 +74,7 @@ def gram_hashes(data: np.ndarray, w: np.ndarray, ends: np.ndarray, starts: np.nd
     h *= _P[3]
     h ^= h >> _U(32)
     h *= _P[2]
-    order = (h >> _U(32)).astype(np.uint32)
-    np.minimum(order, 0xFFFFFFFE, out=order)
-    for k in range(1, GRAM):
-        at = ends - k
-        order[at[(at >= starts) & (at < n)]] = 0xFFFFFFFF
-    return h, order
+    return h
 
 
 def _slide(x: np.ndarray, width: int, take) -> np.ndarray:
@@ -94,28 +89,41 @@ def _slide(x: np.ndarray, width: int, take) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of texts that lie one after the other in ``data``."""
+    """Anchors of texts that lie one after the other in ``data``: position, hash, and order (high bits of the hash).
+
+    ``least`` is the order of the anchor of the window that starts at a position, zero where no window fits into its text.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.w = words(data)
+        n, width = len(data), LENGTH - GRAM + 1
+        whole = np.ones(n, bool)
         starts, ends = at[:-1], at[1:]
-        h, order = gram_hashes(data, self.w, ends, starts)
-        width = LENGTH - GRAM + 1
-        if len(order) < width:
-            self.least, self.position, self.hash, self.order = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, _U), order[:0]
-            return
-        self.least = _slide(order, width, np.minimum)
-        chosen = _slide(self.least, width, np.maximum)
-        inner = order[width - 1 : width - 1 + len(chosen)] == chosen
-        # The first and last windows hold fewer anchors than the others look at.
-        mark = np.zeros(len(order), bool)
-        mark[width - 1 : width - 1 + len(chosen)] = inner
-        for i in [*range(min(width - 1, len(order))), *range(max(0, len(order) - width + 1), len(order))]:
-            low, high = max(0, i - width + 1), min(i, len(self.least) - 1)
-            mark[i] = order[i] == self.least[low : high + 1].max()
-        mark &= order != 0xFFFFFFFF
-        self.position = np.flatnonzero(mark)
-        self.hash, self.order = h[self.position], order[self.position]
+        for k in range(1, LENGTH):
+            fits = ends - k >= starts
+            starts, ends = starts[fits], ends[fits]
+            whole[ends - k] = False
+        self.least = np.zeros(n, np.uint32)
+        found = []
+        # Blocks that stay within a processor's cache.
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            low, high = max(0, a - width + 1), min(n - GRAM + 1, b + width - 1)
+            if high - low < width:
+                continue
+            h = gram_hashes(data[low : high + GRAM - 1])
+            order = (h >> _U(32)).astype(np.uint32)
+            np.maximum(order, 1, out=order)
+            least = np.zeros(b - a + width - 1, np.uint32)  # of windows from a - width + 1 on
+            skip = low - (a - width + 1)
+            mine = _slide(order, width, np.minimum)[: b - low]
+            mine *= whole[low : low + len(mine)]
+            least[skip : skip + len(mine)] = mine
+            self.least[a:b] = least[width - 1 :]
+            chosen = _slide(least, width, np.maximum)
+            got = order[a - low : b - low]
+            position = np.flatnonzero(got == chosen[: len(got)])
+            found.append((position + a, h[a - low :][position], got[position]))
+        self.position, self.hash, self.order = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.uint32))
 
 
 def doc_keys(a: Anchors, at: np.ndarray) -> np.ndarray:
@@ -133,6 +141,7 @@ def suffix_order(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(w)
     sa = np.argsort(w).astype(np.int32)
     rank = np.full(n + LENGTH, -1, np.int32)
+    low = _U((1 << PACK) - 1)
     key = w[sa]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
@@ -147,15 +156,22 @@ def suffix_order(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank[sa] = np.repeat(head.astype(np.int32), size)
         step = min(h, LENGTH - h)
         mine = sa[slots]
-        key = rank[mine].astype(np.int64) << 32 | rank[mine + step] + 1
-        by = np.argsort(key)
-        sa[slots] = mine[by]
-        key = key[by]
+        # Rank, rank of what follows, and position fit into one number for up to 2 ** PACK bytes, which a plain sort takes.
+        if n < 1 << PACK:
+            key = (rank[mine].astype(_U) << _U(2 * PACK)) | ((rank[mine + step] + 1).astype(_U) << _U(PACK)) | mine.astype(_U)
+            key.sort()
+            sa[slots] = (key & low).astype(np.int32)
+            key >>= _U(PACK)
+        else:
+            key = rank[mine].astype(np.int64) << 32 | rank[mine + step] + 1
+            by = np.argsort(key)
+            sa[slots] = mine[by]
+            key = key[by]
         new[slots[1:]] |= key[1:] != key[:-1]
         h += step
 
 
-def common_prefixes(data: np.ndarray, w: np.ndarray, sa: np.ndarray, new: np.ndarray, stretch: int = 256) -> np.ndarray:
+def common_prefixes(w: np.ndarray, sa: np.ndarray, new: np.ndarray, stretch: int = 256) -> np.ndarray:
     """Kasai's common prefixes of neighbours in ``sa``, up to ``LENGTH``, for all stretches of text in step.
 
     In text order a position shares at most one byte less with its neighbour
@@ -167,7 +183,6 @@ def common_prefixes(data: np.ndarray, w: np.ndarray, sa: np.ndarray, new: np.nda
     before[sa[1:]] = sa[:-1]
     equal = np.zeros(n, bool)
     equal[sa] = ~new
-    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
     wide = np.concatenate([w, np.zeros(LENGTH, _U)])
     plcp = np.zeros(n, np.uint8)
     base = np.arange(0, n, stretch)
@@ -179,19 +194,15 @@ def common_prefixes(data: np.ndarray, w: np.ndarray, sa: np.ndarray, new: np.nda
                 break
         p = base + k
         q, same = before[p], equal[p]
-        shared = np.where(afresh, 0, np.maximum(shared - 1, 0))
+        shared = np.maximum(shared - 1, 0) * ~afresh
         shared[same] = LENGTH
-        open_ = ~same & (q >= 0)
-        go = np.flatnonzero(open_ & afresh)
-        while len(go):  # whole words
-            go = go[shared[go] + 8 <= LENGTH]
-            go = go[wide[p[go] + shared[go]] == wide[q[go] + shared[go]]]
-            shared[go] += 8
-        go = np.flatnonzero(open_)
-        while len(go):
-            go = go[shared[go] < LENGTH]
-            go = go[padded[p[go] + shared[go]] == padded[q[go] + shared[go]]]
-            shared[go] += 1
+        go = np.flatnonzero(~same & (q >= 0))
+        while len(go):  # eight bytes at a time
+            have = shared[go]
+            agree = 8 - np.searchsorted(_BYTES, wide[p[go] + have] ^ wide[q[go] + have], "right")
+            have += agree
+            shared[go] = np.minimum(have, LENGTH)
+            go = go[(agree == 8) & (have < LENGTH)]
         shared[q < 0] = 0
         plcp[p] = shared
         afresh = same | (q < 0)
@@ -205,7 +216,7 @@ def repeats_within(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
         return out
     w = words(data)
     sa, new = suffix_order(w)
-    lcp = common_prefixes(data, w, sa, new)
+    lcp = common_prefixes(w, sa, new)
     fine = valid[sa]
     # Among valid neighbours the common prefix is the least in between.
     group = np.cumsum(lcp < LENGTH)[fine]
@@ -218,11 +229,6 @@ def repeats_within(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0))
-    return edge[::2], edge[1::2]
-
-
 def window_hashes(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     h = np.zeros(len(starts), _U)
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
@@ -235,92 +241,88 @@ def window_hashes(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _RUNS = "key long, home long, uid long, doc_id long, start long, text binary"
 
 
+def joined(low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of documents, in order, with those that touch made one."""
+    if not len(low):
+        return low, high, doc
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)
+    return low[new], high[last], doc[new]
+
+
 def shard_repeats(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-    """Steps 3 and first half of 4 for one shard: rows of repeats (text null, key their end) and of runs of windows to be merged."""
-    texts = texts.combine_chunks()
-    doc_id, uid = texts["doc_id"].fill_null(_LAST).to_numpy(), texts["uid"].to_numpy()
-    texts = texts.take(np.lexsort((uid, doc_id)))
-    home = texts["shard"].to_numpy()
-    doc_id, uid = texts["doc_id"].fill_null(_LAST).to_numpy(), texts["uid"].to_numpy()
-    column = texts["text"]
-    data, at = buffer(column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0)) if texts.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    """Step 3 and the first half of step 4 for one shard: rows of repeats (text null, key their end) and of runs of windows to be merged."""
     rows: dict[str, list] = {k: [] for k in ("key", "home", "uid", "doc_id", "start", "text")}
+
+    def add(doc, key, start, text) -> None:
+        for k, v in zip(rows, (key, home[doc], uid[doc], doc_id[doc], start, text)):
+            rows[k].append(v)
+
     if texts.num_rows and repeated.num_rows:
+        order = np.lexsort((texts["uid"].to_numpy(), texts["doc_id"].fill_null(_LAST).to_numpy()))
+        texts = texts.take(order).combine_chunks()
+        home, uid, doc_id = texts["shard"].to_numpy(), texts["uid"].to_numpy(), texts["doc_id"].fill_null(_LAST).to_numpy()
+        data, at = buffer(texts["text"].chunk(0))
         a = Anchors(data, at)
         h, count = repeated["h"].to_numpy(), repeated["n"].to_numpy()
         by = np.argsort(h)
         h, count = h[by], count[by]
         place = np.minimum(np.searchsorted(h, a.hash.view(np.int64)), len(h) - 1)
         twice = h[place] == a.hash.view(np.int64)
-        position, place = a.position[twice], place[twice]
+        position, turn, place = a.position[twice], a.order[twice], place[twice]
         doc = np.searchsorted(at, position, "right") - 1
-        # Text around repeated anchors, in stretches that end where their text does; windows start where they fit into their stretch.
-        inside = _covered(np.maximum(position + GRAM - LENGTH, at[doc]), np.minimum(position + LENGTH, at[doc + 1]), len(data))
-        lows, highs = runs_split(inside, at)
-        fits = highs - lows >= LENGTH
-        valid = _covered(lows[fits], highs[fits] - LENGTH + 1, len(data))
-        taken = np.flatnonzero(inside)
-        small = data[taken]
-        again = np.zeros(len(data), bool)
-        again[taken] = repeats_within(small, valid[taken])
-        p = np.flatnonzero(again)
-        lo, hi = runs_split(_covered(p, p + LENGTH, len(data)), at)
-        d = np.searchsorted(at, lo, "right") - 1
-        _add(rows, hi - at[d], home[d], uid[d], doc_id[d], lo - at[d], [None] * len(lo))
+        # Text around repeated anchors, in stretches within a text; windows start where they fit into their stretch.
+        low, high, _ = joined(np.maximum(position + GRAM - LENGTH, at[doc]), np.minimum(position + LENGTH, at[doc + 1]), doc)
+        low, high = low[high - low >= LENGTH], high[high - low >= LENGTH]
+        size = high - low
+        base = np.cumsum(size) - size
+        small = np.concatenate([data[x:y] for x, y in zip(low.tolist(), high.tolist())]) if len(low) else data[:0]
+        valid = np.ones(len(small), bool)
+        for k in range(1, LENGTH):
+            valid[base + size - k] = False
+        again = repeats_within(small, valid)
+
+        def whole(mark: np.ndarray) -> np.ndarray:
+            """Positions in all text of those marked in the stretches."""
+            i = np.flatnonzero(mark)
+            return i + (low - base)[np.searchsorted(base, i, "right") - 1]
+
+        # Repeats: the bytes that their windows cover.
+        p = whole(again)
+        lo, hi, d = joined(p, p + LENGTH, np.searchsorted(at, p, "right") - 1)
+        add(d, hi - at[d], lo - at[d], [None] * len(lo))
         # First windows whose anchor occurs elsewhere too.
-        own = np.bincount(place, minlength=len(h))
-        elsewhere = (count > own)[place]
-        p = np.flatnonzero(valid & ~again)
-        k = np.searchsorted(position, p)
-        found, open_ = np.full(len(p), -1), np.arange(len(p))
-        kk, all_order = k, np.full(len(data), 0, np.uint32)
-        all_order[a.position] = a.order
+        elsewhere = (count > np.bincount(place, minlength=len(h)))[place]
+        p = whole(valid & ~again)
+        k, open_ = np.searchsorted(position, p), np.arange(len(p))
+        found = np.full(len(p), -1)
         while len(open_):
-            fits = kk < len(position)
-            open_, kk = open_[fits], kk[fits]
-            fits = position[kk] <= p[open_] + LENGTH - GRAM
-            open_, kk = open_[fits], kk[fits]
-            hit = all_order[position[kk]] == a.least[p[open_]]
-            found[open_[hit]] = kk[hit]
-            open_, kk = open_[~hit], kk[~hit] + 1
+            fits = k < len(position)
+            open_, k = open_[fits], k[fits]
+            fits = position[k] <= p[open_] + LENGTH - GRAM
+            open_, k = open_[fits], k[fits]
+            hit = turn[k] == a.least[p[open_]]
+            found[open_[hit]] = k[hit]
+            open_, k = open_[~hit], k[~hit] + 1
         p, found = p[found >= 0], found[found >= 0]
         p, found = p[elsewhere[found]], found[elsewhere[found]]
-        hot = count[place[found]] > HOT
-        deal = np.where(hot, (position[found] - p) // DEAL, -1)
-        new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1] + 1) | (found[1:] != found[:-1]) | (deal[1:] != deal[:-1])
-        lo, hi = p[new], np.append(p[np.flatnonzero(new)[1:] - 1], p[-1:]) + LENGTH
-        found, deal = found[new], deal[new]
-        key = h[place[found]].view(_U).copy()
-        # A hot anchor's windows are dealt by the text that all windows of their group share.
-        for j in np.flatnonzero(deal >= 0):
-            shared = position[found[j]] - DEAL * deal[j]
-            key[j] = int.from_bytes(hashlib.blake2b(data[shared : shared + LENGTH - DEAL + 1].tobytes(), digest_size=8, key=int(deal[j]).to_bytes(2, "big")).digest(), "big")
-        d = np.searchsorted(at, lo, "right") - 1
-        _add(rows, key.view(np.int64), home[d], uid[d], doc_id[d], lo - at[d], [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())])
-    cols = [np.concatenate(rows[k]) if rows[k] else np.zeros(0, np.int64) for k in ("key", "home", "uid", "doc_id", "start")]
-    return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([t for part in rows["text"] for t in part], pa.binary())], names=["key", "home", "uid", "doc_id", "start", "text"])
-
-
-def _add(rows, *values) -> None:
-    for k, v in zip(("key", "home", "uid", "doc_id", "start", "text"), values):
-        rows[k].append(v if k == "text" else np.asarray(v, np.int64))
-
-
-def _covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
-    """Which of n positions lie in some interval from low to high."""
-    change = np.bincount(low, minlength=n + 1).astype(np.int32)
-    change -= np.bincount(high, minlength=n + 1).astype(np.int32)
-    return np.cumsum(change[:-1]) > 0
-
-
-def runs_split(mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of a mark, cut where texts end."""
-    lo, hi = runs(mark)
-    inner = at[1:-1][mark[np.minimum(at[1:-1], len(mark) - 1)] & (at[1:-1] < len(mark))] if len(mark) else at[:0]
-    lo = np.unique(np.concatenate([lo, inner]))
-    hi = np.unique(np.concatenate([hi, inner[mark[np.maximum(inner - 1, 0)]]]))
-    return lo, hi
+        if len(p):
+            hot = count[place[found]] > HOT
+            deal = np.where(hot, (position[found] - p) // DEAL, -1)
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1] + 1) | (found[1:] != found[:-1]) | (deal[1:] != deal[:-1])
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)
+            lo, hi, found, deal = p[new], p[last] + LENGTH, found[new], deal[new]
+            key = h[place[found]].copy()
+            # A hot anchor's windows are dealt by the text that all windows of their group share.
+            for j in np.flatnonzero(deal >= 0):
+                shared = position[found[j]] - DEAL * deal[j]
+                key[j] = int.from_bytes(hashlib.blake2b(data[shared : shared + LENGTH - DEAL + 1].tobytes(), digest_size=8, key=int(deal[j]).to_bytes(2, "big")).digest(), "big", signed=True)
+            d = np.searchsorted(at, lo, "right") - 1
+            add(d, key, lo - at[d], [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())])
+    cols = [np.concatenate(rows[k]).astype(np.int64) if rows[k] else np.zeros(0, np.int64) for k in ("key", "home", "uid", "doc_id", "start")]
+    return pa.Table.from_arrays([*map(pa.array, cols), pa.array([t for part in rows["text"] for t in part], pa.binary())], names=list(rows))
 
 
 def merge_runs(rows: pa.Table) -> tuple[np.ndarray, ...]:
