@@ -1,0 +1,437 @@
+"""Behaviour of the core engine on small fixtures with known values."""
+import datetime as dt
+import os
+
+import pytest
+from noteloom import corpus
+from noteloom.functions import extract as X
+from noteloom.functions import text as D
+from noteloom.functions import tokens as T
+from noteloom.functions.similarity import cosine, literal
+from noteloom.operators import cache, docstore, fusion, incremental, lexical, remote, telemetry, vector
+from noteloom.plans import searcher as S
+from noteloom.sources import changelog, files, index_files, jsonl
+from pyspark.sql import functions as F
+
+
+def docs_of(spark, rows):
+    """Documents from (id, title, tags, text), a day apart."""
+    start = dt.datetime(2025, 1, 1)
+    return spark.createDataFrame([(i, t, start + dt.timedelta(days=k), tags, text, k) for k, (i, t, tags, text) in enumerate(rows)], "id string, title string, date timestamp, tags array<string>, text string, doc_ord long")
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+# ---- hashes, hierarchy, embedding text ------------------------------------------------
+@pytest.mark.parametrize(("title", "text", "digest"), [("", "", "6e340b9cffb37a98"), ("Test Title", "Test content", "db9fb41f679e0dbe"), ("Same Title", "Content", "aacea5de833771b2"), ("日本語タイトル", "日本語テキスト", "fd04313e46d7bf7d")])
+def test_content_hash(spark, title, text, digest):
+    assert one(spark, D.content_hash(F.lit(title), F.lit(text))) == digest
+
+
+@pytest.mark.parametrize(("title", "first", "second"), [("A / B", "A", "B"), ("A", "A", None), ("A / B / C", "A", "B"), ("", None, None)])
+def test_hierarchy(spark, title, first, second):
+    assert one(spark, D.category(F.lit(title))) == first
+    assert one(spark, D.subcategory(F.lit(title))) == second
+
+
+def test_embedding_text(spark):
+    tags = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
+    assert one(spark, D.embedding_text(F.lit("T"), tags("a", "b"), F.lit("x"))) == "# T\nタグ: a, b\n\nx"
+    assert one(spark, D.embedding_text(F.lit("T"), tags(), F.lit("x"))) == "# T\n\nx"
+    assert one(spark, D.embedding_text(F.lit("T"), tags(""), F.lit("x"))) == "# T\n\nx"
+
+
+@pytest.mark.parametrize(("text", "want"), [("　 \t\n", "(empty)"), (" x ", "x"), ("a" * 6000, "a" * 6000), ("a" * 6001, "a" * 5997 + "..."), ("🎉" * 6001, "🎉" * 5997 + "...")])
+def test_embedding_clamp(spark, text, want):
+    assert one(spark, D.embedding_clamp(F.lit(text))) == want
+
+
+# ---- tokens ---------------------------------------------------------------------------
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("MCP", ["MCP"]), ("mcp", ["MCP"]), ("MCPサーバー", ["サーバー", "MCP"]), ("McpServer", ["MCPSERVER", "MCP", "SERVER"]), ("MCPServer", ["MCPSERVER"]), ("VimConf2025", ["VIMCONF2025", "VIM", "CONF", "2025"]), ("MCP MCP MCP", ["MCP"]), ("", []), ("   ", []), ("x１２ 34", ["X", "１２", "34"]), ("ción", ["CI", "N"]), ("東京都の", ["東京都", "東京", "京都"]), ("straße", ["STRA", "E"]), ("a1b2 don't", ["A1B2", "A", "1", "B", "2", "DON", "T"])],
+)
+def test_tokens(spark, text, want):
+    assert one(spark, T.tokens(F.lit(text))) == want
+    assert T.query_tokens(text) == want
+
+
+def test_tokens_of_null(spark):
+    assert one(spark, T.tokens(F.lit(None).cast("string"))) == []
+
+
+# ---- BM25 -----------------------------------------------------------------------------
+GOLDEN = [("d1", "", [], "alpha beta"), ("d2", "", [], "Alpha gamma delta"), ("d3", "", [], "beta")]
+
+
+@pytest.mark.parametrize(("query", "want"), [("ALPHA", [("d1", 0.470004), ("d2", 0.390192)]), ("alpha beta", [("d1", 0.940007), ("d3", 0.590862), ("d2", 0.390192)]), ("", []), ("unknown", []), ("alpha ALPHA Alpha", [("d1", 0.470004), ("d2", 0.390192)])])
+def test_bm25_scores(spark, query, want):
+    assert [(r.doc_id, r.score) for r in lexical.search(lexical.build(docs_of(spark, GOLDEN)), query).orderBy("rank").collect()] == want
+
+
+def test_bm25_limits_ties_and_duplicates(spark):
+    index = lexical.build(docs_of(spark, [*GOLDEN, ("d1", "", [], "alpha beta"), ("e", None, [], None)]))
+    got = lexical.search(index, "alpha", 2).orderBy("rank").collect()
+    assert [(r.rank, r.doc_id, r.doc_ord) for r in got] == [(1, "d1", 0), (2, "d1", 3)]
+    assert lexical.statistics(index).first().n_docs == 5
+    assert lexical.search(lexical.empty(spark), "alpha").collect() == []
+    assert lexical.statistics(lexical.build(docs_of(spark, GOLDEN).limit(0))).first().is_empty
+
+
+def test_title_words_are_searched(spark):
+    index = lexical.build(docs_of(spark, [("a", "LLM notes", [], "text"), ("b", "other", [], "VimConf2025 and McpServer")]))
+    for query, want in (("llm", "a"), ("2025", "b"), ("conf", "b"), ("server", "b"), ("mcpserver", "b")):
+        assert [r.doc_id for r in lexical.search(index, query).collect()] == [want]
+
+
+def test_many_queries_equal_single_ones(spark):
+    index = lexical.build(docs_of(spark, GOLDEN))
+    queries = {0: "alpha", 1: "alpha beta", 2: "", 3: "gamma unknown"}
+    many = lexical.search_many(index, spark.createDataFrame(list(queries.items()), "query_id int, query string"), 2).collect()
+    for i, q in queries.items():
+        assert sorted((r.rank, r.doc_id, r.score) for r in many if r.query_id == i) == [(r.rank, r.doc_id, r.score) for r in lexical.search(index, q, 2).orderBy("rank").collect()]
+
+
+def test_legacy_corpus_counts_repeats(spark):
+    rows = spark.createDataFrame([(["a", "b"], [["x", "x", "y"], []])], "doc_ids array<string>, corpus array<array<string>>")
+    index = index_files.legacy_bm25(rows)
+    assert {(r.term, r.doc_id, r.tf, r.dl) for r in index.postings.collect()} == {("x", "a", 2, 3), ("y", "a", 1, 3)}
+    assert index.corpus_stats.first().avg_dl == 1.5
+
+
+def test_json_indexes(spark, tmp_path):
+    (tmp_path / "legacy.json").write_text('{"doc_ids": ["a"], "corpus": [["x", "x"]]}')
+    (tmp_path / "own.json").write_text('{"doc_ids": ["a"],\n "doc_tokens": [["x"]]}')
+    (tmp_path / "vectors.json").write_text('{"doc_ids": ["a", "b"], "vectors": [[1.0, 0.0], [0.5, 0.5]], "dimension": 2}')
+    (tmp_path / "meta.json").write_text('{"doc_count": 1, "created_at": "t"}')
+    assert index_files.load_bm25(spark, f"{tmp_path}/legacy.json").postings.first().tf == 2
+    assert index_files.load_bm25(spark, f"{tmp_path}/own.json").postings.first().tf == 1
+    assert [r.doc_id for r in vector.search(index_files.load_vectors(spark, f"{tmp_path}/vectors.json"), [1.0, 0.0]).orderBy("rank").collect()] == ["a", "b"]
+    row = index_files.load_metadata(spark, f"{tmp_path}/meta.json").first()
+    assert (row.schema_version, row.doc_hashes) == ("", {})
+
+
+# ---- vectors and fusion ---------------------------------------------------------------
+VECTORS = [("doc1", [0.9, 0.1, 0.1], 0), ("doc2", [0.1, 0.9, 0.1], 1), ("doc3", [0.5, 0.3, 0.5], 2)]
+
+
+def vectors_of(spark, rows=VECTORS):
+    return spark.createDataFrame(rows, "doc_id string, embedding array<float>, doc_ord long")
+
+
+@pytest.mark.parametrize(("query", "want"), [([0.88, 0.12, 0.08], [0.999491, 0.753330, 0.251104]), ([0.85, 0.15, 0.1], [0.997963, 0.779119, 0.290546])])
+def test_vector_search(spark, query, want):
+    for frame in (vectors_of(spark), vector.with_norms(vectors_of(spark))):
+        got = vector.search(frame, query).orderBy("rank").collect()
+        assert [r.doc_id for r in got] == ["doc1", "doc3", "doc2"]
+        assert [r.score for r in got] == pytest.approx(want, abs=2e-6)
+    assert vector.search(vectors_of(spark), query, 1).count() == 1
+    assert [r.doc_id for r in vector.search(vector.remove(vectors_of(spark), ["doc1", "no"]), query).orderBy("rank").collect()] == ["doc3", "doc2"]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [([1.0, 2.0], [1.0, 2.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 0.0], [-1.0, 0.0], -1.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0], [1.0, 1.0], 0.0), ([], [], 0.0)])
+def test_cosine(spark, a, b, want):
+    assert one(spark, cosine(literal(a), literal(b))) == pytest.approx(want)
+
+
+def test_vector_search_edges(spark):
+    more = vector.add(vectors_of(spark), vectors_of(spark, [("o", [0.0, 0.0, 0.0], 3), ("n", [-1.0, 0.0, 0.0], 4), ("s", [1.0], 5)]))
+    assert {r.doc_id for r in vector.search(more, [1.0, 0.0, 0.0]).collect()} == {"doc1", "doc2", "doc3"}
+    assert vector.search(more, []).collect() == []
+    assert vector.search(vector.empty(spark), [1.0]).collect() == []
+    assert vector.statistics(more).first().asDict() == {"n_vectors": 6, "dimension": 3, "mixed": True, "is_empty": False}
+    assert vector.contains(more, "s") and not vector.contains(more, "zz")
+    twice = vectors_of(spark, [("a", [1.0], 0), ("a", [2.0], 1)])
+    assert [r.doc_ord for r in vector.remove(twice, ["a"]).collect()] == [1]
+
+
+def test_embedding_batches(spark):
+    docs = docs_of(spark, [(f"d{i}", f"t{i}", [], "x" * i) for i in range(23)]).coalesce(1)
+
+    def embedder(texts):
+        assert len(texts) <= 10
+        return [[float(len(t)), 1.0] for t in texts]
+
+    got = vector.embed(docs, embedder).collect()
+    assert len(got) == 23
+    assert {r.doc_id: r.embedding[0] for r in got}["d3"] == len("# t3\n\nxxx")
+
+
+def ranked(spark, ids):
+    return spark.createDataFrame([(k + 1, d) for k, d in enumerate(ids)], "rank int, doc_id string")
+
+
+def test_fusion(spark):
+    got = fusion.fuse([ranked(spark, ["doc1", "doc2", "doc3"]), ranked(spark, ["doc2", "doc1", "doc4"])]).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in got] == [("doc1", 0.032522), ("doc2", 0.032522), ("doc3", 0.015873), ("doc4", 0.015873)]
+    assert fusion.fuse([ranked(spark, ["a"]), ranked(spark, [])]).first().score == 0.016393
+    assert fusion.fuse([ranked(spark, []), ranked(spark, [])]).collect() == []
+    assert fusion.fuse([ranked(spark, ["a"])], 30).first().score == round(1 / 31, 6)
+    assert fusion.fuse([ranked(spark, ["a", "b", "c"])], top=2).count() == 2
+
+
+def test_fusion_keeps_first_details(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, "y", "from a")], "rank int, doc_id string, title string")
+    b = spark.createDataFrame([(1, "y", "from b"), (2, "x", "from b")], "rank int, doc_id string, title string")
+    assert {r.doc_id: r.title for r in fusion.fuse([a, b]).collect()} == {"x": "from b", "y": "from a"}
+
+
+# ---- document store -------------------------------------------------------------------
+STORE = [("doc1", "one", ["memo"], "x"), ("doc2", "two", ["worklog"], "y"), ("doc3", "three", ["memo", "worklog", "memo"], "z")]
+
+
+def test_docstore(spark):
+    docs = docs_of(spark, STORE)
+    assert [r.tag for r in docstore.all_tags(docs).collect()] == ["memo", "worklog"]
+    assert {(r.tag, r.n_docs) for r in docstore.tag_counts(docs).collect()} == {("memo", 2), ("worklog", 2)}
+    assert docstore.by_tag(docs, "memo").count() == 2 and docstore.by_tag(docs, "Memo").count() == 0
+    assert [r.id for r in docstore.recent(docs, 2).collect()] == ["doc3", "doc2"]
+    assert docstore.contains(docs, "doc1") and not docstore.contains(docs, "no")
+    gone = spark.createDataFrame([("doc1",), ("no",)], "id string")
+    assert {r.id for r in docstore.ids(docstore.remove(docs, gone)).collect()} == {"doc2", "doc3"}
+    newer = docs.where("id = 'doc2'").withColumn("title", F.lit("new"))
+    assert {(r.id, r.title) for r in docstore.upsert(docs, newer, docs.where("id = 'doc1'")).collect()} == {("doc1", "one"), ("doc2", "new"), ("doc3", "three")}
+    assert docstore.size(docs.limit(0)).first().is_empty
+
+
+def test_searching(spark):
+    docs = docs_of(spark, [("1", "alpha", ["a"], "alpha beta"), ("2", "b", ["b"], "alpha"), ("3", "c", ["a"], "beta")])
+    s = S.Searcher(docs, lexical.build(docs), vectors_of(spark, [("1", [1.0, 0.0], 0), ("3", [0.6, 0.8], 2)]), lambda q: [0.0, 1.0])
+    from noteloom.config import SearchConfig
+
+    config = SearchConfig("bm25", 10)
+    assert [r.doc_id for r in s.search("alpha", config).orderBy("rank").collect()] == ["2", "1"]
+    assert [r.doc_id for r in s.search("alpha", config.with_tag_filter("b")).collect()] == ["2"]
+    assert [r.doc_id for r in s.search("q", config.with_mode("semantic")).collect()] == ["3"]
+    assert {r.doc_id for r in s.search("alpha").collect()} == {"1", "2", "3"}
+    none = S.Searcher(docs, lexical.build(docs), vector.empty(spark))
+    assert none.search("q", config.with_mode("semantic")).collect() == [] and not none.has_vector_index()
+
+    def fails(_):
+        raise remote.RemoteError("network")
+
+    assert S.Searcher(docs, s.index, s.vectors, fails).semantic("q", 3).collect() == []
+    found = spark.createDataFrame([(1, "1", 1.0), (2, "missing", 0.5)], "rank int, doc_id string, score double")
+    assert S.enrich(found, docs).count() == 2 and S.enrich(found, docs, keep_missing=False).count() == 1
+    row = S.memo_results(found, docs, "full", 5).first()
+    assert (row.score, row.date, row.content.text, row.content.truncated) == ("1.0000", "2025-01-01", "alpha", True)
+    assert [r.id for r in S.recent_memos(docs, 2).collect()] == ["3", "2"]
+
+
+# ---- sources --------------------------------------------------------------------------
+def parsed(spark, text, **options):
+    return changelog.parse(spark.createDataFrame([("f", text)], "file string, value string"), **options).orderBy("position").collect()
+
+
+def test_changelog_single_entry(spark):
+    (d,) = parsed(spark, "* Test Entry 2025-01-15 10:00:00 [memo]:[worklog]:\n・Content line")
+    assert (d.id, d.title, d.tags, d.text, d.date) == ("a445dc94cff33444", "Test Entry", ["memo", "worklog"], "・Content line", dt.datetime(2025, 1, 15, 10))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("", []),
+        ("before\nany header", []),
+        ("pre\n* A 2025-01-01 00:00:00\nx\n* B / C 2025-01-02 00:00:00 [t]:\n\ty\n\t\tz  \n\n", [("A", [], "x"), ("B / C", ["t"], "y\n\t\tz")]),
+        ("* A 2025-01-01 00:00:00 [memo]:[tips]:[worklog]:[idea]:\n", [("A", ["memo", "tips", "worklog", "idea"], "")]),
+        ('* "q" & <x> 2025-01-01 00:00:00 [memo]\nt', [('"q" & <x>', [], "t")]),
+        ("* bad 2025-13-45 10:00:00\nlost\n* A 2025-01-01 00:00:00\nkept", [("A", [], "kept")]),
+        ("* A 2025-01-01 00:00:00 [x]:\r\none\r\ntwo\r\n* B 2025-01-02 00:00:00\r\nz", [("A", ["x"], "one\ntwo"), ("B", [], "z")]),
+        ("* A 2025-01-01 00:00:00 and 2026-01-01 00:00:00 [x]:[x]:\nt", [("A", ["x", "x"], "t")]),
+        ("*A 2025-01-01 00:00:00\n * B 2025-01-01 00:00:00\n* C 2025-01-01\nno", []),
+    ],
+)
+def test_changelog(spark, text, want):
+    assert [(d.title, d.tags, d.text) for d in parsed(spark, text)] == want
+
+
+def test_changelog_round_trip_and_files(spark, tmp_path):
+    docs = docs_of(spark, [("", "A / B", ["x", "y"], "one\n\ttwo"), ("", "C", [], "日本")])
+    docs = docs.withColumn("id", D.content_hash("title", F.col("text")))
+    for k, r in enumerate(changelog.render(docs).orderBy("doc_ord").collect()):
+        (tmp_path / f"{k}.md").write_text(r.value)
+    back = changelog.load(spark, [f"{tmp_path}/0.md", f"{tmp_path}/1.md"])
+    same = ["id", "title", "date", "tags", "text"]
+    assert sorted(map(str, back.select(same).collect())) == sorted(map(str, docs.select(same).collect()))
+    assert changelog.load(spark, []).collect() == []
+    lines = changelog.to_jsonl(docs).collect()
+    again = jsonl.load_string(spark, "\n".join(r.value for r in lines))
+    assert sorted(map(str, again.select(same).collect())) == sorted(map(str, docs.select(same).collect()))
+
+
+def test_converter_trims_titles(spark):
+    (d,) = parsed(spark, "* A  2025-01-01 00:00:00\nt")
+    (e,) = parsed(spark, "* A  2025-01-01 00:00:00\nt", trim_title=True)
+    assert (d.title, e.title) == ("A ", "A") and d.id != e.id
+
+
+LINE = '{"id":"%s","metadata":{"title":"A / B","date":"2025-01-01T02:00:00+02:00","tags":["x"]},"text":"t"}'
+
+
+def test_jsonl(spark):
+    got = jsonl.load_string(spark, f"# comment\n\n  {LINE % 'a'}  \n{LINE % 'b'}\n").collect()
+    assert [(d.id, d.title, d.date, d.tags) for d in got] == [(i, "A / B", dt.datetime(2025, 1, 1), ["x"]) for i in "ab"]
+    assert jsonl.load_string(spark, "").collect() == []
+
+
+@pytest.mark.parametrize("bad", ["{", '{"id":"d"}', LINE.replace("2025-01-01", "2025-99-01") % "a"])
+def test_jsonl_names_the_line(spark, bad):
+    with pytest.raises(Exception, match="line 3"):
+        jsonl.load_string(spark, f"{LINE % 'a'}\n\n{bad}").collect()
+
+
+def test_walk(spark, tmp_path):
+    for name in ("a.md", "_b.md", ".c.md", "d.txt", "sub/e.md", "node_modules/f.md", ".git/g.md", "target/h.md", ".rag/i.md", ".hidden/j.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"* {name} 2025-01-01 00:00:00\nx")
+    os.symlink(tmp_path, tmp_path / "sub" / "loop")
+    found = files.markdown_files(str(tmp_path))
+    assert {os.path.relpath(p, tmp_path) for p in found} == {"a.md", "_b.md", ".c.md", "sub/e.md", ".hidden/j.md"}
+    assert files.markdown_files(str(tmp_path / ".git")) == []
+    assert changelog.parse(files.read_files(spark, found)).count() == 5
+
+
+# ---- extraction -----------------------------------------------------------------------
+ENTRIES = "intro\n* First 2025-01-01 10:00:00 [a]:[b]:\nbody one\n\n* * Second 2025-01-02 [c]\nbody two\n"
+
+
+def test_head_and_full(spark):
+    text = "This is a test sentence here."
+    c = one(spark, X.head(F.lit(text), 10))
+    assert (c.text, c.truncated, c.total_chars, c.total_lines, c.extracted_chars) == (text[:10], True, 29, 1, 10)
+    assert one(spark, X.head(F.lit(text), 20, 5)).text == "This "
+    c = one(spark, X.full(F.lit("Hello, World!"), 5))
+    assert (c.text, c.truncated) == ("Hello", True)
+    assert one(spark, X.full(F.lit("a\nb\nc"), None)).total_lines == 3
+    assert one(spark, X.extract(F.lit("x" * 200), "snippet", 10)).extracted_chars == 150
+    assert one(spark, X.extract(F.lit("x" * 200), "nonsense")).extracted_chars == 150
+
+
+@pytest.mark.parametrize(("text", "n"), [("", 0), ("a", 1), ("a\n", 1), ("a\nb", 2), ("\n", 1), ("\n\n", 2)])
+def test_line_count(spark, text, n):
+    assert one(spark, D.line_count(F.lit(text))) == n
+
+
+def test_entries(spark):
+    got = one(spark, X.entries(F.lit(ENTRIES)))
+    assert [(e.title, e.date, e.tags, e.content) for e in got] == [("First", "2025-01-01", ["a", "b"], "* First 2025-01-01 10:00:00 [a]:[b]:\nbody one"), ("Second", "2025-01-02", ["c"], "* * Second 2025-01-02 [c]\nbody two")]
+    c = one(spark, X.current_entry(F.lit(ENTRIES)))
+    assert (c.text, c.truncated, c.total_chars) == (got[0].content, False, len(ENTRIES))
+    assert one(spark, X.current_entry(F.lit("no header"))).text == "no header"
+    c = one(spark, X.current_entry(F.lit("* T 2025-01-01\n" + "x" * 1000), 50))
+    assert (c.extracted_chars, c.truncated) == (50, True)
+    assert one(spark, X.entry_by_title(F.lit(ENTRIES), "Second")).text == got[1].content
+    assert one(spark, X.entry_by_title(F.lit(ENTRIES), "body t")).text == got[1].content
+    assert one(spark, X.entry_by_title(F.lit(ENTRIES), "absent")) is None
+
+
+def test_summaries(spark):
+    rows = spark.createDataFrame([("short",), ("line\n" * 100,)], "text string").select(X.full("text").alias("content"))
+    got = remote.summarise(rows).collect()
+    assert [(r.summary, r.summary_method) for r in got] == [("short", "rule-based"), (("line\n" * 40) + "...\n[500 chars, 100 lines]", "rule-based")]
+
+    def chat(text):
+        if text == "short":
+            raise remote.RemoteError("parse")
+        return "a summary"
+
+    assert [(r.summary, r.summary_method) for r in remote.summarise(rows, chat).collect()] == [("short", "rule-based"), ("a summary", "llm")]
+    assert remote.use_chat(True, "k") and not remote.use_chat(True, None) and not remote.use_chat(False, "k")
+
+
+# ---- incremental, caches, telemetry, remote -------------------------------------------
+def test_diff(spark):
+    docs = docs_of(spark, [("same", "t", [], "x"), ("mod", "t", [], "new"), ("add", "t", [], "y")])
+    old = spark.createDataFrame([("same", "t", "x"), ("mod", "t", "old"), ("gone", "t", "z")], "id string, title string, text string").select("id", D.content_hash("title", F.col("text")).alias("content_hash"))
+    statuses = incremental.diff(docs, old)
+    assert {(r.id, r.status) for r in statuses.collect()} == {("same", "unchanged"), ("mod", "modified"), ("add", "added"), ("gone", "removed")}
+    assert incremental.counts(statuses).first().asDict() == {"added": 1, "modified": 1, "removed": 1, "unchanged": 1, "embeddings_needed": 2, "has_changes": True}
+    assert {r.id for r in incremental.needing_embedding(docs, statuses).collect()} == {"mod", "add"}
+    none = docs.limit(0)
+    assert incremental.counts(incremental.diff(none, old.limit(0))).first().asDict() == {"added": 0, "modified": 0, "removed": 0, "unchanged": 0, "embeddings_needed": 0, "has_changes": False}
+    assert incremental.counts(incremental.diff(none, old)).first().removed == 3
+    assert not incremental.counts(incremental.diff(docs, incremental.hashes(docs))).first().has_changes
+    dated = docs.withColumns({"date": F.lit("2030-01-01").cast("timestamp"), "tags": F.array(F.lit("new"))})
+    assert not incremental.counts(incremental.diff(dated, incremental.hashes(docs))).first().has_changes
+
+
+@pytest.mark.parametrize(("version", "rebuild"), [("2.0", False), ("1.0", True), ("", True), (None, True), ("x", True), ("10", False)])
+def test_rebuild_flag(spark, version, rebuild):
+    row = spark.createDataFrame([(version,)], "v string").select(incremental.needs_full_rebuild("v").alias("x")).first()
+    assert row.x is rebuild
+
+
+def test_caches(spark):
+    assert one(spark, cache.key(F.lit("content"), F.lit("model"))) == "4907db8b4b4b4ad6a5c4aebfce1ddddcb966b4f8deb88133ecf93e19a7d028d1"
+    at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    log = spark.createDataFrame([("a", "c", "1", at(0)), ("b", "c", "2", at(10)), ("d", "c", "3", at(20)), ("a", "c", "4", at(30))], "key string, cache string, value string, created_at timestamp")
+    rows = cache.latest(log, "key", "cache")
+    assert {(r.key, r.value) for r in rows.collect()} == {("a", "4"), ("b", "2"), ("d", "3")}
+    assert {r.key for r in cache.evict(rows, 2).collect()} == {"a", "d"}
+    assert {r.key for r in cache.live(rows, "2025-01-01 00:00:40", 20).collect()} == {"a", "d"}
+    assert {r.key for r in cache.rewrites_valid(rows, "2025-01-01 00:00:40", 20).collect()} == {"a"}
+    assert {r.key for r in cache.expired(rows, "2025-01-01 00:00:40", 20).collect()} == {"b"}
+    requests = spark.createDataFrame([("a",), ("d",), ("zz",), ("b",)], "key string")
+    got = cache.lookups(requests, rows, "2025-01-01 00:00:40", 20)
+    assert {(r.key, r.value, r.outcome) for r in got.collect()} == {("a", "4", "hit"), ("d", "3", "hit"), ("zz", None, "miss"), ("b", None, "expired")}
+    three = spark.createDataFrame([("hit",), ("hit",), ("miss",)], "outcome string")
+    assert cache.hit_rate(three).first().asDict() == {"hits": 2, "misses": 1, "expirations": 0, "hit_rate": 66.666667}
+    assert cache.hit_rate(three.limit(0)).first().hit_rate == 0.0
+
+
+def test_telemetry(spark):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=i), i % 3 != 0, 10, 5, float(i), None if i % 3 else "Network", f"m{i}", "m") for i in range(9)]
+    calls = spark.createDataFrame(rows, "event_id long, ts timestamp, ok boolean, prompt_tokens long, completion_tokens long, latency_ms double, category string, message string, model string")
+    u = telemetry.usage(calls).first()
+    assert (u.total_calls, u.successful_calls, u.failed_calls, u.total_tokens, u.min_latency_ms, u.max_latency_ms, u.success_rate) == (9, 6, 3, 90, 1.0, 8.0, 66.666667)
+    assert telemetry.error_counts(calls).first().n_errors == 3
+    assert [r.event_id for r in telemetry.recent_errors(calls, 2).collect()] == [6, 3]
+    assert "Network: 3" in telemetry.report(calls) and "9" in telemetry.report(calls)
+    assert telemetry.usage(calls.limit(0)).first().success_rate == 0.0
+
+
+def test_retries():
+    waits, left = [], [remote.RemoteError("rate_limit", retry_after=3), remote.RemoteError("network"), remote.RemoteError("rate_limit")]
+
+    def call(x):
+        if left:
+            raise left.pop(0)
+        return x
+
+    assert remote.with_retries(call, 7, sleep=waits.append) == 7
+    assert waits == [3.0, 2.0, 60.0]
+    left += [remote.RemoteError("authentication")]
+    with pytest.raises(remote.RemoteError, match="authentication"):
+        remote.with_retries(call, 7, sleep=waits.append)
+    waits.clear()
+    left[:] = [remote.RemoteError("network")] * 3
+    with pytest.raises(remote.RemoteError):
+        remote.embed_with_retries(call, ["x"], sleep=waits.append)
+    assert waits == [2.0, 4.0]
+
+
+def test_provider_options_and_rewriting(spark):
+    assert remote.ProviderOptions().to_json() == {}
+    assert remote.ProviderOptions(order=("a",), allow_fallbacks=True, require_parameters=True).to_json() == {"order": ["a"], "allow_fallbacks": True, "require_parameters": True}
+    valid = spark.createDataFrame([("q", "better q")], "query string, rewritten string")
+    assert remote.rewrite("q", valid, None) == ("better q", False)
+    assert remote.rewrite("new", valid, lambda q: f" {q}! ") == ("new!", True)
+
+    def fails(_):
+        raise remote.RemoteError("network")
+
+    assert remote.rewrite("new", valid, fails) == ("new", True)
+
+
+def test_driver_tables_are_documents(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    for frame in (corpus.documents, corpus.pages, corpus.conversations, corpus.benchmark):
+        got = frame(spark, d)
+        assert got.columns == ["id", "title", "date", "tags", "text", "doc_ord"]
+        assert got.count() == got.select("id").distinct().count()
