@@ -202,7 +202,7 @@ def test_searching(spark):
     from noteloom.config import SearchConfig
 
     config = SearchConfig("bm25", 10)
-    assert [r.doc_id for r in s.search("alpha", config).orderBy("rank").collect()] == ["2", "1"]
+    assert [r.doc_id for r in s.search("alpha", config).orderBy("rank").collect()] == ["1", "2"]
     assert [r.doc_id for r in s.search("alpha", config.with_tag_filter("b")).collect()] == ["2"]
     assert [r.doc_id for r in s.search("q", config.with_mode("semantic")).collect()] == ["3"]
     assert {r.doc_id for r in s.search("alpha").collect()} == {"1", "2", "3"}
