@@ -8,7 +8,7 @@ in a document with a smaller id, or earlier in the same one. Texts are UTF-8.
    are counted; only text around anchors that occur twice can repeat.
 2. Shards. A document goes to the shard of its least anchor, so that most copies
    meet in one shard; shards hold about ``SHARD_BYTES``. Anchors that very many texts
-   share (at most 10,000 of them, whatever the corpus) salt their documents.
+   share (at most ``MOST_SALTED`` of them, whatever the corpus) salt their documents.
 3. Suffix array. Each shard sorts the suffixes of its text around repeated
    anchors by their first ``LENGTH`` bytes, by Larsson and Sadakane's refinement:
    groups that agree in h bytes are split by the rank of what follows after h,
@@ -41,7 +41,7 @@ from noteloom.llm.common import buffer, cut, pieces
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 2 << 20, 4 << 20, 1 << 15, 21
-HOT, SALT_ROWS, MOST_SALTED = 1000, 1000, 10_000
+HOT, SALT_ROWS, MOST_SALTED = 1000, 256, 1_000_000
 #: Consecutive windows of a hot anchor that are dealt together.
 DEAL = 8
 _U = np.uint64
@@ -402,13 +402,19 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
     counts = cut(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    # At most MOST_SALTED anchors have so large a share of the bytes, since texts hold less than one anchor a byte.
-    often = max(SALT_ROWS, -(-total // MOST_SALTED))
-    salted = {r.h: -(-r.n // often) for r in counts.where(F.col("n") > often).collect()}
+    # Texts hold an anchor for every 32 bytes or fewer, so at most MOST_SALTED anchors occur so often.
+    often = max(SALT_ROWS, -(-total // (32 * MOST_SALTED)))
+    heavy = counts.where(F.col("n") > often).toArrow()
+    by = np.argsort(heavy["h"].to_numpy())
+    salted = docs.sparkSession.sparkContext.broadcast((heavy["h"].to_numpy()[by], -(-heavy["n"].to_numpy()[by] // often)))
 
     def shard_of(doc_key: np.ndarray, uid: np.ndarray) -> np.ndarray:
         """Shards by least anchor; texts without anchors, and those of salted ones, by their number too."""
-        salts = np.array([salted.get(k, 1) for k in doc_key.view(np.int64).tolist()], _U)
+        h, n = salted.value
+        salts = np.ones(len(doc_key), _U)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, doc_key.view(np.int64)), len(h) - 1)
+            salts = np.where(h[at] == doc_key.view(np.int64), n[at], 1).astype(_U)
         salts[doc_key == 0] = n_shards
         mixed = (uid.astype(_U) * _P[0]) >> _U(20)
         return ((doc_key ^ (mixed % salts + _U(1)) * _P[1]) % _U(n_shards)).astype(np.int64)
