@@ -16,6 +16,14 @@ every executor would grow with the corpus. Buckets give only stars, each node
 with the least node that it reaches, so a group of copies costs rows in
 proportion to its size.
 
+``near_copies`` finds copies by the similarity of their sets of word shingles,
+down to 0.8, at which fingerprints of 64 bits differ in ten bits or so. No few
+blocks agree at that distance, so there the buckets are dealt by least shingle
+hashes: copies share one of ``KEYS`` of them with a probability of
+1 - (1 - similarity) ** KEYS. Within a bucket the BK-tree finds what lies within
+``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells the
+similarity of each pair that it finds.
+
 Null and empty texts have fingerprint zero and link like any other. A null id
 is a document of its own group with a null component when nothing else links.
 Texts are processed whole, shingles counted with repeats.
@@ -40,26 +48,40 @@ SEED = 42
 MOST = 4096
 #: Nodes of the buckets that one call of the search takes together, and pairs that a search may look at together, about.
 BLOCK, FRONTIER = 20_000, 2_000_000
+#: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
+COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 16, 5, 256
 PIECE_BYTES = 8 << 20
 _ROWS = 16_384
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingles(text: str, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, a stretch at a time."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     stops = ends[k - 1 :].tolist()
-    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
-    for at in range(0, n, _ROWS):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + _ROWS], stops[at : at + _ROWS])], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), _ROWS):
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + _ROWS], stops[at : at + _ROWS])], np.uint64)
+
+
+def majority(stretches: Iterator[np.ndarray]) -> int:
+    """The number whose bits are set in over half of the hashes, zero without any."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in stretches:
+        n += len(h)
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -198,12 +220,109 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, KEYS, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str) -> tuple[int, list[int], bytes]:
+    """Fingerprint, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
+    stretches = list(shingles(text, COPY_SHINGLE))
+    used = np.zeros((2, BINS), np.uint8)
+    if not stretches:
+        return 0, [0] * KEYS, used.tobytes()
+    h = np.unique(np.concatenate(stretches))
+    keys = [int((h * odd ^ h * odd >> np.uint64(31)).min()) for odd in _ODD]
+    # Sorted hashes come bin by bin, least first.
+    bins = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    used[0, bins[first]] = 1
+    used[1, bins[first]] = (h[first] >> np.uint64(40)).astype(np.uint8)
+    return majority(iter(stretches)), keys, used.tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which pairs of sketches (rows, 2, BINS) reach a similarity, one standard deviation of the estimate granted."""
+    either = (a[:, 0] | b[:, 0]).sum(axis=1)
+    same = ((a[:, 0] & b[:, 0]) & (a[:, 1] == b[:, 1])).sum(axis=1)
+    share = same / np.maximum(either, 1)
+    return share + np.sqrt(share * (1 - share) / np.maximum(either, 1)) >= similarity
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, most: int = MOST) -> DataFrame:
+    """doc_id and component_id, the smallest id that links of copies reach from the document; a row for each document that has an id."""
+    ensure_checkpoint_dir(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1, PIECE_BYTES):
+                rows = [sketch(t) for t in strings(batch.column(1))]
+                fps = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+                keys = np.array([r[1] for r in rows], np.uint64).view(np.int64).tolist() if rows else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "fp", "keys", "sketch"])
+
+    marked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long, keys array<long>, sketch binary")
+    marked = cut(marked.withColumn("mark", F.xxhash64("fp", "keys", "sketch")))
+    # Texts with the same shingles are one node.
+    nodes = marked.groupBy("mark").agg(F.min_by(F.struct("fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
+    dealt = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("k", "key"), "keys").select(
+        "node", "fp", "sketch", F.xxhash64("k", "key").alias("b1"), F.element_at("keys", (F.col("k") + 1) % KEYS + 1).alias("b2"),
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            b1, b2, node = (rows.column(c).to_numpy() for c in ("b1", "b2", "node"))
+            new = np.diff(b1, prepend=b1[0]) != 0
+            group = np.cumsum(new)
+            # A bucket that is too large falls into those of its members' next hash.
+            split = np.bincount(group)[group] > most
+            apart = np.ones(len(b1), bool)
+            apart[1:] = new[1:] | (split[1:] & (b2[1:] != b2[:-1]))
+            group = np.cumsum(apart)
+            fps = rows.column("fp").to_numpy().view(np.uint64)
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, BINS)
+            forest = BKForest(fps, group)
+            ends = np.cumsum(np.bincount(forest.root)[forest.root])
+            parent, at = np.arange(len(fps)), 0
+            while at < len(fps):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRONTIER, "right")))
+                q, other = forest.within(np.arange(at, to), wide)
+                q, other = q[other < q], other[other < q]
+                for low in range(0, len(q), _ROWS):
+                    a, b = q[low : low + _ROWS], other[low : low + _ROWS]
+                    # What is linked already needs no look.
+                    parent = roots(parent)
+                    a, b = a[parent[a] != parent[b]], b[parent[a] != parent[b]]
+                    ok = similar(sketches[a], sketches[b], similarity)
+                    parent = unite(parent, a[ok], b[ok])
+                at = to
+            to_ = roots(parent)
+            own = to_ != np.arange(len(to_))
+            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[to_[own]])], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows >= BLOCK:
+                b1 = held.column("b1").to_numpy()
+                last = np.flatnonzero(b1 != b1[-1])
+                if len(last):
+                    yield star(held.slice(0, last[-1] + 1))
+                    held = held.slice(last[-1] + 1)
+        if held is not None and held.num_rows:
+            yield star(held)
+
+    found = components(dealt.repartition("b1").sortWithinPartitions("b1", "b2", "node").mapInArrow(search, "a long, b long"))
+    of = nodes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "mark").join(of, "mark").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without all but the first document of each group of near duplicates.
+    """The rows of ``docs`` without all but the first document of each group of near copies.
 
     Rows with one id count as one document; of repeated rows all stay or go.
     A document without an id stays.
     """
-    groups = near_duplicates(docs, **options)
+    groups = near_copies(docs, **options)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -85,3 +85,37 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
     assert simhash.keep_one(docs).collect() == []
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize(("seed", "most"), [(0, 4096), (1, 5)])
+def test_copies_by_similarity(spark, seed, most):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for i in range(150):
+        base = [r.choice(vocab) for _ in range(r.randint(60, 400))]
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 2, 4, 8, 16, 30])):
+            copy[r.randrange(len(copy))] = r.choice(vocab)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, 2 * i + 1, jaccard(rows[-2][1], rows[-1][1])))
+    line = "one line that stands in very many of the documents and says nothing"
+    rows = [(i, f"{t} {line}" if i % 3 else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, most=most).collect()}
+    assert len(got) == len(rows)
+    text = dict(rows)
+    pairs = [(a, b, jaccard(text[a], text[b])) for a, b, _ in pairs]
+    sure = [got[a] == got[b] for a, b, j in pairs if j >= 0.85]
+    assert sum(sure) >= 0.97 * len(sure) > 20
+    assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.6)
+    # Texts of different pairs never meet.
+    assert all(i // 2 == c // 2 for i, c in got.items())
