@@ -70,15 +70,18 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
     out: list[tuple[str, int, bool, bool]] = []  # text, characters in links, outside, in the article
     text: list[str] = []
     linked = links = 0
-    skip, depth, comments = "", 0, False
+    skip, depth, inline = "", 0, None  # inline: where in the text an inline element that is no part of it begins
     within, seen = 0, False
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, inline
+        if inline is not None:
+            del text[inline:]
+            inline = 0
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, linked, bool(skip), within > 0))
+                out.append((line, linked, bool(skip) and inline is None, within > 0))
             text.clear()
             linked = 0
 
@@ -97,7 +100,7 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
             text.append(" ")
         if name == "a":
             links = 0 if closes else 1
-        if name in BLOCKS or name in OUTSIDE:
+        if name in BLOCKS:
             end()
             links = 0 if name != "li" else links
         if name in VOID:
@@ -107,22 +110,30 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
             if name == skip:
                 depth -= 1
                 if not depth:
-                    end()
-                    skip = ""
+                    if inline is None:
+                        end()
+                    else:
+                        del text[inline:]
+                    skip, inline = "", None
             elif main and within and not skip:
                 within -= 1
             continue
         if skip:
             # The article itself ends what was left open before it.
             if main and not seen and not marked(rest):
-                skip, depth = "", 0
+                skip, depth, inline = "", 0, None
             else:
                 depth += name == skip
         if not skip:
             no_part = name in OUTSIDE or (bool(rest) and name not in ("html", "body", "main") and marked(rest))
             if no_part:
-                end()
                 skip, depth = name, 1
+                if name in BLOCKS:
+                    skip = ""
+                    end()
+                    skip = name
+                else:
+                    inline = len(text)
             elif main:
                 within, seen = within + 1, True
     text.append(page[at:])

@@ -24,7 +24,8 @@ in a document with a smaller id, or earlier in the same one. Texts are UTF-8.
 5. Repeats are united per document and cut out.
 
 Null and empty texts, and texts under ``LENGTH`` bytes, lose nothing. Of rows that share an id the
-one that is read first counts as earlier; rows without an id count as last.
+one that is read first counts as earlier; rows without an id count as last. Rows are numbered
+as they are read, three times, so ``docs`` has to come from files or another stable source.
 """
 from __future__ import annotations
 

@@ -128,6 +128,7 @@ PAGES = [
     ("<div class='ad'>buy<article><p>in</p></article>", "in"),
     ("<article><p>one</p><aside>side</aside><form><input>f</form><div class=\"cookie-notice\">n</div><p>two</p></article><section id=comments><article class=comment><p>hi</p></article></section>", "one\n\ntwo"),
     ("<script>var t='</p><article>';</script><style>p{}</style><article><p title='a>b'>t &lt;b&gt;</p><!-- <p>no</p> --></article>", "t <b>"),
+    ("<article><p>one <span class='ad'>buy <b>now</b></span> two <button>press</button>three</p><span class=promo>x<p>y</p>z</span><p>four</p></article>", "one two three\n\nfour"),
     ("<ARTICLE><P>Upper</P><script>never closed", "Upper"),
     ("<body><div class=menu><a>x</a></div><div><p>" + "long text " * 20 + "</p><p>short</p></div><div class=comments><p>" + "reader says " * 20 + "</p></div></body>", ("long text " * 20).strip() + "\n\nshort"),
     ("<article><p>&#233;&eacute;&#x1F389; &unknown;</p></article>", "éé🎉 &unknown;"),
