@@ -53,5 +53,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
 
 
+_QUALITY_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE n > 1) GROUP BY doc_id),
+counts AS (SELECT base.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, coalesce(repeats.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_, length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) AS lower_
+  FROM base LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND 10 * n_symbols <= n_words AND upper_ / greatest(1, upper_ + lower_) <= 0.3 AND 10 * n_dup_lines <= 3 * len(lines) AS kept
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.ORACLE_SQL}
+    return {"op6_sharding": sharding.ORACLE_SQL, "op8_quality_rules": _QUALITY_SQL}
