@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm import bpe, byte_cnn, decontaminate, html_text, pii, ppm, quality_rules, sharding, simhash, suffix_dedup
-from noteloom.llm.common import table
+from noteloom.llm.common import spread_table, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,19 +14,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread_table(spark, sf_dir, "pages"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_spans(table(spark, sf_dir, "documents"))
+    return pii.pii_spans(spread_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_cnn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return byte_cnn.score_documents(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"))
+    return bpe.bpe_digests(spread_table(spark, sf_dir, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_verdicts(spread_table(spark, sf_dir, "documents"))
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,8 @@ proportion to its size.
 down to 0.8, at which fingerprints of 64 bits differ in ten bits or so. No few
 blocks agree at that distance, so there the buckets are dealt by least shingle
 hashes: copies share one of ``KEYS`` of them with a probability of
-1 - (1 - similarity) ** KEYS. Within a bucket the BK-tree finds what lies within
+1 - (1 - similarity) ** KEYS. A bucket of very many, such as those of a common
+line, is dealt by two such hashes at once. Within a bucket the BK-tree finds what lies within
 ``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells the
 similarity of each pair that it finds.
 
@@ -48,6 +49,8 @@ SEED = 42
 MOST = 4096
 #: Nodes of the buckets that one call of the search takes together, and pairs that a search may look at together, about.
 BLOCK, FRONTIER = 20_000, 2_000_000
+#: Rows of a bucket of copies beyond which it is dealt by two hashes, and such buckets at most (the bound rises with the corpus, so that they can be broadcast).
+MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
 COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 16, 5, 256
 PIECE_BYTES = 8 << 20
@@ -247,7 +250,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.
     return share + np.sqrt(share * (1 - share) / np.maximum(either, 1)) >= similarity
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, most: int = MOST) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY) -> DataFrame:
     """doc_id and component_id, the smallest id that links of copies reach from the document; a row for each document that has an id."""
     ensure_checkpoint_dir(docs.sparkSession)
 
@@ -263,21 +266,18 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     marked = cut(marked.withColumn("mark", F.xxhash64("fp", "keys", "sketch")))
     # Texts with the same shingles are one node.
     nodes = marked.groupBy("mark").agg(F.min_by(F.struct("fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
-    dealt = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("k", "key"), "keys").select(
+    pairs = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("k", "key"), "keys").select(
         "node", "fp", "sketch", F.xxhash64("k", "key").alias("b1"), F.element_at("keys", (F.col("k") + 1) % KEYS + 1).alias("b2"),
     )
+    limit = max(many, -(-KEYS * marked.count() // MOST_MANY))
+    hot = pairs.groupBy("b1").count().where(F.col("count") > limit).select("b1", F.lit(True).alias("hot"))
+    dealt = pairs.join(F.broadcast(hot), "b1", "left").select("node", "fp", "sketch", F.when(F.col("hot"), F.xxhash64("b1", "b2")).otherwise(F.col("b1")).alias("b"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
-            b1, b2, node = (rows.column(c).to_numpy() for c in ("b1", "b2", "node"))
-            new = np.diff(b1, prepend=b1[0]) != 0
-            group = np.cumsum(new)
-            # A bucket that is too large falls into those of its members' next hash.
-            split = np.bincount(group)[group] > most
-            apart = np.ones(len(b1), bool)
-            apart[1:] = new[1:] | (split[1:] & (b2[1:] != b2[:-1]))
-            group = np.cumsum(apart)
+            bucket, node = rows.column("b").to_numpy(), rows.column("node").to_numpy()
+            group = np.cumsum(np.diff(bucket, prepend=bucket[0]) != 0)
             fps = rows.column("fp").to_numpy().view(np.uint64)
             sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, BINS)
             forest = BKForest(fps, group)
@@ -304,15 +304,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
             if held.num_rows >= BLOCK:
-                b1 = held.column("b1").to_numpy()
-                last = np.flatnonzero(b1 != b1[-1])
+                bucket = held.column("b").to_numpy()
+                last = np.flatnonzero(bucket != bucket[-1])
                 if len(last):
                     yield star(held.slice(0, last[-1] + 1))
                     held = held.slice(last[-1] + 1)
         if held is not None and held.num_rows:
             yield star(held)
 
-    found = components(dealt.repartition("b1").sortWithinPartitions("b1", "b2", "node").mapInArrow(search, "a long, b long"))
+    found = components(dealt.repartition("b").sortWithinPartitions("b", "node").mapInArrow(search, "a long, b long"))
     of = nodes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "mark").join(of, "mark").select("doc_id", "component_id")
 

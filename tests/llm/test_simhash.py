@@ -95,8 +95,8 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize(("seed", "most"), [(0, 4096), (1, 5)])
-def test_copies_by_similarity(spark, seed, most):
+@pytest.mark.parametrize(("seed", "many"), [(0, 512), (1, 5)])
+def test_copies_by_similarity(spark, seed, many):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(3000)]
     rows, pairs = [], []
@@ -110,7 +110,7 @@ def test_copies_by_similarity(spark, seed, most):
     line = "one line that stands in very many of the documents and says nothing"
     rows = [(i, f"{t} {line}" if i % 3 else t) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, most=most).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=many).collect()}
     assert len(got) == len(rows)
     text = dict(rows)
     pairs = [(a, b, jaccard(text[a], text[b])) for a, b, _ in pairs]
