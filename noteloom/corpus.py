@@ -11,13 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in as many partitions as there are cores, at least. Only files too few for the cores are dealt out anew; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _document(id_, title, tags, hours, text, order) -> list:
     return [id_.alias("id"), title.alias("title"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=hours.cast("int"))).alias("date"), tags.alias("tags"), text.alias("text"), order.alias("doc_ord")]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table. Title and tags come from language and source, the date from the id."""
-    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, k = spread(table(spark, sf_dir, "documents")), F.col("doc_id")
     return d.select(*_document(k.cast("string"), F.concat_ws(" / ", "lang", "source"), F.array("lang", "source"), k, F.col("text"), k))
 
 

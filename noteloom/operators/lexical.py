@@ -14,11 +14,15 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class LexicalIndex:
-    """postings (term, doc_ord, doc_id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avg_dl): one row, zeros for an empty corpus."""
+    """postings (term, doc_ord, doc_id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avg_dl): one row, zeros for an empty corpus.
+
+    ``rows`` are the distinct tokens of documents that have no stored postings yet.
+    """
 
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    rows: DataFrame | None = None
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def build(docs: DataFrame) -> LexicalIndex:
     rows = tokenised(docs)
     postings = rows.select("doc_ord", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).select("term", "doc_ord", "doc_id", F.lit(1).cast("long").alias("tf"), "dl")
     corpus = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)).alias("avg_dl"))
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+    return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus, rows)
 
 
 def empty(spark: SparkSession) -> LexicalIndex:
@@ -65,12 +69,23 @@ def scores(index: LexicalIndex, terms: list[str]) -> DataFrame:
     """(doc_ord, doc_id, score) of every document that holds a term. The terms reach the postings' scan as a filter."""
     if not terms:
         return index.postings.sparkSession.createDataFrame([], "doc_ord long, doc_id string, score double")
+    if index.rows is not None:
+        return _scan(index.rows, terms)
     wanted = F.col("term").isin(terms)
     # One row per query term, and one of the corpus: as small as the query.
     stats = F.broadcast(index.term_stats.where(wanted).crossJoin(index.corpus_stats))
     return index.postings.where(wanted).join(stats, "term").groupBy("doc_ord", "doc_id").agg(F.sum(term_score()).alias("score"))
 
 
+def _scan(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """Scores of documents without postings: one pass for the statistics, one for the scores, and no shuffle of documents."""
+    dl = F.size("tokens").cast("double")
+    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(dl).alias("avg_dl"), *(F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(terms)))
+    found = rows.select("doc_ord", "doc_id", F.lit(1).alias("tf"), dl.alias("dl"), F.array_intersect("tokens", F.array(*map(F.lit, terms))).alias("hits")).where(F.size("hits") > 0)
+    score = sum((F.when(F.array_contains("hits", t), term_score(df=f"df{i}")).otherwise(0.0) for i, t in enumerate(terms)), F.lit(0.0))
+    return found.crossJoin(F.broadcast(stats)).select("doc_ord", "doc_id", score.alias("score"))
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The best k of (doc_ord, doc_id, score) with their ranks. Scores count to six digits, ties go by document order."""
     best = found.where("score > 0").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_ord").limit(k)

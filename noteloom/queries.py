@@ -1,6 +1,8 @@
 """Every operator as a query over the driver's tables, with SQL that gives the same rows."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from noteloom.functions import extract as X
 from noteloom.functions import text as D
 from noteloom.functions import tokens as T
 from noteloom.operators import cache, docstore, fusion, incremental, lexical, remote, telemetry, vector
+from noteloom.plans import build
 from noteloom.plans import searcher as S
 from noteloom.sources import changelog, files, index_files, jsonl
 
@@ -479,6 +482,36 @@ def incremental_lengths(spark, d):
     return incremental.apply_changes(stale, fresh, statuses, "doc_id")
 
 
+def _folder(spark) -> str:
+    """A new folder in the cluster's shared checkpoint folder, or one of our own where none is named."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-")
+    return f"{root}/index-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_POSTINGS}, {_bm25(QUERY, K)} SELECT * FROM bm25")
+def stored_search_after_changes(spark, d):
+    """A stored index of an earlier state, brought up to date incrementally, then searched: the rows of a search in the documents themselves."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    older = docs.where("doc_ord % 10 <> 0").withColumn("text", F.when(F.col("doc_ord") % 7 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text")))
+    gone = docs.where("doc_ord % 20 = 1").withColumn("id", F.concat(F.lit("gone-"), "id"))
+    build.full(spark, older.unionByName(gone), root, "2024-01-01T00:00:00Z")
+    build.incremental_build(spark, docs, root, "2024-01-02T00:00:00Z")
+    return S.Searcher.open(spark, root).bm25(QUERY, K)
+
+
+def _stub_embedder(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(t.count("\n")), float(t.count("e"))] for t in texts]
+
+
+@query(f"""WITH {_DOCS}, t AS (SELECT id, {_trim("'# ' || title || chr(10) || 'タグ: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || text")} AS x FROM docs),
+  c AS (SELECT id, CASE WHEN length(x) > 6000 THEN left(x, 5997) || '...' ELSE x END AS x FROM t)
+  SELECT id AS doc_id, CAST(length(x) AS DOUBLE) AS n_chars, CAST(length(x) - length(replace(x, chr(10), '')) AS DOUBLE) AS n_breaks, CAST(length(x) - length(replace(x, 'e', '')) AS DOUBLE) AS n_e FROM c""")
+def embed_documents(spark, d):
+    """Vectors by an injected embedder; this one counts characters."""
+    v = vector.embed(corpus.documents(spark, d), _stub_embedder)
+    return v.select("doc_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("n_chars", "n_breaks", "n_e"))))
+
+
 # ---- caches and telemetry -----------------------------------------------------------
 @query(f"WITH {_DOCS} SELECT id, sha256(text || 'stub') AS key FROM docs")
 def cache_key(spark, d):
