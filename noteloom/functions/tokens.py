@@ -32,14 +32,18 @@ def split_camel(word) -> Column:
     return F.split(out, " ")
 
 
-def latin_tokens(text) -> Column:
-    """Words in upper case, each followed by its camel parts if it has several, then all digit runs; the first of equal ones stays."""
-    t = col(text)
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    whole = F.transform(words, F.upper)
-    parts = F.flatten(F.transform(words, lambda w: F.when(F.size(split_camel(w)) > 1, F.concat(F.array(F.upper(w)), F.transform(split_camel(w), F.upper))).otherwise(F.array(F.upper(w)))))
+def _words(t: Column) -> Column:
+    """Words in upper case, each followed by its camel parts if it has several."""
+    words = F.array_distinct(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    split = F.flatten(F.transform(words, lambda w: F.when(w.rlike(_ANY_CAMEL), F.concat(F.array(F.upper(w)), F.transform(split_camel(w), F.upper))).otherwise(F.array(F.upper(w)))))
     # Few texts have borders within words; the others need no split.
-    return F.array_distinct(F.concat(F.when(t.rlike(_ANY_CAMEL), parts).otherwise(whole), F.regexp_extract_all(t, F.lit(DIGITS), F.lit(0))))
+    return F.when(t.rlike(_ANY_CAMEL), split).otherwise(F.transform(words, F.upper))
+
+
+def latin_tokens(*texts) -> Column:
+    """Words and their parts, then all digit runs; the first of equal ones stays. Several texts count as one with spaces between."""
+    columns = [col(t) for t in texts]
+    return F.array_distinct(F.concat(*map(_words, columns), *(F.regexp_extract_all(t, F.lit(DIGITS), F.lit(0)) for t in columns)))
 
 
 def cjk_tokens(text) -> Column:
@@ -50,10 +54,10 @@ def cjk_tokens(text) -> Column:
     return F.when(t.rlike(f"{_KATAKANA}|{_HAN}"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
-def tokens(text, analyser: Callable[[Column], Column] = cjk_tokens) -> Column:
-    """Distinct tokens of a text in order, those of the analyser first. Null gives none."""
-    t = F.coalesce(col(text), F.lit(""))
-    return F.array_distinct(F.concat(analyser(t), latin_tokens(t)))
+def tokens(*texts, analyser: Callable[[Column], Column] = cjk_tokens) -> Column:
+    """Distinct tokens in order, those of the analyser first. Several texts count as one with spaces between. Null gives none."""
+    columns = [F.coalesce(col(t), F.lit("")) for t in texts]
+    return F.array_distinct(F.concat(*map(analyser, columns), latin_tokens(*columns)))
 
 
 def query_tokens(text: str) -> list[str]:
