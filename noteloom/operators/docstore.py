@@ -4,7 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import has_tag
+from noteloom.functions.text import content_hash, has_tag
+
+
+def with_content_ids(docs: DataFrame) -> DataFrame:
+    """Documents identified by their content: the same title and text, the same id."""
+    return docs.withColumn("id", content_hash("title", F.col("text")))
+
+
+def with_random_ids(docs: DataFrame) -> DataFrame:
+    """Documents under new random ids. They differ each time that the frame is computed, so store it before use."""
+    return docs.withColumn("id", F.expr("uuid()"))
 
 
 def get(docs: DataFrame, doc_id: str) -> DataFrame:

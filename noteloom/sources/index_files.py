@@ -33,6 +33,12 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode(F.arrays_zip("doc_ids", "vectors")).alias("doc_ord", "z")).select(F.col("z.doc_ids").alias("doc_id"), F.col("z.vectors").alias("embedding"), F.col("doc_ord").cast("long"))
 
 
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a JSON store: an object of documents by id."""
+    rows = spark.read.schema("documents map<string, struct<id: string, metadata: struct<title: string, date: string, tags: array<string>>, text: string>>").json(path, multiLine=True)
+    return rows.select(F.explode("documents").alias("key", "d")).select("d.id", "d.metadata.title", F.to_timestamp("d.metadata.date").alias("date"), "d.metadata.tags", "d.text", F.xxhash64("key").alias("doc_ord"))
+
+
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row; a missing version reads as the empty text, missing hashes as an empty map."""
     rows = spark.read.schema("doc_count long, created_at string, embedding_model string, schema_version string, doc_hashes map<string,string>").json(path, multiLine=True)
