@@ -95,7 +95,7 @@ RULES = (
     Rule("repeated_words", lambda f: 100 * f.n_repeat_words > 50 * f.n_words),
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
     Rule("upper_case", lambda f: f.upper_share > 0.3),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * len(f.lines)),
+    Rule("repeated_lines", lambda f: 2 * f.n_dup_lines > len(f.lines)),
 )
 
 

@@ -64,7 +64,7 @@ counts AS (SELECT base.doc_id, len(w) AS n_words, length(regexp_replace(text, '[
 judged AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND 10 * n_symbols <= n_words AND upper_ / greatest(1, upper_ + lower_) <= 0.3 AND 10 * n_dup_lines <= 3 * len(lines) AS kept
+  NOT base_failed AND 10 * n_symbols <= n_words AND upper_ / greatest(1, upper_ + lower_) <= 0.3 AND 2 * n_dup_lines <= len(lines) AS kept
 FROM judged
 """
 
