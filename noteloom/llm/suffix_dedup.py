@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import buffer, cut, pieces
 
 LENGTH, GRAM = 100, 24
-SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 2 << 20, 4 << 20, 1 << 15, 21
+SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 1 << 20, 4 << 20, 1 << 15, 21
 HOT, SALT_ROWS, MOST_SALTED = 1000, 256, 1_000_000
 #: Consecutive windows of a hot anchor that are dealt together.
 DEAL = 8
