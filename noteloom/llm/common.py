@@ -1,6 +1,7 @@
 """What the operators share: reading tables, text buffers, shared checkpoints."""
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -42,6 +43,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_noteloom_worker_cache", types.ModuleType("_noteloom_worker_cache")).__dict__
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that serves many tasks would keep it. Does nothing where the C library has no such call."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null reads as empty."""
     return [x or "" for x in column.to_pylist()]
