@@ -45,6 +45,7 @@ def worker_cache() -> dict:
 
 def release() -> None:
     """Give freed memory back to the system; a worker that serves many tasks would keep it. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
