@@ -27,7 +27,8 @@ similarity of each pair that it finds.
 
 Null and empty texts have fingerprint zero and link like any other. A null id
 is a document of its own group with a null component when nothing else links.
-Texts are processed whole, shingles counted with repeats.
+Texts are processed whole, shingles counted with repeats; by ``near_copies``
+once each, as its similarity is one of sets.
 """
 from __future__ import annotations
 
@@ -52,7 +53,7 @@ BLOCK, FRONTIER = 20_000, 2_000_000
 #: Rows of a bucket of copies beyond which it is dealt by two hashes, and such buckets at most (the bound rises with the corpus, so that they can be broadcast).
 MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
-COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 16, 5, 256
+COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 256
 PIECE_BYTES = 8 << 20
 _ROWS = 16_384
 
@@ -227,7 +228,7 @@ _ODD = np.random.default_rng(SEED).integers(1, 1 << 62, KEYS, np.int64).view(np.
 
 
 def sketch(text: str) -> tuple[int, list[int], bytes]:
-    """Fingerprint, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
+    """Fingerprint of the distinct shingles, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
     stretches = list(shingles(text, COPY_SHINGLE))
     used = np.zeros((2, BINS), np.uint8)
     if not stretches:
@@ -239,7 +240,7 @@ def sketch(text: str) -> tuple[int, list[int], bytes]:
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     used[0, bins[first]] = 1
     used[1, bins[first]] = (h[first] >> np.uint64(40)).astype(np.uint8)
-    return majority(iter(stretches)), keys, used.tobytes()
+    return majority(iter([h])), keys, used.tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:

@@ -119,3 +119,31 @@ def test_copies_by_similarity(spark, seed, many):
     assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.6)
     # Texts of different pairs never meet.
     assert all(i // 2 == c // 2 for i, c in got.items())
+
+
+def repeated_line(r, k):
+    """Two texts of 28 lines, alike but that one repeats a line k times."""
+    lines = [" ".join(f"v{r.randrange(10**6)}" for _ in range(12)) for _ in range(28)]
+    line = " ".join(f"v{r.randrange(10**6)}" for _ in range(12))
+    return "\n".join([*lines, line]), "\n".join([*lines, *[line] * k])
+
+
+def test_copies_that_repeat_a_line(spark):
+    r = random.Random(4)
+    pairs = [repeated_line(r, k) for k in (6, 10, 14, 20) for _ in range(25)]
+    assert all(jaccard(*p) >= 0.95 for p in pairs)
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_fingerprints_of_copies_lie_within_the_radius():
+    rng = np.random.default_rng(6)
+    far = []
+    for n in (46, 100, 300) * 700:
+        h = rng.integers(0, 2**63, 2 * n, np.uint64)
+        both = -(-8 * n // 9)
+        a, b = h[:n], np.concatenate([h[:both], h[n : 2 * n - both]])
+        far.append((simhash.majority(iter([a])) ^ simhash.majority(iter([b]))).bit_count())
+    assert np.mean(np.array(far) <= simhash.WIDE) >= 0.999
