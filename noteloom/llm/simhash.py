@@ -22,8 +22,10 @@ blocks agree at that distance, so there the buckets are dealt by least shingle
 hashes: copies share one of ``KEYS`` of them with a probability of
 1 - (1 - similarity) ** KEYS. A bucket of very many, such as those of a common
 line, is dealt by two such hashes at once. Within a bucket the BK-tree finds what lies within
-``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells the
-similarity of each pair that it finds.
+``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells which
+of these pairs may be copies. What such pairs connect is a cluster, and within a
+cluster only a similarity counted on the whole sets of shingle hashes links; a
+large cluster is dealt by pairs of its blocks, so that any two members meet.
 
 Null and empty texts have fingerprint zero and link like any other. A null id
 is a document of its own group with a null component when nothing else links.
@@ -54,6 +56,10 @@ BLOCK, FRONTIER = 20_000, 2_000_000
 MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
 COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 256
+#: Standard deviations by which a sketch may fall short of the similarity and still make a candidate.
+DEVIATIONS = 4
+#: Documents and shingles of a block of a cluster, about; bytes of sets that one call takes together.
+TOGETHER, SHINGLES, HELD_BYTES = 1024, 1 << 20, 16 << 20
 PIECE_BYTES = 8 << 20
 _ROWS = 16_384
 
@@ -227,13 +233,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 62, KEYS, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str) -> tuple[int, list[int], bytes]:
-    """Fingerprint of the distinct shingles, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
     stretches = list(shingles(text, COPY_SHINGLE))
+    return np.unique(np.concatenate(stretches)) if stretches else np.zeros(0, np.uint64)
+
+
+def mark(h: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+
+def sketch(h: np.ndarray) -> tuple[int, list[int], bytes]:
+    """Of a set of shingles the fingerprint, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
     used = np.zeros((2, BINS), np.uint8)
-    if not stretches:
+    if not len(h):
         return 0, [0] * KEYS, used.tobytes()
-    h = np.unique(np.concatenate(stretches))
     keys = [int((h * odd ^ h * odd >> np.uint64(31)).min()) for odd in _ODD]
     # Sorted hashes come bin by bin, least first.
     bins = (h >> np.uint64(56)).astype(np.int64)
@@ -244,29 +259,124 @@ def sketch(text: str) -> tuple[int, list[int], bytes]:
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Which pairs of sketches (rows, 2, BINS) reach a similarity, one standard deviation of the estimate granted."""
-    either = (a[:, 0] | b[:, 0]).sum(axis=1)
+    """Which pairs of sketches (rows, 2, BINS) may reach a similarity: a generous choice, to be verified."""
+    either = np.maximum((a[:, 0] | b[:, 0]).sum(axis=1), 1)
     same = ((a[:, 0] & b[:, 0]) & (a[:, 1] == b[:, 1])).sum(axis=1)
-    share = same / np.maximum(either, 1)
-    return share + np.sqrt(share * (1 - share) / np.maximum(either, 1)) >= similarity
+    return same / either >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either)
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY) -> DataFrame:
+def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the index of the least one that links reach, a link being a similarity of at least ``similarity``.
+
+    A set is compared with those only that no link has reached yet, so a group
+    of copies takes steps in proportion to its size.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    own = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    label, left = np.full(len(sets), -1), np.arange(len(sets))
+    while len(left):
+        root = int(left[0])
+        label[root], left, queue = root, left[1:], [root]
+        while queue and len(left):
+            x = queue.pop()
+            mine = ids[starts[x] : starts[x] + sizes[x]]
+            own[mine] = True
+            fit = left[np.minimum(sizes[left], sizes[x]) >= similarity * np.maximum(sizes[left], sizes[x]) - 1e-9]
+            ends = np.cumsum(sizes[fit])
+            both = np.concatenate([[0], np.cumsum(own[ids[np.repeat(starts[fit] - ends + sizes[fit], sizes[fit]) + np.arange(ends[-1] if len(ends) else 0)]])])
+            both = both[ends] - both[ends - sizes[fit]]
+            own[mine] = False
+            hit = fit[both >= similarity * (sizes[x] + sizes[fit] - both) - 1e-9]
+            label[hit] = root
+            queue += hit.tolist()
+            left = left[label[left] < 0]
+    return label
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], held_bytes: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``columns``, about ``held_bytes`` at a time, those of one value together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= held_bytes:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            other = np.zeros(rows.num_rows, bool)
+            for c in columns:
+                values = rows.column(c).to_numpy()
+                other |= values != values[-1]
+            last = np.flatnonzero(other)
+            if len(last):  # the last value may go on in the next batch
+                yield rows.slice(0, last[-1] + 1)
+                rows = rows.slice(last[-1] + 1)
+            held = rows.to_batches()
+            size = rows.nbytes if len(last) else 0
+    if held and (rows := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield rows
+
+
+def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """Links (a, b) between the nodes of each cluster, b the least node that pairs of that similarity, counted on whole sets, reach from a."""
+    members = nodes.join(clusters, "node").select("mark", "node", "n", "component")
+    # At most one in ``together`` documents or ``SHINGLES`` shingles is such a cluster.
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / together, F.sum("n") / SHINGLES)).cast("int")
+    large = members.groupBy("component").agg(parts.alias("parts")).where("parts > 1")
+    members = members.join(F.broadcast(large), "component", "left").select(F.col("node").alias("doc_id"), F.col("mark").alias("of"), "component", "parts")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1, PIECE_BYTES):
+                found = [shingle_set(t) for t in strings(batch.column(1))]
+                # A repeated id may stand for several texts.
+                own = [k for k, (h, of) in enumerate(zip(found, batch.column(2).to_pylist())) if mark(h) == of]
+                rest = batch.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rest.column(0), *rest.columns[2:], pa.array([found[k].tobytes() for k in own], pa.binary())], names=["node", "mark", "component", "parts", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id").select("doc_id", "text", "of", "component", "parts").mapInArrow(sets, "node long, mark long, component long, parts int, set binary")
+    # A member of a large cluster meets each block of it with its own.
+    block = F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != block)
+    pairs = F.transform(other, lambda x: F.least(x, block).cast("long") * F.col("parts") + F.greatest(x, block))
+    dealt = rows.select("node", "mark", "component", "set", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("part"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ("component", "part"), HELD_BYTES):
+            component, part, node, of = (rows.column(c).to_numpy() for c in ("component", "part", "node", "mark"))
+            column = rows.column("set")
+            edges = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (part[1:] != part[:-1]), [True]]))
+            a, b = [], []
+            for low, high in zip(edges.tolist(), edges[1:].tolist()):
+                # Equal texts of one id come once for each of its rows.
+                pick = low + np.flatnonzero(np.concatenate([[True], (of[low + 1 : high] != of[low : high - 1]) | (node[low + 1 : high] != node[low : high - 1])]))
+                to = pick[alike([np.frombuffer(column[k].as_buffer(), np.uint64) for k in pick.tolist()], similarity)]
+                a.append(node[pick[to != pick]])
+                b.append(node[to[to != pick]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node", "mark").mapInArrow(link, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY, together: int = TOGETHER) -> DataFrame:
     """doc_id and component_id, the smallest id that links of copies reach from the document; a row for each document that has an id."""
     ensure_checkpoint_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1, PIECE_BYTES):
-                rows = [sketch(t) for t in strings(batch.column(1))]
+                sets = [shingle_set(t) for t in strings(batch.column(1))]
+                rows = [sketch(h) for h in sets]
                 fps = np.array([r[0] for r in rows], np.uint64).view(np.int64)
                 keys = np.array([r[1] for r in rows], np.uint64).view(np.int64).tolist() if rows else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "fp", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([mark(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
+                    names=["doc_id", "mark", "n", "fp", "keys", "sketch"],
+                )
 
-    marked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long, keys array<long>, sketch binary")
-    marked = cut(marked.withColumn("mark", F.xxhash64("fp", "keys", "sketch")))
+    marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, n long, fp long, keys array<long>, sketch binary"))
     # Texts with the same shingles are one node.
-    nodes = marked.groupBy("mark").agg(F.min_by(F.struct("fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
+    nodes = marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
     pairs = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("k", "key"), "keys").select(
         "node", "fp", "sketch", F.xxhash64("k", "key").alias("b1"), F.element_at("keys", (F.col("k") + 1) % KEYS + 1).alias("b2"),
     )
@@ -313,7 +423,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
         if held is not None and held.num_rows:
             yield star(held)
 
-    found = components(dealt.repartition("b").sortWithinPartitions("b", "node").mapInArrow(search, "a long, b long"))
+    clusters = components(dealt.repartition("b").sortWithinPartitions("b", "node").mapInArrow(search, "a long, b long"))
+    found = components(verified(docs, nodes, clusters, similarity, together))
     of = nodes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "mark").join(of, "mark").select("doc_id", "component_id")
 

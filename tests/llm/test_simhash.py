@@ -147,3 +147,37 @@ def test_fingerprints_of_copies_lie_within_the_radius():
         a, b = h[:n], np.concatenate([h[:both], h[n : 2 * n - both]])
         far.append((simhash.majority(iter([a])) ^ simhash.majority(iter([b]))).bit_count())
     assert np.mean(np.array(far) <= simhash.WIDE) >= 0.999
+
+
+@pytest.mark.parametrize("together", [1024, 20])
+def test_copies_at_the_edge(spark, together):
+    r = random.Random(9)
+    rows, want = [], []
+    for i in range(400):
+        n = r.choice([50, 60, 120, 300])
+        base = [f"v{r.randrange(10**6)}" for _ in range(n)]
+        edge = r.uniform(0.75, 0.85)
+        copy = [*base[: round(n * edge)], *(f"u{r.randrange(10**6)}" for _ in range(r.choice([0, n // 40])))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        want.append(jaccard(rows[-2][1], rows[-1][1]) >= 0.8)
+    # A family of texts whose neighbours alone are copies.
+    long = [f"x{r.randrange(10**6)}" for _ in range(400)]
+    rows += [(1000 + k, " ".join(long[12 * k : 12 * k + 124])) for k in range(22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, together=together).collect()}
+    assert 100 < sum(want) < 300
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(400)]
+    assert not any(x and not y for x, y in zip(linked, want))
+    assert sum(x and y for x, y in zip(linked, want)) >= sum(want) - 1
+    assert {got[1000 + k] for k in range(22)} == {1000}
+
+
+def test_alike_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 2**63, 40, np.uint64) for _ in range(12)]
+    sets = [np.unique(np.where(rng.random(40) < rng.uniform(0, 0.2), rng.integers(0, 2**63, 40, np.uint64), base[rng.integers(12)])) for _ in range(200)]
+    sets += [np.zeros(0, np.uint64), sets[0][:33]]
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    size = np.array([len(x) for x in sets])
+    near = common >= 0.8 * (size[:, None] + size[None] - common)
+    assert np.array_equal(simhash.alike(sets), unite(np.arange(len(sets)), *np.nonzero(near)))
