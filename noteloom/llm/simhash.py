@@ -20,8 +20,13 @@ proportion to its size.
 down to 0.8, at which fingerprints of 64 bits differ in ten bits or so. No few
 blocks agree at that distance, so there the buckets are dealt by least shingle
 hashes: copies share one of ``KEYS`` of them with a probability of
-1 - (1 - similarity) ** KEYS. A bucket of very many, such as those of a common
-line, is dealt by two such hashes at once. Within a bucket the BK-tree finds what lies within
+1 - (1 - similarity) ** KEYS. In a bucket of very many each document first meets
+a few leaders. What a sketch puts at 0.8 of a leader needs no other comparison:
+by the triangle inequality its copies lie within 0.6 of that leader, and all
+that may lie there are candidates as well. If very many remain, such as those of
+a common line, the bucket is dealt by a second hash, any of ``KEYS + EXTRA - 1``
+others, of which copies miss all with a probability of 4e-9; and what is too
+large even then goes out by pairs of its blocks, so that any two meet. Within a bucket the BK-tree finds what lies within
 ``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells which
 of these pairs may be copies. What such pairs connect is a cluster, and within a
 cluster only a similarity counted on the whole sets of shingle hashes links; a
@@ -52,12 +57,14 @@ SEED = 42
 MOST = 4096
 #: Nodes of the buckets that one call of the search takes together, and pairs that a search may look at together, about.
 BLOCK, FRONTIER = 20_000, 2_000_000
-#: Rows of a bucket of copies beyond which it is dealt by two hashes, and such buckets at most (the bound rises with the corpus, so that they can be broadcast).
+#: Rows of a bucket of copies beyond which it is split, and such buckets at most (the bound rises with the corpus, so that they can be broadcast).
 MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
 COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 256
 #: Standard deviations by which a sketch may fall short of the similarity and still make a candidate.
 DEVIATIONS = 4
+#: Leaders of a large bucket, and least hashes by which it may be dealt besides ``KEYS``.
+LEADERS, EXTRA = 4, 8
 #: Documents and shingles of a block of a cluster, about; bytes of sets that one call takes together.
 TOGETHER, SHINGLES, HELD_BYTES = 1024, 1 << 20, 16 << 20
 PIECE_BYTES = 8 << 20
@@ -230,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, KEYS, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, KEYS + EXTRA, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -245,10 +252,10 @@ def mark(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> tuple[int, list[int], bytes]:
-    """Of a set of shingles the fingerprint, least hashes under ``KEYS`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
+    """Of a set of shingles the fingerprint, least hashes under ``KEYS + EXTRA`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
     used = np.zeros((2, BINS), np.uint8)
     if not len(h):
-        return 0, [0] * KEYS, used.tobytes()
+        return 0, [0] * len(_ODD), used.tobytes()
     keys = [int((h * odd ^ h * odd >> np.uint64(31)).min()) for odd in _ODD]
     # Sorted hashes come bin by bin, least first.
     bins = (h >> np.uint64(56)).astype(np.int64)
@@ -258,11 +265,21 @@ def sketch(h: np.ndarray) -> tuple[int, list[int], bytes]:
     return majority(iter([h])), keys, used.tobytes()
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Which pairs of sketches (rows, 2, BINS) may reach a similarity: a generous choice, to be verified."""
+def estimate(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of pairs of sketches (rows, 2, BINS), and the standard deviation for pairs of ``similarity``."""
     either = np.maximum((a[:, 0] | b[:, 0]).sum(axis=1), 1)
     same = ((a[:, 0] & b[:, 0]) & (a[:, 1] == b[:, 1])).sum(axis=1)
-    return same / either >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either)
+    return same / either, np.sqrt(similarity * (1 - similarity) / either)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which pairs of sketches may reach a similarity: a generous choice, to be verified."""
+    share, deviation = estimate(a, b, similarity)
+    return share >= similarity - DEVIATIONS * deviation
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2, BINS)
 
 
 def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -358,6 +375,50 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity:
     return dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node", "mark").mapInArrow(link, "a long, b long")
 
 
+def split(pairs: DataFrame, limit: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` meet, and the links (a, b) of candidates that need no bucket."""
+
+    def heat(rows: DataFrame) -> DataFrame:
+        """``rows`` with the count of their bucket where it is beyond the limit."""
+        return rows.join(F.broadcast(rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)), "b", "left")
+
+    pairs = heat(pairs)
+    hot = pairs.where("size is not null").drop("size")
+    leaders = hot.groupBy("b").agg(*(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)))
+    leaders = leaders.select("b", *(F.col(f"l{j}.{c}").alias(f"{c}{j}") for j in range(LEADERS) for c in ("node", "sketch")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                own, node = sketches(batch.column("sketch")), batch.column("node").to_numpy()
+                stays, a, b = np.ones(len(own), bool), [], []
+                for j in range(LEADERS):
+                    share, deviation = estimate(own, sketches(batch.column(f"sketch{j}")), similarity)
+                    stays &= share < similarity
+                    # Both estimates may err: that of the leader with the one left out, and this one.
+                    may = share >= 2 * similarity - 1 - 2 * DEVIATIONS * deviation
+                    a.append(node[may])
+                    b.append(batch.column(f"node{j}").to_numpy()[may])
+                rest, a, b = batch.select(["node", "fp", "sketch", "keys", "k", "b"]).filter(pa.array(stays)), np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.nulls(rest.num_rows, pa.int64())], names=[*rest.schema.names, "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), rest.schema.field(c).type) for c in rest.schema.names[1:]), pa.array(b)], names=[*rest.schema.names, "to"])
+
+    met = cut(hot.join(leaders, "b").mapInArrow(meet, "node long, fp long, sketch binary, keys array<long>, k int, b long, to long"))
+    rest = heat(met.where("to is null").drop("to"))
+    # By any second hash; two documents that share the first and one other meet.
+    others = F.filter(F.sequence(F.lit(0), F.lit(KEYS + EXTRA - 1)), lambda j: j != F.col("k"))
+    again = heat(rest.where("size is not null").select("node", "fp", "sketch", F.explode(F.transform(others, lambda j: F.xxhash64("b", j, F.element_at("keys", j + 1)))).alias("b")))
+    parts = F.ceil(F.col("size") / limit).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(LEADERS)), parts).cast("int")
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != block), lambda x: F.xxhash64("b", F.least(x, block), F.greatest(x, block)))
+    blocks = again.where("size is not null").select("node", "fp", "sketch", F.explode(blocks).alias("b"))
+    dealt = blocks
+    for part in (pairs, rest, again):
+        dealt = part.where("size is null").select("node", "fp", "sketch", "b").unionByName(dealt)
+    return dealt, met.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY, together: int = TOGETHER) -> DataFrame:
     """doc_id and component_id, the smallest id that links of copies reach from the document; a row for each document that has an id."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -377,12 +438,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, n long, fp long, keys array<long>, sketch binary"))
     # Texts with the same shingles are one node.
     nodes = marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
-    pairs = nodes.select("node", "fp", "sketch", F.posexplode("keys").alias("k", "key"), "keys").select(
-        "node", "fp", "sketch", F.xxhash64("k", "key").alias("b1"), F.element_at("keys", (F.col("k") + 1) % KEYS + 1).alias("b2"),
-    )
+    pairs = nodes.select("node", "fp", "sketch", "keys", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("node", "fp", "sketch", "keys", "k", F.xxhash64("k", "key").alias("b"))
     limit = max(many, -(-KEYS * marked.count() // MOST_MANY))
-    hot = pairs.groupBy("b1").count().where(F.col("count") > limit).select("b1", F.lit(True).alias("hot"))
-    dealt = pairs.join(F.broadcast(hot), "b1", "left").select("node", "fp", "sketch", F.when(F.col("hot"), F.xxhash64("b1", "b2")).otherwise(F.col("b1")).alias("b"))
+    dealt, near = split(pairs, limit, similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:
@@ -390,7 +448,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
             bucket, node = rows.column("b").to_numpy(), rows.column("node").to_numpy()
             group = np.cumsum(np.diff(bucket, prepend=bucket[0]) != 0)
             fps = rows.column("fp").to_numpy().view(np.uint64)
-            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, BINS)
+            looks = sketches(rows.column("sketch"))
             forest = BKForest(fps, group)
             ends = np.cumsum(np.bincount(forest.root)[forest.root])
             parent, at = np.arange(len(fps)), 0
@@ -403,7 +461,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
                     # What is linked already needs no look.
                     parent = roots(parent)
                     a, b = a[parent[a] != parent[b]], b[parent[a] != parent[b]]
-                    ok = similar(sketches[a], sketches[b], similarity)
+                    ok = similar(looks[a], looks[b], similarity)
                     parent = unite(parent, a[ok], b[ok])
                 at = to
             to_ = roots(parent)
@@ -423,7 +481,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
         if held is not None and held.num_rows:
             yield star(held)
 
-    clusters = components(dealt.repartition("b").sortWithinPartitions("b", "node").mapInArrow(search, "a long, b long"))
+    clusters = components(dealt.repartition("b").sortWithinPartitions("b", "node").mapInArrow(search, "a long, b long").unionByName(near))
     found = components(verified(docs, nodes, clusters, similarity, together))
     of = nodes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "mark").join(of, "mark").select("doc_id", "component_id")

@@ -181,3 +181,25 @@ def test_alike_equals_all_pairs():
     size = np.array([len(x) for x in sets])
     near = common >= 0.8 * (size[:, None] + size[None] - common)
     assert np.array_equal(simhash.alike(sets), unite(np.arange(len(sets)), *np.nonzero(near)))
+
+
+def test_copies_that_meet_only_in_hot_buckets(spark):
+    """Copies of which no two neighbouring least hashes agree, and whose common ones very many share."""
+    r = random.Random(12)
+    line = [f"z{k}" for k in range(60)]
+    usual = simhash.sketch(simhash.shingle_set(" ".join(line)))[1]
+    rows = []
+    while len(rows) < 80:
+        base = [f"q{r.randrange(10**6)}" for _ in range(40)]
+        copy = list(base)
+        for at in (r.randrange(5, 18), r.randrange(23, 35)):
+            copy[at] = "other"
+        a, b = (" ".join([*line, *x]) for x in (base, copy))
+        x, y = (simhash.sketch(simhash.shingle_set(t))[1] for t in (a, b))
+        same = [k for k in range(simhash.KEYS) if x[k] == y[k]]
+        if same and all(x[k] == usual[k] and (k + 1) % simhash.KEYS not in same for k in same) and jaccard(a, b) >= 0.8:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    rows += [(1000 + i, " ".join([*line, *(f"q{r.randrange(10**6)}" for _ in range(40))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=40).collect()}
+    assert got == {i: i - i % 2 if i < 80 else i for i, _ in rows}
