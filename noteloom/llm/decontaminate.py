@@ -2,7 +2,8 @@
 
 A document is contaminated by a benchmark item when some stretch of its words
 is within ``1 - SIMILARITY`` of the item's words in edit distance (words in
-lower case, punctuation left out). Windows as long as the item are embedded by
+lower case, punctuation left out; in scripts without spaces each character is a
+word). Windows as long as the item are embedded by
 the Chakraborty-Goldenberg-Koucky random walk: at each of 3n steps the walk
 writes the word at hand and stays or moves on by a random bit of (step, word), so
 that few edits become few differing places. A key samples ``SAMPLES`` places of
@@ -16,8 +17,8 @@ of an item at most, so a match of n words has n - 1 - 2 * edits of the item's pa
 and a window with fewer pairs of the items of its length is passed over without loss.
 
 Items come in blocks of ``BLOCK`` items; each block goes to the executors with
-the tasks and meets all documents. Items of fewer than ``MIN_WORDS`` words are too
-short to be told from chance and match nothing. Null and empty texts match
+the tasks and meets all documents. Items of fewer than ``MIN_WORDS`` words allow no
+edit and match where all their words stand in a row; items without words match nothing. Null and empty texts match
 nothing. Repeated documents match each on its own; of items with equal text
 each matches. Extra columns pass through untouched.
 """
@@ -40,10 +41,17 @@ BLOCK = 5000
 PIECE_BYTES = 4 << 20
 _WINDOWS = 8192
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: A character of Thai, Lao, Burmese, Khmer, kana or Chinese in UTF-8.
+_UNSPACED = re.compile(
+    rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80\x81\x9e\x9f][\x80-\xbf]|\x82[\x80-\x9f])"
+    rb"|\xe3(?:\x80[\x85-\x87]|[\x81-\x83\x90-\xbf][\x80-\xbf]|\x87[\xb0-\xbf])|\xe4(?:[\x80-\xb6]|[\xb8-\xbf])[\x80-\xbf]|[\xe5-\xe9][\x80-\xbf]{2}"
+    rb"|\xef(?:[\xa4-\xab][\x80-\xbf]|\xbd[\xa6-\xbf]|\xbe[\x80-\x9f])|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+)
 
 
 def words(text: str) -> list[bytes]:
-    return _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
+    data = text.lower().encode("utf-8", "surrogatepass")
+    return _WORD.findall(data if data.isascii() else _UNSPACED.sub(rb" \g<0> ", data))
 
 
 def closest(item: list[int], text: list[int]) -> int:
@@ -99,7 +107,12 @@ class Index:
     """All that an executor needs to search texts for a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = SEED):
-        tokens = [(i, w) for i, w in ((i, words(t or "")) for i, t in items) if len(w) >= MIN_WORDS]
+        tokens = [(i, words(t or "")) for i, t in items]
+        self.short: dict[bytes, list[tuple[int, list[bytes]]]] = defaultdict(list)  # by first word
+        for i, w in tokens:
+            if 0 < len(w) < MIN_WORDS:
+                self.short[w[0]].append((i, w))
+        tokens = [(i, w) for i, w in tokens if len(w) >= MIN_WORDS]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for _, w in tokens for x in w}))}
         self.size = len(self.vocabulary) + 2  # 0: any other word; the last: past the end
         self.items = [(i, [self.vocabulary[x] for x in w]) for i, w in tokens]
@@ -157,10 +170,28 @@ class Index:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, item id, edit distance) of all matches."""
-        if not self.items or not texts:
+        split = [words(t) for t in texts]
+        return sorted(self._near(split) + self._exact(split), key=lambda hit: hit[0])
+
+    def _exact(self, split: list[list[bytes]]) -> list[tuple[int, int, int]]:
+        """Matches of the items below ``MIN_WORDS`` words."""
+        if not self.short:
+            return []
+        out = []
+        for doc, w in enumerate(split):
+            met = {}
+            for at in [k for k, x in enumerate(w) if x in self.short]:
+                for item in self.short[w[at]]:
+                    if w[at : at + len(item[1])] == item[1]:
+                        met[id(item)] = (doc, item[0], 0)
+            out += met.values()
+        return out
+
+    def _near(self, split: list[list[bytes]]) -> list[tuple[int, int, int]]:
+        if not self.items or not split:
             return []
         get = self.vocabulary.get
-        coded = [[get(w, 0) for w in words(t)] for t in texts]
+        coded = [[get(w, 0) for w in ws] for ws in split]
         lengths = np.array([len(c) for c in coded])
         ids = np.fromiter((x for c in coded for x in c), np.int32, int(lengths.sum()))
         if len(ids) < MIN_WORDS - 1:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 import tiktoken
-from noteloom.llm import bpe, html_text, quality_rules, sharding
+from noteloom.llm import bpe, decontaminate, html_text, quality_rules, sharding
 from noteloom.llm.common import pieces
 
 TEXTS = [None, "", " \n\t", "word", "a b c " * 40, "é ü 日本 🎉 " * 30, "line one is here\n" * 30, "# $ % & | < > *" * 20, "UPPER CASE WORDS ARE HERE " * 20, "x" * 5000, "tab\tvt\x0bff\x0cfs\x1cnel\x85nbsp\xa0 end " * 20]
@@ -162,3 +162,12 @@ def test_pieces():
     assert [p.num_rows for p in got] == [2, 1, 5]
     assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
     assert pieces(batch.slice(0, 0), 0, 10) == []
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = [(1, "Forty two"), (2, "forty two"), (3, "一二三四五六七八九十"), (4, "ภาษาไทยง่าย"), (5, "..."), (6, "one two three four five six"), (7, "漢字")]
+    index = decontaminate.Index(items)
+    texts = ["It is FORTY, two!", "forty and two", "前文一二三四五六x八九十後文", "เขียนภาษาไทยง่ายมาก", "", "one two three four nine six", "これは漢字です", "漢の字"]
+    assert {(d, i, e) for d, i, e in index.search(texts)} == {(0, 1, 0), (0, 2, 0), (2, 3, 1), (3, 4, 0), (5, 6, 1), (6, 7, 0)}
+    assert decontaminate.Index(items[:2]).search(["say forty two"]) == [(0, 1, 0), (0, 2, 0)]
+    assert decontaminate.words("aé 日本x") == ["aé".encode(), "日".encode(), "本".encode(), b"x"]
