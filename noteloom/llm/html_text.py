@@ -1,25 +1,41 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of text. A line weighs as
-many characters as it has, or nothing where its place or look marks it as no
-part of the article: menus, page headers and footers, sidebars, notices, adverts,
-forms and reader comments, by element, class, id or role; lines that are mostly
-links; on pages with an article element everything outside it. Sums of weights
-over windows of ``WINDOW`` lines form the distribution. A surge is a window above
-the threshold after a dive, a dive a window without weight; the weighty lines
-between surge and dive are the text. On pages with an article element the
-threshold is zero, so that its shortest paragraph counts; on others it is ``SURGE``.
-
-Scripts, styles, comments and other hidden content are removed whole, closed or
-not. Character references are decoded, white space within a block becomes one
-space, blocks are joined by two line ends in page order. Nothing else is dropped
-or capped. Null and empty pages, and pages without any article, give an empty text.
-Repeated rows give a row each.
+Markup is stripped into lines, one for each block of text, and every line has a
+weight, at first its number of characters. Sums of weights over windows of
+``WINDOW`` lines form the distribution.A dive is a window without weight, a surge
+one whose sum is over the threshold. Where sums surge between two dives, the lines with weight
+from the rise after the one to the other are text. The threshold is above zero on every page that
+has any weight: ``SHARE`` of the page's densest window, ``SURGE`` at most.
+
+Markup adjusts weights, the distribution decides:
+
+* Lines of menus, page headers and footers, sidebars, notices, adverts, forms
+  and reader comments (by element, class, id or role) have no weight, nor have lines
+  outside paragraphs and headings that are mostly links.
+* Where an article (or main) element holds text, the densest window is sought
+  within it; its lines weigh more than the threshold, so that its shortest paragraph surges;
+  lines outside weigh so much less that only windows ``DENSER`` times as dense
+  as the article's densest surge. The element's edges are as wide as a window.
+
+Tags nest as browsers nest them: end tags that may be left out are implied, and
+an element that lacks its end tag ends with its parent. What such an element's name or class says
+holds up to the first paragraph, heading or division in it only. Inline elements that are no part
+of the article are cut out of their line. A class, id or form around the page's first article
+says nothing, and of an article its own header counts.
+
+Scripts, styles, comments and other hidden content are removed whole. Character references are
+decoded, white space within a block becomes one space, blocks are joined by two
+line ends in page order. Nothing else is dropped or capped; a page of a single
+short line has that line for a text. Null and empty pages, and pages of menus
+alone, give an empty text. Texts of any length are read whole, in time about
+proportional to it. Repeated rows give a row each. Other columns of ``pages`` are not
+read, whatever their names.
 """
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,136 +45,270 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import pieces, strings
 
-WINDOW, SURGE = 3, 60
+WINDOW, SURGE, SHARE, DENSER = 3, 60, 0.1, 5
 #: Share of a line's characters inside links from which on it is taken for a menu.
 LINKS = 0.7
 PIECE_BYTES = 8 << 20
 
-HIDDEN = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "select", "title", "audio", "video")
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose content is no markup; the first two run to the end of the page if they are not closed.
+RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template")
+HIDDEN = frozenset("svg object canvas select audio video".split()) | frozenset(RAW)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("td th".split())
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+BLOCKS = HEADINGS | TABLE | frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form head header hgroup hr html legend li main menu nav ol p pre search section summary ul".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog button search".split())
-#: Words of a class, id or role that mark an element as no part of the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot copyright comment comments disqus discussion replies reply respond share sharing social related recommended newsletter subscribe subscription signup login search form toolbar widget pagination pager skip contentinfo complementary".split())
-#: Words that make such a class describe a page's layout instead.
-LAYOUT = frozenset("with has no without wrapper wrap page layout container content main body article post entry".split())
+#: Blocks that may well be one link without being a menu.
+PROSE = HEADINGS | frozenset("p pre blockquote figcaption dd caption".split())
+#: Where what an element without an end tag says is over.
+STARTS = HEADINGS | frozenset("p div article main section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tags may be left out, and what ends them besides their parent.
+OPTIONAL = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "td": CELLS, "th": CELLS, "tr": frozenset(["tr"])}
+KEEP_P = frozenset("body head html legend caption thead tbody tfoot tr td th li dd dt".split())
+
+#: Words of a class, id or role that mark an element as no part of the article.
+MARKS = frozenset("adverts advert advertisement advertising sponsor sponsored promo gdpr consent popup modal sidebar nav navbar navigation breadcrumb breadcrumbs comment comments disqus newsletter subscribe signup login masthead pagination pager copyright toolbar contentinfo complementary".split())
+#: Words that do so only next to each other and to the words below them, as in "related-posts" but not in "related-work".
+WEAK = frozenset("ad ads promotion banner cookie cookies notice notices notification alert overlay aside menu header head footer foot discussion replies reply respond share sharing social related recommended subscription search form widget dialog skip".split())
+FILLER = frozenset("a the to box bar block section area list links link buttons button icons icon posts articles items item stories widget container wrapper wrap outer inner top bottom left right global site sticky fixed row col column panel module region slot unit policy message danger info warning success primary secondary input field group".split())
+#: Words that belong to the article in "article-header" and to the rest in "article-share".
+OWN, FRAME, HEAD = frozenset("article post entry content body main text".split()), frozenset("header head footer foot banner form aside menu notice".split()), frozenset(["header", "head"])
+#: Words that make a class describe a page's layout.
+LAYOUT = frozenset("with has no without layout".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{'|'.join(HIDDEN)})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<!/>).*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest2>[^<>]*+)>"
     r"|<[!?/][^<>]*+>",
-    re.S | re.I,
+    re.S,
 )
+#: What an end tag, and a start tag that ends an open element of its kind, doesn't reach beyond.
+_SCOPE = {name: tuple({"table"} - {name}) if name in TABLE else ("table", "caption", "td", "th") + (("ul", "ol", "menu", "dir") if name == "li" else ()) for name in BLOCKS - {"html", "body"}} | {"html": (), "body": ()}
+_SIBLINGS = {name: ("table",) if name in TABLE else tuple(BLOCKS - same - {"address", "div", "p"}) for name, same in OPTIONAL.items()}
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def marked(rest: str) -> bool:
-    """Whether an element's class, id or role says that it is no part of an article."""
+def marked(rest: str, spare: frozenset = frozenset()) -> bool:
+    """Whether an element's class, id or role says that it is no part of an article, by other words than those to ``spare``."""
     for values in _MARK.findall(rest):
         for name in "".join(values).split():
             words = {w.lower() for w in _WORD.findall(name)}
-            if words & MARKS and not words & LAYOUT:
+            if not words or words & LAYOUT:
+                continue
+            if words & MARKS:
+                return True
+            weak = words & WEAK
+            if weak and not weak <= spare and words <= WEAK | FILLER | (frozenset() if weak & FRAME else OWN):
                 return True
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[int], bool]:
-    """The page's lines in order, their weights, and whether it has an article element."""
-    out: list[tuple[str, int, bool, bool]] = []  # text, characters in links, outside, in the article
-    text: list[str] = []
-    linked = links = 0
-    skip, depth, inline = "", 0, None  # inline: where in the text an inline element that is no part of it begins
-    within, seen = 0, False
-
-    def end() -> None:
-        nonlocal linked, inline
-        if inline is not None:
-            del text[inline:]
-            inline = 0
-        if text:
-            line = " ".join(html.unescape("".join(text)).split())
-            if line:
-                out.append((line, linked, bool(skip) and inline is None, within > 0))
-            text.clear()
-            linked = 0
+class Element:
+    __slots__ = ("name", "rest", "depth", "end", "explicit", "first", "gone")
+
+    def __init__(self, name: str, rest: str, depth: int):
+        self.name, self.rest, self.depth = name, rest, depth
+        self.end, self.explicit, self.gone = 0, False, False
+        self.first = 0  # where the first element of STARTS in it begins
+
+
+def parse(page: str) -> list:
+    """The page as its strings, its elements where they begin, and None where a block ends; every element knows the place where it ends."""
+    out: list = [""]
+    stack: list[Element] = []
+    opened: dict[str, list[Element]] = {}
+    unending: set[str] = set()
+
+    def close(e: Element, explicit: bool = False) -> None:
+        """Ends an element and all that is open in it."""
+        for x in stack[e.depth :]:
+            if not x.gone:
+                x.end = len(out)
+                opened[x.name].pop()
+        del stack[e.depth :]
+        e.explicit = explicit
 
-    at = 0
-    for m in _MARKUP.finditer(page):
+    def innermost(names, stops) -> Element | None:
+        """The last opened element of these names unless one of the stops was opened in it."""
+        found = max((opened[n][-1] for n in names if opened.get(n)), key=lambda e: e.depth, default=None)
+        if found and any(opened[n][-1].depth > found.depth for n in stops if opened.get(n)):
+            return None
+        return found
+
+    at, size = 0, len(page)
+    while at < size and (m := _MARKUP.search(page, at)):
         if m.start() > at:
-            part = page[at : m.start()]
-            text.append(part)
-            linked += len(part) if links else 0
+            out.append(page[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
             continue
-        name, closes, rest = name.lower(), bool(m["close"] or m["close2"]), m["rest"] or m["rest2"] or ""
-        if name == "br":
-            text.append(" ")
-        if name == "a":
-            links = 0 if closes else 1
-        if name in BLOCKS:
-            end()
-            links = 0 if name != "li" else links
+        name = name.lower()
+        if m["close"] or m["close2"]:
+            if name in BLOCKS:
+                e = innermost(HEADINGS if name in HEADINGS else (name,), _SCOPE[name])
+                if e:
+                    close(e, True)
+                out.append(None)
+            elif opened.get(name):
+                e = opened[name].pop()  # blocks within it stay open
+                e.end, e.explicit, e.gone = len(out), True, True
+            continue
+        if name in RAW:
+            end = None if name in unending else _END[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unending.add(name)
+            if name in RAW[:2]:
+                return _ended(out, stack)
         if name in VOID:
+            out.append(" " if name == "br" else None if name == "hr" else "")
+            continue
+        if name in BLOCKS:
+            if name not in KEEP_P and opened.get("p") and (e := innermost(("p",), _SCOPE["p"])):
+                close(e)
+            if name in OPTIONAL and (e := innermost(OPTIONAL[name], _SIBLINGS[name])):
+                close(e)
+            elif name in HEADINGS and stack and stack[-1].name in HEADINGS:
+                close(stack[-1])
+        e = Element(name, m["rest"] or m["rest2"] or "", len(stack))
+        if name in STARTS:
+            for above in reversed(stack):
+                if above.first:
+                    break
+                above.first = len(out)
+        out.append(e)
+        stack.append(e)
+        opened.setdefault(name, []).append(e)
+    out.append(page[at:])
+    return _ended(out, stack)
+
+
+def _ended(out: list, stack: list[Element]) -> list:
+    """With the elements that are still open ended."""
+    for e in stack:
+        if not e.gone:
+            e.end = len(out)
+    return out
+
+
+def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The page's lines in order, their weights before any article counts, and which are the article's. Lines without text stand for its edges."""
+    found = parse(page)
+    main = _article(found)
+    following = [len(found)] * len(found)  # where the next block begins or ends
+    for k in range(len(found) - 2, -1, -1):
+        after = found[k + 1]
+        following[k] = k + 1 if after is None or isinstance(after, Element) and after.name in BLOCKS else following[k + 1]
+    titles = [] if main else [k for k, e in enumerate(found) if isinstance(e, Element) and e.name == "h1"]
+    texts: list[str] = []
+    weights: list[int] = []
+    inside: list[bool] = []
+    text: list[str] = []
+    linked, block = 0, ""
+    off = cut = link = article = 0  # up to where the page is no part of the article, cut out of its line, a link, the article
+
+    def end(at: int) -> None:
+        nonlocal linked
+        if text:
+            line = " ".join(html.unescape("".join(text)).split())
+            if line:
+                menu = linked >= LINKS * len(line) and at > article and block not in PROSE
+                texts.append(line)
+                weights.append(0 if at <= off or menu else len(line))
+                inside.append(at <= article)
+            text.clear()
+            linked = 0
+
+    def edge() -> None:
+        texts.extend([""] * WINDOW)
+        weights.extend([0] * WINDOW)
+        inside.extend([False] * WINDOW)
+
+    for k, e in enumerate(found):
+        if isinstance(e, str):
+            if k >= cut:
+                text.append(e)
+                linked += len(e) if k < link else 0
             continue
-        main = name in ("article", "main")
-        if closes:
-            if name == skip:
-                depth -= 1
-                if not depth:
-                    if inline is None:
-                        end()
-                    else:
-                        del text[inline:]
-                    skip, inline = "", None
-            elif main and within and not skip:
-                within -= 1
+        if e is None or e.name in BLOCKS:
+            end(k)
+            block = "" if e is None else e.name
+        if article and k >= article:
+            edge()
+            article = 0
+        if e is None or k < off or k < cut:
             continue
-        if skip:
-            # The article itself ends what was left open before it.
-            if main and not seen and not marked(rest):
-                skip, depth, inline = "", 0, None
+        until = e.end if e.explicit or e.name in OPTIONAL or e.name == "p" or not e.first else e.first
+        name, rest = e.name, e.rest
+        holds = k < main < e.end
+        if name in HIDDEN:
+            cut = until
+        elif name == "a":
+            link = e.end if e.explicit else min(e.end, following[k])
+        elif no_part(e, holds or name == "form" and bisect_left(titles, e.end) > bisect_left(titles, k), article > 0):
+            if name in BLOCKS:
+                off = until
             else:
-                depth += name == skip
-        if not skip:
-            no_part = name in OUTSIDE or (bool(rest) and name not in ("html", "body", "main") and marked(rest))
-            if no_part:
-                skip, depth = name, 1
-                if name in BLOCKS:
-                    skip = ""
-                    end()
-                    skip = name
-                else:
-                    inline = len(text)
-            elif main:
-                within, seen = within + 1, True
-    text.append(page[at:])
-    end()
-    whole = seen and any(inside and not off for _, _, off, inside in out)
-    weights = [0 if off or whole and not inside or n_links >= LINKS * len(line) and not whole else len(line) for line, n_links, off, inside in out]
-    return [x[0] for x in out], weights, whole
-
-
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    texts, weights, whole = lines(page)
+                cut = until
+        elif name in ("article", "main") and not article:
+            edge()
+            article = e.end
+    end(len(found))
+    return texts, np.array(weights, np.int64), np.array(inside, bool)
+
+
+def no_part(e: Element, around: bool, within: bool) -> bool:
+    """Whether an element is no part of the article. around: it has the article in it; within: it is in the article."""
+    if e.name in OUTSIDE and not (e.name == "header" and within) and not (e.name == "form" and around):
+        return True
+    return bool(e.rest) and e.name not in ("html", "body", "main") and not around and marked(e.rest, FRAME if e.name in HEADINGS else HEAD if within else frozenset())
+
+
+def _article(found: list) -> int:
+    """Where the first article or main element is that neither its own name or class nor elements around it take out of the page; 0 without any."""
+    off = 0
+    for k, e in enumerate(found):
+        if isinstance(e, Element) and k >= off:
+            if e.name in ("article", "main"):
+                if e.name == "main" or not marked(e.rest):
+                    return k
+            elif e.name in OUTSIDE and e.name != "form":
+                off = e.end if e.explicit or not e.first else e.first
+    return 0
+
+
+def adjusted(weights: np.ndarray, inside: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> tuple[np.ndarray, float]:
+    """Weights that take an article into account, and the threshold."""
+    own = weights * inside
+    article = bool(own.any())
+    total = np.concatenate([[0], np.cumsum(own if article else weights)])
+    densest = int((total[np.minimum(np.arange(len(weights)) + window, len(weights))] - total[:-1]).max(initial=0))
+    least = min(surge, SHARE * densest)
+    if not article:
+        return weights.astype(float), least
+    return np.where(inside, np.where(own > 0, np.maximum(own, least + 1), 0), weights * (least / (DENSER * densest))), least
+
+
+def kept(weights: np.ndarray, least: float, window: int = WINDOW) -> list[int]:
+    """The lines with weight where windows surge between two dives."""
+    to = np.minimum(np.arange(len(weights)) + window, len(weights))
+    total, any_ = (np.concatenate([[0], np.cumsum(x)]) for x in (weights, weights > 0))
+    stretch = np.cumsum(any_[to] == any_[:-1])  # dives so far
+    surges = np.bincount(stretch, total[to] - total[:-1] > least * (1 + 1e-9)) > 0
+    return np.flatnonzero((weights > 0) & surges[stretch]).tolist()
+
+
+def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
+    texts, weights, inside = lines(page)
     if not texts:
         return ""
-    w = np.array(weights)
-    total = np.concatenate([[0], np.cumsum(w)])
-    block = total[np.minimum(np.arange(len(w)) + window, len(w))] - total[:-1]
-    least, inside, kept = 0 if whole else surge, False, []
-    for i, sum_ in enumerate(block.tolist()):
-        if not inside and sum_ > least:
-            inside = True
-        elif inside and sum_ == 0:
-            inside = False
-        if inside and w[i]:
-            kept.append(texts[i])
-    return "\n\n".join(kept)
+    return "\n\n".join(texts[i] for i in kept(*adjusted(weights, inside, window, surge), window))
 
 
 def extract(pages: DataFrame) -> DataFrame:

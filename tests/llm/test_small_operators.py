@@ -122,7 +122,9 @@ def test_sharding(spark, limit, seed):
 PAGES = [
     (None, ""),
     ("", ""),
-    ("plain words without any markup", ""),
+    ("plain words without any markup", "plain words without any markup"),
+    ("<body><p>plain</p></body>", "plain"),
+    ("<body><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></body>", ""),
     ("<article><p>a</p><p></p><p> b&amp;c&nbsp;d </p></article>", "a\n\nb&c d"),
     ("<nav><a href=/>Home</a></nav><article><h1>T</h1><p>x<b>y</b> z<br>w<p>v</article><footer>f</footer>", "T\n\nxy z w\n\nv"),
     ("<div class='ad'>buy<article><p>in</p></article>", "in"),
@@ -132,6 +134,22 @@ PAGES = [
     ("<ARTICLE><P>Upper</P><script>never closed", "Upper"),
     ("<body><div class=menu><a>x</a></div><div><p>" + "long text " * 20 + "</p><p>short</p></div><div class=comments><p>" + "reader says " * 20 + "</p></div></body>", ("long text " * 20).strip() + "\n\nshort"),
     ("<article><p>&#233;&eacute;&#x1F389; &unknown;</p></article>", "éé🎉 &unknown;"),
+    # End tags that are left out or missing.
+    ("<article><p class=ad>buy<p>real one<p>real two</article>", "real one\n\nreal two"),
+    ("<article><ul><li class=promo>buy<li>x<li>y</ul></article>", "x\n\ny"),
+    ("<article><div class='ad'>buy<p>one</p><p>two</p></article>", "one\n\ntwo"),
+    ("<div class=sidebar><p>s</p><section><article><p>in</p></div><p>after</p>", "in"),
+    ("<article><p>a</p><nav><ul><li>m</ul><p>b</article>", "a\n\nb"),
+    ("<article><p>one<title>never closed<p>two</article>", "one\n\ntwo"),
+    ("<article><table><tr><td class=ad>buy<td>c1<td>c2<tr><td>c3</table><dl><dt>t<dd>d</dl></article>", "c1\n\nc2\n\nc3\n\nt\n\nd"),
+    # The article's own header, and words of a class that tell of its subject.
+    ("<body><header><p>Site</p></header><article><header class=page-header><h1 class=header>The Title</h1></header><p>x</p><footer>tags</footer></article>", "The Title\n\nx"),
+    ("<article><div class='related-work'>r</div><p class='social-history'>s</p><div class='search-results'>q</div><math><mi>x</mi></math></article>", "r\n\ns\n\nq\n\nx"),
+    ("<article><p>a</p><div class='related-posts'>r</div><ul class='post-share'><li>s</ul><div class='ad-container'>b</div><div class='has-sidebar'>k</div></article>", "a\n\nk"),
+    # A form or a class around everything, and a teaser beside much text.
+    ("<form><div class='modal'><article><p>in</p></article></div></form>", "in"),
+    ("<form><h1>Title</h1><p>text</p></form>", "Title\n\ntext"),
+    ("<article><p>teaser</p></article><div>" + "<p>much longer text of the page</p>" * 6 + "</div>", "teaser" + "\n\nmuch longer text of the page" * 6),
 ]
 
 
@@ -140,16 +158,102 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+def plain_choice(weights, least, window):
+    """By definition: a line with weight stays if, looking over the windows to either side up to the next without weight, one is above the threshold."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    out = []
+    for i, w in enumerate(weights):
+        low = high = i
+        while low and sums[low - 1]:
+            low -= 1
+        while high + 1 < len(sums) and sums[high + 1]:
+            high += 1
+        if w and any(x > least for x in sums[low : high + 1]):
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_distribution_like_the_plain_one(seed):
+    r = random.Random(seed)
+    for _ in range(200):
+        weights = [r.choice([0, 0, 0, 1, 7, 50, 300]) for _ in range(r.randint(0, 40))]
+        window, least = r.randint(1, 5), r.choice([0.1, 6, 30, 60, 200])
+        assert html_text.kept(html_text.np.array(weights, float), least, window) == plain_choice(weights, least, window)
+
+
+def random_page(r, article):
+    """A page, and its lines with what the method knows of each: text, weight, whether in the article."""
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    known, out = [], ["<html><head><title>t</title><style>p{}</style></head><body>"]
+
+    def line(tag, n, weigh=True, inside=False, attributes="", end=True):
+        t = words(n)
+        known.append((t, len(t) if weigh else 0, inside))
+        out.append(f"<{tag}{attributes}>" + t.replace(" ", r.choice([" ", "\n", " <b>", "  "]), 1) + (f"</{tag}>" if end else ""))
+
+    def rest():
+        for _ in range(r.randint(0, 4)):
+            out.append(r.choice(["<nav>", "<aside>", "<div class='cookie banner'>", "<section id=comments>", "<footer>", "<form>"]))
+            close = out[-1][1:].split(">")[0].split(" ")[0]
+            for _ in range(r.randint(1, 4)):
+                line("p", r.randint(1, 30), weigh=False)
+            out.append(f"</{close}><script>if (a < b) '</p>'</script>")
+
+    rest()
+    if article:
+        known.extend([("", 0, False)] * html_text.WINDOW)
+        out.append("<article>")
+    line("h1", 4, inside=article)
+    for _ in range(r.randint(0, 8)):
+        line("p", r.choice([1, 3, 20, 80]), inside=article, end=r.random() < 0.5)
+        if r.random() < 0.3:
+            line("div", 5, weigh=False, attributes=" class='ad'")
+    if article:
+        known.extend([("", 0, False)] * html_text.WINDOW)
+        out.append("</article>")
+    rest()
+    return "".join(out), known
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_pages(seed):
+    r = random.Random(seed)
+    for k in range(60):
+        page, known = random_page(r, k % 2 == 0)
+        own = [w * inside for _, w, inside in known]
+        used = own if any(own) else [w for _, w, _ in known]
+        densest = max(sum(used[i : i + html_text.WINDOW]) for i in range(len(used)))
+        least = min(html_text.SURGE, html_text.SHARE * densest)
+        assert least > 0
+        weights = [max(w, least + 1) if w else 0 for w in own] if any(own) else used
+        assert html_text.main_text(page) == "\n\n".join(known[i][0] for i in plain_choice(weights, least, html_text.WINDOW))
+
+
+def test_pages_without_their_article_tags():
+    """What the distribution alone finds: of the article's characters nearly all, and hardly any others."""
+    r = random.Random(7)
+    right = found = wanted = 0
+    for _ in range(200):
+        page, known = random_page(r, True)
+        got = set(html_text.main_text(page.replace("<article>", "").replace("</article>", "")).split("\n\n"))
+        want = {t for t, w, inside in known if w and inside}
+        right, found, wanted = right + sum(map(len, got & want)), found + sum(map(len, got)), wanted + sum(map(len, want))
+    assert right >= 0.98 * found and right >= 0.98 * wanted
+
+
 def test_extract(spark):
     rows = [(i, f"http://h/{i}", p, "x") for i, (p, _) in enumerate(PAGES)] + [(3, None, PAGES[3][0], "x"), (None, "u", PAGES[4][0], "x")]
     pages_ = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted(html_text.extract(pages_).collect(), key=str)
-    want = [(i, u, html_text.main_text(p or ""), len(html_text.main_text(p or ""))) for i, u, p, _ in rows]
+    texts = dict(PAGES)
+    want = [(i, u, texts[p], len(texts[p])) for i, u, p, _ in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert html_text.extract(pages_.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("page", ['<a "' * 20000, "<" * 50000, "<p>" * 30000, "<!--" * 20000, "<script" * 20000, "<div class=x " * 20000])
+@pytest.mark.parametrize("page", ['<a "' * 20000, "<" * 50000, "<p>" * 30000, "<!--" * 20000, "<script" * 20000, "<div class=x " * 20000, "<a>x" * 30000, "<div><b>" * 20000 + "</b>" * 20000, "<div><li>" * 20000, "<textarea>" * 20000, "<section><table><td>" + "<div></section>" * 20000, "<form>" * 20000 + "<h1>x" * 20000, "<b>x<p>" * 20000])
 def test_broken_markup_ends_soon(page):
     html_text.main_text(page)
 
