@@ -10,228 +10,306 @@ Below the empty context every byte not yet excluded is equally likely. The
 score of a text is the sum of the log10 probabilities of its bytes.
 
 The trie is pretrained: counted over all training texts, partly by each task,
-summed by key. It reaches the executors as a broadcast of at most ``CAPACITY``
-entries for each context length; where more were counted, whole contexts that
-occur least go (the next shorter context then codes their bytes), by a limit on
-a context's occurrences read from a histogram. Word counts, which have no such
-bound, stay in tables, under 63 bits of XXH64 for a word: only words above a
-count that at most ``COMMON`` words reach are broadcast, and the others are joined
-by key.
-
-Null and empty texts have the end mark alone. Repeated rows are scored each on
+summed by key, and kept whole in a table. As it is not adapted while texts are scored, a byte's
+probability follows from the ``ORDER`` bytes before it and the counts alone. Contexts that occur often,
+with all their bytes, go to the executors: as many as fit into ``CAPACITY`` entries for each
+context length (by a limit on a context's occurrences read from a histogram; all of them where they fit).
+Of a context that is there all shorter ones are there, so its bytes are coded at
+once. Bytes after other contexts leave as (document, context, byte, times)
+and meet the tables by joins, one for each context length. So the executors' share is bounded,
+what is learned grows with the corpus, and scores are the same for any ``CAPACITY``.
+
+Word counts are handled alike, under 63-bit hashes: at most ``COMMON`` words go to the
+executors, and the others are joined by key.
+
+What the executors get is one file of flat arrays, handed out by ``SparkContext.addFile``
+and mapped into memory, so that all workers of a host share it.
+
+Null and empty texts have the end mark alone. Texts are worked through in stretches of ``STEP``
+bytes, whatever their length. Repeated rows are scored each on
 its own. With no training text, all bytes are equally likely. A null id belongs
-to fold 0.
+to fold 0. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 from __future__ import annotations
 
-from collections import Counter
+import mmap
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bucket_of, cut, pieces, release
+from noteloom.llm.common import BLANKS, bucket_of, buffer, cut, pieces, release
 
 ORDER = 5
 CAPACITY = 1 << 21
-COMMON = 200_000
+COMMON = 1 << 20
 FOLD = 1
 #: No byte of UTF-8; as the last token it also counts the ends of texts.
-END = b"\xff"
+END = 255
 PIECE_BYTES = 1 << 20
 #: Bytes that are coded together; distinct words and grams that a task holds before it passes them on.
-STEP, HELD = 1 << 19, 300_000
+STEP, HELD = 1 << 18, 1 << 20
 LENGTH = 8 * (ORDER + 1)
 _U = np.uint64
-
-
-def normal(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
-def sequence(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, each closed by the end mark; every byte's context length; where texts start."""
-    data = np.frombuffer(b"".join(b" ".join(words) + END for words in texts), np.uint8)
-    stops = np.flatnonzero(data == END[0]) + 1
-    starts = np.concatenate([[0], stops[:-1]])
-    length = np.full(len(data), ORDER, np.uint8)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER[[ord(c) for c in BLANKS]] = 32
+_PLACES = 64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers for numbers (SplitMix64)."""
+    x = x * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019)
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+_OF_BYTE = mixed(np.arange(_PLACES << 8, dtype=_U))
+
+
+def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a column one after the other, in lower case, with one space between words and the end mark after each text; where texts start."""
+    raw, at = buffer(column)
+    ends = at[1:] + np.arange(len(at) - 1)
+    x = np.empty(len(raw) + len(ends), np.uint8)
+    inner = np.ones(len(x), bool)
+    inner[ends] = False
+    x[inner] = _LOWER[raw]
+    x[ends] = END
+    blank = x == 32
+    word = ~blank
+    word[ends] = False
+    # Of blanks in a row the last one stays, if a word follows it and one came before.
+    stays = ~blank
+    stays[:-1] |= word[1:]
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    begin = np.flatnonzero(begin)
+    first = begin[np.diff(np.searchsorted(ends, begin), prepend=-1) != 0]
+    first = first[first > 0]
+    stays[first[blank[first - 1]] - 1] = False
+    data = x[stays]
+    return data, np.concatenate([[0], np.flatnonzero(data == END)[:-1] + 1]) if len(data) else np.zeros(0, np.int64)
+
+
+def word_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of texts as ``sequence`` gives them, words and ends of texts (negative numbers; grams have positive ones), and where they start."""
+    last = np.flatnonzero((data == 32) | (data == END))
+    begin = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    some = last > begin
+    ends = last[data[last] == END]
+    begin, last = begin[some], last[some]
+    # The sum of a number for each byte at its place in the word.
+    key = np.zeros(len(begin), _U)
+    for a in range(0, len(data), STEP):
+        b = min(len(data), a + STEP)
+        low, high = np.searchsorted(last, a, "right"), np.searchsorted(begin, b)
+        if low >= high:
+            continue
+        size = np.minimum(last[low:high], b) - np.maximum(begin[low:high], a)
+        i = np.flatnonzero((data[a:b] != 32) & (data[a:b] != END))
+        place = ((i + a - np.repeat(begin[low:high], size)) << 8) + data[a:b][i]
+        far = np.flatnonzero(place >= len(_OF_BYTE))
+        of = _OF_BYTE[np.minimum(place, len(_OF_BYTE) - 1)]
+        of[far] = mixed(place[far].astype(_U))
+        key[low:high] += np.add.reduceat(of, np.cumsum(size) - size)
+    key = np.concatenate([key, np.full(len(ends), _OF_BYTE[END])]) | _U(1 << 63)
+    return key.view(np.int64), np.concatenate([begin, ends])
+
+
+def context_lengths(n: int, starts: np.ndarray) -> np.ndarray:
+    """How many bytes come before each byte of its text, ``ORDER`` at most."""
+    length = np.full(n, ORDER, np.uint8)
+    stops = np.append(starts[1:], n)[: len(starts)]
     for k in range(ORDER):
         at = starts + k
         length[at[at < stops]] = k
-    return data, length, starts
-
-
-def contexts(data: np.ndarray) -> np.ndarray:
-    """For every byte the ``ORDER`` bytes before it as a number; bytes before the first are zero."""
-    out = np.zeros(len(data), _U)
-    for k in range(1, ORDER + 1):
-        out[k:] |= data[:-k].astype(_U) << _U(8 * (k - 1))
-    return out
+    return length
 
 
 def blocks(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, contexts) of stretches of ``STEP`` bytes, so that memory does not follow the length of a text."""
+    """(from, to, grams) of stretches of ``STEP`` bytes. A gram is a byte with the ``ORDER`` bytes before it, the byte lowest."""
     for a in range(0, len(data), STEP):
-        low, b = max(0, a - ORDER), min(len(data), a + STEP)
-        yield a, b, contexts(data[low:b])[a - low :]
-
-
-def count_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of (context, byte), each at the longest context that the byte has: length << LENGTH | context << 8 | byte."""
-    data, length, _ = sequence(texts)
-    found = []
-    for a, b, keys in blocks(data):
-        keys <<= _U(8)
-        keys |= data[a:b]
-        keys |= _U(ORDER << LENGTH)
-        for k in range(ORDER):
-            at = np.flatnonzero(length[a:b] == k)
-            keys[at] = keys[at] & _U((1 << 8 * (k + 1)) - 1) | _U(k << LENGTH)
-        found.append(np.unique(keys, return_counts=True))
-    return merged(found)
+        b = min(len(data), a + STEP)
+        n = (b - a + 7) // 8 * 8
+        near = np.zeros(n + 8, np.uint8)
+        near[max(0, 7 - a) : 7 + b - a] = data[max(0, a - 7) : b]
+        out = np.empty(n, _U)
+        for k in range(8):
+            out[k::8] = near[k : k + n].view(">u8")
+        yield a, b, out[: b - a] & _U((1 << LENGTH) - 1)
+
+
+def tagged(grams: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Each gram with as many bytes before its byte as there are, and their number above."""
+    length = length.astype(_U)
+    return grams & (_U(1) << (length + _U(1) << _U(3))) - _U(1) | length << _U(LENGTH)
 
 
 def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(found) == 1:
         return found[0]
-    if not found:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
     keys, counts = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quick for runs that are sorted already
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def word_key(word: bytes) -> int:
-    """A negative number for a word; grams have positive ones."""
-    return (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
-
-
-class Table:
-    """An open-addressing hash table of distinct numbers, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 1.3).bit_length())
-        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, ~_U(0))
-        self.place = np.full(1 << bits, -1, np.int32)
-        left, at = np.arange(len(keys)), self._at(keys)
-        while len(left):
-            free = self.place[at] < 0
-            self.place[at[free]] = left[free]
-            won = self.place[at] == left
-            self.keys[at[won]] = keys[left[won]]
-            left, at = left[~won], (at[~won] + 1) & self.mask
-
-    def _at(self, keys):
-        return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's place in the array that the table was made from, -1 if absent."""
-        at = self._at(keys)
-        out = np.where(self.keys[at] == keys, self.place[at], -1)
-        left = np.flatnonzero((out < 0) & (self.place[at] >= 0))
-        at = at[left]
-        while len(left):
-            at = (at + 1) & self.mask
-            same = self.keys[at] == keys[left]
-            out[left[same]] = self.place[at[same]]
-            go = ~same & (self.place[at] >= 0)
-            left, at = left[go], at[go]
-        return out
-
-
-class Trie:
-    """Counts by context length: ``keys`` (context << 8 | byte, sorted) with ``counts``, and for each context
-    its total, its distinct bytes, and what those bytes hold of the next shorter context (``excluded``)."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        for k, (keys, counts) in enumerate(grams):
-            contexts_, first = np.unique(keys >> _U(8), return_index=True)
-            total = np.add.reduceat(counts, first) if len(keys) else np.zeros(0, np.int64)
-            distinct = np.diff(np.append(first, len(keys)))
-            excluded = np.zeros(len(contexts_), np.int64)
-            if k and len(keys):
-                below = self.levels[-1]
-                shorter = (keys >> _U(8) & (_U(1) << _U(8 * (k - 1))) - _U(1)) << _U(8) | keys & _U(255)
-                excluded = np.add.reduceat(below["counts"][np.searchsorted(below["keys"], shorter)], first)
-            self.levels.append({"keys": keys, "counts": counts, "contexts": contexts_, "total": total, "distinct": distinct, "excluded": excluded})
-
-    def ready(self) -> Trie:
-        """With its hash tables, and without what only they are made from. The longest contexts keep logarithms, the others counts."""
-        for k, x in enumerate(self.levels):
-            x["at"], x["node"] = Table(x["keys"]), Table(x["contexts"])
-            if k == ORDER:
-                share = x["counts"] / (x["total"] + x["distinct"])[np.searchsorted(x["contexts"], x["keys"] >> _U(8))] if len(x["keys"]) else np.ones(0)
-                x["log"], x["counts"] = np.log10(share).astype(np.float32), x["counts"][:0]
-            del x["keys"], x["contexts"]
-        return self
-
-    def code(self, data: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte."""
-        out = np.zeros(len(data))
-        for a, b, context in blocks(data):
-            self._code(data[a:b], length[a:b], context, out[a:b])
-        return out
-
-    def _code(self, data, length, context, out) -> None:
-        x = self.levels[ORDER]
-        left = np.flatnonzero(length == ORDER)
-        entry = x["at"].find(context[left] << _U(8) | data[left])
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def count_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all tokens and of all grams, each gram at the longest context that its byte has."""
+    data, starts = sequence(column)
+    found = [np.unique(word_keys(data)[0], return_counts=True)]
+    length = context_lengths(len(data), starts)
+    for a, b, grams in blocks(data):
+        found.append(np.unique(tagged(grams, length[a:b]).view(np.int64), return_counts=True))
+    return merged(found)
+
+
+def table(keys: np.ndarray, often: np.ndarray, payload: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """An open-addressing hash table of distinct numbers, no more than half full: its slots' keys, all ones where empty, and what belongs to them.
+
+    Of numbers that ask for one slot the one that occurs most often has it, so that few lookups take a second step.
+    """
+    order = np.argsort(often, kind="stable")
+    keys = keys[order]
+    bits = max(4, (2 * len(keys) - 1).bit_length() if len(keys) else 0)
+    slots = np.full(1 << bits, ~_U(0))
+    place = np.full(1 << bits, -1, np.int32)
+    left, at = np.arange(len(keys)), _slot(keys, len(slots))
+    while len(left):
+        free = place[at] < 0
+        place[at[free]] = left[free]  # the last one wins
+        won = place[at] == left
+        slots[at[won]] = keys[left[won]]
+        left, at = left[~won], (at[~won] + 1) & (len(slots) - 1)
+    out = {"keys": slots}
+    for name, values in payload.items():
+        out[name] = np.zeros(len(slots), values.dtype)
+        out[name][place >= 0] = values[order[place[place >= 0]]]
+    return out
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys * _U(0x9E3779B97F4A7C15) >> _U(64 - size.bit_length() + 1)).view(np.int64)
+
+
+def find(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each key's slot, -1 if absent."""
+    at = _slot(keys, len(slots))
+    left = np.flatnonzero(slots[at] != keys)
+    here, key = at[left], keys[left]
+    while len(left):
+        some = slots[here] != ~_U(0)
+        at[left[~some]] = -1
+        left, here, key = left[some], (here[some] + 1) & (len(slots) - 1), key[some]
+        other = slots[here] != key
+        at[left[~other]] = here[~other]
+        left, here, key = left[other], here[other], key[other]
+    return at
+
+
+def trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: list[bool]) -> dict[str, np.ndarray]:
+    """The arrays of a trie from the grams (context << 8 | byte, sorted) of each context length and their counts. whole: whether a length has all its contexts.
+
+    A context has its total, its distinct bytes, and what those bytes hold of the next shorter context (``excluded``).
+    The longest contexts keep logarithms, the others counts.
+    """
+    out = {"whole": np.array(whole)}
+    for k, (keys, counts) in enumerate(levels):
+        contexts, first = np.unique(keys >> _U(8), return_index=True)
+        total = np.add.reduceat(counts, first) if len(keys) else np.zeros(0, np.int64)
+        distinct = np.diff(np.append(first, len(keys)))
+        excluded = np.zeros(len(contexts), np.int64)
+        if k and len(keys):
+            below = levels[k - 1]
+            excluded = np.add.reduceat(below[1][np.searchsorted(below[0], keys & _U((1 << 8 * k) - 1))], first)
+        of = {"log": np.log10(counts / np.repeat(total + distinct, distinct))} if k == ORDER else {"n": counts}
+        for name, values in table(keys, counts, of).items():
+            out[f"entry{k}.{name}"] = values
+        for name, values in table(contexts, total, {"total": total, "distinct": distinct.astype(np.int16), "excluded": excluded}).items():
+            out[f"node{k}.{name}"] = values
+    return out
+
+
+def shorter(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The grams of every context length with their counts, from those at the longest context of each byte."""
+    out = [grams[ORDER]]
+    for k in range(ORDER - 1, -1, -1):
+        keys, counts = out[-1]
+        out.append(merged([(keys & _U((1 << 8 * (k + 1)) - 1), counts), grams[k]]))
+    return out[::-1]
+
+
+def code(model: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each byte, zero where the model lacks its context; the places where it does, and the grams there."""
+    out, length = np.zeros(len(data)), context_lengths(len(data), starts)
+    places, missing = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    slots, logs = model[f"entry{ORDER}.keys"], model[f"entry{ORDER}.log"]
+    for a, b, grams in blocks(data):
         # Most bytes end here, found in the longest context.
-        out[left[entry >= 0]] = x["log"][entry[entry >= 0]]
-        left = np.concatenate([left[entry < 0], np.flatnonzero(length < ORDER)])
-        data, length, context = data[left], length[left], context[left]
-        log = np.zeros(len(left))
-        ex_n, ex_d, open_ = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), np.ones(len(left), bool)
-        for k in range(ORDER, -1, -1):
-            x = self.levels[k]
-            if not len(x["total"]):
-                continue
-            at = np.flatnonzero(open_ & (length >= k))
-            ctx = context[at] & _U((1 << 8 * k) - 1)
-            node = x["node"].find(ctx)
-            at, ctx, node = at[node >= 0], ctx[node >= 0], node[node >= 0]
-            entry = x["at"].find(ctx << _U(8) | data[at])
-            n, d = x["total"][node] - ex_n[at], x["distinct"][node] - ex_d[at]
-            hit = entry >= 0
-            log[at[hit]] += np.log10(x["counts"][entry[hit]] / (n + d)[hit])
-            open_[at[hit]] = False
-            escapes = ~hit & (d > 0)
-            log[at[escapes]] += np.log10((d / np.maximum(n + d, 1))[escapes])
-            ex_n[at[~hit]], ex_d[at[~hit]] = x["excluded"][node[~hit]], x["distinct"][node[~hit]]
-        log[open_] -= np.log10(256 - ex_d[open_])
-        out[left] = log
+        at = find(slots, grams)
+        at[length[a:b] < ORDER] = -1
+        left = np.flatnonzero(at < 0)
+        here = out[a:b]
+        np.take(logs, np.maximum(at, 0), out=here)
+        here[left], unknown = _escaping(model, grams[left], length[a:b][left])
+        places.append(a + left[unknown])
+        missing.append(tagged(grams[left[unknown]], length[a:b][left[unknown]]).view(np.int64))
+    return out, np.concatenate(places), np.concatenate(missing)
+
+
+def _escaping(model, grams, length) -> tuple[np.ndarray, np.ndarray]:
+    """The same for bytes of any context length; and which of them have a context that the model lacks."""
+    log, unknown = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    ex_n, ex_d, open_ = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
+    for k in range(ORDER, -1, -1):
+        at = np.flatnonzero(open_ & (length >= k))
+        gram = grams[at] & _U((1 << 8 * (k + 1)) - 1)
+        node = find(model[f"node{k}.keys"], gram >> _U(8))
+        if not model["whole"][k]:
+            lacks = at[(node < 0) & (length[at] == k)]
+            unknown[lacks], open_[lacks] = True, False
+        at, gram, node = at[node >= 0], gram[node >= 0], node[node >= 0]
+        n, d = model[f"node{k}.total"][node] - ex_n[at], model[f"node{k}.distinct"][node] - ex_d[at]
+        entry = find(model[f"entry{k}.keys"], gram)
+        hit = entry >= 0
+        if k < ORDER:
+            log[at[hit]] += np.log10(model[f"entry{k}.n"][entry[hit]] / (n + d)[hit])
+        else:
+            log[at[hit]] = model[f"entry{k}.log"][entry[hit]]
+        open_[at[hit]] = False
+        escapes = ~hit & (d > 0)
+        log[at[escapes]] += np.log10((d / np.maximum(n + d, 1))[escapes])
+        ex_n[at[~hit]], ex_d[at[~hit]] = model[f"node{k}.excluded"][node[~hit]], model[f"node{k}.distinct"][node[~hit]]
+    log[open_] -= np.log10(256 - ex_d[open_])
+    return log, unknown
 
 
 def count_corpus(docs: DataFrame, fold: int = FOLD) -> DataFrame:
     """(key, n): how often each word (negative keys) and each gram (others) occurs in the training texts."""
 
-    def rows(words: Counter, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        keys = np.fromiter(map(word_key, words), np.int64, len(words))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, grams.view(np.int64)])), pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n]))], names=["key", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        grams: list = []
+        held: list = []
         for whole in batches:
             for batch in pieces(whole, 0, PIECE_BYTES):
-                texts = [normal(t) for t in batch.column(0).to_pylist()]
-                for t in texts:
-                    words.update(t)
-                words[END] += len(texts)
-                grams = [merged([*grams, count_grams(texts)])]
-                if len(words) + len(grams[0][0]) > HELD:
-                    yield rows(words, *grams[0])
-                    words, grams = Counter(), []
-        if words:
-            yield rows(words, *merged(grams))
-        del words, grams
+                held.append(count_texts(batch.column(0)))
+                if sum(len(keys) for keys, _ in held) > 2 * HELD:
+                    held = [merged(held)]
+                if len(held) == 1 and len(held[0][0]) > HELD:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["key", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged(held))), names=["key", "n"])
+        del held
         release()
 
     train = docs.where(bucket_of("doc_id") != fold).select(F.col("text").cast("string").cast("binary"))
@@ -251,86 +329,157 @@ def _threshold(counts: DataFrame, most: int, size=None) -> int:
     return 1
 
 
-def fit_trie(counts: DataFrame, capacity: int = CAPACITY) -> Trie:
-    """The trie from counted grams. What comes to the driver has at most ``capacity`` entries for each context length."""
-    grams = counts.where("key >= 0").select(F.shiftrightunsigned("key", LENGTH).cast("int").alias("k"), F.col("key").bitwiseAND(F.lit((1 << LENGTH) - 1)).alias("key"), "n")
-    levels, limit = [], 1
-    lower = grams.where(F.col("k") < ORDER)
-    current = grams.where(F.col("k") == ORDER).select("key", "n")
-    frames: list = [None] * (ORDER + 1)
-    for k in range(ORDER, -1, -1):
-        frames[k] = current
-        if k:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")
-            current = cut(current.select(shorter, "n").unionByName(lower.where(F.col("k") == k - 1).select("key", "n")).groupBy("key").agg(F.sum("n").alias("n")))
-    for k in range(ORDER + 1):
-        context = F.shiftrightunsigned("key", 8).alias("context")
-        nodes = frames[k].groupBy(context).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size"))
-        limit = max(limit, _threshold(nodes, capacity, F.col("size")))
-        kept = frames[k] if limit == 1 else frames[k].join(nodes.where(F.col("n") >= limit).select("context"), F.shiftrightunsigned("key", 8) == F.col("context"), "left_semi")
-        got = kept.select("key", "n").toArrow()
-        keys, n = got["key"].to_numpy().view(_U), got["n"].to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    return Trie(levels)
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a bounded table, on the driver."""
+    got = rows.select("key", "n").toArrow()
+    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order].view(_U), n[order]
+
+
+def _low(column, k: int):
+    """The gram with k bytes before its byte, of a longer one."""
+    return column.bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+
+
+class Grams:
+    """All grams by context length: as arrays where there are no more than ``capacity``, else as tables, whose frequent contexts go to the executors."""
+
+    def __init__(self, counts: DataFrame, n_grams: int, capacity: int):
+        grams = counts.where("key >= 0")
+        self.whole, self.frames = [True] * (ORDER + 1), None
+        if n_grams <= capacity:
+            keys, n = _sorted(grams)
+            edges = np.searchsorted(keys, np.arange(ORDER + 2, dtype=_U) << _U(LENGTH))
+            self.levels = shorter([(keys[a:b] & _U((1 << LENGTH) - 1), n[a:b]) for a, b in zip(edges, edges[1:])])
+            return
+        at = F.shiftrightunsigned("key", LENGTH)
+        frames: list = [None] * (ORDER + 1)
+        for k in range(ORDER, -1, -1):
+            own = grams.where(at == k).select(_low(F.col("key"), ORDER).alias("key"), "n")
+            frames[k] = own if k == ORDER else cut(frames[k + 1].select(_low(F.col("key"), k).alias("key"), "n").unionByName(own).groupBy("key").agg(F.sum("n").alias("n")))
+        self.frames, self.levels, limit = frames, [], 1
+        for k in range(ORDER + 1):
+            nodes = frames[k].groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size"))
+            # Limits rise with the length, so that of a context that stays all shorter ones do.
+            limit = max(limit, _threshold(nodes, capacity, F.col("size")))
+            self.whole[k] = limit == 1
+            self.levels.append(_sorted(frames[k] if limit == 1 else frames[k].join(nodes.where(F.col("n") >= limit).select("context"), F.shiftrightunsigned("key", 8) == F.col("context"), "left_semi")))
+
+    def probabilities(self, missing: DataFrame) -> DataFrame:
+        """(key, value): log10 probabilities of distinct tagged grams, by joins with the tables, longest contexts first."""
+        rows = missing.select(F.col("key"), F.shiftrightunsigned("key", LENGTH).alias("k"), _low(F.col("key"), ORDER).alias("gram"), F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("ex_n"), F.lit(0).cast("long").alias("ex_d"), F.lit(True).alias("open"))
+        for k in range(ORDER, -1, -1):
+            own = _low(F.col("gram"), k)
+            rows = rows.withColumns({"entry": F.when(F.col("open") & (F.col("k") >= k), own)}).withColumn("context", F.shiftrightunsigned("entry", 8))
+            asked = rows.select("context").where("context is not null").distinct()
+            held = self.frames[k].withColumn("context", F.shiftrightunsigned("key", 8)).join(asked, "context", "left_semi")
+            if k:
+                below = self.frames[k - 1].select(F.col("key").alias("low"), F.col("n").alias("low_n"))
+                held = held.withColumn("low", _low(F.col("key"), k - 1)).join(below, "low")
+            else:
+                held = held.withColumn("low_n", F.lit(0))
+            nodes = held.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("low_n").alias("excluded"))
+            rows = rows.join(nodes, "context", "left").join(self.frames[k].select(F.col("key").alias("entry"), F.col("n").alias("hit")), "entry", "left")
+            n, d = F.col("total") - F.col("ex_n"), F.col("distinct") - F.col("ex_d")
+            hit, escapes = F.col("hit").isNotNull(), F.col("hit").isNull() & F.col("total").isNotNull()
+            rows = rows.select(
+                "key", "k", "gram",
+                (F.col("log") + F.when(hit, F.log10(F.col("hit") / (n + d))).when(escapes & (d > 0), F.log10(d / (n + d))).otherwise(0.0)).alias("log"),
+                F.when(escapes, F.col("excluded")).otherwise(F.col("ex_n")).alias("ex_n"), F.when(escapes, F.col("distinct")).otherwise(F.col("ex_d")).alias("ex_d"), (F.col("open") & ~hit).alias("open"),
+            )
+        return rows.select("key", (F.col("log") - F.when(F.col("open"), F.log10(256 - F.col("ex_d"))).otherwise(0.0)).alias("value"))
+
+
+class Shared:
+    """Arrays that the driver hands to all workers as one file, which they map into memory."""
+
+    def __init__(self, sc: SparkContext, arrays: dict[str, np.ndarray]):
+        self.name, self.places, at = f"ppm-{uuid.uuid4().hex}", {}, 0
+        for name, x in arrays.items():
+            self.places[name] = (x.dtype.str, len(x), at)
+            at += -(-x.nbytes // 64) * 64
+        # Spark's own folder on the driver, where broadcasts start from too; executors fetch the file from the driver.
+        path = os.path.join(sc._temp_dir, self.name)
+        with open(path, "wb") as f:
+            for name, x in arrays.items():
+                f.seek(self.places[name][2])
+                f.write(x.data)
+            f.truncate(max(at, 1))
+        sc.addFile(path)
+
+    def open(self) -> dict[str, np.ndarray]:
+        with open(SparkFiles.get(self.name), "rb") as f:
+            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return {name: np.frombuffer(held, dtype, n, at) for name, (dtype, n, at) in self.places.items()}
+
+
+def counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of text and key, and how often they occur."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(text) else order
+    return text[first], key[first], np.diff(np.append(first, len(text)))
 
 
 def score_documents(docs: DataFrame, fold: int = FOLD, capacity: int = CAPACITY, common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
     counts = cut(count_corpus(docs, fold))
-    words = counts.where("key < 0")
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, n_words = whole.n, whole.v
-    least = _threshold(words, common)
-    frequent = words.where(F.col("n") >= least).toArrow()
-    by = np.argsort(frequent["key"].to_numpy())
-    frequent = frequent["key"].to_numpy()[by], np.log10(frequent["n"].to_numpy()[by] + 0.5)
-    model = spark.sparkContext.broadcast((fit_trie(counts, capacity).ready(), frequent))
+    word = F.col("key") < 0
+    whole = counts.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("n"), F.count(F.when(word, 1)).alias("v"), F.count(F.when(~word, 1)).alias("grams")).first()
+    words = counts.where(word)
+    least = 1 if whole.v <= common else _threshold(words, common)
+    keys, n = _sorted(words if least == 1 else words.where(F.col("n") >= least))
+    arrays = {f"word.{name}": x for name, x in table(keys.view(_U), n, {"log": np.log10(n + 0.5)}).items()}
+    grams = Grams(counts, whole.grams, capacity)
+    model = Shared(docs.sparkSession.sparkContext, arrays | trie(grams.levels, grams.whole))
+    del arrays, keys, n
+    grams.levels = None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, (common_keys, common_logs) = model.value
+        arrays = model.open()
         for all_ in batches:
-            release()
             for batch in pieces(all_, 3, PIECE_BYTES):
-                texts = [normal(t) for t in batch.column(3).to_pylist()]
-                data, length, starts = sequence(texts)
-                bits = np.add.reduceat(trie.code(data, length), starts) if len(starts) else np.zeros(0)
-                distinct = list({w for t in texts for w in t} | {END})
-                keys = np.fromiter(map(word_key, distinct), np.int64, len(distinct))
-                place = np.minimum(np.searchsorted(common_keys, keys), max(0, len(common_keys) - 1))
-                known = common_keys[place] == keys if len(common_keys) else np.zeros(len(keys), bool)
-                log = dict(zip(distinct, np.where(known, common_logs[place], np.nan).tolist() if len(common_keys) else [np.nan] * len(keys)))
-                key_of = dict(zip((w for w, k in zip(distinct, known) if not k), keys[~known].tolist()))
-                uid = batch.column(0).to_pylist()
-                rare_uid, rare_key, rare_n, base, sure = [], [], [], [], []
-                for u, t in zip(uid, texts):
-                    seen = [log[w] for w in t]
-                    seen.append(log[END])
-                    found = np.array(seen)
-                    gone = np.isnan(found)
-                    base.append(float(found[~gone].sum()))
-                    sure.append(int(len(found) - gone.sum()))
-                    missing = Counter(t[k] if k < len(t) else END for k in np.flatnonzero(gone).tolist())
-                    rare_uid += [u] * len(missing)
-                    rare_key += map(key_of.__getitem__, missing)
-                    rare_n += missing.values()
-                m, r = len(uid), len(rare_uid)
-                # A document's own row has its number for a key, which no word has, so that such rows spread over all tasks.
+                m = batch.num_rows
+                if not m:
+                    continue
+                uid = batch.column(0).to_numpy()
+                data, starts = sequence(batch.column(3))
+                bits, places, missing = code(arrays, data, starts)
+                key, begin = word_keys(data)
+                text = np.searchsorted(starts, begin, "right") - 1
+                at = find(arrays["word.keys"], key.view(_U))
+                known = at >= 0
+                rare = counted(text[~known], key[~known])
+                lacks = counted(np.searchsorted(starts, places, "right") - 1, missing)
+                text_of, key_of, times = (np.concatenate(x) for x in zip(rare, lacks))
+                r = len(text_of)
+                base = np.bincount(text[known], arrays["word.log"][at[known]], m)
+                # A document's own row has its number for a key, and counts for nothing there, so that such rows spread over all tasks.
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(uid + rare_uid, pa.int64()), pa.array(uid + rare_key, pa.int64()), pa.array([0] * m + rare_n, pa.int64()),
+                        pa.array(np.concatenate([uid, uid[text_of]])), pa.array(np.concatenate([uid, key_of])), pa.array(np.concatenate([np.zeros(m, np.int64), times])),
                         pa.concat_arrays([batch.column(1), pa.nulls(r, pa.int64())]), pa.concat_arrays([batch.column(2), pa.nulls(r, pa.bool_())]),
-                        pa.array([len(t) + 1 for t in texts] + [None] * r, pa.int64()), pa.array(sure + [0] * r, pa.int64()), pa.array(base + [0.0] * r, pa.float64()), pa.array(bits.tolist() + [None] * r, pa.float64()),
+                        pa.concat_arrays([pa.array(np.bincount(text, minlength=m)), pa.nulls(r, pa.int64())]), pa.array(np.concatenate([np.bincount(text[known], minlength=m), np.zeros(r, np.int64)])),
+                        pa.array(np.concatenate([base, np.zeros(r)])), pa.array(np.concatenate([np.add.reduceat(bits, starts), np.zeros(r)])),
                     ],
                     names=["uid", "key", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
-                )
+                )
         release()
 
     schema = "uid long, key long, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), (bucket_of("doc_id") == fold).alias("held_out"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(score, schema)
-    n = F.coalesce("n", F.lit(0))
-    seen = rows.join(words.where(F.col("n") < least) if least > 1 else words.limit(0), "key", "left").select("uid", "doc_id", "held_out", "n_tokens", "score", (F.col("known") + F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"), (F.col("base") + F.col("tf") * F.log10(n + 0.5)).alias("base"))
-    by_doc = seen.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
-    each = F.log10(F.lit(n_all + 0.5 * (n_words + 1)))
-    return by_doc.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")
+    values = (words.where(F.col("n") < least) if least > 1 else words.limit(0)).select("key", F.log10(F.col("n") + 0.5).alias("value"))
+    if not all(grams.whole):
+        rows = cut(rows)
+        values = values.unionByName(grams.probabilities(rows.where("key >= 0 and tf > 0").select("key").distinct()))
+    gram = F.col("key") >= 0
+    seen = rows.join(values, "key", "left").select(
+        "uid", "doc_id", "held_out", "n_tokens",
+        (F.col("known") + F.when(F.col("value").isNotNull() & ~gram, F.col("tf")).otherwise(0)).alias("known"),
+        (F.col("base") + F.when(~gram, F.col("tf") * F.coalesce("value", F.log10(F.lit(0.5)))).otherwise(0.0)).alias("base"),
+        (F.col("score") + F.when(gram & (F.col("tf") > 0), F.col("tf") * F.col("value")).otherwise(0.0)).alias("score"),
+    )
+    by_doc = seen.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    each = F.log10(F.lit(whole.n + 0.5 * (whole.v + 1)))
+    return by_doc.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")

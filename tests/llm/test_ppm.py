@@ -1,8 +1,11 @@
 """PPM scores against a plain, byte by byte model."""
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from noteloom.llm import ppm
 
@@ -44,33 +47,68 @@ def fold(i):
     return 0 if i is None else zlib.crc32(str(i).encode()) % 5
 
 
-@pytest.mark.parametrize("common", [200_000, 2])
-def test_scores(spark, common):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "the cat", "x"), (3, "the cat", "x"), (None, "mat", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
-    got = ppm.score_documents(docs, common=common).collect()
-    train = [t for i, t, _ in rows if fold(i) != 1]
+def expected(rows):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, by definition."""
+    train = [t for i, t, *_ in rows if fold(i) != 1]
     model, counts = Plain(train), Counter()
     for t in train:
         counts.update((t or "").encode().lower().split())
-        counts[ppm.END] += 1
+        counts["end"] += 1
     n, v = sum(counts.values()), len(counts)
-
-    def expected(i, t):
-        tokens = [*(t or "").encode().lower().split(), ppm.END]
+    for i, t, *_ in rows:
+        tokens = [*(t or "").encode().lower().split(), "end"]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-        return (i, fold(i) == 1, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 7), round(model.score(t), 4))
+        yield (i, fold(i) == 1, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 7), round(model.score(t), 7))
 
+
+def check(got, rows):
     key = lambda r: (r[0] is None, r)
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 4)) for r in got), key=key) == sorted((expected(i, t) for i, t, _ in rows), key=key)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in got), key=key) == sorted(expected(rows), key=key)
 
 
-def test_pruned_trie_still_codes(spark):
-    docs = spark.createDataFrame([(i, f"{t} more words to prune {i}") for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    full, small = ({r.doc_id: r.score for r in ppm.score_documents(docs, capacity=c).collect()} for c in (1 << 21, 64))
-    assert full.keys() == small.keys()
-    assert all(math.isfinite(x) and x < 0 for x in small.values())
-    assert sum(small.values()) < sum(full.values())
+@pytest.mark.parametrize(("common", "capacity"), [(1 << 20, 1 << 21), (2, 1 << 21), (1 << 20, 600), (3, 60), (0, 0)])
+def test_scores(spark, common, capacity):
+    """Whatever part of words and contexts the executors hold, the scores are those of the plain model."""
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "the cat", "x"), (3, "the cat", "x"), (None, "mat", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3)
+    check(ppm.score_documents(docs, common=common, capacity=capacity).collect(), rows)
+
+
+def test_across_stretches_pieces_and_flushes(spark, monkeypatch):
+    """Long words and texts, in stretches of a few bytes, with tasks that pass on what they count all the time."""
+    monkeypatch.setattr(ppm, "STEP", 37)
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 200)
+    monkeypatch.setattr(ppm, "HELD", 50)
+    r = random.Random(3)
+    words = ["".join(r.choices("abcé", k=r.choice([1, 2, 5, 70, 150]))) for _ in range(12)]
+    rows = [(i, r.choice(["", " ", "\n\t"]) + r.choice([" ", "  ", "\r\n"]).join(r.choices(words, k=r.randint(0, 40))) + r.choice(["", " "])) for i in range(40)] + [(40, "x" * 3000), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    check(ppm.score_documents(docs, capacity=300).collect(), rows)
+
+
+def test_word_keys():
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"a" * 63, b"a" * 64, b"a" * 65, b"a" * 200, b"a" * 199 + b"b", "\u00e9".encode(), b"A"]
+    data, starts = ppm.sequence(pa.array([b" ".join(words), b"", None, b" b  a "], pa.binary()))
+    assert data.tobytes() == b" ".join(words).lower() + b"\xff\xff\xffb a\xff"
+    assert starts.tolist() == [0, len(data) - 6, len(data) - 5, len(data) - 4]
+    keys, begin = ppm.word_keys(data)
+    assert (keys < 0).all()
+    assert keys[-4:].tolist() == [keys[-1]] * 4
+    assert begin[-4:].tolist() == [len(data) - 7, len(data) - 6, len(data) - 5, len(data) - 1]
+    n = len(words)
+    assert len(set(keys[: n - 1].tolist())) == n - 1
+    assert keys[n - 1] == keys[0] == keys[n + 1]
+    assert keys[n] == keys[1]
+
+
+def test_hash_table():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 50, 5000, np.int64)).view(np.uint64)
+    held = ppm.table(keys, rng.integers(1, 9, len(keys)), {"v": np.arange(len(keys))})
+    at = ppm.find(held["keys"], keys)
+    assert held["v"][at].tolist() == list(range(len(keys)))
+    assert (ppm.find(held["keys"], keys + np.uint64(1 << 51)) == -1).all()
+    assert ppm.find(ppm.table(keys[:0], np.zeros(0), {})["keys"], keys[:3]).tolist() == [-1] * 3
 
 
 def test_empty_table(spark):
