@@ -47,7 +47,7 @@ from noteloom.llm.common import BLANKS, bucket_of, buffer, cut, pieces, release
 
 ORDER = 5
 CAPACITY = 1 << 21
-COMMON = 1 << 20
+COMMON = 1 << 18
 FOLD = 1
 #: No byte of UTF-8; as the last token it also counts the ends of texts.
 END = 255
@@ -176,13 +176,13 @@ def count_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def table(keys: np.ndarray, often: np.ndarray, payload: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """An open-addressing hash table of distinct numbers, no more than half full: its slots' keys, all ones where empty, and what belongs to them.
+    """An open-addressing hash table of distinct numbers, at most three quarters full: its slots' keys, all ones where empty, and what belongs to them.
 
     Of numbers that ask for one slot the one that occurs most often has it, so that few lookups take a second step.
     """
     order = np.argsort(often, kind="stable")
     keys = keys[order]
-    bits = max(4, (2 * len(keys) - 1).bit_length() if len(keys) else 0)
+    bits = max(4, (len(keys) * 4 // 3).bit_length())
     slots = np.full(1 << bits, ~_U(0))
     place = np.full(1 << bits, -1, np.int32)
     left, at = np.arange(len(keys)), _slot(keys, len(slots))
@@ -194,7 +194,8 @@ def table(keys: np.ndarray, often: np.ndarray, payload: dict[str, np.ndarray]) -
         left, at = left[~won], (at[~won] + 1) & (len(slots) - 1)
     out = {"keys": slots}
     for name, values in payload.items():
-        out[name] = np.zeros(len(slots), values.dtype)
+        # Counts in as few bytes as hold them.
+        out[name] = np.zeros(len(slots), values.dtype if values.dtype.kind == "f" else np.min_scalar_type(int(values.max(initial=0))))
         out[name][place >= 0] = values[order[place[place >= 0]]]
     return out
 
@@ -236,7 +237,7 @@ def trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: list[bool]) -> dict
         of = {"log": np.log10(counts / np.repeat(total + distinct, distinct))} if k == ORDER else {"n": counts}
         for name, values in table(keys, counts, of).items():
             out[f"entry{k}.{name}"] = values
-        for name, values in table(contexts, total, {"total": total, "distinct": distinct.astype(np.int16), "excluded": excluded}).items():
+        for name, values in table(contexts, total, {"total": total, "distinct": distinct, "excluded": excluded}).items():
             out[f"node{k}.{name}"] = values
     return out
 
@@ -280,7 +281,8 @@ def _escaping(model, grams, length) -> tuple[np.ndarray, np.ndarray]:
             lacks = at[(node < 0) & (length[at] == k)]
             unknown[lacks], open_[lacks] = True, False
         at, gram, node = at[node >= 0], gram[node >= 0], node[node >= 0]
-        n, d = model[f"node{k}.total"][node] - ex_n[at], model[f"node{k}.distinct"][node] - ex_d[at]
+        total, distinct, excluded = (model[f"node{k}.{name}"][node].astype(np.int64) for name in ("total", "distinct", "excluded"))
+        n, d = total - ex_n[at], distinct - ex_d[at]
         entry = find(model[f"entry{k}.keys"], gram)
         hit = entry >= 0
         if k < ORDER:
@@ -290,7 +292,7 @@ def _escaping(model, grams, length) -> tuple[np.ndarray, np.ndarray]:
         open_[at[hit]] = False
         escapes = ~hit & (d > 0)
         log[at[escapes]] += np.log10((d / np.maximum(n + d, 1))[escapes])
-        ex_n[at[~hit]], ex_d[at[~hit]] = model[f"node{k}.excluded"][node[~hit]], model[f"node{k}.distinct"][node[~hit]]
+        ex_n[at[~hit]], ex_d[at[~hit]] = excluded[~hit], distinct[~hit]
     log[open_] -= np.log10(256 - ex_d[open_])
     return log, unknown
 
@@ -430,7 +432,7 @@ def score_documents(docs: DataFrame, fold: int = FOLD, capacity: int = CAPACITY,
     words = counts.where(word)
     least = 1 if whole.v <= common else _threshold(words, common)
     keys, n = _sorted(words if least == 1 else words.where(F.col("n") >= least))
-    arrays = {f"word.{name}": x for name, x in table(keys.view(_U), n, {"log": np.log10(n + 0.5)}).items()}
+    arrays = {f"word.{name}": x for name, x in table(keys, n, {"n": n}).items()}
     grams = Grams(counts, whole.grams, capacity)
     model = Shared(docs.sparkSession.sparkContext, arrays | trie(grams.levels, grams.whole))
     del arrays, keys, n
@@ -454,7 +456,7 @@ def score_documents(docs: DataFrame, fold: int = FOLD, capacity: int = CAPACITY,
                 lacks = counted(np.searchsorted(starts, places, "right") - 1, missing)
                 text_of, key_of, times = (np.concatenate(x) for x in zip(rare, lacks))
                 r = len(text_of)
-                base = np.bincount(text[known], arrays["word.log"][at[known]], m)
+                base = np.bincount(text[known], np.log10(arrays["word.n"][at[known]] + 0.5), m)
                 # A document's own row has its number for a key, and counts for nothing there, so that such rows spread over all tasks.
                 yield pa.RecordBatch.from_arrays(
                     [
