@@ -7,16 +7,21 @@ Its features are word shapes, of a token and of its neighbours; it is trained
 from the labelled lines below and decoded by Viterbi for many sequences at once.
 A sequence is the neighbourhood, ``AROUND`` tokens to either side, of tokens
 that hold a digit, an at sign or a spelled-out one; all other tokens are outside
-any span. Added spans never touch those of the patterns.
+any span. Sequences are decoded whole, however long. Added spans never touch those of the patterns
+or each other.
 
 Positions are code points of the whole text, ends exclusive. Null and empty
-texts have no spans. Repeated rows are searched each on its own.
+texts have no spans. Very long texts, lines and tokens are read whole, in time and memory
+in proportion. Repeated rows are searched each on its own; an empty table gives no rows.
+``pii_spans`` reads no other columns; ``redact`` passes them on, whatever their names.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +33,10 @@ from noteloom.llm.common import pieces, strings, worker_cache
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 AROUND = 4
-#: Tokens of a sequence that are decoded together, and tokens to either side that they share with the next ones.
-MOST, SHARED = 256, 16
+#: Tokens whose features are drawn together.
+STRETCH = 4096
 EPOCHS, RATE, PENALTY, SEED = 150, 0.1, 0.02, 11
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 # The labelled table: one line a row, {kind|text} marks a span. All names and numbers are invented.
 LINES = """
@@ -160,7 +165,7 @@ def pattern_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def shape(token: str) -> str:
     """Letters as x and X, digits as d, other characters as they are; runs of one class keep at most four (digits) or two."""
     out, last, run = [], "", 0
-    for c in token[:64]:
+    for c in token:
         k = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c if c < "\x80" else "u"
         run = run + 1 if k == last else 1
         last = k
@@ -169,11 +174,14 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
-def features(tokens: list[str]) -> list[list[str]]:
-    """Names of each token's features: its shape and length, what it holds, its word if it is a telling one, and its neighbours' shapes."""
+def features(tokens: list[str], begins: bool = True, ends: bool = True) -> list[list[str]]:
+    """Names of each token's features: its shape and length, what it holds, its word if it is a telling one, and its neighbours' shapes.
+
+    begins, ends: whether the first and the last token are those of the sequence; if not, their own features are not to be used.
+    """
     shapes = [shape(t) for t in tokens]
     words = [t.lower() if t.lower() in _WORDS else "" for t in tokens]
-    edge = ("^", "$")
+    edge = ("^" if begins else "", "$" if ends else "")
     out = []
     for i, t in enumerate(tokens):
         digits = sum("0" <= c <= "9" for c in t)
@@ -273,46 +281,74 @@ class Field:
                 grads[1] += np.exp(f[k - 1][:, None] + t + (e[k] + b[k])[None] - z)
                 grads[1][y[k - 1], y[k]] -= 1
 
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        """The weights of each token's features, summed for each label."""
+        out, unseen = np.empty((len(tokens), self.n)), len(self.names)
+        for a in range(0, len(tokens), STRETCH):
+            # A token's features follow from it and its neighbours.
+            low, b = max(0, a - 1), min(len(tokens), a + STRETCH)
+            found = features(tokens[low : b + 1], low == 0, b == len(tokens))[a - low : b - low]
+            ids = [self.names.get(n, unseen) for f in found for n in f]
+            out[a:b] = np.add.reduceat(self.emit[ids], np.cumsum([0, *map(len, found[:-1])]), axis=0)
+        return out
+
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """The likeliest labels of each sequence of tokens. Viterbi goes through all sequences of a batch together, longest first."""
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        unseen = len(self.names)
-        ids, ends = [], [0]
-        rows = []
-        for i in order:
-            for f in features(sequences[i]):
-                ids += [self.names.get(n, unseen) for n in f]
-                ends.append(len(ids))
-            rows.append(len(sequences[i]))
         out: list = [np.zeros(0, np.int64)] * len(sequences)
-        if not ids:
+        order = [i for i in order if sequences[i]]
+        if not order:
             return out
-        e = np.add.reduceat(self.emit[ids], ends[:-1], axis=0)
-        lengths = np.array(rows)
+        e = self.emissions_of([sequences[i] for i in order])
+        lengths = np.array([len(sequences[i]) for i in order])
         first = np.cumsum(lengths) - lengths
         t = self.step + self.allowed
-        best = e[first[lengths > 0]] + self.start
-        backs, live = [], len(best)
+        best = e[first] + self.start
+        back = np.empty((len(e), self.n), np.int8)  # the label before, for each token and label
         final = np.zeros(len(lengths), np.int64)
+        live = len(lengths)
         for k in range(1, lengths[0] + 1):
-            going = int((lengths > k).sum())
+            going = int(np.searchsorted(-lengths, -k))  # sequences of more than k tokens
             final[going:live] = best[going:live].argmax(axis=1)
             if not going:
                 break
             scores = best[:going, :, None] + t[None]
-            back = scores.argmax(axis=1)
-            best = np.take_along_axis(scores, back[:, None, :], axis=1)[:, 0] + e[first[:going] + k]
-            backs.append(back)
+            from_ = scores.argmax(axis=1)
+            at = first[:going] + k
+            best = np.take_along_axis(scores, from_[:, None, :], axis=1)[:, 0] + e[at]
+            back[at] = from_
             live = going
+        labels = np.empty(len(e), np.int64)
+        labels[first + lengths - 1] = final
+        for k in range(1, lengths[0]):
+            at = (first + lengths - 1 - k)[: int(np.searchsorted(-lengths, -k))]
+            labels[at] = back[at + 1, labels[at + 1]]
         for r, i in enumerate(order):
-            y = np.zeros(rows[r], np.int64)
-            if rows[r]:
-                y[-1] = final[r]
-                for k in range(rows[r] - 1, 0, -1):
-                    y[k - 1] = backs[k - 1][r, y[k]]
-            out[i] = y
+            out[i] = labels[first[r] : first[r] + lengths[r]]
         return out
 
+    def emissions_of(self, sequences: list[list[str]]) -> np.ndarray:
+        """Emissions of sequences, one after the other; those of short ones are drawn together."""
+        parts, held, size = [], [], 0
+        for s in sequences:
+            if size + len(s) > STRETCH:
+                parts.append(self._together(held))
+                held, size = [], 0
+            if len(s) > STRETCH:
+                parts.append(self.emissions(s))
+            else:
+                held.append(s)
+                size += len(s)
+        return np.concatenate([*parts, self._together(held)])
+
+    def _together(self, sequences: list[list[str]]) -> np.ndarray:
+        found = [f for s in sequences for f in features(s)]
+        if not found:
+            return np.zeros((0, self.n))
+        unseen = len(self.names)
+        ids = [self.names.get(n, unseen) for f in found for n in f]
+        return np.add.reduceat(self.emit[ids], np.cumsum([0, *map(len, found[:-1])]), axis=0)
+
 
 def field() -> Field:
     cache = worker_cache()
@@ -334,8 +370,8 @@ def _plausible(kind: str, text: str) -> bool:
     return len(text) >= 16 and digits >= 3 and letters >= 3 and " " not in text
 
 
-def sequences(text: str) -> list[tuple[list[tuple[int, int]], int, int]]:
-    """(token spans, first, end): token runs to decode; labels count for tokens first to end."""
+def sequences(text: str) -> list[list[tuple[int, int]]]:
+    """Token runs to decode, as spans."""
     spans: list[tuple[int, int]] = []
     marked: list[int] = []
     at = 0
@@ -359,60 +395,56 @@ def sequences(text: str) -> list[tuple[list[tuple[int, int]], int, int]]:
         near[i[(i >= 0) & (i < len(spans))]] = True
     near &= np.array([s[0] >= 0 for s in spans])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]])))
-    out = []
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        for s in range(a, b, MOST):
-            e = min(b, s + MOST)
-            low, high = max(a, s - SHARED), min(b, e + SHARED)
-            out.append((spans[low:high], s - low, e - low))
-    return out
+    return [spans[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
-def find(texts: list[str], model: Field) -> list[dict[str, list[tuple[int, int]]]]:
-    """Spans of every kind in each text, those of the patterns and those that the field adds."""
+def trimmed(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+    """A span without the punctuation around it, and a secret without its name."""
+    while a < b and text[a] in "\"'<;,:=":
+        a += 1
+    while b > a and text[b - 1] in "\"'>;,:.!?":
+        b -= 1
+    if kind == "secret" and "=" in text[a:b]:
+        a = text.rindex("=", a, b) + 1
+        while a < b and text[a] in "\"'":
+            a += 1
+    return a, b
+
+
+def find(texts: list[str], model: Field) -> list[tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]]:
+    """For each text the spans of the patterns, and those that the field adds, by kind."""
     found, runs = [], []
     for k, text in enumerate(texts):
         if _HINT.search(text):
-            found.append(pattern_spans(text) | {x: [] for x in KINDS[len(BASE) :]})
-            runs += [(k, *s) for s in sequences(text)]
+            found.append((pattern_spans(text), {x: [] for x in KINDS}))
+            runs += [(k, s) for s in sequences(text)]
         else:
-            found.append({x: [] for x in KINDS})
-    labels = model.decode([[texts[k][a:b] for a, b in spans] for k, spans, _, _ in runs]) if runs else []
-    added: dict[int, list[tuple[int, int, int]]] = {}
-    for (k, spans, first, end), y in zip(runs, labels):
-        i = first
-        while i < end:
-            if y[i] % 2 == 1:
-                j = i + 1
-                while j < len(y) and y[j] == y[i] + 1:
-                    j += 1
-                added.setdefault(k, []).append(((int(y[i]) - 1) // 2, spans[i][0], spans[j - 1][1]))
-                i = j
-            else:
-                i += 1
-    for k, new in added.items():
-        text = texts[k]
-        taken = sorted(s for spans in found[k].values() for s in spans)
+            found.append(({x: [] for x in BASE}, {x: [] for x in KINDS}))
+    labels = model.decode([[texts[k][a:b] for a, b in spans] for k, spans in runs])
+    new: dict[int, list[tuple[int, int, int]]] = {}
+    for (k, spans), y in zip(runs, labels):
+        begins = np.flatnonzero(y % 2 == 1)
+        # A span goes on as long as later tokens of its kind follow.
+        stops = np.append(np.flatnonzero((y[1:] == 0) | (y[1:] % 2 == 1)) + 1, len(y))
+        for i, j in zip(begins.tolist(), stops[np.searchsorted(stops, begins, "right")].tolist()):
+            new.setdefault(k, []).append((spans[i][0], spans[j - 1][1], (int(y[i]) - 1) // 2))
+    for k, spans in new.items():
+        text, (base, added) = texts[k], found[k]
+        taken = sorted(s for kind in BASE for s in base[kind])
         starts = [s[0] for s in taken]
-        for kind, a, b in sorted(new, key=lambda x: (x[1], x[2])):
-            while a < b and text[a] in "\"'<;,:=":
-                a += 1
-            while b > a and text[b - 1] in "\"'>;,:.!?":
-                b -= 1
-            if "=" in text[a:b] and KINDS[kind] == "secret":
-                a += text[a:b].rindex("=") + 1
-                a += len(text[a:b]) - len(text[a:b].lstrip("\"'"))
-            at = np.searchsorted(starts, b)
-            clear = all(taken[i][1] <= a for i in range(max(0, at - 4), at))
-            if clear and _plausible(KINDS[kind], text[a:b]):
-                found[k][KINDS[kind]].append((a, b))
-                taken.insert(at, (a, b))
-                starts.insert(at, a)
+        # Where the furthest of the first spans ends.
+        furthest = [0, *accumulate((s[1] for s in taken), max)]
+        last = 0
+        for a, b, kind in sorted(spans):
+            a, b = trimmed(text, KINDS[kind], a, b)
+            if a >= last and furthest[bisect_left(starts, b)] <= a and _plausible(KINDS[kind], text[a:b]):
+                added[KINDS[kind]].append((a, b))
+                last = b
     return found
 
 
-def listed(spans: dict[str, list[tuple[int, int]]], kinds) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in sorted(spans[k]))
+def listed(kinds, *parts: dict[str, list[tuple[int, int]]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in sorted(s for part in parts for s in part.get(k, ())))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -422,22 +454,22 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1, PIECE_BYTES):
-                texts = strings(batch.column(1))
-                found = find(texts, model.value)
-                base = [pattern_spans(t) if f else f for t, f in ((t, any(map(f.get, BASE))) for t, f in zip(texts, found))]
-                base = [b or {k: [] for k in BASE} for b in base]
+                found = find(strings(batch.column(1)), model.value)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array([len(b[k]) for b in base], pa.int64()) for k in BASE), pa.array([hashlib.sha256(listed(b, BASE).encode()).hexdigest() for b in base], pa.string()), pa.array([listed(f, KINDS) for f in found], pa.string())],
+                    [
+                        batch.column(0), *(pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in BASE),
+                        pa.array([hashlib.sha256(listed(BASE, base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([listed(KINDS, *both) for both in found], pa.string()),
+                    ],
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-                )
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def mask(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
+def mask(text: str, *parts: dict[str, list[tuple[int, int]]]) -> str:
     """The text with each span replaced by its kind in brackets; spans that overlap become one, of the kind that starts first."""
     out, at = [], 0
-    for a, b, kind in sorted((a, b, k) for k, v in spans.items() for a, b in v):
+    for a, b, kind in sorted((a, b, k) for part in parts for k, v in part.items() for a, b in v):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)
@@ -454,7 +486,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for batch in pieces(whole, at, PIECE_BYTES):
                 raw = batch.column(at).to_pylist()
                 spans = find([t or "" for t in raw], model.value)
-                texts = pa.array([t if t is None else mask(t, s) for t, s in zip(raw, spans)], batch.schema.field(at).type)
+                texts = pa.array([t if t is None else mask(t, *s) for t, s in zip(raw, spans)], batch.schema.field(at).type)
                 yield batch.set_column(at, batch.schema.field(at), texts)
 
     out = docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ def test_run(spark, tmp_path):
     model = pii.Field.fit()
     want = []
     for r in kept:
-        ids = codec.encode(pii.mask(r[1], pii.find([r[1]], model)[0]))
+        ids = codec.encode(pii.mask(r[1], *pii.find([r[1]], model)[0]))
         want.append((r[0], r[2], r[3], len(ids), ids))
     got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert got == sorted(want)
