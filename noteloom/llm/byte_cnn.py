@@ -9,31 +9,39 @@ seen once and memory does not follow the length of a text.
 
 The filters, offsets and dense weights are learned by Adam from labelled rows.
 At most ``TRAIN_ROWS`` labelled rows are used, those with the least hash of
-their id, so that the choice follows neither file order nor partitioning; whole
-texts up to ``TRAIN_BYTES`` bytes are learned from, of longer ones an evenly
-spread set of chunks (in training only; scores always cover whole texts).
+their id, so that the choice follows neither file order nor partitioning, and of these as
+many, in this order, as have ``TRAIN_BYTES`` bytes together, as they are held on the driver. Every
+text that is learned from is learned from whole, chunk by chunk.
 
 Null and empty texts are scored by the responses of an empty document, all
 zero. Documents without a label are scored like any other. Labels, language,
-source and id are not inputs. With no labelled row every score is 0.5.
+source and id are not inputs. With no labelled row every score is 0.5. Of rows
+that share an id the least text is learned from, with the least label; each is scored on its own. Other
+columns of either table are not read, whatever their names. An empty table gives no rows.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import bucket_of, buffer, pieces
+from noteloom.llm.common import bucket_of, buffer, cut, pieces
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 CHUNK = 1 << 15
-TRAIN_ROWS, TRAIN_BYTES = 2400, 6000
-EPOCHS, BATCH, RATE, SEED = 14, 48, 0.01, 7
+TRAIN_ROWS, TRAIN_BYTES = 2400, 64 << 20
+EPOCHS, BATCH, RATE, SEED = 8, 48, 0.01, 7
 THRESHOLD = 0.3
 PIECE_BYTES = 8 << 20
+#: Positions whose gradients are gathered together.
+GATHERED = 1 << 15
+#: Parts of a batch that the driver works on side by side; their sums are added in order.
+PARTS = 4
 
 
 class Network:
@@ -59,13 +67,17 @@ class Network:
         out += self.p["offset"]
         return np.maximum(out, 0, out=out)
 
+    def chunks(self, data: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, responses from there on) of overlapping chunks."""
+        for at in range(0, max(1, len(data) - WIDTH + 1), chunk):
+            yield at, self.convolve(data[at : at + chunk + WIDTH - 1])
+
     def pool(self, data: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Strongest and mean responses over a whole document."""
         if not len(data):
             return np.zeros(2 * FILTERS, np.float32)
         top, total, n = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0
-        for at in range(0, max(1, len(data) - WIDTH + 1), chunk):
-            r = self.convolve(data[at : at + chunk + WIDTH - 1])
+        for _, r in self.chunks(data, chunk):
             np.maximum(top, r.max(axis=0), out=top)
             total += r.sum(axis=0, dtype=np.float32)
             n += len(r)
@@ -75,31 +87,58 @@ class Network:
         hidden = np.maximum(pooled @ self.p["w1"] + self.p["b1"], 0)
         return hidden, 1 / (1 + np.exp(-np.clip(hidden @ self.p["w2"] + self.p["b2"][0], -30, 30)))
 
-    def gradients(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple[dict, float]:
-        """Gradients of the weighted log loss over some texts. Max pooling passes them to one position of each filter, the mean to all that fire."""
-        responses = [self.convolve(t) for t in texts]
-        pooled = np.stack([np.concatenate([r.max(axis=0), r.mean(axis=0)]) for r in responses])
+    def gradients(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, chunk: int = CHUNK, batch: int = 0) -> tuple[dict, float]:
+        """Gradients of the weighted log loss over some texts. Max pooling passes them to one position of each filter, the mean to all that fire. batch: texts of the batch that these are a part of."""
+        texts = [np.concatenate([t, np.zeros(WIDTH - len(t), np.uint8)]) if len(t) < WIDTH else t for t in texts]
+        held, tops, pooled = [], [], []
+        filters = np.arange(FILTERS)
+        for t in texts:
+            top, best, total = np.full(FILTERS, -1.0), np.zeros(FILTERS, np.int64), np.zeros(FILTERS)
+            for at, r in self.chunks(t, chunk):
+                here = r.argmax(axis=0)
+                higher = r[here, filters] > top
+                top[higher], best[higher] = r[here, filters][higher], at + here[higher]
+                total += r.sum(axis=0)
+            held.append(r if at == 0 else None)  # responses of long texts are computed again
+            tops.append((top, best))
+            pooled.append(np.concatenate([top, total / (len(t) - WIDTH + 1)]))
+        pooled = np.stack(pooled).astype(self.p["w1"].dtype)
         hidden, score = self.dense(pooled)
         loss = -(weights * np.log(np.where(labels == 1, score, 1 - score) + 1e-9)).mean()
-        d = ((score - labels) * weights / len(labels)).astype(np.float32)
+        d = ((score - labels) * weights / (batch or len(labels))).astype(np.float32)
         dh = d[:, None] * self.p["w2"] * (hidden > 0)
         g = {"w2": hidden.T @ d, "b2": np.array([d.sum()]), "w1": pooled.T @ dh, "b1": dh.sum(axis=0)}
         dp = dh @ self.p["w1"].T
-        table, offset = np.zeros_like(self.p["table"]), np.zeros(FILTERS, np.float32)
-        for data, r, one in zip(texts, responses, dp):
-            if len(data) < WIDTH:
-                data = np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
-            fires = r > 0
-            back = fires * (one[FILTERS:] / len(r))
-            best = r.argmax(axis=0)
-            back[best, np.arange(FILTERS)] += one[:FILTERS] * fires[best, np.arange(FILTERS)]
-            offset += back.sum(axis=0)
-            # The bytes of a text are few: sum what falls on each by one product with its occurrences.
-            used, code = np.unique(data, return_inverse=True)
-            hot = np.eye(len(used), dtype=np.float32)[code]
-            for k in range(WIDTH):
-                table[k][used] += hot[k : k + len(r)].T @ back
-        return g | {"table": table, "offset": offset}, float(loss)
+        g |= {"table": np.zeros_like(self.p["table"]), "offset": np.zeros(FILTERS, np.float32)}
+        near, size = [], 0
+        for data, r, (top, best), one in zip(texts, held, tops, dp):
+            mean, most = one[FILTERS:] / (len(data) - WIDTH + 1), one[:FILTERS] * (top > 0)
+            for at, r_ in [(0, r)] if r is not None else self.chunks(data, chunk):
+                # What each position passes on; the last bytes of a chunk begin no window.
+                back = np.zeros((len(r_) + WIDTH - 1, FILTERS), np.float32)
+                np.multiply(r_ > 0, mean, out=back[: len(r_)])
+                here = np.flatnonzero((best >= at) & (best < at + len(r_)))
+                back[best[here] - at, here] += most[here]
+                near.append((data[at : at + len(back)], back))
+                size += len(back)
+                if size >= GATHERED:
+                    self._pass_on(near, g)
+                    near, size = [], 0
+        if near:
+            self._pass_on(near, g)
+        return g, float(loss)
+
+    @staticmethod
+    def _pass_on(near: list[tuple[np.ndarray, np.ndarray]], g: dict) -> None:
+        """Adds what positions pass on to the gradients of the bytes under their windows, all positions of a byte together."""
+        data, back = np.concatenate([d for d, _ in near]), np.concatenate([np.zeros((WIDTH - 1, FILTERS), np.float32), *(b for _, b in near)])
+        # What the windows over a position pass on lies in a row; the last byte of a window is its first row.
+        over = as_strided(back, (len(data), WIDTH * FILTERS), back.strides)
+        order, ends = np.argsort(data, kind="stable"), np.cumsum(np.bincount(data, minlength=256))
+        for byte in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            rows = order[ends[byte - 1] if byte else 0 : ends[byte]]
+            g["table"][::-1, byte] += np.add.reduce(over[rows], axis=0).reshape(WIDTH, FILTERS)
+        g["offset"] += back.sum(axis=0)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
@@ -110,50 +149,44 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, steps = 0, epochs * -(-len(texts) // BATCH)
+        pool = ThreadPoolExecutor(PARTS)  # numpy's work runs side by side
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
-                g, _ = self.gradients([texts[i] for i in pick], labels[pick], weights[pick])
+                parts = pool.map(lambda p, n=len(pick): self.gradients([texts[i] for i in p], labels[p], weights[p], batch=n)[0], np.array_split(pick, min(PARTS, len(pick))))
+                g = {k: sum(x) for k, *x in zip(self.p, *((part[k] for k in self.p) for part in parts))}
                 step += 1
                 rate = RATE * 0.5 * (1 + np.cos(np.pi * step / steps))
                 for k, v in self.p.items():
                     m[k] += 0.1 * (g[k] - m[k])
                     s[k] += 0.01 * (g[k] ** 2 - s[k])
                     v -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)
+        pool.shutdown()
         return self
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         return self.dense(np.stack([self.pool(t) for t in texts]))[1].astype(float) if texts else np.zeros(0)
 
 
-def spread(data: np.ndarray, most: int) -> np.ndarray:
-    """Of a text longer than ``most`` bytes eight evenly spread chunks, for training."""
-    if len(data) <= most:
-        return data
-    starts = np.linspace(0, len(data) - most // 8, 8).astype(int)
-    return np.concatenate([data[a : a + most // 8] for a in starts])
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Network | None:
-    """A network from at most ``rows`` labelled documents outside the held-out fold; None without any."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, most: int = TRAIN_BYTES) -> Network | None:
+    """A network from at most ``rows`` labelled documents of ``most`` bytes together, outside the held-out fold; None without any."""
     picked = (
         labels.where((bucket_of("doc_id") != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        .select("doc_id", "quality", F.xxhash64("doc_id").alias("turn"))
     )
-    # At most ``rows`` ids, so this side is small whatever the corpus.
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
-
-    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [spread(np.frombuffer(t or b"", np.uint8), TRAIN_BYTES).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc_id", "text", "quality"])
-
-    table = found.mapInArrow(clip, "doc_id long, text binary, quality int").toArrow().to_pandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    if not len(table):
+    # At most ``rows`` ids, so this side is small whatever the corpus. Rows that share an id become one before they leave their tasks.
+    found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+    found = cut(found.groupBy("turn", "doc_id", "quality").agg(F.min("text").alias("text")))
+    sizes = found.select("turn", "doc_id", F.octet_length("text").alias("n")).toPandas().sort_values(["turn", "doc_id"])
+    sizes = sizes[sizes["n"].cumsum() <= most]
+    if not len(sizes):
         return None
+    last = sizes.iloc[-1]
+    table = found.where(F.struct("turn", "doc_id") <= F.struct(F.lit(int(last["turn"])).alias("turn"), F.lit(int(last["doc_id"])).alias("doc_id"))).toPandas().sort_values(["turn", "doc_id"])
     return Network().fit([np.frombuffer(t, np.uint8) for t in table["text"]], table["quality"].to_numpy(np.float32), epochs)
 
 

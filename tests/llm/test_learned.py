@@ -62,10 +62,50 @@ def test_base_spans_of_random_texts(seed):
 def test_field_adds_spans_in_unseen_words():
     model = pii.Field.fit()
     texts = ["Ring (303) 555-0121 tonight", "mail karla.b (at) firm.example please", "host 2001:db8:7:8:9:a:b:c fell", "token = 1f2e3d4c5b6a79880123456789abcdef", "in 1998 we sold 25 boxes at 3 for 12.50", "am 24.12.2023 um 18 Uhr 30"]
-    found = [{k for k, v in f.items() if v} for f in pii.find(texts, model)]
+    found = [{k for part in f for k, v in part.items() if v} for f in pii.find(texts, model)]
     assert found == [{"phone"}, {"email"}, {"ip"}, {"secret"}, set(), set()]
 
 
+def test_long_runs_and_tokens_are_read_whole():
+    model = pii.Field.fit()
+    r = random.Random(1)
+    tokens = [r.choice(["call", "415-555-0198", "(at)", "jo", "example.org", "12", "token=", "9f86d081884c7d659a2feaa0c55ad015", "at", "x@", "2001:db8:7:8:9:a:b:c"]) for _ in range(10_000)]
+    one = model.decode([tokens])[0]
+    # A plain Viterbi over the whole run.
+    e = np.array([model.emit[[model.names.get(n, len(model.names)) for n in f]].sum(axis=0) for f in pii.features(tokens)])
+    step, best, backs = model.step + model.allowed, e[0] + model.start, []
+    for row in e[1:]:
+        scores = best[:, None] + step
+        backs.append(scores.argmax(axis=0))
+        best = scores.max(axis=0) + row
+    path = [int(best.argmax())]
+    for back in reversed(backs):
+        path.append(int(back[path[-1]]))
+    assert one.tolist() == path[::-1]
+    mixed = [["call", "415-555-0198"], tokens, [], tokens[:5000], ["x"]]
+    assert [y.tolist() for y in model.decode(mixed)] == [model.decode([s])[0].tolist() for s in mixed]
+    # What follows the first characters of a token counts.
+    assert pii.shape("a" * 1000) != pii.shape("a" * 999 + "1")
+    long = "call " + "(" * 80 + "415) 555-0198"
+    assert pii.shape(long.split()[1]) == "((ddd)"
+    base, added = pii.find(["+1 415 555 0198 " * 2000 + "write to jo (at) example.org or call (415) 555-0132 now"], model)[0]
+    assert len(base["phone"]) >= 1000
+    assert added["email"]
+
+
+def test_added_spans_touch_no_others():
+    model = pii.Field.fit()
+    r = random.Random(2)
+    parts = ["4111 1111 1111 1111", "+1 415 555 0198", "call (415) 555-0132", "jo (at) example.org", "a@b.cd", "1.2.3.4", "x", "token=9f86d081884c7d659a2feaa0c55ad015", "12 34 56 78 90"]
+    for _ in range(200):
+        text = " ".join(r.choice(parts) for _ in range(30))
+        base, added = pii.find([text], model)[0]
+        assert sorted((k, *s) for k, v in base.items() for s in v) == sorted(plain_base(text))
+        new = sorted(s for v in added.values() for s in v)
+        assert all(a[1] <= b[0] for a, b in zip(new, new[1:]))
+        assert all(b <= c or d <= a for a, b in new for v in base.values() for c, d in v)
+
+
 def test_viterbi_is_the_best_path():
     model, rng = pii.Field.fit(epochs=5), np.random.default_rng(0)
     runs = [["call", "415-555-0198"], ["x"], [], ["at", "10", "(at)"]]
@@ -197,6 +237,34 @@ def test_pooling_does_not_depend_on_chunks():
     assert not net.pool(np.zeros(0, np.uint8)).any()
 
 
+def test_pooling_is_a_plain_convolution():
+    net, rng = byte_cnn.Network(), np.random.default_rng(3)
+    table = net.p["table"]
+    for n in (6, 9, 50):
+        data = rng.integers(0, 256, n).astype(np.uint8)
+        rows = [[max(0.0, float(net.p["offset"][f] + sum(table[k][data[i + k], f] for k in range(byte_cnn.WIDTH)))) for f in range(byte_cnn.FILTERS)] for i in range(n - byte_cnn.WIDTH + 1)]
+        columns = list(zip(*rows))
+        assert np.allclose(net.pool(data, 4), [*map(max, columns), *(sum(c) / len(c) for c in columns)], atol=1e-5)
+        hidden = [max(0.0, float(sum(p * w for p, w in zip(net.pool(data), net.p["w1"][:, j])) + net.p["b1"][j])) for j in range(byte_cnn.HIDDEN)]
+        score = 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net.p["w2"])) + net.p["b2"][0])))
+        assert net.score([data])[0] == pytest.approx(score, abs=1e-4)
+
+
+def test_training_reads_whole_texts(spark):
+    """Long texts differ in their last bytes only; gradients of chunks are those of the whole; a bound in bytes leaves out whole texts."""
+    rng = np.random.default_rng(5)
+    net, texts = byte_cnn.Network(), [rng.integers(97, 123, n).astype(np.uint8) for n in (700, 6, 2, 90)]
+    y, w = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 1.0, 0.5])
+    whole, parts = net.gradients(texts, y, w)[0], net.gradients(texts, y, w, chunk=64)[0]
+    assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
+    rows = [(i, "word " * 4000 + ("good end" if i % 2 else "#@!#@!#@"), i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = byte_cnn.score_documents(docs, labels, epochs=30).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
+    assert byte_cnn.train(docs, labels, most=100) is None
+    assert byte_cnn.train(docs, labels, most=50_000, epochs=1) is not None
+
+
 def test_gradients_follow_the_loss():
     net, rng = byte_cnn.Network(), np.random.default_rng(2)
     texts = [rng.integers(97, 105, n).astype(np.uint8) for n in (3, 20, 40)]
