@@ -7,8 +7,9 @@ in a document with a smaller id, or earlier in the same one. Texts are UTF-8.
    least hash within it, so equal windows have equal anchors (winnowing). Anchors
    are counted; only text around anchors that occur twice can repeat.
 2. Shards. A document goes to the shard of its least anchor, so that most copies
-   meet in one shard; shards hold about ``SHARD_BYTES``. Anchors that very many texts
-   share (at most ``MOST_SALTED`` of them, whatever the corpus) salt their documents.
+   meet in one shard; shards hold about ``SHARD_BYTES``. Least anchors that more than ``SALT_ROWS``
+   documents have deal these out over several shards. They are counted in ``1 << CELL_BITS`` cells, so that what
+   tasks have to know of them is bounded whatever the corpus; anchors that share a cell are dealt out more than they need.
 3. Suffix array. Each shard sorts the suffixes of its text around repeated
    anchors by their first ``LENGTH`` bytes, by Larsson and Sadakane's refinement:
    groups that agree in h bytes are split by the rank of what follows after h,
@@ -20,10 +21,12 @@ in a document with a smaller id, or earlier in the same one. Texts are UTF-8.
    sorted list, each shard's windows are looked up in it by binary search, and
    the earliest of equal windows stays. Runs of anchors with more than ``HOT``
    occurrences are dealt by their text instead, so that a common line does not
-   bring all that surrounds it to one task.
+   bring all that surrounds it to one task, and merged among the shards of a task before they
+   leave it, so that a passage of very many shards comes from each task once.
 5. Repeats are united per document and cut out.
 
-Null and empty texts, and texts under ``LENGTH`` bytes, lose nothing. Of rows that share an id the
+Null and empty texts, and texts under ``LENGTH`` bytes, lose nothing. A document stays in one shard, however long; an
+empty table gives no rows, and columns other than ``doc_id`` and ``text`` are not read, whatever their names. Of rows that share an id the
 one that is read first counts as earlier; rows without an id count as last. Rows are numbered
 as they are read, three times, so ``docs`` has to come from files or another stable source.
 """
@@ -42,7 +45,9 @@ from noteloom.llm.common import buffer, cut, pieces
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 1 << 20, 4 << 20, 1 << 15, 21
-HOT, SALT_ROWS, MOST_SALTED = 1000, 256, 1_000_000
+HOT, SALT_ROWS, CELL_BITS = 1000, 256, 24
+#: Bytes of runs of hot anchors that a task merges before it passes them on.
+PREMERGED = 16 << 20
 #: Consecutive windows of a hot anchor that are dealt together.
 DEAL = 8
 _U = np.uint64
@@ -239,7 +244,7 @@ def window_hashes(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h
 
 
-_RUNS = "key long, home long, uid long, doc_id long, start long, text binary"
+_RUNS = "key long, hot boolean, home long, uid long, doc_id long, start long, text binary"
 
 
 def joined(low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,10 +259,10 @@ def joined(low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
 
 def shard_repeats(texts: pa.Table, repeated: pa.Table) -> pa.Table:
     """Step 3 and the first half of step 4 for one shard: rows of repeats (text null, key their end) and of runs of windows to be merged."""
-    rows: dict[str, list] = {k: [] for k in ("key", "home", "uid", "doc_id", "start", "text")}
+    rows: dict[str, list] = {k: [] for k in ("key", "hot", "home", "uid", "doc_id", "start", "text")}
 
-    def add(doc, key, start, text) -> None:
-        for k, v in zip(rows, (key, home[doc], uid[doc], doc_id[doc], start, text)):
+    def add(doc, key, hot, start, text) -> None:
+        for k, v in zip(rows, (key, hot, home[doc], uid[doc], doc_id[doc], start, text)):
             rows[k].append(v)
 
     if texts.num_rows and repeated.num_rows:
@@ -292,7 +297,7 @@ def shard_repeats(texts: pa.Table, repeated: pa.Table) -> pa.Table:
         # Repeats: the bytes that their windows cover.
         p = whole(again)
         lo, hi, d = joined(p, p + LENGTH, np.searchsorted(at, p, "right") - 1)
-        add(d, hi - at[d], lo - at[d], [None] * len(lo))
+        add(d, hi - at[d], np.zeros(len(d), bool), lo - at[d], [None] * len(lo))
         # First windows whose anchor occurs elsewhere too.
         elsewhere = (count > np.bincount(place, minlength=len(h)))[place]
         p = whole(valid & ~again)
@@ -321,15 +326,15 @@ def shard_repeats(texts: pa.Table, repeated: pa.Table) -> pa.Table:
                 shared = position[found[j]] - DEAL * deal[j]
                 key[j] = int.from_bytes(hashlib.blake2b(data[shared : shared + LENGTH - DEAL + 1].tobytes(), digest_size=8, key=int(deal[j]).to_bytes(2, "big")).digest(), "big", signed=True)
             d = np.searchsorted(at, lo, "right") - 1
-            add(d, key, lo - at[d], [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())])
-    cols = [np.concatenate(rows[k]).astype(np.int64) if rows[k] else np.zeros(0, np.int64) for k in ("key", "home", "uid", "doc_id", "start")]
-    return pa.Table.from_arrays([*map(pa.array, cols), pa.array([t for part in rows["text"] for t in part], pa.binary())], names=list(rows))
+            add(d, key, deal >= 0, lo - at[d], [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())])
+    cols = {k: np.concatenate(rows[k]).astype(np.int64) if rows[k] else np.zeros(0, np.int64) for k in rows if k != "text"}
+    return pa.Table.from_arrays([*(pa.array(v.astype(bool) if k == "hot" else v) for k, v in cols.items()), pa.array([t for part in rows["text"] for t in part], pa.binary())], names=list(rows))
 
 
-def merge_runs(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """(home, uid, start, end) of windows in some runs that start earlier in other runs."""
+def merge_runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, again) of all windows of some runs: again where an equal window starts earlier in another run."""
     data, at = buffer(rows["text"].combine_chunks() if rows["text"].num_chunks != 1 else rows["text"].chunk(0))
-    home, uid, doc_id, start, key = (rows[c].to_numpy() for c in ("home", "uid", "doc_id", "start", "key"))
+    home, uid, doc_id, start = (rows[c].to_numpy() for c in ("home", "uid", "doc_id", "start"))
     n = np.diff(at) - LENGTH + 1
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -357,8 +362,47 @@ def merge_runs(rows: pa.Table) -> tuple[np.ndarray, ...]:
     same = np.ones(len(later), bool)
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         same &= w[place[later] + k] == w[first[slot[later]] + k]
-    later = later[same]
-    return home[row[later]], uid[row[later]], start[row[later]] + offset[later], start[row[later]] + offset[later] + LENGTH
+    again = np.zeros(len(row), bool)
+    again[later[same]] = True
+    return row, offset, again
+
+
+def stretches(rows: pa.Table, row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of runs, those that start one after the other made one: (row, first, last offset)."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)[: new.sum()]
+    return row[new], offset[new], offset[last]
+
+
+def premerged(rows: pa.Table) -> pa.Table:
+    """Runs of hot anchors without the windows that start earlier in another of them, and rows of repeats for these."""
+    row, offset, again = merge_runs(rows)
+    r, low, high = stretches(rows, row[again], offset[again])
+    repeats = rows.take(pa.array(r))
+    start = repeats["start"].to_numpy()
+    none = pa.nulls(len(r), pa.binary())
+    repeats = repeats.set_column(0, "key", pa.array(start + high + LENGTH)).set_column(1, "hot", pa.array(np.zeros(len(r), bool))).set_column(5, "start", pa.array(start + low)).set_column(6, "text", none)
+    r, low, high = stretches(rows, row[~again], offset[~again])
+    rest, text = rows.take(pa.array(r)), rows["text"].to_pylist()
+    rest = rest.set_column(5, "start", pa.array(rest["start"].to_numpy() + low)).set_column(6, "text", pa.array([text[i][a : b + LENGTH] for i, a, b in zip(r.tolist(), low.tolist(), high.tolist())], pa.binary()))
+    return pa.concat_tables([repeats.cast(rows.schema), rest.cast(rows.schema)])
+
+
+def merge_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, the runs of hot anchors among them merged some bytes at a time."""
+    held, size = [], 0
+    for batch in batches:
+        hot = batch.column("hot")
+        yield batch.filter(pa.compute.invert(hot))
+        runs = batch.filter(hot)
+        held.append(runs)
+        size += runs.column("text").nbytes
+        if size > PREMERGED:
+            yield from premerged(pa.Table.from_batches(held).combine_chunks()).to_batches()
+            held, size = [], 0
+    if size:
+        yield from premerged(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
 
 def cut_out(texts: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -396,26 +440,35 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 2, PIECE_BYTES):
-                h, n = np.unique(Anchors(*buffer(batch.column(2))).hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+                data, at = buffer(batch.column(2))
+                a = Anchors(data, at)
+                keys = doc_keys(a, at)
+                for doc, x in ((False, a.hash.view(np.int64)), (True, cell_of(keys[keys != 0]))):
+                    h, n = np.unique(x, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc)), pa.array(h), pa.array(n.astype(np.int64))], names=["doc", "h", "n"])
+
+    def cell_of(doc_key: np.ndarray) -> np.ndarray:
+        return (doc_key & _U((1 << CELL_BITS) - 1)).astype(np.int64)
 
     rows = _texts(docs)
-    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
-    counts = cut(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    # Texts hold an anchor for every 32 bytes or fewer, so at most MOST_SALTED anchors occur so often.
-    often = max(SALT_ROWS, -(-total // (32 * MOST_SALTED)))
-    heavy = counts.where(F.col("n") > often).toArrow()
+    whole = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    n_shards = max(1, -(-whole.bytes // shard_bytes))
+    counts = cut(rows.mapInArrow(count, "doc boolean, h long, n long").groupBy("doc", "h").agg(F.sum("n").alias("n")).where("n > 1"))
+    # At most a quarter of the cells can hold so many documents, however many there are.
+    often = max(SALT_ROWS, -(-4 * whole.n >> CELL_BITS))
+    heavy = counts.where(F.col("doc") & (F.col("n") > often)).toArrow()
+    counts = counts.where(~F.col("doc")).select("h", "n")
     by = np.argsort(heavy["h"].to_numpy())
     salted = docs.sparkSession.sparkContext.broadcast((heavy["h"].to_numpy()[by], -(-heavy["n"].to_numpy()[by] // often)))
 
     def shard_of(doc_key: np.ndarray, uid: np.ndarray) -> np.ndarray:
         """Shards by least anchor; texts without anchors, and those of salted ones, by their number too."""
-        h, n = salted.value
+        cells, n = salted.value
         salts = np.ones(len(doc_key), _U)
-        if len(h):
-            at = np.minimum(np.searchsorted(h, doc_key.view(np.int64)), len(h) - 1)
-            salts = np.where(h[at] == doc_key.view(np.int64), n[at], 1).astype(_U)
+        if len(cells):
+            cell = cell_of(doc_key)
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            salts = np.where(cells[at] == cell, n[at], 1).astype(_U)
         salts[doc_key == 0] = n_shards
         mixed = (uid.astype(_U) * _P[0]) >> _U(20)
         return ((doc_key ^ (mixed % salts + _U(1)) * _P[1]) % _U(n_shards)).astype(np.int64)
@@ -441,19 +494,16 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
 
     placed = rows.mapInArrow(place, "shard long, doc_id long, uid long, text binary")
     repeated = rows.mapInArrow(visit, "h long, shard long").join(counts, "h").select("shard", "h", "n")
-    found = placed.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(shard_repeats, _RUNS)
+    found = placed.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(shard_repeats, _RUNS).mapInArrow(merge_hot, _RUNS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeats(home, uid, low, high) -> pa.RecordBatch:
-            by = np.lexsort((low, uid))
-            home, uid, low, high = home[by], uid[by], low[by], high[by]
-            # Windows that start one after the other are one stretch.
-            new = np.ones(len(uid), bool)
-            new[1:] = (uid[1:] != uid[:-1]) | (low[1:] > low[:-1] + 1)
-            last = np.append(np.flatnonzero(new)[1:] - 1, len(uid) - 1)[: new.sum()]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (home[new], uid[new], low[new], high[last])], names=["shard", "uid", "low", "high"])
-
-        held, size = [], 0
+        def repeats(rows: pa.Table) -> pa.RecordBatch:
+            row, offset, again = merge_runs(rows)
+            row, low, high = stretches(rows, row[again], offset[again])
+            home, uid, start = (rows[c].to_numpy()[row] for c in ("home", "uid", "start"))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (home, uid, start + low, start + high + LENGTH)], names=["shard", "uid", "low", "high"])
+
+        held, size, most = [], 0, PIECE_BYTES
         for batch in batches:
             known = pa.compute.is_null(batch.column("text"))
             done = batch.filter(known)
@@ -464,16 +514,17 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
                 continue
             held.append(pa.Table.from_batches([batch]))
             size += batch.column("text").nbytes
-            if size > PIECE_BYTES:
+            if size > most:
                 rows_ = pa.concat_tables(held).combine_chunks()
                 keys = rows_["key"].to_numpy()
                 last = int(np.flatnonzero(np.diff(keys, prepend=keys[0]))[-1]) if keys[0] != keys[-1] else 0
                 if last:  # the last key may go on in the next batch
-                    yield repeats(*merge_runs(rows_.slice(0, last).combine_chunks()))
-                    held = [rows_.slice(last)]
-                    size = held[0]["text"].nbytes
+                    yield repeats(rows_.slice(0, last).combine_chunks())
+                    rows_ = rows_.slice(last).combine_chunks()
+                held, size = [rows_], rows_["text"].nbytes
+                most = max(PIECE_BYTES, 2 * size)
         if held:
-            yield repeats(*merge_runs(pa.concat_tables(held).combine_chunks()))
+            yield repeats(pa.concat_tables(held).combine_chunks())
 
     # Rows that are repeats already only pass through, by a key that spreads them.
     keyed = found.withColumn("deal", F.when(F.col("text").isNull(), F.xxhash64("uid", "start")).otherwise(F.col("key")))

@@ -64,10 +64,13 @@ def test_repeats_within_one_text(seed):
         seen.add(w)
 
 
-@pytest.mark.parametrize(("seed", "shard_bytes", "hot"), [(0, 4 << 20, 1000), (1, 4000, 1000), (2, 4000, 3), (3, 1500, 1), (4, 20000, 5)])
-def test_whole_operator(spark, monkeypatch, seed, shard_bytes, hot):
+@pytest.mark.parametrize(("seed", "shard_bytes", "hot", "premerged", "cells"), [(0, 4 << 20, 1000, 1 << 20, 24), (1, 4000, 1000, 1 << 20, 24), (2, 4000, 3, 300, 24), (3, 1500, 1, 1 << 20, 3), (4, 20000, 5, 0, 24)])
+def test_whole_operator(spark, monkeypatch, seed, shard_bytes, hot, premerged, cells):
     monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "SALT_ROWS", 4)
+    monkeypatch.setattr(sd, "PREMERGED", premerged)
+    monkeypatch.setattr(sd, "CELL_BITS", cells)
+    monkeypatch.setattr(sd, "PIECE_BYTES", 3000)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, uid string").repartition(3, "doc_id")
     got = {}
@@ -80,5 +83,32 @@ def test_whole_operator(spark, monkeypatch, seed, shard_bytes, hot):
     assert {k: (got[k], want[k]) for k in got if got[k] != want[k]} == {}
 
 
+def test_shards_of_any_size(monkeypatch):
+    """Shards too large for ranks and positions in one number are sorted alike."""
+    data = np.random.default_rng(3).integers(97, 99, 3000).astype(np.uint8)
+    data[2000:2600] = data[100:700]
+    w = sd.words(data)
+    sa, new = sd.suffix_order(w)
+    monkeypatch.setattr(sd, "PACK", 4)
+    other, other_new = sd.suffix_order(w)
+    # Within a group of equal ones the order is free.
+    group = np.cumsum(new)
+    assert np.array_equal(new, other_new)
+    assert np.array_equal(sa[np.lexsort((sa, group))], other[np.lexsort((other, group))])
+
+
+def test_a_passage_of_many_shards_leaves_a_task_once():
+    """Runs of hot anchors, of many documents with one passage: merged, the first of each window is left, and the others are repeats."""
+    passage = bytes(np.random.default_rng(0).integers(97, 123, 107).astype(np.uint8))
+    n = 500
+    rows = sd.pa.table({"key": [1] * n, "hot": [True] * n, "home": range(n), "uid": range(n), "doc_id": range(n, 0, -1), "start": [10] * n, "text": sd.pa.array([passage] * (n - 1) + [passage[:-1] + b"!"], sd.pa.binary())})
+    out = sd.premerged(rows).to_pylist()
+    left = [r for r in out if r["text"] is not None]
+    assert sorted((r["doc_id"], r["start"], r["text"]) for r in left) == [(1, 10, passage[:-1] + b"!"), (2, 17, passage[7:])]
+    gone = [r for r in out if r["text"] is None]
+    assert sorted(r["doc_id"] for r in gone) == list(range(2, n + 1))
+    assert {(r["doc_id"] == 2, r["start"], r["key"], r["hot"]) for r in gone} == {(True, 10, 116, False), (False, 10, 117, False)}
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
