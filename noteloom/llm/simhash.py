@@ -9,7 +9,7 @@ agree in one block at least when they link, so each block's values deal the
 nodes into buckets, and a bucket is a shard with a BK-tree of its own: children
 keyed by their integer Hamming distance to the parent, searches following only
 the edges within the radius of the distance at hand. A bucket of more than
-``most`` nodes is dealt again by the blocks of the bits that remain, which
+``most`` nodes is dealt again by the blocks of the bits that remain, and again, which
 loses no link by the same argument. A bucket's tree thus has a bounded size
 and goes to the one task that holds its nodes; a tree of all shards broadcast to
 every executor would grow with the corpus. Buckets give only stars, each node
@@ -57,7 +57,7 @@ SEED = 42
 MOST = 4096
 #: Nodes of the buckets that one call of the search takes together, and pairs that a search may look at together, about.
 BLOCK, FRONTIER = 20_000, 2_000_000
-#: Rows of a bucket of copies beyond which it is split, and such buckets at most (the bound rises with the corpus, so that they can be broadcast).
+#: Rows of a bucket of copies beyond which it is split; buckets that are broadcast at most (more are joined by a shuffle, with the same result).
 MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
 COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 256
@@ -170,37 +170,41 @@ def stars(values: np.ndarray, group: np.ndarray, radius: int = RADIUS, frontier:
     return roots(parent)
 
 
-def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
-    """(shift, width) of n blocks of ``bits`` bits."""
-    edges = [bits * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def deal(rows: DataFrame, parts: int) -> DataFrame:
+    """Each of ``rows`` (node, fp, rest, bits, b1, b2) once for each of ``parts`` blocks of the ``bits`` bits of ``rest``, in the bucket of the block's value within its bucket; rest and bits without that block."""
 
+    def block(k: int):
+        low, high = (F.expr(f"cast(bits * {j} div {parts} as int)") for j in (k, k + 1))
+        ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+        value = F.call_function("shiftrightunsigned", "rest", low).bitwiseAND(ones(high - low))
+        above = F.when(high < 64, F.call_function("shiftleft", F.call_function("shiftrightunsigned", "rest", high), low)).otherwise(F.lit(0).cast("long"))
+        of = (F.lit(k), value)
+        return F.struct(above.bitwiseOR(F.col("rest").bitwiseAND(ones(low))).alias("rest"), (F.col("bits") - (high - low)).alias("bits"), F.xxhash64("b1", *of).alias("b1"), F.hash("b2", *of).alias("b2"))
 
-def _without(fp, shift: int, width: int):
-    """The other bits of fp, drawn together."""
-    low = fp.bitwiseAND(F.lit((1 << shift) - 1).cast("long"))
-    high = F.shiftrightunsigned(fp, shift + width) if shift + width < 64 else F.lit(0).cast("long")
-    return F.shiftleft(high, shift).bitwiseOR(low)
-
-
-def _value(fp, shift: int, width: int):
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return rows.select("node", "fp", F.explode(F.array(*map(block, range(parts)))).alias("x")).select("node", "fp", "x.*")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Stars (a, b) over nodes (node, fp) with distinct fp: a's links within each bucket, b the least node reached there."""
-    blocks = _blocks(64, radius + 1)
-    fp = F.col("fp")
-    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), _value(fp, *b).alias("v"), _without(fp, *b).alias("rest")) for k, b in enumerate(blocks)))).alias("x")).select("node", "fp", "x.k", "x.v", "x.rest")
-    # There are at most (radius + 1) * 2 ** 13 buckets, whatever the corpus.
-    hot = dealt.groupBy("k", "v").count().where(F.col("count") > most).select("k", "v", F.lit(True).alias("hot"))
-    dealt = dealt.join(F.broadcast(hot), ["k", "v"], "left")
-    whole = dealt.where("hot is null").select("node", "fp", F.struct("k", "v", F.lit(-1).cast("long").alias("k2"), F.lit(0).cast("long").alias("v2")).alias("bucket"))
-    rest = F.col("rest")
-    least = 64 - max(w for _, w in blocks)
-    again = _blocks(least, radius + 1)
-    split = dealt.where("hot").select("node", "fp", "k", "v", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k2"), _value(rest, s, w if k < radius else 64 - s).alias("v2")) for k, (s, w) in enumerate(again)))).alias("x")).select("node", "fp", F.struct("k", "v", "x.k2", "x.v2").alias("bucket"))
-    dealt = whole.unionByName(split).select("node", "fp", F.xxhash64("bucket").alias("b1"), F.hash("bucket").alias("b2"))
+    """Stars (a, b) over nodes (node, fp) with distinct fp: a's links within each bucket, b the least node reached there.
+
+    Buckets of more than ``most`` nodes are dealt again until there are none, or until the bits that
+    remain are as few as the blocks; with the usual ``most`` no bucket is larger then, as fingerprints are distinct.
+    """
+    rows = nodes.select("node", "fp", F.col("fp").alias("rest"), F.lit(64).alias("bits"), F.lit(0).cast("long").alias("b1"), F.lit(0).alias("b2"))
+    dealt = None
+    while True:
+        rows = deal(rows, radius + 1)
+        hot = cut(rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most))
+        if n_hot := hot.count():
+            rows = rows.join(F.broadcast(hot) if n_hot <= MOST_MANY else hot, ["b1", "b2"], "left")
+            again = F.col("size").isNotNull() & (F.col("bits") > radius + 1)
+            done, rows = rows.where(~again), cut(rows.where(again).drop("size"))
+        else:
+            done = rows
+        done = done.select("node", "fp", "b1", "b2")
+        dealt = done if dealt is None else dealt.unionByName(done)
+        if not n_hot or rows.isEmpty():
+            break
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:
@@ -375,14 +379,15 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity:
     return dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node", "mark").mapInArrow(link, "a long, b long")
 
 
-def split(pairs: DataFrame, limit: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def split(pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` meet, and the links (a, b) of candidates that need no bucket."""
 
-    def heat(rows: DataFrame) -> DataFrame:
-        """``rows`` with the count of their bucket where it is beyond the limit."""
-        return rows.join(F.broadcast(rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)), "b", "left")
+    def heat(rows: DataFrame, most: int) -> DataFrame:
+        """``rows``, which are ``most`` at most, with the count of their bucket where it is beyond the limit."""
+        hot = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)
+        return rows.join(F.broadcast(hot) if most <= limit * MOST_MANY else hot, "b", "left")
 
-    pairs = heat(pairs)
+    pairs = heat(pairs, n_rows)
     hot = pairs.where("size is not null").drop("size")
     leaders = hot.groupBy("b").agg(*(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)))
     leaders = leaders.select("b", *(F.col(f"l{j}.{c}").alias(f"{c}{j}") for j in range(LEADERS) for c in ("node", "sketch")))
@@ -405,10 +410,10 @@ def split(pairs: DataFrame, limit: int, similarity: float = SIMILARITY) -> tuple
                 yield pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), rest.schema.field(c).type) for c in rest.schema.names[1:]), pa.array(b)], names=[*rest.schema.names, "to"])
 
     met = cut(hot.join(leaders, "b").mapInArrow(meet, "node long, fp long, sketch binary, keys array<long>, k int, b long, to long"))
-    rest = heat(met.where("to is null").drop("to"))
+    rest = heat(met.where("to is null").drop("to"), n_rows)
     # By any second hash; two documents that share the first and one other meet.
     others = F.filter(F.sequence(F.lit(0), F.lit(KEYS + EXTRA - 1)), lambda j: j != F.col("k"))
-    again = heat(rest.where("size is not null").select("node", "fp", "sketch", F.explode(F.transform(others, lambda j: F.xxhash64("b", j, F.element_at("keys", j + 1)))).alias("b")))
+    again = heat(rest.where("size is not null").select("node", "fp", "sketch", F.explode(F.transform(others, lambda j: F.xxhash64("b", j, F.element_at("keys", j + 1)))).alias("b")), n_rows * (KEYS + EXTRA - 1))
     parts = F.ceil(F.col("size") / limit).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(LEADERS)), parts).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != block), lambda x: F.xxhash64("b", F.least(x, block), F.greatest(x, block)))
@@ -439,8 +444,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     # Texts with the same shingles are one node.
     nodes = marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
     pairs = nodes.select("node", "fp", "sketch", "keys", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("node", "fp", "sketch", "keys", "k", F.xxhash64("k", "key").alias("b"))
-    limit = max(many, -(-KEYS * marked.count() // MOST_MANY))
-    dealt, near = split(pairs, limit, similarity)
+    dealt, near = split(pairs, many, KEYS * marked.count(), similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:
