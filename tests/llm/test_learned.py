@@ -194,6 +194,53 @@ def test_matches(spark, seed):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {x[0] for x in got}
 
 
+def test_recall_holds_for_each_length():
+    """Short items and long ones together: edited copies at the greatest distance are found among both."""
+    r = random.Random(11)
+    vocab = [f"{a}{b}{c}" for a in "bcdfghkl" for b in "aeiou" for c in "mnprst"]
+    text = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(text(5))) for i in range(320)] + [(1000 + i, " ".join(text(40))) for i in range(400)]
+    index = decontaminate.Index(items)
+    assert set(index.recall) == {5, 40}
+    assert min(index.recall.values()) >= decontaminate.RECALL
+    for n, low in ((5, 0), (40, 1000)):
+        copies, of = [], []
+        while len(copies) < 200:
+            i, item = r.choice([x for x in items if (x[0] >= 1000) == bool(low)])
+            copy = item.split()
+            for _ in range(index.edits(n)):
+                at, kind = r.randrange(len(copy)), r.randrange(3)
+                copy[at : at + (kind != 1)] = ["other"] * (kind != 2)
+            if plain_distance(item.split(), copy) == index.edits(n):
+                copies.append(" ".join([*text(20), *copy, *text(20)]))
+                of.append(i)
+        found = {(d, i) for d, i, _ in index.search(copies)}
+        assert sum((d, i) in found for d, i in enumerate(of)) >= 0.93 * len(of)
+
+
+def test_lengths_that_no_walks_reach_are_searched_exhaustively(monkeypatch):
+    items, rows = contaminated_corpus(5)
+    texts = [t or "" for _, t in rows]
+    want = []
+    for d, text in enumerate(texts):
+        for i, item in items:
+            w = decontaminate.words(item or "")
+            if len(w) >= 5 and (e := plain_distance(w, decontaminate.words(text))) <= int(0.2 * len(w) + 1e-9):
+                want.append((d, i, e))
+    index = decontaminate.Index(items, recall=1.01)
+    assert not any(index.walks.values())
+    assert [x for x in index.search(texts) if x[1] != 52] == sorted(want)
+
+
+def test_equal_items_are_searched_once(spark):
+    items = [(i, "the very same item said by all of them") for i in range(50)] + [(None, "the very same item said by all of them"), (60, "another item that nobody else has here"), (61, None), (62, "short one"), (63, "short one")]
+    docs = spark.createDataFrame([(1, "x the very same item said by all of them y"), (2, "another item that nobody else has here"), (3, "a short one")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = sorted(map(tuple, decontaminate.matches(docs, bench, block=2, together=1).collect()), key=str)
+    assert got == sorted([(1, i, 0) for i in [*range(50), None]] + [(2, 60, 0), (3, 62, 0), (3, 63, 0)], key=str)
+    assert decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
