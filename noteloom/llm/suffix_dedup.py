@@ -21,7 +21,7 @@ in a document with a smaller id, or earlier in the same one. Texts are UTF-8.
    sorted list, each shard's windows are looked up in it by binary search, and
    the earliest of equal windows stays. Runs of anchors with more than ``HOT``
    occurrences are dealt by their text instead, so that a common line does not
-   bring all that surrounds it to one task, and merged among the shards of a task before they
+   bring all that surrounds it to one task, and equal ones among the shards of a task become one before they
    leave it, so that a passage of very many shards comes from each task once.
 5. Repeats are united per document and cut out.
 
@@ -46,8 +46,8 @@ from noteloom.llm.common import buffer, cut, pieces
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 1 << 20, 4 << 20, 1 << 15, 21
 HOT, SALT_ROWS, CELL_BITS = 1000, 256, 24
-#: Bytes of runs of hot anchors that a task merges before it passes them on.
-PREMERGED = 16 << 20
+#: Bytes of runs of hot anchors that a task looks through for equal ones before it passes them on.
+PREMERGED = 8 << 20
 #: Consecutive windows of a hot anchor that are dealt together.
 DEAL = 8
 _U = np.uint64
@@ -135,10 +135,10 @@ class Anchors:
 def doc_keys(a: Anchors, at: np.ndarray) -> np.ndarray:
     """The hash of each text's least anchor, zero for a text without any."""
     out = np.zeros(len(at) - 1, _U)
-    doc = np.searchsorted(at, a.position, "right") - 1
-    by = np.lexsort((a.hash, a.order, doc))
-    first = np.flatnonzero(np.diff(doc[by], prepend=-1))
-    out[doc[by][first]] = a.hash[by][first]
+    first = np.searchsorted(a.position, at)
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.minimum.reduceat(a.hash, first[:-1][some])
     return out
 
 
@@ -376,21 +376,22 @@ def stretches(rows: pa.Table, row: np.ndarray, offset: np.ndarray) -> tuple[np.n
 
 
 def premerged(rows: pa.Table) -> pa.Table:
-    """Runs of hot anchors without the windows that start earlier in another of them, and rows of repeats for these."""
-    row, offset, again = merge_runs(rows)
-    r, low, high = stretches(rows, row[again], offset[again])
-    repeats = rows.take(pa.array(r))
-    start = repeats["start"].to_numpy()
-    none = pa.nulls(len(r), pa.binary())
-    repeats = repeats.set_column(0, "key", pa.array(start + high + LENGTH)).set_column(1, "hot", pa.array(np.zeros(len(r), bool))).set_column(5, "start", pa.array(start + low)).set_column(6, "text", none)
-    r, low, high = stretches(rows, row[~again], offset[~again])
-    rest, text = rows.take(pa.array(r)), rows["text"].to_pylist()
-    rest = rest.set_column(5, "start", pa.array(rest["start"].to_numpy() + low)).set_column(6, "text", pa.array([text[i][a : b + LENGTH] for i, a, b in zip(r.tolist(), low.tolist(), high.tolist())], pa.binary()))
-    return pa.concat_tables([repeats.cast(rows.schema), rest.cast(rows.schema)])
+    """Runs of hot anchors; of those with equal text the first one, and rows of repeats for the others."""
+    code = rows["text"].chunk(0).dictionary_encode().indices.to_numpy()
+    if len(code) == 0 or np.bincount(code).max() == 1:
+        return rows
+    order = np.lexsort((rows["start"].to_numpy(), rows["uid"].to_numpy(), rows["doc_id"].to_numpy(), code))
+    again = order[1:][code[order[1:]] == code[order[:-1]]]
+    stays = np.ones(len(code), bool)
+    stays[again] = False
+    repeats = rows.take(pa.array(again))
+    end = pa.compute.add(repeats["start"], pa.compute.binary_length(repeats["text"]).cast(pa.int64()))
+    repeats = repeats.set_column(0, "key", end).set_column(1, "hot", pa.array(np.zeros(len(again), bool))).set_column(6, "text", pa.nulls(len(again), pa.binary()))
+    return pa.concat_tables([repeats.cast(rows.schema), rows.filter(pa.array(stays))])
 
 
 def merge_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task, the runs of hot anchors among them merged some bytes at a time."""
+    """The rows of a task, equal runs of hot anchors among them made one, some bytes at a time."""
     held, size = [], 0
     for batch in batches:
         hot = batch.column("hot")
@@ -443,21 +444,20 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
                 data, at = buffer(batch.column(2))
                 a = Anchors(data, at)
                 keys = doc_keys(a, at)
-                for doc, x in ((False, a.hash.view(np.int64)), (True, cell_of(keys[keys != 0]))):
-                    h, n = np.unique(x, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc)), pa.array(h), pa.array(n.astype(np.int64))], names=["doc", "h", "n"])
+                found = [np.unique(x, return_counts=True) for x in (a.hash.view(np.int64), cell_of(keys[keys != 0]))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["h", "n"])
 
     def cell_of(doc_key: np.ndarray) -> np.ndarray:
+        """Cells are counted among the anchors, as the hashes below ``1 << CELL_BITS``. An anchor that has such a hash only counts for more than it is, which costs no result."""
         return (doc_key & _U((1 << CELL_BITS) - 1)).astype(np.int64)
 
     rows = _texts(docs)
     whole = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     n_shards = max(1, -(-whole.bytes // shard_bytes))
-    counts = cut(rows.mapInArrow(count, "doc boolean, h long, n long").groupBy("doc", "h").agg(F.sum("n").alias("n")).where("n > 1"))
+    counts = cut(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
     # At most a quarter of the cells can hold so many documents, however many there are.
     often = max(SALT_ROWS, -(-4 * whole.n >> CELL_BITS))
-    heavy = counts.where(F.col("doc") & (F.col("n") > often)).toArrow()
-    counts = counts.where(~F.col("doc")).select("h", "n")
+    heavy = counts.where((F.col("h") >= 0) & (F.col("h") < 1 << CELL_BITS) & (F.col("n") > often)).toArrow()
     by = np.argsort(heavy["h"].to_numpy())
     salted = docs.sparkSession.sparkContext.broadcast((heavy["h"].to_numpy()[by], -(-heavy["n"].to_numpy()[by] // often)))
 
