@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import argparse
-import json
+import logging
 import sys
 from datetime import datetime, timezone
 
@@ -11,12 +11,15 @@ from noteloom import api, config
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="noteloom")
+    p.add_argument("-v", "--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     init = sub.add_parser("init", help="write a configuration file")
     init.add_argument("-f", "--force", action="store_true")
     build = sub.add_parser("build", help="build the index from notes")
     build.add_argument("-i", "--input", action="append", default=[])
     build.add_argument("-o", "--output", default=None)
+    build.add_argument("--with-embeddings", action="store_true", help="embed documents by the configured service")
+    build.add_argument("--skip-embeddings", action="store_true", help="keywords only, whatever else is asked for")
     build.add_argument("--incremental", action="store_true")
     build.add_argument("--force", action="store_true")
     search = sub.add_parser("search", help="search the index")
@@ -26,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("-m", "--mode", choices=config.MODES)
     search.add_argument("--tag")
     search.add_argument("-e", "--extraction")
-    serve = sub.add_parser("serve", help="answer tool calls, one JSON object a line, on standard input")
+    serve = sub.add_parser("serve", help="serve the tools by the Model Context Protocol on standard input and output")
     serve.add_argument("-i", "--index-dir")
     return p
 
@@ -46,55 +49,51 @@ def init(force: bool) -> str:
     return str(path)
 
 
-def build(spark, inputs: list[str], root: str, incremental: bool = False, force: bool = False):
+def build(spark, inputs: list[str], root: str, incremental: bool = False, force: bool = False, embedder=None, model: str | None = None, analyser=None):
+    """A build from note files, folders of them, or JSON lines on standard input."""
+    from noteloom.functions.tokens import cjk_tokens
     from noteloom.plans import build as plan
     from noteloom.sources import changelog, files, jsonl
-    from pyspark.sql import functions as F
 
     now = datetime.now(timezone.utc).isoformat()
     if inputs == ["-"]:
         docs = jsonl.load_string(spark, sys.stdin.read())
     else:
         paths = [p for x in inputs for p in files.markdown_files(str(config.resolve(x)))]
-        docs = changelog.parse(files.read_files(spark, paths)).select("id", "title", "date", "tags", "text", F.xxhash64("file", "position").alias("doc_ord"))
-    return plan.incremental_build(spark, docs, root, now, force=force or not incremental)
+        docs = changelog.numbered(changelog.parse(files.read_files(spark, paths)))
+    return plan.incremental_build(spark, docs, root, now, embedder, model, force=force or not incremental, analyser=analyser or cjk_tokens)
 
 
-def answer(searcher, call: dict, settings):
-    """The result of one tool call."""
-    name, args = call.get("tool"), call.get("arguments") or {}
-    if name == "query_memos":
-        return api.render_memos(searcher, config=settings, **args)
-    if name == "list_tags":
-        return "\n".join(f"- {r.tag} ({r.n_docs})" for r in api.list_tags(searcher).collect())
-    if name == "get_recent_memos":
-        return "\n\n".join(f"{r.title}\n   {r.date} {list(r.tags)}\n   {r.snippet}" for r in api.get_recent_memos(searcher, **args).collect())
-    raise ValueError(f"no such tool: {name}")
-
-
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, analyser=None) -> int:
+    """Runs a command. A program with a morphological analyser passes it in."""
     args = parser().parse_args(argv)
     if args.command == "init":
         print(init(args.force))
         return 0
+    if args.verbose:
+        logging.basicConfig(level=logging.INFO)
+    from noteloom.functions.tokens import cjk_tokens
     from noteloom.plans.searcher import Searcher
 
     settings = config.effective().validate()
     spark = _session()
+    service = api.embedding_service(settings)
     if args.command == "build":
-        built = build(spark, args.input, str(config.resolve(args.output or settings.index_dir)), args.incremental, args.force)
+        if args.with_embeddings and not args.skip_embeddings and service is None:
+            print("embeddings need an API key and a service address", file=sys.stderr)
+            return 1
+        wanted = service if args.with_embeddings and not args.skip_embeddings else None
+        built = build(spark, args.input, str(config.resolve(args.output or settings.index_dir)), args.incremental, args.force, wanted and wanted.embed, wanted and wanted.model, analyser)
         print(f"{built.mode}: {built.folder}" + (f" {built.counts}" if built.counts else ""))
         return 0
-    searcher = Searcher.open(spark, str(config.resolve(args.index_dir or settings.index_dir)))
+    searcher = Searcher.open(spark, str(config.resolve(args.index_dir or settings.index_dir)), service and service.embed_query, analyser or cjk_tokens)
     if args.command == "search":
-        print(api.render_memos(searcher, args.query, config=settings, top_k=args.top_k or settings.default_top_k, mode=args.mode, tag=args.tag, extraction=args.extraction))
+        print(api.render_memos(searcher, args.query, config=settings, top_k=args.top_k or settings.default_top_k, mode=args.mode, tag_filter=args.tag, extraction_mode=args.extraction))
         return 0
-    for line in sys.stdin:
-        if line.strip():
-            try:
-                print(json.dumps({"result": answer(searcher, json.loads(line), settings)}), flush=True)
-            except (ValueError, TypeError) as error:
-                print(json.dumps({"error": str(error)}), flush=True)
+    from noteloom.server import Server
+
+    for line in Server(searcher, settings).serve(sys.stdin):
+        print(line, flush=True)
     return 0
 
 

@@ -9,6 +9,8 @@ from pathlib import Path
 
 MODES, EXTRACTIONS = ("bm25", "semantic", "hybrid"), ("snippet", "entry", "full")
 PREFIX, FOLDER = "NOTELOOM_", "noteloom"
+#: Settings that a merge takes from the other side whatever they are.
+ALWAYS = ("extraction_include_summary", "extraction_include_raw", "provider_allow_fallbacks")
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,8 @@ class SearchConfig:
 class AppConfig:
     index_dir: str = ".rag"
     api_key: str | None = None
+    service_url: str | None = None
+    embedding_model: str = "text-embedding"
     default_top_k: int = 10
     default_search_mode: str = "bm25"
     extraction_mode: str = "snippet"
@@ -64,7 +68,11 @@ class AppConfig:
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> AppConfig:
-        """Settings from variables with the prefix; lists are separated by commas. Values that can't be read are left out."""
+        return cls(**cls.env_values(env))
+
+    @classmethod
+    def env_values(cls, env: Mapping[str, str] | None = None) -> dict:
+        """What variables with the prefix say; lists are separated by commas. Values that can't be read are left out."""
         env = os.environ if env is None else env
         out: dict = {}
         for f in fields(cls):
@@ -84,12 +92,12 @@ class AppConfig:
                     out[f.name] = raw
             except ValueError:
                 continue
-        return cls(**out)
+        return out
 
     def merge(self, other: AppConfig) -> AppConfig:
-        """Settings of ``other`` win where they are not the default."""
+        """Settings of ``other`` win where they are not the default, and those of ``ALWAYS`` in any case."""
         base = AppConfig()
-        return replace(self, **{f.name: getattr(other, f.name) for f in fields(self) if getattr(other, f.name) != getattr(base, f.name)})
+        return replace(self, **{f.name: getattr(other, f.name) for f in fields(self) if f.name in ALWAYS or getattr(other, f.name) != getattr(base, f.name)})
 
     def with_index_dir(self, folder: str) -> AppConfig:
         return replace(self, index_dir=folder)
@@ -158,6 +166,6 @@ def find_project_root(start: str | Path) -> Path | None:
 
 
 def effective(path: str | Path | None = None, env: Mapping[str, str] | None = None) -> AppConfig:
-    """Defaults, then the file where there is one, then the environment."""
+    """Defaults, then the file where there is one, then what the environment says, be it a default or not."""
     path = Path(path) if path else default_config_path()
-    return (AppConfig.load(path) if path.exists() else AppConfig()).merge(AppConfig.from_env(env))
+    return replace(AppConfig.load(path) if path.exists() else AppConfig(), **AppConfig.env_values(env))

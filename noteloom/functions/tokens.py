@@ -1,16 +1,18 @@
 """Tokens: upper-cased Latin words with their camel parts, digits, and a fallback for Chinese characters and kana.
 
-There is no morphological analyser. The fallback takes runs of katakana, and
+No morphological analyser comes with this package. The fallback takes runs of katakana, and
 runs of Han characters with their pairs; hiragana is left out. An analyser can be
-given as a column function from text to tokens.
+given as a column function from text to tokens; ``morphological`` makes one of any program that
+splits a text into morphemes with their details.
 """
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import col
@@ -24,6 +26,29 @@ KEPT_POS = ("名詞", "動詞", "形容詞", "副詞")
 DROPPED_DETAILS = ("非自立", "接尾", "数")
 
 
+Analyser = Callable[[Column], Column]
+#: Of a morpheme's details the parts of speech, and where the base form is.
+_POS, _DETAIL, _BASE = 0, 1, 6
+
+
+def kept_form(surface: str, details: Sequence[str]) -> str | None:
+    """What a morpheme counts as: its base form, or itself where it has none; None for one that is left out."""
+    if not details or details[_POS] not in KEPT_POS or len(details) > _DETAIL and details[_DETAIL] in DROPPED_DETAILS:
+        return None
+    return details[_BASE] if len(details) > _BASE and details[_BASE] not in ("", "*") else surface
+
+
+def morphological(analyse: Callable[[str], Sequence[tuple[str, Sequence[str]]]]) -> Analyser:
+    """A column function from a program that gives (surface, details) of each morpheme of a text. Tokens may repeat; blank texts have none."""
+
+    @F.pandas_udf("array<string>")
+    def forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(lambda t: [f for m in analyse(t) if (f := kept_form(*m)) is not None] if t and t.strip() else [])
+
+    return lambda text: forms(col(text))
+
+
 def split_camel(word) -> Column:
     """Parts of a word at lower-upper, letter-digit and digit-letter borders; a run of capitals stays whole."""
     out = col(word)
@@ -54,14 +79,16 @@ def cjk_tokens(text) -> Column:
     return F.when(t.rlike(f"{_KATAKANA}|{_HAN}"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
-def tokens(*texts, analyser: Callable[[Column], Column] = cjk_tokens) -> Column:
+def tokens(*texts, analyser: Analyser = cjk_tokens) -> Column:
     """Distinct tokens in order, those of the analyser first. Several texts count as one with spaces between. Null gives none."""
     columns = [F.coalesce(col(t), F.lit("")) for t in texts]
     return F.array_distinct(F.concat(*map(analyser, columns), latin_tokens(*columns)))
 
 
-def query_tokens(text: str) -> list[str]:
-    """The same tokens of one query, on the driver."""
+def query_tokens(text: str, analyser: Analyser = cjk_tokens, spark: SparkSession | None = None) -> list[str]:
+    """The same tokens of one query. On the driver, but for an analyser of one's own, which needs a session."""
+    if analyser is not cjk_tokens:
+        return list(spark.range(1).select(tokens(F.lit(text), analyser=analyser)).first()[0])
     out: dict[str, None] = {}
     han = re.findall(_HAN, text)
     for run in [*re.findall(_KATAKANA, text), *han]:

@@ -23,6 +23,32 @@ def latest(log: DataFrame, *by: str, order: tuple[str, ...] = ("created_at",)) -
     return log.groupBy(*by).agg(F.max_by(row, F.struct(*order)).alias("row")).select("row.*")
 
 
+def put(rows: DataFrame, more: DataFrame, *by: str) -> DataFrame:
+    """Rows with others put in: of equal keys the newest stays, and of equal times that of ``more``."""
+    both = rows.withColumn("turn", F.lit(0)).unionByName(more.withColumn("turn", F.lit(1)))
+    return latest(both, *by, order=("created_at", "turn")).drop("turn")
+
+
+def drop(rows: DataFrame, keys: DataFrame, by: str = "key") -> DataFrame:
+    """Without the rows of some keys."""
+    return rows.join(keys.select(by), by, "left_anti").select(*rows.columns)
+
+
+def clear(rows: DataFrame) -> DataFrame:
+    """No rows; outcomes of lookups are a log of their own, so statistics stay."""
+    return rows.limit(0)
+
+
+def size(rows: DataFrame) -> DataFrame:
+    """Entries, expired ones included until they are cleaned up, and whether there are none."""
+    return rows.agg(F.count(F.lit(1)).alias("n_entries")).select("n_entries", (F.col("n_entries") == 0).alias("is_empty"))
+
+
+def summaries(rows: DataFrame, more: DataFrame, now) -> DataFrame:
+    """The summary cache after insertions: live entries, the newest of each key, as many as it has room for."""
+    return evict(live(put(rows, more, "key", "cache"), now, SUMMARY_TTL), SUMMARY_CAPACITY)
+
+
 def _age(now) -> Column:
     return F.unix_micros(F.lit(now).cast("timestamp") if isinstance(now, str) else now) - F.unix_micros("created_at")
 
@@ -41,6 +67,10 @@ def rewrites_valid(rows: DataFrame, now, ttl: int = REWRITE_TTL) -> DataFrame:
     return rows.where(_age(now) < ttl * 1_000_000)
 
 
+def rewrites_expired(rows: DataFrame, now, ttl: int = REWRITE_TTL) -> DataFrame:
+    return rows.where(_age(now) >= ttl * 1_000_000)
+
+
 def evict(rows: DataFrame, capacity: int = CAPACITY, cache: str = "cache", order: tuple[str, ...] = ("created_at", "key")) -> DataFrame:
     """The newest ``capacity`` rows of each cache."""
     place = F.row_number().over(W.partitionBy(cache).orderBy(*(F.desc(c) for c in order)))

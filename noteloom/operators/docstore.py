@@ -35,6 +35,14 @@ def upsert(docs: DataFrame, *more: DataFrame) -> DataFrame:
     return versions.groupBy("id").agg(F.max_by(row, F.struct("version", "doc_ord")).alias("row")).select(*(f"row.{c}" for c in docs.columns))
 
 
+def latest(docs: DataFrame) -> DataFrame:
+    """``upsert`` of one frame, in which only documents whose id occurs more than once are shuffled."""
+    twice = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if twice.isEmpty():
+        return docs
+    return docs.join(twice, "id", "left_anti").select(*docs.columns).unionByName(upsert(docs.join(twice, "id", "left_semi").select(*docs.columns)))
+
+
 def remove(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the documents whose id is among ``ids`` (id)."""
     return docs.join(ids.select("id").distinct(), "id", "left_anti").select(*docs.columns)

@@ -9,13 +9,18 @@ from noteloom.functions.text import content_hash
 SCHEMA_VERSION = "2.0"
 
 
-def hashes(docs: DataFrame) -> DataFrame:
-    return docs.select("id", content_hash("title", F.col("text")).alias("content_hash"))
+def hashes(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("id", content_hash("title", F.col("text")).alias("content_hash"), *more)
 
 
 def diff(docs: DataFrame, old: DataFrame) -> DataFrame:
     """(id, status): added, modified, unchanged or removed, by content hash against (id, content_hash)."""
-    new, was = hashes(docs).withColumnRenamed("content_hash", "new"), old.select("id", F.col("content_hash").alias("old"))
+    return compare(hashes(docs), old)
+
+
+def compare(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, status) of two states (id, content_hash)."""
+    new, was = new.select("id", F.col("content_hash").alias("new")), old.select("id", F.col("content_hash").alias("old"))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("modified")
     return new.join(was, "id", "full_outer").select("id", status.alias("status"))
 
@@ -42,6 +47,14 @@ def needs_full_rebuild(version) -> Column:
     return F.coalesce(F.col(version).try_cast("double"), F.lit(0.0)) < 2.0
 
 
+def version_needs_rebuild(version: str | None) -> bool:
+    """The same of a version at hand."""
+    try:
+        return float(version or 0) < 2.0
+    except ValueError:
+        return True
+
+
 def metadata(docs: DataFrame, created_at: str, embedding_model: str | None = None, version: str = SCHEMA_VERSION) -> DataFrame:
     """One row that describes an index. Hashes stay a table of their own (see ``hashes``)."""
     return docs.agg(F.count(F.lit(1)).alias("doc_count")).select("doc_count", F.lit(created_at).alias("created_at"), F.lit(embedding_model).cast("string").alias("embedding_model"), F.lit(version).alias("schema_version"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteloom.functions.tokens import query_tokens, tokens
+from noteloom.functions.tokens import Analyser, cjk_tokens, query_tokens, tokens
 
 K1, B = 1.2, 0.75
 
@@ -25,9 +25,14 @@ class LexicalIndex:
     rows: DataFrame | None = None
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def tokenised(docs: DataFrame, analyser: Analyser = cjk_tokens) -> DataFrame:
     """(doc_ord, doc_id, tokens): distinct tokens of title and text. Null titles and texts count as empty."""
-    return docs.select("doc_ord", F.col("id").alias("doc_id"), tokens("title", "text").alias("tokens"))
+    return docs.select("doc_ord", F.col("id").alias("doc_id"), tokens("title", "text", analyser=analyser).alias("tokens"))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """Postings of documents (id, doc_ord, tokens). Tokens are distinct, so every term frequency is one and no shuffle is needed."""
+    return _exploded(rows.select("doc_ord", F.col("id").alias("doc_id"), "tokens")).select("term", "doc_ord", "doc_id", F.lit(1).cast("long").alias("tf"), "dl")
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -50,10 +55,10 @@ def from_tokens(rows: DataFrame) -> LexicalIndex:
     return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
 
 
-def build(docs: DataFrame) -> LexicalIndex:
-    """The index of documents. Tokens are distinct, so every term frequency is one and no shuffle is needed for postings."""
-    rows = tokenised(docs)
-    postings = _exploded(rows).select("term", "doc_ord", "doc_id", F.lit(1).cast("long").alias("tf"), "dl")
+def build(docs: DataFrame, analyser: Analyser = cjk_tokens) -> LexicalIndex:
+    """The index of documents."""
+    rows = tokenised(docs, analyser)
+    postings = postings_of(rows.withColumnRenamed("doc_id", "id"))
     corpus = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)).alias("avg_dl"))
     return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus, rows)
 
@@ -100,14 +105,15 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return best.select(F.row_number().over(W.orderBy(F.desc("score"), "doc_ord")).alias("rank"), "doc_ord", "doc_id", "score")
 
 
-def search(index: LexicalIndex, query: str, k: int = 10) -> DataFrame:
-    terms = query_tokens(query)
+def search(index: LexicalIndex, query: str, k: int = 10, analyser: Analyser = cjk_tokens) -> DataFrame:
+    """The best k documents for a query, which is read by the analyser that the documents were read by."""
+    terms = query_tokens(query, analyser, index.postings.sparkSession)
     return ranked(_scan(index.rows, terms) if terms and index.rows is not None else scores(index, terms), k)
 
 
-def search_many(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_many(index: LexicalIndex, queries: DataFrame, k: int = 10, analyser: Analyser = cjk_tokens) -> DataFrame:
     """The best k documents for each of many queries (query_id, query), in one job."""
-    terms = queries.select("query_id", F.explode(tokens("query")).alias("term"))
+    terms = queries.select("query_id", F.explode(tokens("query", analyser=analyser)).alias("term"))
     stats = index.term_stats.crossJoin(F.broadcast(index.corpus_stats))
     # Spark broadcasts the queries' side when it measures it as small, else it shuffles both by term.
     weighted = terms.join(stats, "term")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -63,22 +64,25 @@ def embed_with_retries(embed: Callable[[list[str]], list[list[float]]], texts: l
     return []
 
 
-def summarise(extracted: DataFrame, chat: Callable[[str], str] | None = None, n: int = SUMMARY) -> DataFrame:
-    """Rows with ``content`` (an extracted struct) get ``summary`` and ``summary_method``: by the chat service where given, by rule where it is not or fails."""
+def summarise(extracted: DataFrame, chat: Callable[[str], str] | None = None, n: int = SUMMARY, at_once: int = 8) -> DataFrame:
+    """Rows with ``content`` (an extracted struct) get ``summary`` and ``summary_method``: by the chat service where given, by rule where it is not or fails. A task has up to ``at_once`` calls open."""
     rule = summary(F.col("content.text"), F.col("content.total_chars"), F.col("content.total_lines"), n)
     out = extracted.withColumn("summary", rule).withColumn("summary_method", F.lit("rule-based"))
     if chat is None:
         return out
 
+    def ask(text: str) -> str | None:
+        try:
+            return chat(text)
+        except RemoteError:
+            return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in frame.index:
-                try:
-                    frame.at[i, "summary"] = chat(frame.at[i, "source"])
-                    frame.at[i, "summary_method"] = "llm"
-                except RemoteError:
-                    pass
-            yield frame.drop(columns="source")
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                answers = pd.Series(list(pool.map(ask, frame["source"])), index=frame.index, dtype=object)
+                known = answers.notna()
+                yield frame.assign(summary=answers.where(known, frame["summary"]), summary_method=frame["summary_method"].where(~known, "llm")).drop(columns="source")
 
     columns = [c for c in out.columns if c != "content"]
     flat = out.select(*columns, F.col("content.text").alias("source"))

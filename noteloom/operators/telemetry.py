@@ -9,6 +9,12 @@ ERRORS_KEPT = 100
 CATEGORIES = ("Network", "Authentication", "RateLimit", "ModelNotFound", "InvalidRequest", "ServerError", "ParseError", "Timeout", "Unknown")
 
 
+def since(calls: DataFrame, resets: DataFrame) -> DataFrame:
+    """Calls after the last reset (resets: ts); all of them where there was none. A call at the time of a reset is gone."""
+    last = resets.agg(F.max("ts").alias("reset"))
+    return calls.join(F.broadcast(last), F.col("reset").isNull() | (calls["ts"] > F.col("reset"))).select(calls.columns)
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """One row: calls, successes, failures, token sums and latencies of successes, rate of success in percent."""
     ok, n = F.col("ok"), F.count(F.lit(1))

@@ -1,18 +1,23 @@
-"""Builds of the persisted index: whole, or only what changed."""
+"""Builds of the stored index: whole, or only what changed."""
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.functions.tokens import Analyser, cjk_tokens
 from noteloom.operators import docstore, incremental, lexical, vector
-from noteloom.sources import changelog, index_files
+from noteloom.plans import store
+from noteloom.plans.store import Manifest, Stored
+from noteloom.sources import changelog
 
 Progress = Callable[[int, int, str], None]
-TABLES = ("documents", "postings", "term_stats", "corpus_stats", "hashes", "metadata")
+#: Segments, and changed rows as a share of all documents, beyond which segments are merged into one.
+SEGMENTS, CHANGED = 8, 0.3
 
 
 @dataclass
@@ -26,93 +31,169 @@ def _silent(step: int, total: int, message: str) -> None:
     pass
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """The folder of the last whole build. A build becomes current only when all of its tables are written."""
-    path = f"{root}/current"
-    if not index_files.exists(spark, path):
-        return None
-    row = spark.read.text(path).first()
-    return f"{root}/{row[0]}" if row else None
-
-
-def _write(spark: SparkSession, root: str, docs: DataFrame, postings: DataFrame, lengths: DataFrame, vectors: DataFrame | None, created_at: str, model: str | None, progress: Progress) -> str:
-    name = f"build-{uuid.uuid4().hex}"
-    folder = f"{root}/{name}"
-    steps = 5 if vectors is None else 6
-    progress(1, steps, "documents")
-    docs.write.parquet(f"{folder}/documents")
-    progress(2, steps, "postings")
-    # Sorted by term, so that a search reads only the row groups that hold its terms.
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_ord").write.parquet(f"{folder}/postings")
-    progress(3, steps, "statistics")
-    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/term_stats")
-    lengths.write.parquet(f"{folder}/lengths")
-    spark.read.parquet(f"{folder}/lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avg_dl")).write.parquet(f"{folder}/corpus_stats")
-    if vectors is not None:
-        progress(4, steps, "vectors")
-        vectors.write.parquet(f"{folder}/vectors")
-    progress(steps - 1, steps, "metadata")
-    stored = spark.read.parquet(f"{folder}/documents")
-    incremental.hashes(stored).write.parquet(f"{folder}/hashes")
-    incremental.metadata(stored, created_at, model).write.parquet(f"{folder}/metadata")
-    progress(steps, steps, "done")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return folder
+class _Steps:
+    """Counts the steps of a build for its caller."""
+
+    def __init__(self, progress: Progress, total: int):
+        self.progress, self.total, self.at = progress, total, 0
+
+    def __call__(self, message: str) -> None:
+        self.at += 1
+        self.progress(self.at, self.total, message)
+
+
+def _together(*writes: Callable[[], None]) -> None:
+    """Writes that don't wait for each other: one job's last tasks leave cores to the next."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
+
+
+def _sums(rows: DataFrame) -> tuple[int, int]:
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("dl")).first()
+    return found.n, found.dl
 
 
-def _lengths(docs: DataFrame) -> DataFrame:
-    return lexical.tokenised(docs).select("doc_ord", "doc_id", F.size("tokens").cast("long").alias("dl"))
+def _segment(root: str) -> tuple[str, str]:
+    name = f"segment-{uuid.uuid4().hex}"
+    return name, f"{root}/{name}"
 
 
-def full(spark: SparkSession, docs: DataFrame, root: str, created_at: str, embedder=None, model: str | None = None, progress: Progress = _silent, keep_vectors: bool = True) -> Built:
-    """Everything anew. Without an embedder the stored vectors of an earlier build are kept, unless ``keep_vectors`` is false."""
-    docs = docstore.upsert(docs)
-    old = current(spark, root)
+def _no_ids(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id string")
+
+
+def full(
+    spark: SparkSession, docs: DataFrame, root: str, created_at: str, embedder=None, model: str | None = None, progress: Progress = _silent, keep_vectors: bool = True, analyser: Analyser = cjk_tokens
+) -> Built:
+    """Everything anew, as one segment. Without an embedder the stored vectors of an earlier build are kept, unless ``keep_vectors`` is false."""
+    old = store.current(spark, root)
+    with_vectors = bool(embedder) or keep_vectors and bool(old and old.vectors)
+    step, (name, folder) = _Steps(progress, 6 if with_vectors else 5), _segment(root)
+    step("documents")
+    # Tokenised once, and read again for all that follows.
+    store.prepared(docstore.latest(docs), analyser).write.parquet(f"{folder}/documents")
+    rows = spark.read.parquet(f"{folder}/documents")
+    step("postings")
+    store.write_postings(lexical.postings_of(rows), f"{folder}/postings")
+    step("statistics")
+    _together(
+        lambda: spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/term_stats"),
+        lambda: _no_ids(spark).write.parquet(f"{folder}/gone"),
+    )
+    if with_vectors:
+        step("vectors")
+        vectors = vector.with_norms(vector.embed(rows, embedder)) if embedder else Stored(spark, root, old).vectors
+        vectors.write.parquet(f"{folder}/vectors")
+    step("metadata")
+    n, dl = _sums(rows)
+    store.publish(spark, root, Manifest((old.number if old else 0) + 1, (name,), n, dl, created_at, model, incremental.SCHEMA_VERSION, (name,) if with_vectors else ()))
+    store.clean(spark, root)
+    step("done")
+    return Built("full", folder)
+
+
+def _changes(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(id, status) of documents against stored hashes. Ids and hashes alone are shuffled; the last version of an id counts."""
+    new = incremental.hashes(docs, "doc_ord").groupBy("id").agg(F.max_by("content_hash", "doc_ord").alias("content_hash"))
+    return incremental.compare(new, hashes)
+
+
+def _change(spark: SparkSession, root: str, old: Manifest, docs: DataFrame, statuses: DataFrame, counts: dict, created_at: str, embedder, model: str | None, progress: Progress, analyser: Analyser) -> Built:
+    """A segment of the added and modified documents, and of the ids of removed and modified ones."""
+    stored, step, (name, folder) = Stored(spark, root, old), _Steps(progress, 6 if embedder else 5), _segment(root)
+    fresh = statuses.where(F.col("status").isin("added", "modified")).select("id")
+    step("documents")
+    _together(
+        lambda: store.prepared(docstore.upsert(docs.join(fresh, "id", "left_semi")), analyser).write.parquet(f"{folder}/documents"),
+        lambda: statuses.where(F.col("status").isin("removed", "modified")).select("id").write.parquet(f"{folder}/gone"),
+    )
+    rows, gone = spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/gone")
+    replaced = stored.rows.select("id", "tokens").join(gone, "id", "left_semi")
+    step("postings")
+    step("statistics")
+    delta = store.frequencies(rows).unionByName(store.frequencies(replaced, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    jobs = [lambda: store.write_postings(lexical.postings_of(rows), f"{folder}/postings"), lambda: delta.write.parquet(f"{folder}/term_stats")]
+    vectors = old.vectors
     if embedder:
-        vectors = vector.with_norms(vector.embed(docs, embedder))
-    elif keep_vectors and old and index_files.exists(spark, f"{old}/vectors"):
-        vectors = spark.read.parquet(f"{old}/vectors")
-    else:
-        vectors = None
-    return Built("full", _write(spark, root, docs, lexical.build(docs).postings, _lengths(docs), vectors, created_at, model, progress))
-
-
-def incremental_build(spark: SparkSession, docs: DataFrame, root: str, created_at: str, embedder=None, model: str | None = None, force: bool = False, progress: Progress = _silent) -> Built:
-    """Only added and modified documents are tokenised and embedded; rows of removed ones go. Equal to a full build. Nothing is written when nothing changed."""
-    old = current(spark, root)
-    if force or old is None or not _supported(spark, old):
-        return full(spark, docs, root, created_at, embedder, model, progress)
-    docs = docstore.upsert(docs)
-    statuses = incremental.diff(docs, spark.read.parquet(f"{old}/hashes")).cache()
+        step("vectors")
+        # The first vectors of an index are those of all documents in force.
+        texts = rows if old.vectors else stored.rows.join(gone, "id", "left_anti").select(*rows.columns).unionByName(rows)
+        jobs.append(lambda: vector.with_norms(vector.embed(texts, embedder)).write.parquet(f"{folder}/vectors"))
+        vectors = (*vectors, name)
+    _together(*jobs)
+    step("metadata")
+    (n, dl), (n_gone, dl_gone) = _sums(rows), _sums(replaced)
+    new = old.next(
+        segments=(*old.segments, name), n_docs=old.n_docs + n - n_gone, total_dl=old.total_dl + dl - dl_gone, created_at=created_at, embedding_model=model, vectors=vectors, changed=old.changed + n + n_gone
+    )
+    store.publish(spark, root, new)
+    if len(new.segments) > SEGMENTS or new.changed > CHANGED * max(1, new.n_docs):
+        folder = compact(spark, root)
+    step("done")
+    return Built("incremental", folder, counts)
+
+
+def compact(spark: SparkSession, root: str) -> str:
+    """All segments as one, without tokenising or embedding anything again."""
+    old = store.current(spark, root)
+    stored, (name, folder) = Stored(spark, root, old), _segment(root)
+    jobs = [
+        lambda: stored.rows.write.parquet(f"{folder}/documents"), lambda: store.write_postings(stored.postings, f"{folder}/postings"),
+        lambda: stored.term_stats.write.parquet(f"{folder}/term_stats"), lambda: _no_ids(spark).write.parquet(f"{folder}/gone"),
+    ]
+    if old.vectors:
+        jobs.append(lambda: stored.vectors.write.parquet(f"{folder}/vectors"))
+    _together(*jobs)
+    store.publish(spark, root, old.next(segments=(name,), vectors=(name,) if old.vectors else (), changed=0))
+    store.clean(spark, root)
+    return folder
+
+
+def incremental_build(
+    spark: SparkSession, docs: DataFrame, root: str, created_at: str, embedder=None, model: str | None = None, force: bool = False, progress: Progress = _silent, analyser: Analyser = cjk_tokens
+) -> Built:
+    """Brings the index to the state of ``docs``. Only added and modified documents are tokenised, embedded and written. Equal to a full build. Nothing is written when nothing changed."""
+    old = store.current(spark, root)
+    if force or old is None or not store.supported(old):
+        return full(spark, docs, root, created_at, embedder, model, progress, analyser=analyser)
+    return _with_changes(spark, root, old, docs, _changes(docs, Stored(spark, root, old).hashes), created_at, embedder, model, progress, analyser)
+
+
+def upsert(
+    spark: SparkSession, docs: DataFrame, root: str, created_at: str, embedder=None, model: str | None = None, progress: Progress = _silent, analyser: Analyser = cjk_tokens
+) -> Built:
+    """Puts ``docs`` into the index and leaves all other documents. The work follows ``docs``; of the index ids and hashes are read, and the tokens of what is replaced."""
+    old = store.current(spark, root)
+    if old is None:
+        return full(spark, docs, root, created_at, embedder, model, progress, analyser=analyser)
+    stored = Stored(spark, root, old)
+    if not store.supported(old):
+        return full(spark, docstore.upsert(stored.documents, docs.select(*stored.documents.columns)), root, created_at, embedder, model, progress, analyser=analyser)
+    return _with_changes(spark, root, old, docs, _changes(docs, stored.hashes.join(docs.select("id"), "id", "left_semi")), created_at, embedder, model, progress, analyser)
+
+
+def remove(spark: SparkSession, ids: DataFrame, root: str, created_at: str) -> Built:
+    """Takes the documents of ``ids`` (id) out of the index; ids that are not in it change nothing."""
+    old = store.current(spark, root)
+    if old is None:
+        return Built("skipped", root)
+    stored = Stored(spark, root, old)
+    gone = stored.hashes.join(ids.select("id"), "id", "left_semi").select("id", F.lit("removed").alias("status"))
+    return _with_changes(spark, root, old, stored.documents, gone, created_at, None, old.embedding_model, _silent, cjk_tokens)
+
+
+def _with_changes(spark, root, old, docs, statuses, created_at, embedder, model, progress, analyser) -> Built:
+    statuses = statuses.cache()
     try:
         counts = incremental.counts(statuses).first().asDict()
         if not counts["has_changes"]:
-            return Built("skipped", old, counts)
-        fresh = incremental.needing_embedding(docs, statuses).drop("status")
-        postings = incremental.apply_changes(spark.read.parquet(f"{old}/postings"), lexical.build(fresh).postings, statuses, "doc_id")
-        lengths = incremental.apply_changes(spark.read.parquet(f"{old}/lengths"), _lengths(fresh), statuses, "doc_id")
-        vectors = None
-        if index_files.exists(spark, f"{old}/vectors"):
-            stored = spark.read.parquet(f"{old}/vectors")
-            new = vector.with_norms(vector.embed(fresh, embedder)) if embedder else stored.limit(0)
-            vectors = incremental.apply_changes(stored, new, statuses, "doc_id")
-        elif embedder:
-            vectors = vector.with_norms(vector.embed(docs, embedder))
-        return Built("incremental", _write(spark, root, docs, postings, lengths, vectors, created_at, model, progress), counts)
+            return Built("skipped", f"{root}/{old.segments[-1]}", counts)
+        return _change(spark, root, old, docs, statuses, counts, created_at, embedder, model, progress, analyser)
     finally:
         statuses.unpersist()
 
 
-def _supported(spark: SparkSession, folder: str) -> bool:
-    """Whether the stored state can be compared with: all tables there and the version new enough."""
-    if not all(index_files.exists(spark, f"{folder}/{t}") for t in TABLES):
-        return False
-    row = spark.read.parquet(f"{folder}/metadata").select(incremental.needs_full_rebuild("schema_version").alias("old")).first()
-    return bool(row) and not row.old
-
-
 def from_changelog(spark: SparkSession, paths: list[str], root: str, created_at: str, **options) -> Built:
-    """A build from change-log files."""
-    entries = changelog.load(spark, paths)
-    docs = entries.select("id", "title", "date", "tags", "text", F.xxhash64("file", "position").alias("doc_ord"))
-    return full(spark, docs, root, created_at, **options)
+    """A build from change-log files; documents are numbered file by file, in the order given, and within a file as they stand there."""
+    return full(spark, changelog.documents(spark, paths), root, created_at, **options)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from noteloom.config import SearchConfig
 from noteloom.functions.extract import SNIPPET, extract
 from noteloom.functions.text import has_tag
+from noteloom.functions.tokens import Analyser, cjk_tokens
 from noteloom.operators import docstore, fusion, lexical, vector
 from noteloom.operators.lexical import LexicalIndex
 from noteloom.operators.remote import RemoteError
-from noteloom.plans import build
+from noteloom.plans.store import Stored
 from noteloom.schema import RANKED
 from noteloom.sources import index_files
 
@@ -25,16 +26,22 @@ class Searcher:
     index: LexicalIndex
     vectors: DataFrame
     embedder: Callable[[str], list[float]] | None = None
+    analyser: Analyser = cjk_tokens
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, embedder=None) -> Searcher:
-        """The last whole build below a folder; each table that is missing is an empty one."""
-        folder = build.current(spark, root) or f"{root}/none"
-        docs = index_files.read_or_empty(spark, f"{folder}/documents", "id string, title string, date timestamp, tags array<string>, text string, doc_ord long")
-        return cls(docs, index_files.load_index(spark, folder), index_files.load_stored_vectors(spark, folder), embedder)
+    def open(cls, spark: SparkSession, root: str, embedder=None, analyser: Analyser = cjk_tokens) -> Searcher:
+        """The index in force below a folder; where nothing is stored, an empty one."""
+        stored = Stored.open(spark, root)
+        return cls(stored.documents, stored.index, stored.vectors, embedder, analyser)
+
+    @classmethod
+    def from_json(cls, spark: SparkSession, folder: str, embedder=None, analyser: Analyser = cjk_tokens) -> Searcher:
+        """Over a JSON store; each file that is missing is an empty table."""
+        docs, index, vectors, _ = index_files.load_store(spark, folder)
+        return cls(docs, index, vectors, embedder, analyser)
 
     def bm25(self, query: str, k: int) -> DataFrame:
-        return lexical.search(self.index, query, k)
+        return lexical.search(self.index, query, k, self.analyser)
 
     def by_vector(self, query: list[float], k: int) -> DataFrame:
         return vector.search(self.vectors, query, k)

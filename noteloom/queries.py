@@ -1,21 +1,23 @@
 """Every operator as a query over the driver's tables, with SQL that gives the same rows."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteloom import corpus
+from noteloom import api, corpus
 from noteloom.functions import extract as X
 from noteloom.functions import text as D
 from noteloom.functions import tokens as T
 from noteloom.operators import cache, docstore, fusion, incremental, lexical, remote, telemetry, vector
 from noteloom.plans import build
 from noteloom.plans import searcher as S
+from noteloom.plans.store import Stored
 from noteloom.sources import changelog, files, index_files, jsonl
+from noteloom.sources.hadoop import shared_folder
 
 QUERY, SECOND, TAG = "the thion src3", "erth ANDOF src11", "en"
 K = 10
@@ -155,6 +157,20 @@ def camel_split(spark, d):
     return w.select("word", F.array_join(T.split_camel("word"), "+").alias("parts"))
 
 
+def _stub_morphemes(text: str) -> list[tuple[str, list[str]]]:
+    """Words as morphemes, their details by their lengths."""
+    pos = (*T.KEPT_POS, "other")
+    return [(w, [pos[len(w) % 5], T.DROPPED_DETAILS[0] if len(w) % 7 == 0 else "plain", "*", "*", "*", "*", w + "_" if len(w) % 3 == 0 else "*"]) for w in text.split(" ") if w]
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT id, list_filter(string_split(text, ' '), lambda w: w <> '' AND len(w) % 5 <> 4 AND len(w) % 7 <> 0) AS w FROM docs)
+  SELECT id, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(list_transform(w, lambda w: CASE WHEN len(w) % 3 = 0 THEN w || '_' ELSE w END), ' ') AS tokens FROM w""")
+def morphological_tokens(spark, d):
+    """Tokens by an analyser that is passed in: which morphemes count, in which form, repeats kept."""
+    found = T.morphological(_stub_morphemes)("text")
+    return corpus.documents(spark, d).select("id", found.alias("t")).select("id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
 @query(f"WITH {_POSTINGS} SELECT term, doc_ord, doc_id, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM postings")
 def postings(spark, d):
     return _index(spark, d).postings
@@ -172,9 +188,11 @@ def bm25_term_scores(spark, d):
     return index.postings.where(wanted).join(index.term_stats.where(wanted).crossJoin(index.corpus_stats), "term").select("doc_id", "term", F.round(lexical.term_score(), 6).alias("term_score"))
 
 
-@query("SELECT 0 AS n WHERE false")
+@query(f"WITH {_POSTINGS}, {_bm25(QUERY, K)} SELECT 0 AS n_empty, count(*) AS n_found FROM bm25")
 def bm25_empty_query(spark, d):
-    return lexical.search(_index(spark, d), " . ", K).select(F.lit(0).alias("n"))
+    """A query without tokens finds nothing, where another one does."""
+    n = lambda q, c: lexical.search(_index(spark, d), q, K).agg(F.count(F.lit(1)).alias(c))
+    return n(" . ", "n_empty").select(F.col("n_empty").cast("int")).crossJoin(n(QUERY, "n_found"))
 
 
 _LEGACY = """toks AS (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS toks FROM documents),
@@ -227,10 +245,12 @@ def vector_dimension(spark, d):
     return vector.statistics(vector.add(corpus.vectors(spark, d), more))
 
 
-@query("SELECT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = 3) AS has_it, EXISTS (SELECT 1 FROM embeddings) AS has_index")
+@query("SELECT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = 3) AS has_it, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = -1) AS has_other, EXISTS (SELECT 1 FROM embeddings) AS has_index, false AS empty_has_index")
 def vector_contains(spark, d):
-    v = corpus.vectors(spark, d)
-    return v.agg(F.coalesce(F.bool_or(F.col("doc_id") == "3"), F.lit(False)).alias("has_it"), (F.count(F.lit(1)) > 0).alias("has_index"))
+    s = _searcher(spark, d)
+    without = S.Searcher(s.docs, s.index, vector.empty(spark))
+    row = (vector.contains(s.vectors, "3"), vector.contains(s.vectors, "-1"), s.has_vector_index(), without.has_vector_index())
+    return spark.createDataFrame([row], "has_it boolean, has_other boolean, has_index boolean, empty_has_index boolean")
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS doc_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -324,6 +344,18 @@ def docstore_remove(spark, d):
 
 
 # ---- scalars ------------------------------------------------------------------------
+@query(f"WITH {_DOCS} SELECT doc_ord, left(sha256(title || chr(0) || text), 16) AS id FROM docs")
+def content_ids(spark, d):
+    return docstore.with_content_ids(corpus.documents(spark, d)).select("doc_ord", "id")
+
+
+@query(f"WITH {_DOCS} SELECT count(DISTINCT id) AS n_ids, 36 AS id_length FROM docs")
+def random_ids(spark, d):
+    """As many ids as documents."""
+    ids = docstore.with_random_ids(corpus.documents(spark, d)).select("id")
+    return ids.agg(F.count_distinct("id").alias("n_ids"), F.max(F.length("id")).alias("id_length"))
+
+
 @query(f"WITH {_DOCS} SELECT id, left(sha256(title || chr(0) || text), 16) AS content_hash FROM docs")
 def content_hash(spark, d):
     return incremental.hashes(corpus.documents(spark, d))
@@ -414,6 +446,31 @@ def summary_rule(spark, d):
     return remote.summarise(corpus.documents(spark, d).select("id", X.full("text").alias("content"))).select("id", "summary", "summary_method")
 
 
+def _stub_chat(text: str) -> str:
+    if len(text) % 3 == 0:
+        raise remote.RemoteError("network")
+    return f"{len(text)} characters"
+
+
+@query(_SQL["summary_rule"].replace("SELECT id, CASE WHEN length(x) > 200", "SELECT id, CASE WHEN length(x) % 3 <> 0 THEN length(x) || ' characters' WHEN length(x) > 200").replace("'rule-based' AS", "CASE WHEN length(x) % 3 <> 0 THEN 'llm' ELSE 'rule-based' END AS"))
+def summary_chat(spark, d):
+    """Summaries by a chat service; by rule where it fails."""
+    return remote.summarise(corpus.documents(spark, d).select("id", X.full("text").alias("content")), _stub_chat).select("id", "summary", "summary_method")
+
+
+@query("SELECT * FROM (VALUES ('known', 'from the cache', false), ('new', 'NEW', true), ('fails', 'fails', true)) v(query, rewritten, is_new)")
+def query_rewrites(spark, d):
+    """A query from the cache, by the service, and as it is where the service fails; the last two are to be cached."""
+
+    def chat(q):
+        if q == "fails":
+            raise remote.RemoteError("api")
+        return f" {q.upper()} "
+
+    valid = spark.createDataFrame([("known", "from the cache")], "query string, rewritten string")
+    return spark.createDataFrame([(q, *remote.rewrite(q, valid, chat)) for q in ("known", "new", "fails")], "query string, rewritten string, is_new boolean")
+
+
 # ---- sources ------------------------------------------------------------------------
 @query(f"WITH {_DOCS}, {_RENDERED}), e AS (SELECT id, unnest([0, 1]) AS n FROM rendered), r AS (SELECT e.n, CASE WHEN n = 0 THEN title ELSE 'Second ' || id END AS title, CASE WHEN n = 0 THEN date ELSE TIMESTAMP '2024-02-03 04:05:06' END AS date, CASE WHEN n = 0 THEN array_to_string(tags, ',') ELSE '' END AS tags, CASE WHEN n = 0 THEN {_trim('text')} ELSE 'tail of it' END AS text FROM e JOIN docs USING (id)) SELECT title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, tags, text, left(sha256(title || chr(0) || text), 16) AS id FROM r")
 def changelog_parse(spark, d):
@@ -421,6 +478,68 @@ def changelog_parse(spark, d):
     return parsed.select("title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text", "id")
 
 
+def _note_files(spark, docs) -> list[str]:
+    """A change-log file for each language, the last language first."""
+    folder = _folder(spark)
+    notes = changelog.render(docs).join(docs.select("id", F.get("tags", F.lit(0)).alias("lang")), "id")
+    notes.repartition(1).sortWithinPartitions("lang", "doc_ord").select("lang", "value").write.partitionBy("lang").text(folder)
+    return [f"{folder}/lang={r.lang}" for r in docs.select(F.get("tags", F.lit(0)).alias("lang")).distinct().orderBy(F.desc("lang")).collect()]
+
+
+@query(f"WITH {_DOCS}, t AS (SELECT *, {_trim('text')} AS x FROM docs) SELECT CAST(row_number() OVER (ORDER BY tags[1] DESC, doc_ord) AS INTEGER) AS n, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, x AS text, left(sha256(title || chr(0) || x), 16) AS id FROM t")
+def changelog_files(spark, d):
+    """Files read in the order given; documents are numbered in that order."""
+    found = changelog.documents(spark, _note_files(spark, corpus.documents(spark, d)))
+    place = F.row_number().over(W.orderBy("doc_ord")).cast("int").alias("n")
+    return found.select(place, "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "text", "id")
+
+
+@query(f"WITH {_DOCS} SELECT CAST(row_number() OVER (ORDER BY tags[1] DESC, doc_ord) AS INTEGER) AS rank, 'T' || id AS title FROM docs ORDER BY rank LIMIT {K}")
+def changelog_ties(spark, d):
+    """Documents from files that all score alike rank in the order of the files."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    alike = docs.withColumns({"title": F.concat(F.lit("T"), "id"), "text": F.lit("the same words")})
+    build.from_changelog(spark, _note_files(spark, alike), root, "t")
+    s = S.Searcher.open(spark, root)
+    return S.enrich(s.bm25("same", K), s.docs).select("rank", "title")
+
+
+def _json_store(spark, d) -> str:
+    docs, folder = corpus.documents(spark, d), _folder(spark)
+    rows = lexical.tokenised(docs)
+    index_files.export_store(rows, docs, corpus.vectors(spark, d), incremental.metadata(docs, "2024-01-01T00:00:00Z", "stub"), incremental.hashes(docs), folder)
+    return folder
+
+
+@query(f"WITH {_POSTINGS}, n AS (SELECT doc_ord, row_number() OVER (ORDER BY doc_ord) - 1 AS at FROM docs), {_bm25(QUERY, K)} SELECT rank, doc_id, score, title FROM bm25 JOIN docs ON docs.id = doc_id")
+def json_store_search(spark, d):
+    """A search over a store of JSON files that this engine wrote."""
+    s = S.Searcher.from_json(spark, _json_store(spark, d))
+    return S.enrich(s.bm25(QUERY, K), s.docs).select("rank", "doc_id", "score", "title")
+
+
+@query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, array_to_string(tags, ',') AS tags, text, CAST(row_number() OVER (ORDER BY doc_ord) - 1 AS BIGINT) AS doc_ord, left(sha256(title || chr(0) || text), 16) AS h FROM docs")
+def json_store_documents(spark, d):
+    docs, _, _, meta = index_files.load_store(spark, _json_store(spark, d))
+    hashes = meta.select(F.explode("doc_hashes").alias("id", "h"))
+    return docs.join(hashes, "id").select("id", "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text", "doc_ord", "h")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS doc_ord, len(embedding) AS n, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")
+def json_store_vectors(spark, d):
+    v = index_files.load_store(spark, _json_store(spark, d))[2]
+    return v.select("doc_id", "doc_ord", F.size("embedding").cast("long").alias("n"), F.round("norm", 4).alias("norm"))
+
+
+@query("SELECT 0 AS n_found, 0 AS n_docs, 0 AS n_vectors, false AS has_metadata")
+def json_store_missing(spark, d):
+    """A folder without any index file is an empty index."""
+    folder = _folder(spark)
+    s = S.Searcher.from_json(spark, folder)
+    row = (s.bm25(QUERY, K).count(), s.docs.count(), s.vectors.count(), index_files.load_store(spark, folder)[3] is not None)
+    return spark.createDataFrame([row], "n_found int, n_docs int, n_vectors int, has_metadata boolean")
+
+
 @query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, array_to_string(tags, ',') AS tags, text FROM docs")
 def jsonl_roundtrip(spark, d):
     lines = changelog.to_jsonl(corpus.documents(spark, d)).select(F.lit(1).alias("line_no"), "value")
@@ -483,22 +602,77 @@ def incremental_lengths(spark, d):
 
 
 def _folder(spark) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or one of our own where none is named."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-")
-    return f"{root}/index-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared folder."""
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _older(docs):
+    """An earlier state of the documents: some missing, some with other text, some since removed."""
+    older = docs.where("doc_ord % 10 <> 0").withColumn("text", F.when(F.col("doc_ord") % 7 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text")))
+    return older.unionByName(docs.where("doc_ord % 20 = 1").withColumn("id", F.concat(F.lit("gone-"), "id")))
 
 
 @query(f"WITH {_POSTINGS}, {_bm25(QUERY, K)} SELECT * FROM bm25")
 def stored_search_after_changes(spark, d):
     """A stored index of an earlier state, brought up to date incrementally, then searched: the rows of a search in the documents themselves."""
     docs, root = corpus.documents(spark, d), _folder(spark)
-    older = docs.where("doc_ord % 10 <> 0").withColumn("text", F.when(F.col("doc_ord") % 7 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text")))
-    gone = docs.where("doc_ord % 20 = 1").withColumn("id", F.concat(F.lit("gone-"), "id"))
-    build.full(spark, older.unionByName(gone), root, "2024-01-01T00:00:00Z")
+    build.full(spark, _older(docs), root, "2024-01-01T00:00:00Z")
     build.incremental_build(spark, docs, root, "2024-01-02T00:00:00Z")
     return S.Searcher.open(spark, root).bm25(QUERY, K)
 
 
+@query(f"WITH {_POSTINGS} SELECT term, df FROM term_stats")
+def stored_term_stats_after_changes(spark, d):
+    """Document frequencies of an index that was changed three times, by what each change added and took away."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    build.full(spark, _older(docs), root, "t1")
+    build.upsert(spark, docs.where("doc_ord % 2 = 0"), root, "t2")
+    build.remove(spark, docs.where("doc_ord % 20 = 1").select(F.concat(F.lit("gone-"), "id").alias("id")), root, "t3")
+    build.incremental_build(spark, docs, root, "t4")
+    return Stored.open(spark, root).term_stats
+
+
+@query(f"WITH {_POSTINGS} SELECT term, doc_ord, doc_id, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM postings")
+def stored_postings_after_compaction(spark, d):
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    build.full(spark, _older(docs), root, "t1")
+    build.incremental_build(spark, docs, root, "t2")
+    build.compact(spark, root)
+    return Stored.open(spark, root).postings
+
+
+@query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, array_to_string(tags, ',') AS tags, CASE WHEN doc_ord % 3 = 0 THEN text || ' again' ELSE text END AS text FROM docs WHERE doc_ord % 5 <> 4")
+def stored_documents_after_batches(spark, d):
+    """Batches put into a stored index one after the other, as a stream does it, and documents taken out."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    for k in range(3):
+        build.upsert(spark, docs.where(F.col("doc_ord") % 3 == k), root, f"t{k}")
+    build.upsert(spark, docs.where("doc_ord % 3 = 0").withColumn("text", F.concat("text", F.lit(" again"))), root, "t3")
+    build.remove(spark, docs.where("doc_ord % 5 = 4").select("id"), root, "t4")
+    return Stored.open(spark, root).documents.select("id", "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text")
+
+
+@query(f"""WITH {_OLD}, c AS (SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'removed') AS removed FROM diff)
+  SELECT CAST(step AS INTEGER) AS step, mode, CAST(added AS BIGINT) AS added, CAST(modified AS BIGINT) AS modified, CAST(removed AS BIGINT) AS removed FROM (
+    SELECT 1 AS step, 'full' AS mode, NULL AS added, NULL AS modified, NULL AS removed UNION ALL SELECT 2, 'skipped', 0, 0, 0 UNION ALL SELECT 3, 'incremental', added, modified, removed FROM c UNION ALL SELECT 4, 'full', NULL, NULL, NULL)""")
+def build_modes(spark, d):
+    """What a build decides: all anew, nothing, what changed, all anew when told so."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    old = _older(docs)
+    built = [build.incremental_build(spark, x, root, "t", force=force) for x, force in ((old, False), (old, False), (docs, False), (docs, True))]
+    rows = [(k + 1, b.mode, *((b.counts or {}).get(c) for c in ("added", "modified", "removed"))) for k, b in enumerate(built)]
+    return spark.createDataFrame(rows, "step int, mode string, added long, modified long, removed long")
+
+
+@query(f"WITH {_DOCS} SELECT count(*) AS doc_count, '2024-01-02T00:00:00Z' AS created_at, 'stub' AS embedding_model, '2.0' AS schema_version, 6 AS n_steps, true AS in_order FROM docs")
+def stored_metadata(spark, d):
+    """Metadata of a build with embeddings, and the steps that it tells its caller."""
+    root, steps = _folder(spark), []
+    build.full(spark, corpus.documents(spark, d), root, "2024-01-02T00:00:00Z", _stub_embedder, "stub", lambda step, total, _: steps.append((step, total)))
+    found = Stored.open(spark, root).metadata
+    return found.select("*", F.lit(len(steps)).alias("n_steps"), F.lit(steps == [(k + 1, len(steps)) for k in range(len(steps))]).alias("in_order"))
+
+
 def _stub_embedder(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count("\n")), float(t.count("e"))] for t in texts]
 
@@ -508,10 +682,22 @@ def _stub_embedder(texts: list[str]) -> list[list[float]]:
   SELECT id AS doc_id, CAST(length(x) AS DOUBLE) AS n_chars, CAST(length(x) - length(replace(x, chr(10), '')) AS DOUBLE) AS n_breaks, CAST(length(x) - length(replace(x, 'e', '')) AS DOUBLE) AS n_e FROM c""")
 def embed_documents(spark, d):
     """Vectors by an injected embedder; this one counts characters."""
-    v = vector.embed(corpus.documents(spark, d), _stub_embedder)
+    return _embedded(vector.embed(corpus.documents(spark, d), _stub_embedder))
+
+
+def _embedded(v):
     return v.select("doc_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("n_chars", "n_breaks", "n_e"))))
 
 
+@query(_SQL["embed_documents"])
+def stored_vectors_after_changes(spark, d):
+    """Vectors of a stored index of an earlier state, after an incremental build that embeds what changed."""
+    docs, root = corpus.documents(spark, d), _folder(spark)
+    build.full(spark, _older(docs), root, "t1", _stub_embedder)
+    build.incremental_build(spark, docs, root, "t2", _stub_embedder)
+    return _embedded(Stored.open(spark, root).vectors)
+
+
 # ---- caches and telemetry -----------------------------------------------------------
 @query(f"WITH {_DOCS} SELECT id, sha256(text || 'stub') AS key FROM docs")
 def cache_key(spark, d):
@@ -566,6 +752,47 @@ def rewrite_cache_valid(spark, d):
     return cache.rewrites_valid(rows.crossJoin(F.broadcast(now)), F.col("now")).select("key", "event_id")
 
 
+@query(f"WITH {_CACHE} SELECT key, cache, max_by(event_id, (ts, event_id % 2, event_id)) AS event_id FROM log GROUP BY key, cache")
+def cache_put(spark, d):
+    """Entries put into a cache: the newest of each key, of equal times the one put in last."""
+    old, new = (cache.latest(corpus.cache_log(spark, d).where(F.col("event_id") % 2 == k), "key", "cache", order=("created_at", "event_id")) for k in (0, 1))
+    return cache.put(old, new, "key", "cache").select("key", "cache", "event_id")
+
+
+@query(f"""WITH {_CACHE}, l AS (SELECT key, cache, max_by(event_id, (ts, event_id % 2, event_id)) AS event_id, max(ts) AS ts FROM log GROUP BY key, cache)
+  SELECT key, cache, event_id FROM l, now WHERE epoch_us(t) - epoch_us(l.ts) <= 7200 * 1000000::BIGINT QUALIFY row_number() OVER (PARTITION BY cache ORDER BY l.ts DESC, key DESC) <= 200""")
+def summary_cache(spark, d):
+    """The summary cache after insertions, with its own lifetime and room."""
+    log = corpus.cache_log(spark, d)
+    old, new = (cache.latest(log.where(F.col("event_id") % 2 == k), "key", "cache", order=("created_at", "event_id")) for k in (0, 1))
+    now = log.agg(F.max("created_at").cast("string")).first()[0]
+    return cache.summaries(old, new, now).select("key", "cache", "event_id")
+
+
+@query(f"WITH {_CACHE} SELECT (SELECT count(*) FROM latest) AS n_entries, (SELECT count(*) FROM latest WHERE cache <> 'view') AS n_left, 0 AS n_cleared, true AS is_cleared")
+def cache_size(spark, d):
+    """Entries of a cache, after some were taken out, and after all were."""
+    rows = _cached(spark, d)[0]
+    n = lambda frame, c: cache.size(frame).select(F.col("n_entries").alias(c))
+    left = cache.drop(rows, rows.where("cache = 'view'").select("key").distinct())
+    cleared = cache.size(cache.clear(rows)).select(F.col("n_entries").cast("int").alias("n_cleared"), F.col("is_empty").alias("is_cleared"))
+    return n(rows, "n_entries").crossJoin(n(left, "n_left")).crossJoin(cleared)
+
+
+@query(f"WITH {_CACHE} SELECT count(*) AS n_entries, count(*) FILTER (epoch_us(t) - epoch_us(latest.ts) >= 86400 * 1000000::BIGINT) AS n_expired FROM latest, now")
+def rewrite_cache_cleanup(spark, d):
+    rows, now = _cached(spark, d)
+    rows = rows.crossJoin(F.broadcast(now))
+    return cache.size(rows).select("n_entries").crossJoin(cache.size(cache.rewrites_expired(rows, F.col("now"))).select(F.col("n_entries").alias("n_expired")))
+
+
+@query(f"WITH {_CALLS}, r AS (SELECT max(ts) - INTERVAL 7 DAY AS ts FROM calls) SELECT count(*) AS total_calls, count(*) FILTER (ok) AS successful_calls FROM calls WHERE ts > (SELECT ts FROM r)")
+def usage_since_reset(spark, d):
+    calls = corpus.api_calls(spark, d)
+    resets = calls.agg((F.max("ts") - F.make_dt_interval(F.lit(7))).alias("ts"))
+    return telemetry.usage(telemetry.since(calls, resets)).select("total_calls", "successful_calls")
+
+
 @query(f"""WITH {_CALLS} SELECT count(*) AS total_calls, count(*) FILTER (ok) AS successful_calls, count(*) FILTER (NOT ok) AS failed_calls, CAST(sum(prompt) FILTER (ok) AS BIGINT) AS prompt_tokens, CAST(sum(completion) FILTER (ok) AS BIGINT) AS completion_tokens,
   CAST(sum(prompt + completion) FILTER (ok) AS BIGINT) AS total_tokens, round(min(latency) FILTER (ok), 6) AS min_latency_ms, round(max(latency) FILTER (ok), 6) AS max_latency_ms, round(avg(latency) FILTER (ok), 4) AS avg_latency_ms, round(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 6) AS success_rate FROM calls""")
 def api_usage(spark, d):
@@ -595,6 +822,13 @@ def memo_results(spark, d):
     return rows.select("rank", "doc_id", "score", "title", "date", F.array_join("tags", ",").alias("tags"), "content.text")
 
 
+@query(f"""WITH {_POSTINGS}, {_bm25(QUERY, K)}, f AS (SELECT rank, doc_id, left(text, 300) AS x, length(text) AS c, {_LINES.format('text')} AS l FROM bm25 JOIN docs ON docs.id = doc_id)
+  SELECT rank, doc_id, x AS text, c > 300 AS truncated, CASE WHEN length(x) > 200 THEN left(x, 200) || '...' || chr(10) || '[' || c || ' chars, ' || l || ' lines]' ELSE x END AS summary, 'rule-based' AS summary_method FROM f""")
+def memo_results_full(spark, d):
+    """Search results with whole content, cut at a length, and summaries."""
+    return api.query_memos(_searcher(spark, d), QUERY, mode="bm25", top_k=K, extraction_mode="full", max_chars=300).select("rank", "doc_id", "text", "truncated", "summary", "summary_method")
+
+
 @query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M') AS date, array_to_string(tags, ',') AS tags, left(text, 150) AS snippet FROM docs ORDER BY docs.date DESC, id LIMIT 10")
 def recent_memos(spark, d):
     return S.recent_memos(corpus.documents(spark, d)).withColumn("tags", F.array_join("tags", ","))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import content_hash, trim_unicode
+from noteloom.sources import files
 
 # The first time in the line ends the title.
 _TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}"
@@ -16,8 +17,8 @@ def loader_tags(rest: Column) -> Column:
     return F.regexp_extract_all(rest, F.lit(r"\[([^\]]+)\]:"), F.lit(1))
 
 
-def parse(files: DataFrame, trim_title: bool = False) -> DataFrame:
-    """Documents of files (file, value: the whole text), in order within a file.
+def parse(texts: DataFrame, trim_title: bool = False) -> DataFrame:
+    """Documents of files (file, value: the whole text), in order within a file; other columns stay with them.
 
     A file is cut before its headers, so a file is one row of work and nothing
     is shuffled. Lines before the first header are dropped, and so are entries
@@ -26,10 +27,11 @@ def parse(files: DataFrame, trim_title: bool = False) -> DataFrame:
     text = F.regexp_replace("value", "\r\n", "\n")
     parts = F.filter(F.split(text, r"(?m)(?=^\* [^\n]+? " + _TIME + r"\s*[^\n]*$)"), lambda p: p.rlike(r"^\* [^\n]+? " + _TIME))
     header, body = F.get(F.split("entry", "\n", 2), F.lit(0)), F.coalesce(F.get(F.split("entry", "\n", 2), F.lit(1)), F.lit(""))
-    rows = files.select("file", F.posexplode(parts).alias("position", "entry")).select("file", "position", header.alias("header"), trim_unicode(body).alias("text"))
+    own = [c for c in texts.columns if c != "value"]
+    rows = texts.select(*own, F.posexplode(parts).alias("position", "entry")).select(*own, "position", header.alias("header"), trim_unicode(body).alias("text"))
     title = F.regexp_extract("header", HEADER, 1)
     rows = rows.select(
-        "file", "position", (trim_unicode(title) if trim_title else title).alias("title"), F.try_to_timestamp(F.regexp_extract("header", HEADER, 2), F.lit("yyyy-MM-dd HH:mm:ss")).alias("date"),
+        *own, "position", (trim_unicode(title) if trim_title else title).alias("title"), F.try_to_timestamp(F.regexp_extract("header", HEADER, 2), F.lit("yyyy-MM-dd HH:mm:ss")).alias("date"),
         loader_tags(F.regexp_extract("header", HEADER, 3)).alias("tags"), "text",
     ).where(F.col("date").isNotNull())
     return rows.withColumn("id", content_hash("title", F.col("text")))
@@ -42,10 +44,23 @@ def render(docs: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Documents of change-log files, file by file in the order given."""
+    """Documents of change-log files, with the number of their file in the order given (``input``)."""
     if not paths:
-        return parse(spark.createDataFrame([], "file string, value string"))
-    return parse(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+        return parse(spark.createDataFrame([], "file string, value string, input long"))
+    found = files.listed(spark, paths)
+    # As many rows as the driver was given files.
+    names = spark.createDataFrame([(address, k) for k, (_, address) in enumerate(found)], "file string, input long")
+    address = F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/")
+    return parse(spark.read.text([path for path, _ in found], wholetext=True).select(address.alias("file"), "value").join(F.broadcast(names), "file"))
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """Parsed entries as documents: their order is that of the files, and within a file that of the entries."""
+    return entries.select("id", "title", "date", "tags", "text", (F.shiftleft("input", 32) + F.col("position")).alias("doc_ord"))
+
+
+def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return numbered(load(spark, paths))
 
 
 def to_jsonl(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Index files: Parquet tables of this engine, JSON exports, and BM25 corpora written by other programs."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.operators import lexical, vector
 from noteloom.operators.lexical import LexicalIndex
 from noteloom.schema import LEGACY_BM25
+from noteloom.sources.hadoop import Files
 
 
 def legacy_tokens(files: DataFrame) -> DataFrame:
@@ -36,7 +39,8 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a JSON store: an object of documents by id."""
     rows = spark.read.schema("documents map<string, struct<id: string, metadata: struct<title: string, date: string, tags: array<string>>, text: string>>").json(path, multiLine=True)
-    return rows.select(F.explode("documents").alias("key", "d")).select("d.id", "d.metadata.title", F.to_timestamp("d.metadata.date").alias("date"), "d.metadata.tags", "d.text", F.xxhash64("key").alias("doc_ord"))
+    # In the order of the file.
+    return rows.select(F.posexplode(F.map_entries("documents")).alias("at", "e")).select("e.value.id", "e.value.metadata.title", F.to_timestamp("e.value.metadata.date").alias("date"), "e.value.metadata.tags", "e.value.text", F.col("at").cast("long").alias("doc_ord"))
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -70,3 +74,49 @@ def export_json(index: LexicalIndex, docs: DataFrame, vectors: DataFrame, path:
     """Line-wise JSON of each table, for other programs; written in parallel."""
     for name, frame in (("postings", index.postings), ("term_stats", index.term_stats), ("corpus_stats", index.corpus_stats), ("documents", docs), ("vectors", vectors)):
         frame.write.mode("overwrite").json(f"{path}/{name}")
+
+
+# The names of the files of a JSON store.
+BM25_FILE, VECTOR_FILE, DOCUMENT_FILE, METADATA_FILE = "bm25_index.json", "faiss_index.json", "docstore.json", "metadata.json"
+
+
+def _listed(rows: DataFrame, section: int, at, value) -> DataFrame:
+    """(section, at, value): lines of a JSON list or object, with commas between them."""
+    rows = rows.select(F.col(at).cast("long").alias("at"), value.alias("value"))
+    first = rows.agg(F.min("at")).first()[0]
+    return rows.select(F.lit(section).alias("section"), "at", F.when(F.col("at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+
+
+def _write_document(spark: SparkSession, folder: str, name: str, *sections: str | DataFrame) -> None:
+    """One JSON file of texts and lists. The format wants one file, so one task writes it, line by line; sorting spills to disk."""
+    parts = [spark.createDataFrame([(k, 0, x)], "section int, at long, value string") if isinstance(x, str) else x for k, x in enumerate(sections)]
+    files = Files(spark, folder)
+    reduce(DataFrame.unionByName, parts).repartition(1).sortWithinPartitions("section", "at").select("value").write.mode("overwrite").text(f"{folder}/.{name}")
+    part = next(n for n in Files(spark, f"{folder}/.{name}").names() if n.startswith("part-"))
+    files.move(f".{name}/{part}", name)
+    files.delete(f".{name}")
+
+
+def export_store(tokens: DataFrame, docs: DataFrame, vectors: DataFrame, metadata: DataFrame, hashes: DataFrame, folder: str) -> None:
+    """A JSON store that ``load_store`` and other programs read: tokens (doc_ord, doc_id, tokens), documents, vectors, one row of metadata, hashes. Documents need distinct doc_ord."""
+    spark = docs.sparkSession
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    string = lambda c: F.regexp_extract(text(c), r"(?s)^\{\"x\":(.*)\}$", 1)
+    _write_document(spark, folder, BM25_FILE, '{"version": "1.0", "doc_ids": [', _listed(tokens, 1, "doc_ord", string("doc_id")), '], "corpus": [', _listed(tokens, 3, "doc_ord", F.to_json("tokens")), "]}")
+    size = vectors.agg(F.coalesce(F.min_by(F.size("embedding"), "doc_ord"), F.lit(0))).first()[0]
+    _write_document(spark, folder, VECTOR_FILE, '{"doc_ids": [', _listed(vectors, 1, "doc_ord", string("doc_id")), '], "vectors": [', _listed(vectors, 3, "doc_ord", F.to_json("embedding")), f'], "dimension": {size}}}')
+    meta = F.struct("title", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), "tags")
+    whole = F.concat(string("id"), F.lit(": "), F.to_json(F.struct("id", meta.alias("metadata"), "text")))
+    _write_document(spark, folder, DOCUMENT_FILE, '{"documents": {', _listed(docs, 1, "doc_ord", whole), "}}")
+    head = metadata.select(F.to_json(F.struct("*"))).first()
+    pairs = hashes.select(F.monotonically_increasing_id().alias("at"), F.concat(string("id"), F.lit(": "), string("content_hash")).alias("pair"))
+    _write_document(spark, folder, METADATA_FILE, (head[0][:-1] if head else '{"doc_count": 0') + ', "doc_hashes": {', _listed(pairs, 1, "at", F.col("pair")), "}}")
+
+
+def load_store(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame | None]:
+    """Documents, index, vectors and metadata of a JSON store; each file that is missing is an empty table, or no metadata."""
+    there = lambda name: exists(spark, f"{folder}/{name}")
+    docs = load_documents(spark, f"{folder}/{DOCUMENT_FILE}") if there(DOCUMENT_FILE) else spark.createDataFrame([], "id string, title string, date timestamp, tags array<string>, text string, doc_ord long")
+    index = load_bm25(spark, f"{folder}/{BM25_FILE}") if there(BM25_FILE) else lexical.empty(spark)
+    vectors = load_vectors(spark, f"{folder}/{VECTOR_FILE}") if there(VECTOR_FILE) else vector.empty(spark)
+    return docs, index, vector.with_norms(vectors), load_metadata(spark, f"{folder}/{METADATA_FILE}") if there(METADATA_FILE) else None
