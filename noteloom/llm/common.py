@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import types
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.sources.hadoop import shared_folder
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -26,10 +27,9 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make one of our own only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-"))
+    """Use the cluster's shared folder; make one of our own only where none is named and everything runs on this machine."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
