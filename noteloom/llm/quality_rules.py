@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a document by a property of its whole text. A bounded sample
+Each rule rejects a document by a property of its whole text. A bounded sample, rows of
+up to ``SAMPLE_PARTS`` partitions spread evenly over the table,
 tells what each rule costs and how much it rejects; rules then run in the order
 of rejections per second, and a document that a rule rejects meets no later one.
 The order changes the time only: a document is kept when no rule rejects it.
 
-Null and empty texts have no words and are rejected by ``few_words``. Repeated
-rows are judged each on its own. Extra columns pass through untouched.
+Null and empty texts have no words and are rejected by ``few_words``. Very long texts are judged
+whole, in time in proportion. Repeated rows are judged each on its own. An empty table gives no rows. Extra columns pass
+through untouched (``quality_filter``) or are not read, whatever their names.
 """
 from __future__ import annotations
 
@@ -15,16 +17,17 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import BLANKS, pieces, strings
 
-#: Rows whose rules are timed. They set the order of the rules, never a verdict.
-SAMPLE_ROWS = 256
+#: Rows whose rules are timed, and partitions they come from at most. They set the order of the rules, never a verdict.
+SAMPLE_ROWS, SAMPLE_PARTS = 256, 64
 SYMBOLS = "#*$%&|<>"
 PIECE_BYTES = 8 << 20
 
@@ -110,22 +113,27 @@ def passes(f: Facts, rules) -> bool:
 def cascade_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> tuple:
     """Rules by rejections per second on ``sample_rows`` rows, best first; ties keep the given order."""
 
-    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                cost, hits = [], []
-                for text in strings(batch.column(0).slice(at, 32)):
-                    row = []
-                    for rule in rules:
-                        facts, began = Facts(text), time.perf_counter()
-                        row.append((bool(rule.rejects(facts)), time.perf_counter() - began))
-                    hits.append([int(x[0]) for x in row])
-                    cost.append([x[1] for x in row])
-                yield pa.RecordBatch.from_arrays([pa.array(cost, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.int64()))], names=["cost", "hits"])
-
-    # Spark takes so few rows from as few partitions as hold them; only the timings leave the executors.
-    found = docs.select(F.col("text").cast("string")).mapInArrow(timed, "cost array<double>, hits array<long>").limit(sample_rows).collect()
-    rate = {k: (sum(r.hits[k] for r in found) + 0.5) / max(sum(r.cost[k] for r in found), 1e-9) for k in range(len(rules))}
+    texts = docs.select(F.col("text").cast("string").alias("text")).rdd
+    n = texts.getNumPartitions()
+    parts = min(n, SAMPLE_PARTS)
+    if not parts:
+        return tuple(rules)
+    each = -(-sample_rows // parts)
+
+    def timed(rows: Iterator[Row]) -> list[tuple[list[float], list[bool]]]:
+        out = []
+        for row in islice(rows, each):
+            cost, hits = [], []
+            for rule in rules:
+                facts, began = Facts(row.text or ""), time.perf_counter()
+                hits.append(bool(rule.rejects(facts)))
+                cost.append(time.perf_counter() - began)
+            out.append((cost, hits))
+        return out
+
+    # Tasks for these partitions alone; only the timings leave the executors.
+    found = docs.sparkSession.sparkContext.runJob(texts, timed, [k * n // parts for k in range(parts)])
+    rate = {k: (sum(hits[k] for _, hits in found) + 0.5) / max(sum(cost[k] for cost, _ in found), 1e-9) for k in range(len(rules))}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate[k], k)))
 
 
