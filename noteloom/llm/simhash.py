@@ -29,8 +29,9 @@ others, of which copies miss all with a probability of 4e-9; and what is too
 large even then goes out by pairs of its blocks, so that any two meet. Within a bucket the BK-tree finds what lies within
 ``WIDE`` bits, and a sketch of ``BINS`` least hashes, one byte each, tells which
 of these pairs may be copies. What such pairs connect is a cluster, and within a
-cluster only a similarity counted on the whole sets of shingle hashes links; a
-large cluster is dealt by pairs of its blocks, so that any two members meet.
+cluster only a similarity counted on the whole sets of shingle hashes links. A
+large cluster is dealt by blocks: those of its largest family of copies meet all others, so that any two
+members that no links connect yet meet.
 
 Null and empty texts have fingerprint zero and link like any other. A null id
 is a document of its own group with a null component when nothing else links.
@@ -45,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import cut, ensure_checkpoint_dir, pieces, strings
@@ -60,13 +62,13 @@ BLOCK, FRONTIER = 20_000, 2_000_000
 #: Rows of a bucket of copies beyond which it is split; buckets that are broadcast at most (more are joined by a shuffle, with the same result).
 MANY, MOST_MANY = 512, 100_000
 #: For copies by similarity: words of a shingle, similarity, bits, least hashes that deal, bins of a sketch.
-COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 256
+COPY_SHINGLE, SIMILARITY, WIDE, KEYS, BINS = 5, 0.8, 24, 5, 128
 #: Standard deviations by which a sketch may fall short of the similarity and still make a candidate.
 DEVIATIONS = 4
 #: Leaders of a large bucket, and least hashes by which it may be dealt besides ``KEYS``.
 LEADERS, EXTRA = 4, 8
-#: Documents and shingles of a block of a cluster, about; bytes of sets that one call takes together.
-TOGETHER, SHINGLES, HELD_BYTES = 1024, 1 << 20, 16 << 20
+#: Documents and shingles of a block of a cluster, about; members of a family that stand for it first; bytes of sets that one call takes together.
+TOGETHER, SHINGLES, FEW, HELD_BYTES = 1024, 1 << 20, 8, 16 << 20
 PIECE_BYTES = 8 << 20
 _ROWS = 16_384
 
@@ -256,23 +258,22 @@ def mark(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> tuple[int, list[int], bytes]:
-    """Of a set of shingles the fingerprint, least hashes under ``KEYS + EXTRA`` orders, and a byte of the least hash of each bin (two bytes a bin: used or not, and which)."""
-    used = np.zeros((2, BINS), np.uint8)
+    """Of a set of shingles the fingerprint, least hashes under ``KEYS + EXTRA`` orders, and a byte of the least hash of each bin, zero for an empty bin."""
+    least = np.zeros(BINS, np.uint8)
     if not len(h):
-        return 0, [0] * len(_ODD), used.tobytes()
+        return 0, [0] * len(_ODD), least.tobytes()
     keys = [int((h * odd ^ h * odd >> np.uint64(31)).min()) for odd in _ODD]
     # Sorted hashes come bin by bin, least first.
-    bins = (h >> np.uint64(56)).astype(np.int64)
+    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    used[0, bins[first]] = 1
-    used[1, bins[first]] = (h[first] >> np.uint64(40)).astype(np.uint8)
-    return majority(iter([h])), keys, used.tobytes()
+    least[bins[first]] = np.maximum((h[first] >> np.uint64(40)).astype(np.uint8), 1)
+    return majority(iter([h])), keys, least.tobytes()
 
 
 def estimate(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of pairs of sketches (rows, 2, BINS), and the standard deviation for pairs of ``similarity``."""
-    either = np.maximum((a[:, 0] | b[:, 0]).sum(axis=1), 1)
-    same = ((a[:, 0] & b[:, 0]) & (a[:, 1] == b[:, 1])).sum(axis=1)
+    """Estimated similarity of pairs of sketches (rows, BINS), and the standard deviation for pairs of ``similarity``."""
+    either = np.maximum(((a | b) > 0).sum(axis=1), 1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
     return same / either, np.sqrt(similarity * (1 - similarity) / either)
 
 
@@ -283,7 +284,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.
 
 
 def sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def alike(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -338,13 +339,35 @@ def groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], held_byt
         yield rows
 
 
+def link(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (component, part, node, mark, set) that come sorted so: b the least node that links reach from a among those of one component and part."""
+    for rows in groups(batches, ("component", "part"), HELD_BYTES):
+        component, part, node, of = (rows.column(c).to_numpy() for c in ("component", "part", "node", "mark"))
+        column = rows.column("set")
+        edges = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (part[1:] != part[:-1]), [True]]))
+        a, b = [], []
+        for low, high in zip(edges.tolist(), edges[1:].tolist()):
+            # Equal texts of one id come once for each of its rows.
+            pick = low + np.flatnonzero(np.concatenate([[True], (of[low + 1 : high] != of[low : high - 1]) | (node[low + 1 : high] != node[low : high - 1])]))
+            to = pick[alike([np.frombuffer(column[k].as_buffer(), np.uint64) for k in pick.tolist()], similarity)]
+            a.append(node[pick[to != pick]])
+            b.append(node[to[to != pick]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """Links (a, b) between the nodes of each cluster, b the least node that pairs of that similarity, counted on whole sets, reach from a."""
+    """Links (a, b) between the nodes of each cluster, b the least node that pairs of that similarity, counted on whole sets, reach from a.
+
+    A large cluster is linked block by block, and then among some members of each
+    family found so. What these make of it is mostly one family of copies; only those outside the largest one
+    still have to meet all others, and no two of its members each other.
+    """
     members = nodes.join(clusters, "node").select("mark", "node", "n", "component")
-    # At most one in ``together`` documents or ``SHINGLES`` shingles is such a cluster.
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / together, F.sum("n") / SHINGLES)).cast("int")
-    large = members.groupBy("component").agg(parts.alias("parts")).where("parts > 1")
-    members = members.join(F.broadcast(large), "component", "left").select(F.col("node").alias("doc_id"), F.col("mark").alias("of"), "component", "parts")
+    large = cut(members.groupBy("component").agg(parts.alias("parts")).where("parts > 1"))
+    n_large = large.count()
+    small_side = (lambda frame: F.broadcast(frame)) if n_large <= MOST_MANY else (lambda frame: frame)
+    members = members.join(small_side(large), "component", "left").select(F.col("node").alias("doc_id"), F.col("mark").alias("of"), "component", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -355,31 +378,43 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity:
                 rest = batch.take(pa.array(own, pa.int64()))
                 yield pa.RecordBatch.from_arrays([rest.column(0), *rest.columns[2:], pa.array([found[k].tobytes() for k in own], pa.binary())], names=["node", "mark", "component", "parts", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id").select("doc_id", "text", "of", "component", "parts").mapInArrow(sets, "node long, mark long, component long, parts int, set binary")
-    # A member of a large cluster meets each block of it with its own.
-    block = F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int")
-    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != block)
-    pairs = F.transform(other, lambda x: F.least(x, block).cast("long") * F.col("parts") + F.greatest(x, block))
-    dealt = rows.select("node", "mark", "component", "set", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("part"))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ("component", "part"), HELD_BYTES):
-            component, part, node, of = (rows.column(c).to_numpy() for c in ("component", "part", "node", "mark"))
-            column = rows.column("set")
-            edges = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (part[1:] != part[:-1]), [True]]))
-            a, b = [], []
-            for low, high in zip(edges.tolist(), edges[1:].tolist()):
-                # Equal texts of one id come once for each of its rows.
-                pick = low + np.flatnonzero(np.concatenate([[True], (of[low + 1 : high] != of[low : high - 1]) | (node[low + 1 : high] != node[low : high - 1])]))
-                to = pick[alike([np.frombuffer(column[k].as_buffer(), np.uint64) for k in pick.tolist()], similarity)]
-                a.append(node[pick[to != pick]])
-                b.append(node[to[to != pick]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node", "mark").mapInArrow(link, "a long, b long")
-
-
-def split(pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    def with_sets(of: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(of, "doc_id").select("doc_id", "text", "of", "component", "parts")
+        return texts.mapInArrow(sets, "node long, mark long, component long, parts int, set binary")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("node", "mark", "component", "part", "set").repartition("component", "part").sortWithinPartitions("component", "part", "node", "mark")
+        return dealt.mapInArrow(lambda batches: link(batches, similarity), "a long, b long")
+
+    found = linked(with_sets(members.where("parts is null")).withColumn("part", F.lit(-1).cast("long")))
+    if not n_large:
+        return found
+    rows = cut(with_sets(members.where("parts is not null")))
+    block = lambda n: F.pmod(F.xxhash64("mark"), n).cast("long")
+    first = cut(linked(rows.withColumn("part", block(F.col("parts")))))
+    # Some members of each family of a block, of which there are few for each block.
+    family = first.select(F.col("a").alias("node"), F.col("b").alias("family")).unionByName(first.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
+    few = family.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("node"), "node"))).where(F.col("place") <= FEW).select("node").distinct()
+    second = cut(linked(rows.join(few, "node", "left_semi").withColumn("part", F.lit(-1).cast("long"))))
+    found = found.unionByName(first).unionByName(second)
+    family = components(first.unionByName(second)).select("node", F.col("component").alias("family"))
+    of = cut(rows.select("node", "mark", "component").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node")))
+    sizes = of.groupBy("component", "family").agg(F.count(F.lit(1)).alias("size"))
+    size = sizes.groupBy("component").agg(F.max_by("family", F.struct("size", "family")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all")).where(F.col("all") > F.col("most"))
+    half = together / 2
+    size = size.select("component", "largest", F.ceil((F.col("all") - F.col("most")) / half).alias("n_rest"), F.ceil(F.col("most") / half).alias("n_most"))
+    plan = cut(of.join(small_side(size), "component").select("node", "mark", "component", (F.col("family") == F.col("largest")).alias("inside"), "n_rest", "n_most"))
+    if plan.isEmpty():
+        return found
+    # Blocks of the others are numbered before those of the largest family. Pairs of blocks of which one at least is of the others meet.
+    own = F.when(F.col("inside"), F.col("n_rest") + block(F.col("n_most"))).otherwise(block(F.col("n_rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("inside"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_most")) - 1)
+    pairs = F.transform(F.filter(others, lambda x: x != own), lambda x: F.least(x, own) * (F.col("n_rest") + F.col("n_most")) + F.greatest(x, own))
+    third = rows.join(plan, ["node", "mark", "component"]).select("node", "mark", "component", "set", F.explode(pairs).alias("part"))
+    return found.unionByName(linked(third))
+
+
+def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` meet, and the links (a, b) of candidates that need no bucket."""
 
     def heat(rows: DataFrame, most: int) -> DataFrame:
@@ -388,7 +423,8 @@ def split(pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILAR
         return rows.join(F.broadcast(hot) if most <= limit * MOST_MANY else hot, "b", "left")
 
     pairs = heat(pairs, n_rows)
-    hot = pairs.where("size is not null").drop("size")
+    # Only rows of hot buckets need the other least hashes.
+    hot = pairs.where("size is not null").drop("size").join(nodes.select("mark", "keys"), "mark")
     leaders = hot.groupBy("b").agg(*(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)))
     leaders = leaders.select("b", *(F.col(f"l{j}.{c}").alias(f"{c}{j}") for j in range(LEADERS) for c in ("node", "sketch")))
 
@@ -443,8 +479,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, n long, fp long, keys array<long>, sketch binary"))
     # Texts with the same shingles are one node.
     nodes = marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*")
-    pairs = nodes.select("node", "fp", "sketch", "keys", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("node", "fp", "sketch", "keys", "k", F.xxhash64("k", "key").alias("b"))
-    dealt, near = split(pairs, many, KEYS * marked.count(), similarity)
+    pairs = nodes.select("mark", "node", "fp", "sketch", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "node", "fp", "sketch", "k", F.xxhash64("k", "key").alias("b"))
+    dealt, near = split(nodes, pairs, many, KEYS * marked.count(), similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:

@@ -172,6 +172,41 @@ def test_copies_at_the_edge(spark, together):
     assert {got[1000 + k] for k in range(22)} == {1000}
 
 
+def test_families_of_a_large_cluster(spark):
+    """Clusters dealt in blocks: two families with a bridge, a chain, and texts that only candidates tie to them."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [word() for _ in range(200)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in r.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    second = base[:150] + [word() for _ in range(50)]
+    bridge = base[:150] + [*base[150:178], *second[178:]]
+    texts = [edited(base, 1) for _ in range(60)] + [edited(second, 1) for _ in range(30)] + [bridge]
+    texts += [edited(base, k) for k in (4, 6, 8, 12, 20, 30)] + [[*base[: 200 - k], *(word() for _ in range(k))] for k in (10, 20, 30, 60)]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    clusters = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
+    marks = [(simhash.mark(simhash.shingle_set(t)), i, len(simhash.shingle_set(t))) for i, t in rows]
+    nodes = spark.createDataFrame(marks, "mark long, node long, n long")
+    simhash.ensure_checkpoint_dir(spark)
+    assert len(set(label)) > 2
+    for together in (1024, 16, 5):
+        found = {x.node: x.component for x in components(simhash.verified(docs, nodes, clusters, together=together)).collect()}
+        assert [found.get(i, i) for i, _ in rows] == label
+
+
 def test_alike_equals_all_pairs():
     rng = np.random.default_rng(8)
     base = [rng.integers(0, 2**63, 40, np.uint64) for _ in range(12)]
