@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import BLANKS, pieces, strings
 
 #: Rows whose rules are timed, and partitions they come from at most. They set the order of the rules, never a verdict.
-SAMPLE_ROWS, SAMPLE_PARTS = 256, 64
+SAMPLE_ROWS, SAMPLE_PARTS = 256, 16
 SYMBOLS = "#*$%&|<>"
 PIECE_BYTES = 8 << 20
 

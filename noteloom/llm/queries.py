@@ -69,5 +69,22 @@ FROM judged
 """
 
 
+#: Every window of 100 bytes by its digest; texts are cut into pieces first, as cutting a window out of a long text takes time in proportion to the text.
+_REPEATS_SQL = r"""
+WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+pieces AS (SELECT r, c, least(512, n - 99 - 512 * c) AS m, substr(h, 1024 * c + 1, 1222) AS x FROM (SELECT r, h, n, unnest(range(0, (n - 99 + 511) // 512)) AS c FROM n WHERE n >= 100)),
+windows AS (SELECT r * 1099511627776 + 512 * c + p AS w, md5_number(substr(x, 2 * p + 1, 200)) AS k FROM (SELECT r, c, x, unnest(range(0, m)) AS p FROM pieces)),
+earliest AS (SELECT k, min(w) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+again AS (SELECT w // 1099511627776 AS r, w % 1099511627776 AS p FROM windows JOIN earliest USING (k) WHERE w > f),
+edges AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 1 ELSE 0 END AS new FROM again),
+spans AS (SELECT r, min(p) AS a, max(p) + 100 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM edges) GROUP BY r, g),
+gone AS (SELECT r, sum(b - a) AS removed, count(*) AS n_spans, max(b) AS b FROM spans GROUP BY r),
+parts AS (SELECT r, a AS turn, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS low, a AS high FROM spans UNION ALL SELECT r, n + 1, coalesce(b, 0), n FROM n LEFT JOIN gone USING (r)),
+kept AS (SELECT r, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY turn) AS x FROM parts JOIN n USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.ORACLE_SQL, "op8_quality_rules": _QUALITY_SQL}
+    return {"op1_suffix_dedup": _REPEATS_SQL, "op6_sharding": sharding.ORACLE_SQL, "op8_quality_rules": _QUALITY_SQL}
