@@ -164,8 +164,10 @@ def ranked(spark, ids):
 
 
 def test_fusion(spark):
-    got = fusion.fuse([ranked(spark, ["doc1", "doc2", "doc3"]), ranked(spark, ["doc2", "doc1", "doc4"])]).orderBy("rank").collect()
-    assert [(r.doc_id, r.score) for r in got] == [("doc1", 0.032522), ("doc2", 0.032522), ("doc3", 0.015873), ("doc4", 0.015873)]
+    lists = (["n1", "n2", "n3", "n4"], ["n4", "n5", "n1"])
+    got = fusion.fuse([ranked(spark, x) for x in lists]).orderBy("rank").collect()
+    want = {d: round(sum(1 / (61 + x.index(d)) for x in lists if d in x), 6) for d in ("n1", "n2", "n3", "n4", "n5")}
+    assert [(r.rank, r.doc_id, r.score) for r in got] == [(k + 1, d, want[d]) for k, d in enumerate(("n1", "n4", "n2", "n5", "n3"))]
     assert fusion.fuse([ranked(spark, ["a"]), ranked(spark, [])]).first().score == 0.016393
     assert fusion.fuse([ranked(spark, []), ranked(spark, [])]).collect() == []
     assert fusion.fuse([ranked(spark, ["a"])], 30).first().score == round(1 / 31, 6)
