@@ -41,11 +41,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import buffer, cut, pieces
+from noteloom.llm.common import buffer, cut, pieces, release
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, PIECE_BYTES, BLOCK, PACK = 1 << 20, 4 << 20, 1 << 15, 21
-HOT, SALT_ROWS, CELL_BITS = 1000, 256, 24
+HOT, SALT_ROWS, CELL_BITS = 1000, 128, 24
+#: Bytes of runs that are merged together; every byte of them takes some hundred of memory.
+MERGED = 1 << 20
 #: Bytes of runs of hot anchors that a task looks through for equal ones before it passes them on.
 PREMERGED = 8 << 20
 #: Consecutive windows of a hot anchor that are dealt together.
@@ -327,6 +329,7 @@ def shard_repeats(texts: pa.Table, repeated: pa.Table) -> pa.Table:
                 key[j] = int.from_bytes(hashlib.blake2b(data[shared : shared + LENGTH - DEAL + 1].tobytes(), digest_size=8, key=int(deal[j]).to_bytes(2, "big")).digest(), "big", signed=True)
             d = np.searchsorted(at, lo, "right") - 1
             add(d, key, deal >= 0, lo - at[d], [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())])
+    release()
     cols = {k: np.concatenate(rows[k]).astype(np.int64) if rows[k] else np.zeros(0, np.int64) for k in rows if k != "text"}
     return pa.Table.from_arrays([*(pa.array(v.astype(bool) if k == "hot" else v) for k, v in cols.items()), pa.array([t for part in rows["text"] for t in part], pa.binary())], names=list(rows))
 
@@ -503,7 +506,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
             home, uid, start = (rows[c].to_numpy()[row] for c in ("home", "uid", "start"))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (home, uid, start + low, start + high + LENGTH)], names=["shard", "uid", "low", "high"])
 
-        held, size, most = [], 0, PIECE_BYTES
+        held, size, most = [], 0, MERGED
         for batch in batches:
             known = pa.compute.is_null(batch.column("text"))
             done = batch.filter(known)
@@ -522,7 +525,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
                     yield repeats(rows_.slice(0, last).combine_chunks())
                     rows_ = rows_.slice(last).combine_chunks()
                 held, size = [rows_], rows_["text"].nbytes
-                most = max(PIECE_BYTES, 2 * size)
+                most = max(MERGED, 2 * size)
         if held:
             yield repeats(pa.concat_tables(held).combine_chunks())
 

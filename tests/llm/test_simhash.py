@@ -54,6 +54,16 @@ def test_groups(spark, seed, most):
     assert sorted(((str(r.doc_id), r.fingerprint, r.component_id) for r in got), key=str) == sorted(groups(rows), key=str)
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    """Stretches of shingles change nothing."""
+    r = random.Random(2)
+    text = " ".join(f"W{r.randrange(50)}" for _ in range(3000))
+    want = fingerprint(text)
+    for rows in (1, 7, 2997, 1 << 14):
+        monkeypatch.setattr(simhash, "_ROWS", rows)
+        assert simhash.fingerprint(text) == want
+
+
 def test_forest_finds_all_pairs():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 20).astype(np.uint64)

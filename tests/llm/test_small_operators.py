@@ -90,6 +90,12 @@ def test_bpe_digests(spark, plain_bpe):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_bpe_without_language(spark):
+    docs = spark.createDataFrame([("one two", 1, 5), (None, None, 6)], "text string, doc_id long, ids long")
+    got = {r.doc_id: r for r in bpe.bpe_encode(docs).collect()}
+    assert (got[1].n_tokens, got[1].lang, got[None].ids) == (2, None, [])
+
+
 def test_bpe_round_trip(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

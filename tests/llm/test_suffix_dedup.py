@@ -71,6 +71,7 @@ def test_whole_operator(spark, monkeypatch, seed, shard_bytes, hot, premerged, c
     monkeypatch.setattr(sd, "PREMERGED", premerged)
     monkeypatch.setattr(sd, "CELL_BITS", cells)
     monkeypatch.setattr(sd, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(sd, "MERGED", 2000)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, uid string").repartition(3, "doc_id")
     got = {}
