@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
 Rows that a stage rejects are gone for all later ones. The first four stages
-return the columns of ``documents``; the last returns doc_id, lang, source,
+return the columns of ``documents``, extra ones included; the last returns doc_id, lang, source,
 n_tokens and ids.
+
+Null and empty texts fail the quality rules. Rows that share an id count as one document among near
+duplicates: they stay or go together, and each is judged on its own by the other stages. A row
+without an id is never a duplicate. Very long texts are read whole by every stage. An empty table gives no rows.
 """
 from __future__ import annotations
 
