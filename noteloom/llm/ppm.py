@@ -22,8 +22,8 @@ what is learned grows with the corpus, and scores are the same for any ``CAPACIT
 Word counts are handled alike, under 63-bit hashes: at most ``COMMON`` words go to the
 executors, and the others are joined by key.
 
-What the executors get is one file of flat arrays, handed out by ``SparkContext.addFile``
-and mapped into memory, so that all workers of a host share it.
+What the executors get is one file of flat arrays, in the shared checkpoint folder where that is a mounted
+one and handed out by ``SparkContext.addFile`` where it is not. Workers map it into memory, so all of a host share it.
 
 Null and empty texts have the end mark alone. Texts are worked through in stretches of ``STEP``
 bytes, whatever their length. Repeated rows are scored each on
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import BLANKS, bucket_of, buffer, cut, pieces, release
+from noteloom.llm.common import BLANKS, bucket_of, buffer, cut, ensure_checkpoint_dir, pieces, release
 
 ORDER = 5
 CAPACITY = 1 << 21
@@ -394,24 +395,27 @@ class Grams:
 
 
 class Shared:
-    """Arrays that the driver hands to all workers as one file, which they map into memory."""
+    """Arrays that the driver hands to all workers as one file, which they map into memory. Needs a checkpoint folder."""
 
     def __init__(self, sc: SparkContext, arrays: dict[str, np.ndarray]):
         self.name, self.places, at = f"ppm-{uuid.uuid4().hex}", {}, 0
         for name, x in arrays.items():
             self.places[name] = (x.dtype.str, len(x), at)
             at += -(-x.nbytes // 64) * 64
-        # Spark's own folder on the driver, where broadcasts start from too; executors fetch the file from the driver.
-        path = os.path.join(sc._temp_dir, self.name)
+        # A shared folder that is mounted is one file for all; else it goes out from Spark's own folder on the driver, where broadcasts start from too.
+        shared = re.fullmatch(r"(?:file:/*)?(/.*)", sc.getCheckpointDir() or "")
+        self.mounted = re.sub("^/+", "/", shared[1]) if shared else None
+        path = os.path.join(self.mounted or sc._temp_dir, self.name)
         with open(path, "wb") as f:
             for name, x in arrays.items():
                 f.seek(self.places[name][2])
                 f.write(x.data)
             f.truncate(max(at, 1))
-        sc.addFile(path)
+        if not self.mounted:
+            sc.addFile(path)
 
     def open(self) -> dict[str, np.ndarray]:
-        with open(SparkFiles.get(self.name), "rb") as f:
+        with open(os.path.join(self.mounted, self.name) if self.mounted else SparkFiles.get(self.name), "rb") as f:
             held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         return {name: np.frombuffer(held, dtype, n, at) for name, (dtype, n, at) in self.places.items()}
 
@@ -426,6 +430,7 @@ def counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def score_documents(docs: DataFrame, fold: int = FOLD, capacity: int = CAPACITY, common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    ensure_checkpoint_dir(docs.sparkSession)
     counts = cut(count_corpus(docs, fold))
     word = F.col("key") < 0
     whole = counts.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("n"), F.count(F.when(word, 1)).alias("v"), F.count(F.when(~word, 1)).alias("grams")).first()

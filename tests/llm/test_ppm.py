@@ -101,6 +101,18 @@ def test_word_keys():
     assert keys[n] == keys[1]
 
 
+def test_shared_arrays(spark, monkeypatch):
+    """Workers see the same arrays from a mounted folder and from the driver's file server."""
+    ppm.ensure_checkpoint_dir(spark)
+    arrays = {"a": np.arange(1000), "b": np.array([1.5, 2.5], np.float32), "c": np.zeros(0, np.uint8)}
+    for folder in (spark.sparkContext.getCheckpointDir(), "hdfs://nowhere/folder"):
+        monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self, folder=folder: folder)
+        shared = ppm.Shared(spark.sparkContext, arrays)
+        assert bool(shared.mounted) == folder.startswith("file:")
+        got = spark.sparkContext.parallelize(range(4), 4).map(lambda _: {k: v.tolist() for k, v in shared.open().items()}).collect()  # noqa: B023
+        assert got == [{k: v.tolist() for k, v in arrays.items()}] * 4
+
+
 def test_hash_table():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 50, 5000, np.int64)).view(np.uint64)
