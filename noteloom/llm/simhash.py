@@ -415,7 +415,10 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity:
 
 
 def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` meet, and the links (a, b) of candidates that need no bucket."""
+    """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` (mark, k, b) meet, and the links (a, b) of candidates that need no bucket.
+
+    Marks alone are dealt; only those that share a bucket get their fingerprints and sketches.
+    """
 
     def heat(rows: DataFrame, most: int) -> DataFrame:
         """``rows``, which are ``most`` at most, with the count of their bucket where it is beyond the limit."""
@@ -424,7 +427,7 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
 
     pairs = heat(pairs, n_rows)
     # Only rows of hot buckets need the other least hashes.
-    hot = pairs.where("size is not null").drop("size").join(nodes.select("mark", "keys"), "mark")
+    hot = pairs.where("size is not null").drop("size").join(nodes.select("mark", "node", "sketch", "keys"), "mark")
     leaders = hot.groupBy("b").agg(*(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)))
     leaders = leaders.select("b", *(F.col(f"l{j}.{c}").alias(f"{c}{j}") for j in range(LEADERS) for c in ("node", "sketch")))
 
@@ -441,23 +444,26 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
                     may = share >= 2 * similarity - 1 - 2 * DEVIATIONS * deviation
                     a.append(node[may])
                     b.append(batch.column(f"node{j}").to_numpy()[may])
-                rest, a, b = batch.select(["node", "fp", "sketch", "keys", "k", "b"]).filter(pa.array(stays)), np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.nulls(rest.num_rows, pa.int64())], names=[*rest.schema.names, "to"])
-                yield pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), rest.schema.field(c).type) for c in rest.schema.names[1:]), pa.array(b)], names=[*rest.schema.names, "to"])
+                rest, a, b = batch.select(["mark", "keys", "k", "b"]).filter(pa.array(stays)), np.concatenate(a), np.concatenate(b)
+                none = pa.nulls(rest.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*rest.columns, none, none], names=[*rest.schema.names, "node", "to"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(a), field.type) for field in rest.schema), pa.array(a), pa.array(b)], names=[*rest.schema.names, "node", "to"])
 
-    met = cut(hot.join(leaders, "b").mapInArrow(meet, "node long, fp long, sketch binary, keys array<long>, k int, b long, to long"))
-    rest = heat(met.where("to is null").drop("to"), n_rows)
+    met = cut(hot.join(leaders, "b").mapInArrow(meet, "mark long, keys array<long>, k int, b long, node long, to long"))
+    rest = heat(met.where("to is null").drop("node", "to"), n_rows)
     # By any second hash; two documents that share the first and one other meet.
     others = F.filter(F.sequence(F.lit(0), F.lit(KEYS + EXTRA - 1)), lambda j: j != F.col("k"))
-    again = heat(rest.where("size is not null").select("node", "fp", "sketch", F.explode(F.transform(others, lambda j: F.xxhash64("b", j, F.element_at("keys", j + 1)))).alias("b")), n_rows * (KEYS + EXTRA - 1))
+    again = heat(rest.where("size is not null").select("mark", F.explode(F.transform(others, lambda j: F.xxhash64("b", j, F.element_at("keys", j + 1)))).alias("b")), n_rows * (KEYS + EXTRA - 1))
     parts = F.ceil(F.col("size") / limit).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(LEADERS)), parts).cast("int")
+    block = F.pmod(F.xxhash64("mark", F.lit(LEADERS)), parts).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != block), lambda x: F.xxhash64("b", F.least(x, block), F.greatest(x, block)))
-    blocks = again.where("size is not null").select("node", "fp", "sketch", F.explode(blocks).alias("b"))
+    blocks = again.where("size is not null").select("mark", F.explode(blocks).alias("b"))
     dealt = blocks
     for part in (pairs, rest, again):
-        dealt = part.where("size is null").select("node", "fp", "sketch", "b").unionByName(dealt)
-    return dealt, met.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+        dealt = part.where("size is null").select("mark", "b").unionByName(dealt)
+    # Buckets are small by now; most hold one row, which has nothing to meet.
+    dealt = dealt.groupBy("b").agg(F.collect_list("mark").alias("marks")).where(F.size("marks") > 1).select("b", F.explode("marks").alias("mark"))
+    return dealt.join(nodes.select("mark", "node", "fp", "sketch"), "mark").select("node", "fp", "sketch", "b"), met.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY, together: int = TOGETHER) -> DataFrame:
@@ -479,7 +485,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, n long, fp long, keys array<long>, sketch binary"))
     # Texts with the same shingles are one node. Each step below reads them, so they are made once.
     nodes = cut(marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*"))
-    pairs = nodes.select("mark", "node", "fp", "sketch", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "node", "fp", "sketch", "k", F.xxhash64("k", "key").alias("b"))
+    pairs = nodes.select("mark", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "k", F.xxhash64("k", "key").alias("b"))
     dealt, near = split(nodes, pairs, many, KEYS * marked.count(), similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
