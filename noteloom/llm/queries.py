@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import bpe, byte_cnn, decontaminate, html_text, pii, ppm, quality_rules, sharding, simhash, suffix_dedup
+from noteloom.llm import alignment, bpe, byte_cnn, crossparse, decontaminate, html_text, pii, ppm, quality_rules, sharding, simhash, suffix_dedup
 from noteloom.llm.common import spread_table, table
 
 
@@ -49,8 +49,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_digests(spread_table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.identify(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_pii, op4_quality_cnn, op5_bpe, op6_sharding, op7_decontaminate, op8_quality_rules, op9_ppm, op10_simhash, op11_alignment, op12_language)}
 
 
 _QUALITY_SQL = r"""
