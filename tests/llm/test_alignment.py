@@ -110,3 +110,12 @@ def test_random_texts(spark, seed):
     rows = [(k, "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(alignment.align_digests(docs, long=8)) == plain(rows)
+
+
+def test_ranks_give_the_ids_of_the_vocabulary_file():
+    """One in eleven of all characters, in words, among digits, alone and doubled; special tokens are plain text."""
+    both = alignment.Pair(alignment.A_FILE, alignment.B_FILE)
+    marks = [chr(c) for c in range(0, 0x110000, 11) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}a 1{c}1 {c}.  {c} x {c}{c}!" for c in marks] + ["<|endoftext|> it's  x\n\n y\t"]
+    assert all(both.encode_a(t) == e.ids for t, e in zip(texts, both.a.encode_batch_fast(texts, add_special_tokens=False)))
+    assert both.encode_a != both.a.encode
