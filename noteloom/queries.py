@@ -479,10 +479,11 @@ def changelog_parse(spark, d):
 
 
 def _note_files(spark, docs) -> list[str]:
-    """A change-log file for each language, the last language first."""
+    """A folder of change-log files for each language, the last language first."""
     folder = _folder(spark)
     notes = changelog.render(docs).join(docs.select("id", F.get("tags", F.lit(0)).alias("lang")), "id")
-    notes.repartition(1).sortWithinPartitions("lang", "doc_ord").select("lang", "value").write.partitionBy("lang").text(folder)
+    # Part files are numbered in the order of the ranges, so their names sort as the documents do.
+    notes.repartitionByRange("lang", "doc_ord").sortWithinPartitions("lang", "doc_ord").select("lang", "value").write.partitionBy("lang").text(folder)
     return [f"{folder}/lang={r.lang}" for r in docs.select(F.get("tags", F.lit(0)).alias("lang")).distinct().orderBy(F.desc("lang")).collect()]
 
 
@@ -546,6 +547,16 @@ def jsonl_roundtrip(spark, d):
     return jsonl.parse(lines).select("id", "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text")
 
 
+@query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, array_to_string(tags, ',') AS tags, text, 1 AS n_same_place FROM docs")
+def jsonl_files(spark, d):
+    """Documents written as folders of JSON lines, a folder for each language, and loaded from all files at once."""
+    docs, folder = corpus.documents(spark, d), _folder(spark)
+    line = changelog.to_jsonl(docs)
+    line.select(F.get(F.from_json("value", "metadata struct<tags array<string>>")["metadata"]["tags"], F.lit(0)).alias("lang"), "value").write.partitionBy("lang").text(folder)
+    found = jsonl.load(spark, folder).withColumn("n_same_place", F.count(F.lit(1)).over(W.partitionBy("doc_ord")).cast("int"))
+    return found.select("id", "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text", "n_same_place")
+
+
 @query("""SELECT title, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT lang || ' / ' || source AS title, text FROM documents
   UNION ALL SELECT url, html FROM pages UNION ALL SELECT role, text FROM conversations UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY title""")
 def union_inputs(spark, d):

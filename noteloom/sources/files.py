@@ -62,7 +62,7 @@ def read_files(spark, paths: list[str]) -> DataFrame:
         for frame in frames:
             rows = []
             for path, at in zip(frame["file"], frame["input"]):
-                with open(path, encoding="utf-8") as f:
+                with open(path, encoding="utf-8", newline="") as f:
                     rows.append((path, f.read(), at))
             yield pd.DataFrame(rows, columns=["file", "value", "input"])
 
