@@ -169,6 +169,16 @@ class Network:
         return self.dense(np.stack([self.pool(t) for t in texts]))[1].astype(float) if texts else np.zeros(0)
 
 
+def fitting(ids: list[int], sizes: list[int], most: int) -> list[int]:
+    """Documents in turn whose texts fit into ``most`` bytes together. One that does not fit leaves room for those after it; where none fits, the shortest is taken."""
+    taken, left = [], most
+    for k, n in zip(ids, sizes):
+        if n <= left:
+            taken.append(k)
+            left -= n
+    return taken or [k for _, k in sorted(zip(sizes, ids))[:1]]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, most: int = TRAIN_BYTES) -> Network | None:
     """A network from at most ``rows`` labelled documents of ``most`` bytes together, outside the held-out fold; None without any."""
     picked = (
@@ -182,11 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
     found = cut(found.groupBy("turn", "doc_id", "quality").agg(F.min("text").alias("text")))
     sizes = found.select("turn", "doc_id", F.octet_length("text").alias("n")).toPandas().sort_values(["turn", "doc_id"])
-    sizes = sizes[sizes["n"].cumsum() <= most]
-    if not len(sizes):
+    ids = fitting(sizes["doc_id"].tolist(), sizes["n"].tolist(), most)
+    if not ids:
         return None
-    last = sizes.iloc[-1]
-    table = found.where(F.struct("turn", "doc_id") <= F.struct(F.lit(int(last["turn"])).alias("turn"), F.lit(int(last["doc_id"])).alias("doc_id"))).toPandas().sort_values(["turn", "doc_id"])
+    chosen = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
+    table = found.join(F.broadcast(chosen), "doc_id", "left_semi").toPandas().sort_values(["turn", "doc_id"])
     return Network().fit([np.frombuffer(t, np.uint8) for t in table["text"]], table["quality"].to_numpy(np.float32), epochs)
 
 
