@@ -364,7 +364,7 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         return text.count(":") >= 2 and bool(re.fullmatch(r"[0-9A-Fa-f:]+", text))
     if kind == "card":
-        return 13 <= digits <= 19 and not letters
+        return 13 <= digits <= 19 and not letters and luhn("".join(c for c in text if "0" <= c <= "9"))
     if kind == "phone":
         return 7 <= digits <= 15 and letters <= 4
     return len(text) >= 16 and digits >= 3 and letters >= 3 and " " not in text
@@ -408,6 +408,9 @@ def trimmed(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
         a = text.rindex("=", a, b) + 1
         while a < b and text[a] in "\"'":
             a += 1
+    if kind == "secret":
+        # A quote ends the value, whatever follows it without a space.
+        b = min([b, *(at for q in "\"'" if (at := text.find(q, a, b)) > a)])
     return a, b
 
 

@@ -2,6 +2,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 import re
 
 import numpy as np
@@ -308,10 +309,30 @@ def test_training_reads_whole_texts(spark):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
     got = byte_cnn.score_documents(docs, labels, epochs=30).collect()
     assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
-    assert byte_cnn.train(docs, labels, most=100) is None
+    assert byte_cnn.train(docs, labels, most=100, epochs=1) is not None
     assert byte_cnn.train(docs, labels, most=50_000, epochs=1) is not None
 
 
+def test_a_text_beyond_the_byte_bound_takes_no_other_away(spark):
+    """One labelled text that is longer than all bytes allowed is left out; the others are learned from as before."""
+    assert byte_cnn.fitting([4, 2, 9, 7], [50, 500, 30, 30], 100) == [4, 9] and byte_cnn.fitting([4, 2], [500, 300], 100) == [2] and byte_cnn.fitting([], [], 100) == []
+    rows = labelled_texts(240)
+    longest = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5][:20]  # some of these come before any other by hash
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(k, "word ### " * 20_000) for k in longest], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(k, 1) for k in longest], "doc_id long, quality int")
+    net = byte_cnn.train(docs, labels, epochs=8, most=150_000)
+    held = [(t, q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    score = net.score([np.frombuffer(t.encode(), np.uint8) for t, _ in held])
+    assert np.mean((score >= 0.3) == np.array([q for _, q in held])) > 0.95
+
+
+def test_added_cards_and_secrets():
+    """An added card passes Luhn, as those of the patterns do; a secret ends at its quote."""
+    assert not pii._plausible("card", "4111111111111112") and pii._plausible("card", "4111.1111.1111.1111")
+    text = 'api_key="A1b2C3d4E5f6G7h8I9"###'
+    assert text[slice(*pii.trimmed(text, "secret", 0, len(text)))] == "A1b2C3d4E5f6G7h8I9"
+
+
 def test_gradients_follow_the_loss():
     net, rng = byte_cnn.Network(), np.random.default_rng(2)
     texts = [rng.integers(97, 105, n).astype(np.uint8) for n in (3, 20, 40)]
