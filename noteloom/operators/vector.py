@@ -3,8 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteloom.functions.similarity import cosine, literal, norm
@@ -34,6 +38,67 @@ def search(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return ranked(similarities(vectors, query) if query else similarities(vectors.limit(0), query), k)
 
 
+#: Rows of a block in a search for many queries.
+BLOCK = 1024
+
+
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and double precision vectors of an Arrow column of arrays, a matrix for each length. Null and empty ones are left out."""
+    rows = column.cast(pa.large_list(pa.float64()))
+    sizes = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = rows.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        yield own, values[starts[own][:, None] + np.arange(size)]
+
+
+def _blocks(frame: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Rows (columns, embedding) as blocks of vectors of one length: their columns as lists, and the matrix as bytes."""
+    schema = ", ".join(f"{c} array<{dict(frame.dtypes)[c]}>" for c in columns) + ", size int, data binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                batch = whole.slice(at, block)
+                for own, matrix in matrices(batch.column(len(columns))):
+                    rows = pa.array(own)
+                    yield pa.RecordBatch.from_pydict({c: [batch.column(k).take(rows).to_pylist()] for k, c in enumerate(columns)} | {"size": pa.array([matrix.shape[1]], pa.int32()), "data": [matrix.tobytes()]})
+
+    return frame.select(*columns, "embedding").mapInArrow(pack, schema)
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """The k vectors most similar to each of many queries (query_id, embedding): exactly, every block of queries against every block of vectors, of which only the best of each block go on."""
+    kind = dict(queries.dtypes)["query_id"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, v = (np.frombuffer(row[c], np.float64).reshape(-1, row["size"]) for c in ("q", "v"))
+                sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                score = np.round(np.divide(q @ v.T, sizes, out=np.zeros(sizes.shape), where=sizes > 0), 6)
+                order = np.array(row["doc_ord"])
+                # The best k of each query, ties by document order.
+                rank = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
+                at, to = np.repeat(np.arange(len(q)), rank.shape[1]), rank.ravel()
+                keep = score[at, to] > 0
+                at, to = at[keep], to[keep]
+                yield pa.RecordBatch.from_pydict({"query_id": [row["query_id"][i] for i in at.tolist()], "doc_ord": pa.array(order[to], pa.int64()), "doc_id": [row["doc_id"][i] for i in to.tolist()], "score": pa.array(score[at, to])}, schema=found)
+
+    found = pa.schema([("query_id", pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()), ("doc_ord", pa.int64()), ("doc_id", pa.string()), ("score", pa.float64())])
+    left = _blocks(queries, ["query_id"], block).withColumnRenamed("data", "q")
+    right = _blocks(vectors, ["doc_ord", "doc_id"], block).withColumnRenamed("data", "v")
+    pairs = left.crossJoin(right.withColumnRenamed("size", "other")).where(F.col("size") == F.col("other")).drop("other")
+    return ranked_many(pairs.mapInArrow(best, f"query_id {kind}, doc_ord long, doc_id string, score double"), k)
+
+
+def ranked_many(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query's (doc_ord, doc_id, score) with their ranks; ties go by document order."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_ord"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_ord", "doc_id", "score")
+
+
 def add(vectors: DataFrame, more: DataFrame) -> DataFrame:
     return vectors.unionByName(more, allowMissingColumns=True)
 

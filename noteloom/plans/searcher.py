@@ -16,6 +16,7 @@ from noteloom.operators import docstore, fusion, lexical, vector
 from noteloom.operators.lexical import LexicalIndex
 from noteloom.operators.remote import RemoteError
 from noteloom.plans.store import Stored
+from noteloom.plans.vector_lists import VectorLists
 from noteloom.schema import RANKED
 from noteloom.sources import index_files
 
@@ -27,12 +28,14 @@ class Searcher:
     vectors: DataFrame
     embedder: Callable[[str], list[float]] | None = None
     analyser: Analyser = cjk_tokens
+    #: Vectors in lists, made from those of the index; without them all vectors are read.
+    lists: VectorLists | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, embedder=None, analyser: Analyser = cjk_tokens) -> Searcher:
+    def open(cls, spark: SparkSession, root: str, embedder=None, analyser: Analyser = cjk_tokens, lists: VectorLists | None = None) -> Searcher:
         """The index in force below a folder; where nothing is stored, an empty one."""
         stored = Stored.open(spark, root)
-        return cls(stored.documents, stored.index, stored.vectors, embedder, analyser)
+        return cls(stored.documents, stored.index, stored.vectors, embedder, analyser, lists)
 
     @classmethod
     def from_json(cls, spark: SparkSession, folder: str, embedder=None, analyser: Analyser = cjk_tokens) -> Searcher:
@@ -44,7 +47,7 @@ class Searcher:
         return lexical.search(self.index, query, k, self.analyser)
 
     def by_vector(self, query: list[float], k: int) -> DataFrame:
-        return vector.search(self.vectors, query, k)
+        return self.lists.search(query, k) if self.lists else vector.search(self.vectors, query, k)
 
     def has_vector_index(self) -> bool:
         return not self.vectors.isEmpty()

@@ -13,7 +13,7 @@ from noteloom.functions import extract as X
 from noteloom.functions import text as D
 from noteloom.functions import tokens as T
 from noteloom.operators import cache, docstore, fusion, incremental, lexical, remote, telemetry, vector
-from noteloom.plans import build
+from noteloom.plans import build, vector_lists
 from noteloom.plans import searcher as S
 from noteloom.plans.store import Stored
 from noteloom.sources import changelog, files, index_files, jsonl
@@ -223,6 +223,32 @@ def cosine_topk(spark, d):
     return vector.search(corpus.vectors(spark, d), corpus.query_vector(spark, d), K)
 
 
+_MANY = f"""q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
+  many AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, CAST(vec_id AS VARCHAR) AS doc_id, score
+    FROM (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS score FROM q, embeddings) WHERE score > 0) WHERE rank <= {K})"""
+
+
+def _asked(spark, d):
+    """Every vector whose id is divisible by 20, as a query."""
+    return corpus.vectors(spark, d).where("doc_ord % 20 = 0").select(F.col("doc_ord").alias("query_id"), "embedding")
+
+
+@query(f"WITH {_MANY} SELECT * FROM many")
+def cosine_topk_many(spark, d):
+    """Many queries against all vectors, exactly."""
+    return vector.search_many(corpus.vectors(spark, d), _asked(spark, d), K).drop("doc_ord")
+
+
+@query(f"WITH {_MANY} SELECT query_id, count(*) AS n_exact, true AS recall_reached FROM many GROUP BY query_id")
+def vector_lists_recall(spark, d):
+    """Searches of lists against exact ones: the neighbours of each query, and whether nine tenths of all are found."""
+    lists = vector_lists.write(corpus.vectors(spark, d), _folder(spark))
+    found = lists.search_many(_asked(spark, d), K).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    exact = vector.search_many(corpus.vectors(spark, d), _asked(spark, d), K).join(found, ["query_id", "doc_id"], "left")
+    each = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_hit"))
+    return each.crossJoin(each.agg((F.sum("n_hit") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))).select("query_id", "n_exact", "recall_reached")
+
+
 @query("""SELECT CAST(a.vec_id AS VARCHAR) AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosine_pairs(spark, d):
