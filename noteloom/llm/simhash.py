@@ -488,7 +488,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, n long, fp long, keys array<long>, sketch binary"))
     # Texts with the same shingles are one node. Each step below reads them, so they are made once.
     nodes = cut(marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*"))
-    pairs = nodes.select("mark", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "k", F.xxhash64("k", "key").alias("b"))
+    # Read for counts and for each way of dealing, so made once.
+    pairs = cut(nodes.select("mark", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "k", F.xxhash64("k", "key").alias("b")))
     dealt, near = split(nodes, pairs, many, KEYS * marked.count(), similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
