@@ -465,7 +465,9 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
     for part in (pairs, rest, again):
         dealt = part.where("size is null").select("mark", "b").unionByName(dealt)
     # Buckets are small by now; most hold one row, which has nothing to meet.
-    dealt = dealt.groupBy("b").agg(F.collect_list("mark").alias("marks")).where(F.size("marks") > 1).select("b", F.explode("marks").alias("mark"))
+    # Copies mostly share several hashes, so many buckets hold the same rows; of these one is searched.
+    dealt = dealt.groupBy("b").agg(F.sort_array(F.collect_set("mark")).alias("marks")).where(F.size("marks") > 1)
+    dealt = dealt.groupBy("marks").agg(F.min("b").alias("b")).select("b", F.explode("marks").alias("mark"))
     return dealt.join(nodes.select("mark", "node", "fp", "sketch"), "mark").select("node", "fp", "sketch", "b"), met.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
 
 
