@@ -55,7 +55,7 @@ from noteloom.llm.components import components, roots, unite
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Nodes of a bucket beyond which it is dealt again.
+#: Nodes of a bucket beyond which it is dealt again, or goes out by pairs of its blocks.
 MOST = 4096
 #: Nodes of the buckets that one call of the search takes together, and pairs that a search may look at together, about.
 BLOCK, FRONTIER = 20_000, 2_000_000
@@ -414,9 +414,11 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity:
     return found.unionByName(linked(third))
 
 
-def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, fp, sketch, b) of buckets of some ``limit`` rows in which all copies of a bucket of ``pairs`` (mark, k, b) meet, and the links (a, b) of candidates that need no bucket.
+def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarity: float = SIMILARITY, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, fp, sketch, b) of buckets in which all copies of a bucket of ``pairs`` (mark, k, b) meet, and the links (a, b) of candidates that need no bucket.
 
+    Buckets of over ``limit`` rows meet leaders and second hashes. What these leave is one bucket up to ``most`` rows, pairs of
+    blocks of ``most`` rows beyond: smaller blocks would repeat each row as often as there are others, and compare those of a block again with each.
     Marks alone are dealt; only those that share a bucket get their fingerprints and sketches.
     """
 
@@ -457,13 +459,12 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
     key = lambda j: F.element_at("keys", j + 1)
     both = F.transform(others, lambda j: F.xxhash64(F.least("k", j), key(F.least("k", j)), F.greatest("k", j), key(F.greatest("k", j))))
     again = heat(rest.where("size is not null").select("mark", F.explode(both).alias("b")).distinct(), n_rows * (KEYS + EXTRA - 1))
-    parts = F.ceil(F.col("size") / limit).cast("int")
+    parts = F.ceil(F.col("size") / most).cast("int")
     block = F.pmod(F.xxhash64("mark", F.lit(LEADERS)), parts).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != block), lambda x: F.xxhash64("b", F.least(x, block), F.greatest(x, block)))
-    blocks = again.where("size is not null").select("mark", F.explode(blocks).alias("b"))
-    dealt = blocks
-    for part in (pairs, rest, again):
-        dealt = part.where("size is null").select("mark", "b").unionByName(dealt)
+    dealt = again.where(F.col("size") > most).select("mark", F.explode(blocks).alias("b"))
+    for part, whole in ((pairs, limit), (rest, limit), (again, most)):
+        dealt = part.where(F.col("size").isNull() | (F.col("size") <= whole)).select("mark", "b").unionByName(dealt)
     # Buckets are small by now; most hold one row, which has nothing to meet.
     # Copies mostly share several hashes, so many buckets hold the same rows; of these one is searched.
     dealt = dealt.groupBy("b").agg(F.sort_array(F.collect_set("mark")).alias("marks")).where(F.size("marks") > 1)
@@ -471,7 +472,7 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
     return dealt.join(nodes.select("mark", "node", "fp", "sketch"), "mark").select("node", "fp", "sketch", "b"), met.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY, together: int = TOGETHER) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WIDE, many: int = MANY, together: int = TOGETHER, most: int = MOST) -> DataFrame:
     """doc_id and component_id, the smallest id that links of copies reach from the document; a row for each document that has an id."""
     ensure_checkpoint_dir(docs.sparkSession)
 
@@ -492,7 +493,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, wide: int = WID
     nodes = cut(marked.groupBy("mark").agg(F.min_by(F.struct("n", "fp", "keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*"))
     # Read for counts and for each way of dealing, so made once.
     pairs = cut(nodes.select("mark", F.posexplode(F.slice("keys", 1, KEYS)).alias("k", "key")).select("mark", "k", F.xxhash64("k", "key").alias("b")))
-    dealt, near = split(nodes, pairs, many, KEYS * marked.count(), similarity)
+    dealt, near = split(nodes, pairs, many, KEYS * marked.count(), similarity, most)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def star(rows: pa.Table) -> pa.RecordBatch:

@@ -105,8 +105,8 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize(("seed", "many"), [(0, 512), (1, 5)])
-def test_copies_by_similarity(spark, seed, many):
+@pytest.mark.parametrize(("seed", "many", "most"), [(0, 512, 4096), (1, 5, 5), (1, 5, 4096)])
+def test_copies_by_similarity(spark, seed, many, most):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(3000)]
     rows, pairs = [], []
@@ -120,7 +120,7 @@ def test_copies_by_similarity(spark, seed, many):
     line = "one line that stands in very many of the documents and says nothing"
     rows = [(i, f"{t} {line}" if i % 3 else t) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=many).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=many, most=most).collect()}
     assert len(got) == len(rows)
     text = dict(rows)
     pairs = [(a, b, jaccard(text[a], text[b])) for a, b, _ in pairs]
@@ -228,7 +228,8 @@ def test_alike_equals_all_pairs():
     assert np.array_equal(simhash.alike(sets), unite(np.arange(len(sets)), *np.nonzero(near)))
 
 
-def test_copies_that_meet_only_in_hot_buckets(spark):
+@pytest.mark.parametrize("most", [40, 4096])
+def test_copies_that_meet_only_in_hot_buckets(spark, most):
     """Copies of which no two neighbouring least hashes agree, and whose common ones very many share."""
     r = random.Random(12)
     line = [f"z{k}" for k in range(60)]
@@ -246,5 +247,5 @@ def test_copies_that_meet_only_in_hot_buckets(spark):
             rows += [(len(rows), a), (len(rows) + 1, b)]
     rows += [(1000 + i, " ".join([*line, *(f"q{r.randrange(10**6)}" for _ in range(40))])) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=40).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs, many=40, most=most).collect()}
     assert got == {i: i - i % 2 if i < 80 else i for i, _ in rows}
