@@ -1,21 +1,24 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of text, and every line has a
-weight, at first its number of characters. Sums of weights over windows of
-``WINDOW`` lines form the distribution.A dive is a window without weight, a surge
-one whose sum is over the threshold. Where sums surge between two dives, the lines with weight
-from the rise after the one to the other are text. The threshold is above zero on every page that
-has any weight: ``SHARE`` of the page's densest window, ``SURGE`` at most.
-
-Markup adjusts weights, the distribution decides:
-
-* Lines of menus, page headers and footers, sidebars, notices, adverts, forms
-  and reader comments (by element, class, id or role) have no weight, nor have lines
-  outside paragraphs and headings that are mostly links.
-* Where an article (or main) element holds text, the densest window is sought
-  within it; its lines weigh more than the threshold, so that its shortest paragraph surges;
-  lines outside weigh so much less that only windows ``DENSER`` times as dense
-  as the article's densest surge. The element's edges are as wide as a window.
+weight, its number of characters. Sums of weights over windows of ``WINDOW``
+lines form the distribution. A dive is a window without weight, a surge one whose
+sum is over the threshold, ``SHARE`` of the page's densest window, ``SURGE`` at most.
+
+Lines stand in boxes: the innermost div or section, told apart by the names and
+classes on the way to it, or the page itself. Between lines of different boxes
+there is a dive. Text is where sums surge between two dives, and grows from
+there: a box that surges keeps all its lines, so do the boxes around it, and
+headings go with the line after them. So short boxes beside dense ones are left
+out whatever their names, and short paragraphs of a dense box are kept.
+
+Where an article (or main) element holds text, its lines are one box, and lines
+outside have weight only in a box ``DENSER`` times as long as the article.
+
+Lines of menus, page headers and footers, sidebars, notices, adverts, forms
+and reader comments (by element, class, id or role) have no weight, nor have lines
+outside paragraphs and headings that are mostly links, nor boxes (other than the
+longest) that are, by ``BOX_LINKS``.
 
 Tags nest as browsers nest them: end tags that may be left out are implied, and
 an element that lacks its end tag ends with its parent. What such an element's name or class says
@@ -45,9 +48,10 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import pieces, strings
 
-WINDOW, SURGE, SHARE, DENSER = 3, 60, 0.1, 5
+WINDOW, SURGE, SHARE, DENSER = 3, 150, 0.5, 20
 #: Share of a line's characters inside links from which on it is taken for a menu.
 LINKS = 0.7
+BOX_LINKS = 0.5
 PIECE_BYTES = 8 << 20
 
 #: Elements whose content is no markup; the first two run to the end of the page if they are not closed.
@@ -60,6 +64,8 @@ BLOCKS = HEADINGS | TABLE | frozenset("address article aside blockquote body cen
 OUTSIDE = frozenset("nav header footer aside form menu dialog button search".split())
 #: Blocks that may well be one link without being a menu.
 PROSE = HEADINGS | frozenset("p pre blockquote figcaption dd caption".split())
+#: Elements that make a box of their lines.
+BOXES = frozenset(["div", "section"])
 #: Where what an element without an end tag says is over.
 STARTS = HEADINGS | frozenset("p div article main section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,12 +74,14 @@ OPTIONAL = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozen
 KEEP_P = frozenset("body head html legend caption thead tbody tfoot tr td th li dd dt".split())
 
 #: Words of a class, id or role that mark an element as no part of the article.
-MARKS = frozenset("adverts advert advertisement advertising sponsor sponsored promo gdpr consent popup modal sidebar nav navbar navigation breadcrumb breadcrumbs comment comments disqus newsletter subscribe signup login masthead pagination pager copyright toolbar contentinfo complementary".split())
+MARKS = frozenset("adverts advert advertisement advertising sponsor sponsored promo gdpr consent popup modal sidebar nav navbar navigation breadcrumb breadcrumbs comment comments disqus newsletter subscribe signup login masthead pagination pager copyright toolbar contentinfo complementary kommentar kommentare leserkommentare commentaire commentaires comentario comentarios werbung anzeige anzeigen publicidad anuncio anuncios publicite".split())
 #: Words that do so only next to each other and to the words below them, as in "related-posts" but not in "related-work".
-WEAK = frozenset("ad ads promotion banner cookie cookies notice notices notification alert overlay aside menu header head footer foot discussion replies reply respond share sharing social related recommended subscription search form widget dialog skip".split())
+WEAK = frozenset("ad ads promotion banner cookie cookies notice notices notification alert overlay aside menu header head footer foot discussion replies reply respond share sharing social related recommended subscription search form widget dialog skip teaser teasers".split())
 FILLER = frozenset("a the to box bar block section area list links link buttons button icons icon posts articles items item stories widget container wrapper wrap outer inner top bottom left right global site sticky fixed row col column panel module region slot unit policy message danger info warning success primary secondary input field group".split())
 #: Words that belong to the article in "article-header" and to the rest in "article-share".
 OWN, FRAME, HEAD = frozenset("article post entry content body main text".split()), frozenset("header head footer foot banner form aside menu notice".split()), frozenset(["header", "head"])
+#: Words that name the first lines of an article where paragraphs have them.
+LEAD = frozenset(["teaser"])
 #: Words that make a class describe a page's layout.
 LAYOUT = frozenset("with has no without layout".split())
 
@@ -89,6 +97,7 @@ _SCOPE = {name: tuple({"table"} - {name}) if name in TABLE else ("table", "capti
 _SIBLINGS = {name: ("table",) if name in TABLE else tuple(BLOCKS - same - {"address", "div", "p"}) for name, same in OPTIONAL.items()}
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -197,8 +206,29 @@ def _ended(out: list, stack: list[Element]) -> list:
     return out
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The page's lines in order, their weights before any article counts, and which are the article's. Lines without text stand for its edges."""
+class Lines:
+    """A page's lines in order: text, weight, characters in links, whether the article's, whether a heading, and box; and the box around each box."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.weights: list[int] = []
+        self.linked: list[int] = []
+        self.inside: list[bool] = []
+        self.heading: list[bool] = []
+        self.boxes: list[int] = []
+        self.around: list[int] = [-1]  # box 0 is the page
+
+    def add(self, text: str, weight: int, linked: int, inside: bool, heading: bool, box: int) -> None:
+        self.texts.append(text)
+        self.weights.append(weight)
+        self.linked.append(linked)
+        self.inside.append(inside)
+        self.heading.append(heading)
+        self.boxes.append(box)
+
+
+def lines(page: str) -> Lines:
+    """The page's lines. Lines without text stand for the edges of the article."""
     found = parse(page)
     main = _article(found)
     following = [len(found)] * len(found)  # where the next block begins or ends
@@ -206,9 +236,9 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         after = found[k + 1]
         following[k] = k + 1 if after is None or isinstance(after, Element) and after.name in BLOCKS else following[k + 1]
     titles = [] if main else [k for k, e in enumerate(found) if isinstance(e, Element) and e.name == "h1"]
-    texts: list[str] = []
-    weights: list[int] = []
-    inside: list[bool] = []
+    out = Lines()
+    known: dict[tuple[int, str, str], int] = {}
+    open_: list[tuple[int, int]] = [(len(found) + 1, 0)]  # where the open boxes end
     text: list[str] = []
     linked, block = 0, ""
     off = cut = link = article = 0  # up to where the page is no part of the article, cut out of its line, a link, the article
@@ -219,16 +249,13 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 menu = linked >= LINKS * len(line) and at > article and block not in PROSE
-                texts.append(line)
-                weights.append(0 if at <= off or menu else len(line))
-                inside.append(at <= article)
+                out.add(line, 0 if at <= off or menu else len(line), linked, at <= article, block in HEADINGS, open_[-1][1])
             text.clear()
             linked = 0
 
     def edge() -> None:
-        texts.extend([""] * WINDOW)
-        weights.extend([0] * WINDOW)
-        inside.extend([False] * WINDOW)
+        for _ in range(WINDOW):
+            out.add("", 0, 0, False, False, 0)
 
     for k, e in enumerate(found):
         if isinstance(e, str):
@@ -239,6 +266,8 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         if e is None or e.name in BLOCKS:
             end(k)
             block = "" if e is None else e.name
+        while open_[-1][0] <= k:
+            open_.pop()
         if article and k >= article:
             edge()
             article = 0
@@ -259,15 +288,21 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         elif name in ("article", "main") and not article:
             edge()
             article = e.end
+        if name in BOXES and k >= off:
+            kind = (open_[-1][1], name, "".join((_CLASS.search(rest) or [""])[0].split()))
+            if kind not in known:
+                known[kind] = len(out.around)
+                out.around.append(kind[0])
+            open_.append((e.end, known[kind]))
     end(len(found))
-    return texts, np.array(weights, np.int64), np.array(inside, bool)
+    return out
 
 
 def no_part(e: Element, around: bool, within: bool) -> bool:
     """Whether an element is no part of the article. around: it has the article in it; within: it is in the article."""
     if e.name in OUTSIDE and not (e.name == "header" and within) and not (e.name == "form" and around):
         return True
-    return bool(e.rest) and e.name not in ("html", "body", "main") and not around and marked(e.rest, FRAME if e.name in HEADINGS else HEAD if within else frozenset())
+    return bool(e.rest) and e.name not in ("html", "body", "main") and not around and marked(e.rest, (FRAME if e.name in HEADINGS else HEAD if within else frozenset()) | (LEAD if e.name in PROSE else frozenset()))
 
 
 def _article(found: list) -> int:
@@ -283,16 +318,20 @@ def _article(found: list) -> int:
     return 0
 
 
-def adjusted(weights: np.ndarray, inside: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> tuple[np.ndarray, float]:
-    """Weights that take an article into account, and the threshold."""
-    own = weights * inside
-    article = bool(own.any())
-    total = np.concatenate([[0], np.cumsum(own if article else weights)])
-    densest = int((total[np.minimum(np.arange(len(weights)) + window, len(weights))] - total[:-1]).max(initial=0))
-    least = min(surge, SHARE * densest)
-    if not article:
-        return weights.astype(float), least
-    return np.where(inside, np.where(own > 0, np.maximum(own, least + 1), 0), weights * (least / (DENSER * densest))), least
+def weighed(page: Lines) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights by the page's own links and article, the lines' boxes (-1: the article), and whether there is one."""
+    weights, linked, boxes = (np.array(x, np.int64) for x in (page.weights, page.linked, page.boxes))
+    inside = np.array(page.inside, bool)
+    long, links = (np.bincount(boxes, x * (weights > 0), len(page.around)) for x in (weights, linked))
+    menus = (links >= BOX_LINKS * long) & (long < long.max(initial=0))
+    menus[0] = False
+    weights[menus[boxes]] = 0
+    own = int((weights * inside).sum())
+    if own:
+        boxes[inside] = -1
+        outside = np.bincount(boxes[~inside], weights[~inside], len(page.around)) > DENSER * own
+        weights[~inside & ~outside[boxes]] = 0
+    return weights, boxes, own > 0
 
 
 def kept(weights: np.ndarray, least: float, window: int = WINDOW) -> list[int]:
@@ -304,11 +343,34 @@ def kept(weights: np.ndarray, least: float, window: int = WINDOW) -> list[int]:
     return np.flatnonzero((weights > 0) & surges[stretch]).tolist()
 
 
+def chosen(page: Lines, window: int = WINDOW, surge: float = SURGE) -> list[int]:
+    """The lines of the main text."""
+    weights, boxes, article = weighed(page)
+    used = weights * (boxes == -1) if article else weights
+    total = np.concatenate([[0], np.cumsum(used)])
+    densest = int((total[np.minimum(np.arange(len(used)) + window, len(used))] - total[:-1]).max(initial=0))
+    at = np.flatnonzero(weights > 0)
+    shift = np.zeros(len(weights), np.int64)  # room for a dive before each line whose box is another than that of the line before
+    shift[at[1:]] = window * (boxes[at[1:]] != boxes[at[:-1]])
+    place = np.arange(len(weights)) + np.cumsum(shift)
+    spread = np.zeros(int(place[-1]) + 1 if len(place) else 0)
+    spread[place] = weights
+    surging = set(boxes[np.searchsorted(place, kept(spread, min(surge, SHARE * densest), window))].tolist())
+    for box in list(surging):
+        while box > 0 and (box := page.around[box]) not in surging:
+            surging.add(box)
+    out: list[int] = []
+    last = False  # whether the line after is kept
+    for i in reversed(at.tolist()):
+        last = int(boxes[i]) in surging or last and page.heading[i]
+        if last:
+            out.append(i)
+    return out[::-1]
+
+
 def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
-    texts, weights, inside = lines(page)
-    if not texts:
-        return ""
-    return "\n\n".join(texts[i] for i in kept(*adjusted(weights, inside, window, surge), window))
+    found = lines(page)
+    return "\n\n".join(found.texts[i] for i in chosen(found, window, surge))
 
 
 def extract(pages: DataFrame) -> DataFrame:

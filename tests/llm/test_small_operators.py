@@ -249,6 +249,47 @@ def test_pages_without_their_article_tags():
     assert right >= 0.98 * found and right >= 0.98 * wanted
 
 
+STORY = "".join(f"<p>Line {i} of a story about the rain on the hill.</p>" for i in range(6))
+STORY_TEXT = "\n\n".join(["Rain", *(f"Line {i} of a story about the rain on the hill." for i in range(6))])
+ADVERT = "<p>Buy the finest kettles of the whole country today for half of what they cost</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='rail'>{ADVERT * 3}</div><article><h1>Rain</h1><p>It rained.</p></article>", "Rain\n\nIt rained."),
+        (f"<div class='x9'><p>{'dense words ' * 100}</p></div><article><h1>Rain</h1>{STORY}</article>", STORY_TEXT),
+        (f"<article><h1>Rain</h1>{STORY}<div class='kommentare'><p>Nice</p></div></article>", STORY_TEXT),
+        (f"<article><h1>Rain</h1>{STORY}<div class='teaser'><a href=/x>Other</a><p>What came next</p></div></article>", STORY_TEXT),
+        (f"<article><h1>Rain</h1><p class='teaser'>A lead.</p>{STORY}</article>", STORY_TEXT.replace("Rain", "Rain\n\nA lead.", 1)),
+        # Boxes without any article element.
+        (f"<h1>Rain</h1>{STORY}<div class='q1'>Win a kettle now</div><p>End.</p>", STORY_TEXT + "\n\nEnd."),
+        (f"<div class=a><h1>Rain</h1></div><div class=b>{STORY}</div><div class=c><h3>Win</h3><p>a kettle</p></div>", STORY_TEXT),
+        (f"<div id=all><h1>Rain</h1><div class=t>{STORY}</div></div>", STORY_TEXT),
+        (f"<h1>Rain</h1><div class=n><p><a href=/1>One of the other stories</a> 3 <a href=/2>and one more of these stories, a long one</a></p>{ADVERT[:3]}</div>{STORY}", STORY_TEXT),
+        ("<section><p>only</p></section>", "only"),
+    ],
+)
+def test_boxes(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_say_nothing(seed, monkeypatch):
+    """Without any list of names, and classes drawn at random, short boxes around a dense one are left out."""
+    monkeypatch.setattr(html_text, "MARKS", frozenset())
+    monkeypatch.setattr(html_text, "WEAK", frozenset())
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    for k in range(100):
+        other = lambda: "".join(f"<div class='{word()}{i}'>{words(r.randint(1, 6))}</div>" for i in range(r.randint(0, 3)))  # noqa: B023, E731
+        text = [words(5), *(words(r.choice([1, 12, 40, 80])) for _ in range(r.randint(1, 6))), words(40)]
+        inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+        page = other() + (inner, f"<article>{inner}</article>", f"<div class='{word()}'>{inner}</div>")[k % 3] + other()
+        assert html_text.main_text(page) == "\n\n".join(text)
+
+
 def test_extract(spark):
     rows = [(i, f"http://h/{i}", p, "x") for i, (p, _) in enumerate(PAGES)] + [(3, None, PAGES[3][0], "x"), (None, "u", PAGES[4][0], "x")]
     pages_ = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
