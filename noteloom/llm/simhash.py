@@ -454,11 +454,14 @@ def split(nodes: DataFrame, pairs: DataFrame, limit: int, n_rows: int, similarit
     met = cut(hot.join(leaders, "b").mapInArrow(meet, "mark long, keys array<long>, k int, b long, node long, to long"))
     rest = heat(met.where("to is null").drop("node", "to"), n_rows)
     # By any second hash; two documents that share the first and one other meet.
-    others = F.filter(F.sequence(F.lit(0), F.lit(KEYS + EXTRA - 1)), lambda j: j != F.col("k"))
-    # Two hashes name one bucket whichever of them comes first, so that what two hot buckets share is dealt once.
+    # Two hashes name one bucket whichever of them comes first, so what two hot buckets share is dealt once: of a row all its hot
+    # hashes come together, and only the different buckets they name go out.
     key = lambda j: F.element_at("keys", j + 1)
-    both = F.transform(others, lambda j: F.xxhash64(F.least("k", j), key(F.least("k", j)), F.greatest("k", j), key(F.greatest("k", j))))
-    again = heat(rest.where("size is not null").select("mark", F.explode(both).alias("b")).distinct(), n_rows * (KEYS + EXTRA - 1))
+    second = lambda k, j: F.xxhash64(F.least(k, j), key(F.least(k, j)), F.greatest(k, j), key(F.greatest(k, j)))
+    others = lambda k: F.filter(F.sequence(F.lit(0), F.lit(KEYS + EXTRA - 1)), lambda j: j != k)
+    both = F.array_distinct(F.flatten(F.transform("ks", lambda k: F.transform(others(k), lambda j: second(k, j)))))
+    hot = rest.where("size is not null").groupBy("mark").agg(F.collect_set("k").alias("ks"), F.first("keys").alias("keys"))
+    again = heat(hot.select("mark", F.explode(both).alias("b")), n_rows * (KEYS + EXTRA - 1))
     parts = F.ceil(F.col("size") / most).cast("int")
     block = F.pmod(F.xxhash64("mark", F.lit(LEADERS)), parts).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != block), lambda x: F.xxhash64("b", F.least(x, block), F.greatest(x, block)))
