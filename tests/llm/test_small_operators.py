@@ -90,6 +90,12 @@ def test_bpe_digests(spark, plain_bpe):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_bpe_of_an_empty_table(spark):
+    _, docs = docs_of(spark, TEXTS)
+    assert bpe.bpe_digests(docs.limit(0)).collect() == []
+    assert bpe.bpe_encode(docs.limit(0)).collect() == []
+
+
 def test_bpe_without_language(spark):
     docs = spark.createDataFrame([("one two", 1, 5), (None, None, 6)], "text string, doc_id long, ids long")
     got = {r.doc_id: r for r in bpe.bpe_encode(docs).collect()}
