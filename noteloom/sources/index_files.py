@@ -54,22 +54,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one where it is missing."""
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def load_index(spark: SparkSession, folder: str) -> LexicalIndex:
-    if not exists(spark, f"{folder}/postings"):
-        return lexical.empty(spark)
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_stats", "corpus_stats")))
-
-
-def load_stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/vectors"
-    return spark.read.parquet(path) if exists(spark, path) else vector.with_norms(vector.empty(spark))
-
-
 def export_json(index: LexicalIndex, docs: DataFrame, vectors: DataFrame, path: str) -> None:
     """Line-wise JSON of each table, for other programs; written in parallel."""
     for name, frame in (("postings", index.postings), ("term_stats", index.term_stats), ("corpus_stats", index.corpus_stats), ("documents", docs), ("vectors", vectors)):
