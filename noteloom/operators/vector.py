@@ -53,46 +53,111 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield own, values[starts[own][:, None] + np.arange(size)]
 
 
-def _blocks(frame: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """Rows (columns, embedding) as blocks of vectors of one length: their columns as lists, and the matrix as bytes."""
-    schema = ", ".join(f"{c} array<{dict(frame.dtypes)[c]}>" for c in columns) + ", size int, data binary"
+def blocks(frame: DataFrame, columns: list[str], block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """Rows (columns, embedding) as blocks of vectors of one length, and of one value of ``by``: their columns as lists, and the matrix as bytes."""
+    kinds = dict(frame.dtypes)
+    schema = ", ".join(f"{c} array<{kinds[c]}>" for c in columns) + ", size int, data binary" + (f", {by} {kinds[by]}" if by else "")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, block):
-                batch = whole.slice(at, block)
-                for own, matrix in matrices(batch.column(len(columns))):
-                    rows = pa.array(own)
-                    yield pa.RecordBatch.from_pydict({c: [batch.column(k).take(rows).to_pylist()] for k, c in enumerate(columns)} | {"size": pa.array([matrix.shape[1]], pa.int32()), "data": [matrix.tobytes()]})
-
-    return frame.select(*columns, "embedding").mapInArrow(pack, schema)
-
-
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """The k vectors most similar to each of many queries (query_id, embedding): exactly, every block of queries against every block of vectors, of which only the best of each block go on."""
-    kind = dict(queries.dtypes)["query_id"]
+        for batch in batches:
+            for own, matrix in matrices(batch.column(len(columns))):
+                groups = [(None, np.arange(len(own)))]
+                if by:
+                    kept = batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)[own]
+                    groups = [(g, np.flatnonzero(kept == g)) for g in np.unique(kept).tolist()]
+                for group, members in groups:
+                    for at in range(0, len(members), block):
+                        part = members[at : at + block]
+                        rows = pa.array(own[part])
+                        row = {c: pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column(k).take(rows)) for k, c in enumerate(columns)}
+                        yield pa.RecordBatch.from_pydict(row | {"size": pa.array([matrix.shape[1]], pa.int32()), "data": [matrix[part].tobytes()]} | ({by: pa.array([group], pa.int32())} if by else {}))
+
+    return frame.select(*columns, "embedding", *([by] if by else [])).mapInArrow(pack, schema)
+
+
+class _Best:
+    """The best k so far of each query of a block, by score and then document order."""
+
+    def __init__(self, ids: list, k: int):
+        self.ids, self.k = ids, k
+        self.score, self.order = np.zeros((len(ids), k)), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.doc = np.full((len(ids), k), None, object)
+
+    def add(self, rows: np.ndarray, score: np.ndarray, order: np.ndarray, docs: np.ndarray) -> None:
+        """Scores of documents for some of the queries. Only what may still be among the best is rounded and sorted."""
+        least, last = self.score[rows, -1], self.order[rows, -1]
+        at, to = np.nonzero(score >= (least - 1e-6)[:, None])
+        found = np.round(score[at, to], 6)
+        keep = (found > 0) & ((found > least[at]) | (found == least[at]) & (order[to] < last[at]))
+        at, to, found = at[keep], to[keep], found[keep]
+        if not len(at):
+            return
+        touched = np.unique(at)
+        queries = np.concatenate([rows[at], np.repeat(rows[touched], self.k)])
+        values = np.concatenate([found, self.score[rows[touched]].ravel()])
+        orders = np.concatenate([order[to], self.order[rows[touched]].ravel()])
+        ids = np.concatenate([docs[to], self.doc[rows[touched]].ravel()])
+        by = np.lexsort((orders, -values, queries))
+        sorted_queries = queries[by]
+        place = np.arange(len(by)) - np.searchsorted(sorted_queries, sorted_queries)
+        by, place = by[place < self.k], place[place < self.k]
+        self.score[queries[by], place], self.order[queries[by], place], self.doc[queries[by], place] = values[by], orders[by], ids[by]
+
+    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
+        at, to = np.nonzero(self.score > 0)
+        return pa.RecordBatch.from_pydict({"query_id": [self.ids[i] for i in at.tolist()], "doc_ord": self.order[at, to], "doc_id": self.doc[at, to].tolist(), "score": self.score[at, to]}, schema=schema)
+
+
+#: Blocks of queries whose best a task holds at a time.
+HELD = 64
+
+
+def search_blocks(queries: DataFrame, vectors: DataFrame, kind: str, k: int) -> DataFrame:
+    """Blocks of queries (query_id, size, data; lists) against blocks of vectors (doc_ord, doc_id, size, data; list), every pair, with lists only the queries that ask for the block's list.
+
+    A task keeps the best k of each query over all blocks that it meets, and passes on nothing else, so rows grow with the queries and the tasks and not with the pairs.
+    """
+    listed = "list" in vectors.columns
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[_Best, dict[int, np.ndarray] | None]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                q, v = (np.frombuffer(row[c], np.float64).reshape(-1, row["size"]) for c in ("q", "v"))
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                number, size = row["block"].as_py(), row["size"].as_py()
+                if number not in held:
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held)))[0].rows(found)
+                    ids, asking = row["query_id"].as_py(), None
+                    if listed:
+                        lists = row["lists"].as_py()
+                        flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                        asking = {x: owner[flat == x] for x in np.unique(flat).tolist()}
+                    held[number] = _Best(ids, k), asking
+                top, asking = held[number]
+                rows = np.arange(len(top.ids)) if asking is None else asking.get(row["list"].as_py())
+                if rows is None:
+                    continue
+                q, v = (np.frombuffer(row[c].as_buffer(), np.float64).reshape(-1, size) for c in ("q", "v"))
+                q = q if asking is None else q[rows]
                 sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
-                score = np.round(np.divide(q @ v.T, sizes, out=np.zeros(sizes.shape), where=sizes > 0), 6)
-                order = np.array(row["doc_ord"])
-                # The best k of each query, ties by document order.
-                rank = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
-                at, to = np.repeat(np.arange(len(q)), rank.shape[1]), rank.ravel()
-                keep = score[at, to] > 0
-                at, to = at[keep], to[keep]
-                yield pa.RecordBatch.from_pydict({"query_id": [row["query_id"][i] for i in at.tolist()], "doc_ord": pa.array(order[to], pa.int64()), "doc_id": [row["doc_id"][i] for i in to.tolist()], "score": pa.array(score[at, to])}, schema=found)
+                score = np.divide(q @ v.T, sizes, out=np.zeros(sizes.shape), where=sizes > 0)
+                top.add(rows, score, row["doc_ord"].values.to_numpy(), row["doc_id"].values.to_numpy(zero_copy_only=False))
+        for top, _ in held.values():
+            yield top.rows(found)
 
     found = pa.schema([("query_id", pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()), ("doc_ord", pa.int64()), ("doc_id", pa.string()), ("score", pa.float64())])
-    left = _blocks(queries, ["query_id"], block).withColumnRenamed("data", "q")
-    right = _blocks(vectors, ["doc_ord", "doc_id"], block).withColumnRenamed("data", "v")
-    pairs = left.crossJoin(right.withColumnRenamed("size", "other")).where(F.col("size") == F.col("other")).drop("other")
+    left = queries.withColumnRenamed("data", "q").withColumn("block", F.monotonically_increasing_id())
+    right = vectors.withColumnRenamed("data", "v").withColumnRenamed("size", "other")
+    pairs = left.crossJoin(right).where(F.col("size") == F.col("other")).drop("other")
     return ranked_many(pairs.mapInArrow(best, f"query_id {kind}, doc_ord long, doc_id string, score double"), k)
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """The k vectors most similar to each of many queries (query_id, embedding): exactly, every block of queries against every block of vectors."""
+    return search_blocks(blocks(queries, ["query_id"], block), blocks(vectors, ["doc_ord", "doc_id"], block), dict(queries.dtypes)["query_id"], k)
+
+
 def ranked_many(found: DataFrame, k: int) -> DataFrame:
     """The best k of each query's (doc_ord, doc_id, score) with their ranks; ties go by document order."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_ord"))

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions.similarity import cosine
 from noteloom.operators import vector
 
 #: Bounds of the sample and of the number of lists.
@@ -84,22 +83,20 @@ class VectorLists:
         return vector.search(self.vectors.where(F.col("list").isin(wanted)), query, k)
 
     def search_many(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
-        """The same for many queries (query_id, embedding), which meet the vectors of their lists in one join."""
+        """The same for many queries (query_id, embedding): blocks of queries against blocks of vectors of one list, of which a block of queries takes those that ask for the list."""
         kind, most, centroids = dict(queries.dtypes)["query_id"], probes or self.probes, self.centroids
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, lists = [np.arange(batch.num_rows)], [np.full(batch.num_rows, -1)]
+                lists = [[-1]] * batch.num_rows
                 for own, matrix in vector.matrices(batch.column(1)):
                     if len(centroids) and matrix.shape[1] == centroids.shape[1]:
-                        near = nearest(matrix, centroids, most)
-                        rows.append(np.repeat(own, near.shape[1]))
-                        lists.append(near.ravel())
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(np.concatenate(rows))) for c in batch.columns), pa.array(np.concatenate(lists), pa.int32())], names=["query_id", "query", "list"])
-
-        asked = queries.select("query_id", F.col("embedding").cast("array<float>").alias("query")).mapInArrow(dealt, f"query_id {kind}, query array<float>, list int")
-        found = self.vectors.join(asked, "list").select("query_id", "doc_ord", "doc_id", F.round(cosine("embedding", "query", F.col("norm")), 6).alias("score")).where("score > 0")
-        return vector.ranked_many(found, k)
+                        for row, near in zip(own.tolist(), nearest(matrix, centroids, most).tolist()):
+                            lists[row] = [-1, *near]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "embedding", "lists"])
+
+        asked = queries.select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(dealt, f"query_id {kind}, embedding array<float>, lists array<int>")
+        return vector.search_blocks(vector.blocks(asked, ["query_id", "lists"]), vector.blocks(self.vectors, ["doc_ord", "doc_id"], by="list"), kind, k)
 
 
 def write(vectors: DataFrame, root: str, lists: int | None = None) -> VectorLists:

@@ -242,10 +242,13 @@ def cosine_topk_many(spark, d):
 @query(f"WITH {_MANY} SELECT query_id, count(*) AS n_exact, true AS recall_reached FROM many GROUP BY query_id")
 def vector_lists_recall(spark, d):
     """Searches of lists against exact ones: the neighbours of each query, and whether nine tenths of all are found."""
-    lists = vector_lists.write(corpus.vectors(spark, d), _folder(spark))
+    root = _folder(spark)
+    lists = vector_lists.write(corpus.vectors(spark, d), root)
     found = lists.search_many(_asked(spark, d), K).select("query_id", "doc_id", F.lit(1).alias("hit"))
     exact = vector.search_many(corpus.vectors(spark, d), _asked(spark, d), K).join(found, ["query_id", "doc_id"], "left")
-    each = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_hit"))
+    # Written, as it is read twice: a row for each query.
+    exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_hit")).write.parquet(f"{root}/recall")
+    each = spark.read.parquet(f"{root}/recall")
     return each.crossJoin(each.agg((F.sum("n_hit") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))).select("query_id", "n_exact", "recall_reached")
 
 

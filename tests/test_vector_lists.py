@@ -66,3 +66,17 @@ def test_edges(spark, tmp_path):
     assert [r.doc_id for r in same.search([1.0, 2.0], 3).collect()] == ["0", "1", "2"]
     s = searcher.Searcher(None, None, vectors, lists=same)
     assert [r.doc_id for r in s.by_vector([1.0, 2.0], 2).collect()] == ["0", "1"]
+
+
+def test_many_queries_pass_on_their_best_once_a_task(spark):
+    """Rows before the ranking follow the queries and the tasks, not the pairs of blocks."""
+    vectors = corpus.vectors(spark, DATA).coalesce(1).cache()
+    queries = vectors.where("doc_ord % 20 = 0").select(F.col("doc_ord").alias("query_id"), "embedding")
+    made = spark.sparkContext.accumulator(0)
+    ranked, vector.ranked_many = vector.ranked_many, lambda found, k: found
+    try:
+        found = vector.search_many(vectors, queries, 10, block=16)
+    finally:
+        vector.ranked_many = ranked
+    found.foreach(lambda _: made.add(1))
+    assert made.value == 10 * queries.count()
