@@ -45,12 +45,14 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def from_tokens(rows: DataFrame) -> LexicalIndex:
-    """An index of rows (doc_ord, doc_id, tokens); tokens may repeat. Documents are told apart by doc_ord."""
-    postings = (
-        _exploded(rows)
-        .groupBy("term", "doc_ord", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "doc_ord", "doc_id", "tf", "dl")
-    )
+    """An index of rows (doc_ord, doc_id, tokens), a row for each document; tokens may repeat. They are counted within their row, so no token is shuffled for its frequency."""
+    dl, after = F.size("tokens").cast("long"), F.col("found")
+    ordered = rows.select("doc_ord", "doc_id", dl.alias("dl"), F.sort_array("tokens").alias("tokens")).withColumn("next", F.concat(F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1))), F.array(F.lit(None).cast("string"))))
+    # The places at which equal tokens end; a token's count is the distance to the place before.
+    ends = F.filter(F.transform(F.arrays_zip("tokens", "next"), lambda x, i: F.struct(x["tokens"].alias("term"), (i + 1).alias("end"), (~x["tokens"].eqNullSafe(x["next"])).alias("last"))), lambda x: x["last"])
+    found = ordered.select("doc_ord", "doc_id", "dl", ends.alias("found"))
+    counted = F.transform(F.arrays_zip(after.alias("now"), F.concat(F.array(F.lit(0)), F.transform(after, lambda x: x["end"])).alias("start")), lambda x: F.struct(x["now"]["term"].alias("term"), (x["now"]["end"] - x["start"]).cast("long").alias("tf")))
+    postings = found.select("doc_ord", "doc_id", "dl", F.explode_outer(counted).alias("p")).where("p.term is not null").select("p.term", "doc_ord", "doc_id", "p.tf", "dl")
     corpus = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)).alias("avg_dl"))
     return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
 

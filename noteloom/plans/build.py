@@ -72,19 +72,19 @@ def full(
     step, (name, folder) = _Steps(progress, 6 if with_vectors else 5), _segment(root)
     step("documents")
     # Tokenised once, and read again for all that follows.
-    store.prepared(docstore.latest(docs), analyser).write.parquet(f"{folder}/documents")
+    store.write_table(store.prepared(docstore.latest(docs), analyser), f"{folder}/documents")
     rows = spark.read.parquet(f"{folder}/documents")
     step("postings")
     store.write_postings(lexical.postings_of(rows), f"{folder}/postings")
     step("statistics")
     _together(
-        lambda: spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/term_stats"),
+        lambda: store.write_table(spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{folder}/term_stats"),
         lambda: _no_ids(spark).write.parquet(f"{folder}/gone"),
     )
     if with_vectors:
         step("vectors")
         vectors = vector.with_norms(vector.embed(rows, embedder)) if embedder else Stored(spark, root, old).vectors
-        vectors.write.parquet(f"{folder}/vectors")
+        store.write_table(vectors, f"{folder}/vectors")
     step("metadata")
     n, dl = _sums(rows)
     store.publish(spark, root, Manifest((old.number if old else 0) + 1, (name,), n, dl, created_at, model, incremental.SCHEMA_VERSION, (name,) if with_vectors else ()))
@@ -99,13 +99,22 @@ def _changes(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     return incremental.compare(new, hashes)
 
 
+def _fresh(docs: DataFrame, statuses: DataFrame, counts: dict) -> DataFrame:
+    """The documents that are added or modified. Where that is all or none of them, no text is shuffled to find them."""
+    if not counts["embeddings_needed"]:
+        return docs.limit(0)
+    if not counts["unchanged"]:
+        return docs.where("id is not null")
+    return docs.join(statuses.where(F.col("status").isin("added", "modified")).select("id"), "id", "left_semi").select(*docs.columns)
+
+
 def _change(spark: SparkSession, root: str, old: Manifest, docs: DataFrame, statuses: DataFrame, counts: dict, created_at: str, embedder, model: str | None, progress: Progress, analyser: Analyser) -> Built:
     """A segment of the added and modified documents, and of the ids of removed and modified ones."""
     stored, step, (name, folder) = Stored(spark, root, old), _Steps(progress, 6 if embedder else 5), _segment(root)
-    fresh = statuses.where(F.col("status").isin("added", "modified")).select("id")
+    fresh = _fresh(docs, statuses, counts)
     step("documents")
     _together(
-        lambda: store.prepared(docstore.upsert(docs.join(fresh, "id", "left_semi")), analyser).write.parquet(f"{folder}/documents"),
+        lambda: store.write_table(store.prepared(docstore.latest(fresh), analyser), f"{folder}/documents"),
         lambda: statuses.where(F.col("status").isin("removed", "modified")).select("id").write.parquet(f"{folder}/gone"),
     )
     rows, gone = spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/gone")
@@ -113,13 +122,13 @@ def _change(spark: SparkSession, root: str, old: Manifest, docs: DataFrame, stat
     step("postings")
     step("statistics")
     delta = store.frequencies(rows).unionByName(store.frequencies(replaced, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-    jobs = [lambda: store.write_postings(lexical.postings_of(rows), f"{folder}/postings"), lambda: delta.write.parquet(f"{folder}/term_stats")]
+    jobs = [lambda: store.write_postings(lexical.postings_of(rows), f"{folder}/postings"), lambda: store.write_table(delta, f"{folder}/term_stats")]
     vectors = old.vectors
     if embedder:
         step("vectors")
         # The first vectors of an index are those of all documents in force.
         texts = rows if old.vectors else stored.rows.join(gone, "id", "left_anti").select(*rows.columns).unionByName(rows)
-        jobs.append(lambda: vector.with_norms(vector.embed(texts, embedder)).write.parquet(f"{folder}/vectors"))
+        jobs.append(lambda: store.write_table(vector.with_norms(vector.embed(texts, embedder)), f"{folder}/vectors"))
         vectors = (*vectors, name)
     _together(*jobs)
     step("metadata")
@@ -135,15 +144,19 @@ def _change(spark: SparkSession, root: str, old: Manifest, docs: DataFrame, stat
 
 
 def compact(spark: SparkSession, root: str) -> str:
-    """All segments as one, without tokenising or embedding anything again."""
+    """All segments as one, without tokenising or embedding anything again. One segment stays as it is."""
     old = store.current(spark, root)
+    if len(old.segments) == 1:
+        return f"{root}/{old.segments[0]}"
     stored, (name, folder) = Stored(spark, root, old), _segment(root)
+    store.write_table(stored.rows, f"{folder}/documents")
+    # Postings follow from the documents that are left; to take the gone ones from postings would shuffle those.
     jobs = [
-        lambda: stored.rows.write.parquet(f"{folder}/documents"), lambda: store.write_postings(stored.postings, f"{folder}/postings"),
-        lambda: stored.term_stats.write.parquet(f"{folder}/term_stats"), lambda: _no_ids(spark).write.parquet(f"{folder}/gone"),
+        lambda: store.write_postings(lexical.postings_of(spark.read.parquet(f"{folder}/documents")), f"{folder}/postings"),
+        lambda: store.write_table(stored.term_stats, f"{folder}/term_stats"), lambda: _no_ids(spark).write.parquet(f"{folder}/gone"),
     ]
     if old.vectors:
-        jobs.append(lambda: stored.vectors.write.parquet(f"{folder}/vectors"))
+        jobs.append(lambda: store.write_table(stored.vectors, f"{folder}/vectors"))
     _together(*jobs)
     store.publish(spark, root, old.next(segments=(name,), vectors=(name,) if old.vectors else (), changed=0))
     store.clean(spark, root)

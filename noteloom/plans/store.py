@@ -28,6 +28,8 @@ from noteloom.sources.hadoop import Files
 
 #: Manifests that stay; readers may go on with the state of an earlier one. Segments that no longer belong to any of them go.
 KEPT = 3
+#: How Parquet packs the tables of a segment.
+CODEC = "zstd"
 DOCUMENT = "id string, title string, date timestamp, tags array<string>, text string, doc_ord long"
 _NAME = re.compile(r"manifest-(\d{12})\.json")
 
@@ -174,9 +176,17 @@ def frequencies(tokens: DataFrame, sign: int = 1) -> DataFrame:
     return tokens.select(F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term").agg((sign * F.count(F.lit(1))).cast("long").alias("df"))
 
 
+def write_table(rows: DataFrame, path: str) -> None:
+    """A table of a segment."""
+    rows.write.option("compression", CODEC).parquet(path)
+
+
 def write_postings(postings: DataFrame, path: str) -> None:
-    """Sorted by term, so that a search reads only the row groups that hold its terms; a common term fills as many files as it needs."""
-    postings.select("term", "doc_ord", "doc_id", "tf", "dl").repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "doc_ord").write.parquet(path)
+    """Each task sorts those of its own documents by term, so nothing is shuffled, and of each file a search reads only the pages that hold its terms.
+
+    A file names few documents, so their ids and numbers are stored as short codes; a common term fills all files alike.
+    """
+    write_table(postings.select("term", "doc_ord", "doc_id", "tf", "dl").sortWithinPartitions("term", "doc_ord"), path)
 
 
 def supported(manifest: Manifest) -> bool:

@@ -329,6 +329,22 @@ def test_json_store(spark, tmp_path):
     assert (s.docs.count(), s.bm25("a", 3).count(), s.has_vector_index()) == (0, 0, False)
 
 
+def test_postings_stay_with_their_documents_and_one_segment_is_compact(spark, tmp_path):
+    """Each file of postings holds whole documents, sorted by term: none was shuffled."""
+    docs = spark.range(40).repartition(4).select(F.col("id").cast("string").alias("id"), F.lit("T").alias("title"), F.lit(AT).alias("date"), F.array().cast("array<string>").alias("tags"), F.concat(F.lit("alpha beta word"), "id").alias("text"), F.col("id").alias("doc_ord"))
+    build.full(spark, docs, str(tmp_path), "t")
+    build.incremental_build(spark, docs.where("id <> '3'"), str(tmp_path), "t")
+    build.compact(spark, str(tmp_path))
+    rows = Stored.open(spark, str(tmp_path)).postings.select("doc_id", "term", F.input_file_name().alias("file")).collect()
+    assert len(rows) == 39 * 5 and len({r.file for r in rows}) > 1 and len({(r.doc_id, r.file) for r in rows}) == 39
+    for file in {r.file for r in rows}:
+        terms = [r.term for r in spark.read.parquet(file).collect()]
+        assert terms == sorted(terms)
+    before = store.current(spark, str(tmp_path))
+    build.compact(spark, str(tmp_path))
+    assert store.current(spark, str(tmp_path)) == before
+
+
 def test_export(spark, tmp_path):
     build.full(spark, spark.createDataFrame(OLD, SCHEMA), f"{tmp_path}/i", "t")
     s = Searcher.open(spark, f"{tmp_path}/i")

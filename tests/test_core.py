@@ -101,6 +101,13 @@ def test_legacy_corpus_counts_repeats(spark):
     assert index.corpus_stats.first().avg_dl == 1.5
 
 
+def test_tokens_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(0, "a", ["x", "y", "x", "", "x"]), (1, "b", None), (2, "c", [None, "y", "y"])], "doc_ord long, doc_id string, tokens array<string>")
+    postings = lexical.from_tokens(rows).postings
+    assert sorted(tuple(r) for r in postings.collect()) == [("", 0, "a", 1, 5), ("x", 0, "a", 3, 5), ("y", 0, "a", 1, 5), ("y", 2, "c", 2, 3)]
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_json_indexes(spark, tmp_path):
     (tmp_path / "legacy.json").write_text('{"doc_ids": ["a"], "corpus": [["x", "x"]]}')
     (tmp_path / "own.json").write_text('{"doc_ids": ["a"],\n "doc_tokens": [["x"]]}')
