@@ -550,8 +550,9 @@ def json_store_search(spark, d):
 
 @query(f"WITH {_DOCS} SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, array_to_string(tags, ',') AS tags, text, CAST(row_number() OVER (ORDER BY doc_ord) - 1 AS BIGINT) AS doc_ord, left(sha256(title || chr(0) || text), 16) AS h FROM docs")
 def json_store_documents(spark, d):
-    docs, _, _, meta = index_files.load_store(spark, _json_store(spark, d))
-    hashes = meta.select(F.explode("doc_hashes").alias("id", "h"))
+    folder = _json_store(spark, d)
+    docs = index_files.load_documents(spark, f"{folder}/{index_files.DOCUMENT_FILE}")
+    hashes = index_files.load_hashes(spark, f"{folder}/{index_files.METADATA_FILE}").withColumnRenamed("content_hash", "h")
     return docs.join(hashes, "id").select("id", "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("tags", ",").alias("tags"), "text", "doc_ord", "h")
 
 

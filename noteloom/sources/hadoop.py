@@ -53,7 +53,7 @@ class Files:
     def move(self, name: str, to: str) -> None:
         """Renames a file, over one that may be there."""
         source, target = self.path(f"{self.root}/{name}"), self.path(f"{self.root}/{to}")
-        self.fs.delete(target, False)
+        self.fs.delete(target, True)
         if not self.fs.rename(source, target):
             raise OSError(f"{name} can't become {to}")
 

@@ -32,3 +32,12 @@ def numbered(lines: DataFrame) -> DataFrame:
     blocks = before(blocks, "n").withColumn("input", F.dense_rank().over(W.orderBy("file")) - 1)
     line = F.col("before") + F.col("at") - F.col("first") + 1
     return placed.join(blocks, ["file", "block"]).select(*lines.columns, line.alias("line_no"), F.col("input").cast("long").alias("input"))
+
+
+def ordered(lines: DataFrame) -> DataFrame:
+    """``lines`` with line, from zero through all files in the order of their names."""
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    earlier = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return placed.join(blocks.drop("n"), ["file", "block"]).select(*lines.columns, (F.col("before") + F.col("at") - F.col("first")).alias("line"))

@@ -336,7 +336,7 @@ def test_postings_stay_with_their_documents_and_one_segment_is_compact(spark, tm
     build.incremental_build(spark, docs.where("id <> '3'"), str(tmp_path), "t")
     build.compact(spark, str(tmp_path))
     rows = Stored.open(spark, str(tmp_path)).postings.select("doc_id", "term", F.input_file_name().alias("file")).collect()
-    assert len(rows) == 39 * 5 and len({r.file for r in rows}) > 1 and len({(r.doc_id, r.file) for r in rows}) == 39
+    assert len(rows) == 39 * 6 and len({r.file for r in rows}) > 1 and len({(r.doc_id, r.file) for r in rows}) == 39
     for file in {r.file for r in rows}:
         terms = [r.term for r in spark.read.parquet(file).collect()]
         assert terms == sorted(terms)
@@ -345,6 +345,24 @@ def test_postings_stay_with_their_documents_and_one_segment_is_compact(spark, tm
     assert store.current(spark, str(tmp_path)) == before
 
 
+def test_json_store_in_parts(spark, tmp_path, monkeypatch):
+    """A store of many lines is written by several tasks, and its parts together are the JSON text; it is read in splits."""
+    monkeypatch.setattr(index_files, "PART_ROWS", 7)
+    docs = spark.createDataFrame([(f"n{k}", "T\n]", AT, ["x"], f"word{k} ]}}", k * 3) for k in range(40)], SCHEMA)
+    vectors = docs.select(F.col("id").alias("doc_id"), F.array(F.col("doc_ord").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), "doc_ord")
+    for _ in range(2):
+        index_files.export_store(lexical.tokenised(docs), docs, vectors, incremental.metadata(docs, "t", "m"), incremental.hashes(docs), str(tmp_path))
+    for name in (index_files.BM25_FILE, index_files.VECTOR_FILE, index_files.DOCUMENT_FILE, index_files.METADATA_FILE):
+        parts = sorted((tmp_path / name).glob("part-*"))
+        assert len(parts) > 4 and max(len(p.read_text().splitlines()) for p in parts) < 25 and json.loads("".join(p.read_text() for p in parts))
+    found, index, stored, meta = index_files.load_store(spark, str(tmp_path))
+    assert sorted((r.doc_ord, r.id, r.text) for r in found.collect()) == [(k, f"n{k}", f"word{k} ]}}") for k in range(40)]
+    assert sorted((r.doc_ord, r.doc_id, r.embedding[0]) for r in stored.collect()) == [(k, f"n{k}", 3.0 * k) for k in range(40)]
+    assert {(r.doc_ord, r.doc_id) for r in index.postings.where("term = 'WORD7'").collect()} == {(7, "n7")}
+    assert (meta.first().doc_count, meta.first().created_at, len(meta.first().doc_hashes)) == (40, "t", 40)
+    assert index_files.load_hashes(spark, f"{tmp_path}/{index_files.METADATA_FILE}").count() == 40
+
+
 def test_export(spark, tmp_path):
     build.full(spark, spark.createDataFrame(OLD, SCHEMA), f"{tmp_path}/i", "t")
     s = Searcher.open(spark, f"{tmp_path}/i")
