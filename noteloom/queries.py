@@ -16,7 +16,7 @@ from noteloom.operators import cache, docstore, fusion, incremental, lexical, re
 from noteloom.plans import build, vector_lists
 from noteloom.plans import searcher as S
 from noteloom.plans.store import Stored
-from noteloom.sources import changelog, files, index_files, jsonl
+from noteloom.sources import changelog, files, index_files, jsonl, lines
 from noteloom.sources.hadoop import shared_folder
 
 QUERY, SECOND, TAG = "the thion src3", "erth ANDOF src11", "en"
@@ -520,8 +520,7 @@ def _note_files(spark, docs) -> list[str]:
 def changelog_files(spark, d):
     """Files read in the order given; documents are numbered in that order."""
     found = changelog.documents(spark, _note_files(spark, corpus.documents(spark, d)))
-    place = F.row_number().over(W.orderBy("doc_ord")).cast("int").alias("n")
-    return found.select(place, "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "text", "id")
+    return lines.ranked(found, "doc_ord", "n").select(F.col("n").cast("int").alias("n"), "title", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "text", "id")
 
 
 @query(f"WITH {_DOCS} SELECT CAST(row_number() OVER (ORDER BY tags[1] DESC, doc_ord) AS INTEGER) AS rank, 'T' || id AS title FROM docs ORDER BY rank LIMIT {K}")

@@ -96,3 +96,12 @@ def test_counts_are_sent_and_lines_are_not_shuffled(spark, json_files):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
+def test_places_follow_from_counts_of_ranges(spark):
+    numbers = [*range(0, 90, 3), *range(1 << 33, (1 << 33) + 40), 1 << 40]
+    found = lines.ranked(spark.createDataFrame([(n,) for n in reversed(numbers)], "k long"), "k", "n", bits=4)
+    assert sorted((r.n, r.k) for r in found.collect()) == [(i + 1, n) for i, n in enumerate(numbers)]
+    # Rows with their other columns meet in ranges; only counts of ranges in one task.
+    for node in found._jdf.queryExecution().executedPlan().toString().split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in node.split("\n")[1]
