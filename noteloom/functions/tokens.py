@@ -11,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ KEPT_POS = ("名詞", "動詞", "形容詞", "副詞")
 DROPPED_DETAILS = ("非自立", "接尾", "数")
 
 
+#: Texts whose morphemes a task holds as Python objects at a time.
+SLICE = 64
 Analyser = Callable[[Column], Column]
 #: Of a morpheme's details the parts of speech, and where the base form is.
 _POS, _DETAIL, _BASE = 0, 1, 6
@@ -41,10 +43,12 @@ def kept_form(surface: str, details: Sequence[str]) -> str | None:
 def morphological(analyse: Callable[[str], Sequence[tuple[str, Sequence[str]]]]) -> Analyser:
     """A column function from a program that gives (surface, details) of each morpheme of a text. Tokens may repeat; blank texts have none."""
 
-    @F.pandas_udf("array<string>")
-    def forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: [f for m in analyse(t) if (f := kept_form(*m)) is not None] if t and t.strip() else [])
+    @F.arrow_udf("array<string>")
+    def forms(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            for at in range(0, len(whole), SLICE):
+                part = whole.slice(at, SLICE).to_pylist()
+                yield pa.array([[f for m in analyse(t) if (f := kept_form(*m)) is not None] if t and t.strip() else [] for t in part], pa.list_(pa.string()))
 
     return lambda text: forms(col(text))
 

@@ -6,13 +6,18 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.extract import SUMMARY, summary
 
 
+#: Texts that a task holds as Python objects at a time.
+SLICE = 256
+
+
 class RemoteError(Exception):
     """An error of a service. ``kind``: network, rate_limit, authentication, model_not_found, api or parse; ``retry_after`` in seconds."""
 
@@ -77,16 +82,19 @@ def summarise(extracted: DataFrame, chat: Callable[[str], str] | None = None, n:
         except RemoteError:
             return None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(at_once) as pool:
-            for frame in frames:
-                answers = pd.Series(list(pool.map(ask, frame["source"])), index=frame.index, dtype=object)
-                known = answers.notna()
-                yield frame.assign(summary=answers.where(known, frame["summary"]), summary_method=frame["summary_method"].where(~known, "llm")).drop(columns="source")
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
+                    answers = pa.array(list(pool.map(ask, batch.column("source").to_pylist())), pa.string())
+                    known = answers.is_valid()
+                    new = {"summary": pc.coalesce(answers, batch.column("summary").cast(pa.string())), "summary_method": pc.if_else(known, "llm", batch.column("summary_method").cast(pa.string()))}
+                    yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns)
 
     columns = [c for c in out.columns if c != "content"]
     flat = out.select(*columns, F.col("content.text").alias("source"))
-    return flat.mapInPandas(run, out.select(*columns).schema)
+    return flat.mapInArrow(run, out.select(*columns).schema)
 
 
 def use_chat(enabled: bool, api_key: str | None) -> bool:

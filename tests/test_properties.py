@@ -67,3 +67,17 @@ def test_results_do_not_depend_on_partitions(spark):
         found.append([tuple(r) for r in lexical.search(stored, "日本 a Z 9", 15).orderBy("rank").collect()])
     assert all(f == found[0] for f in found) and len(found[0]) == 15
     assert not incremental.counts(incremental.diff(docs.repartition(3), incremental.hashes(docs))).first().has_changes
+
+
+def test_analysers_and_chats_get_texts_in_slices(spark):
+    """However long the batches, a task gives out what it has after a slice of texts."""
+    from noteloom.functions import tokens as T
+    from noteloom.operators import remote
+
+    texts = spark.range(700).coalesce(1).select("id", F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    found = texts.select("id", T.morphological(lambda t: [(t, [T.KEPT_POS[0]])])("text").alias("t")).collect()
+    assert sorted((r.id, r.t) for r in found) == [(k, [f"w{k}"]) for k in range(700)]
+    content = F.struct("text", F.lit(1).cast("long").alias("total_chars"), F.lit(1).cast("long").alias("total_lines"))
+    rows = remote.summarise(texts.select("id", content.alias("content")), lambda t: t + "!").collect()
+    assert sorted((r.id, r.summary, r.summary_method) for r in rows) == [(k, f"w{k}!", "llm") for k in range(700)]
+    assert T.SLICE < 700 and remote.SLICE < 700
