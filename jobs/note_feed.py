@@ -25,11 +25,14 @@ from noteloom.operators import docstore, lexical
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 log = logging.getLogger("jobs.note_feed")
 VERSION = "id string, doc_ord long, title string, tags array<string>, content_hash string, status string, snippet string, dl long, tokens array<string>, batch long"
 POSTING = "term string, doc_ord long, doc_id string, tf long, dl long, batch long, bucket int"
 SNIPPET = 150
+#: Versions that are sent to all tasks at most, about 50 MB.
+BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,8 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as failed:
         if failed.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # Spark knows that this is empty when it plans, so a join with it costs nothing.
+        return spark.range(1).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
 
 
 def _last(rows: DataFrame, *columns: str) -> DataFrame:
@@ -76,16 +80,34 @@ def _last(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("id").agg(last).select("id", "last.*")
 
 
+def _in_force(rows: DataFrame, old: DataFrame | None, key: str) -> DataFrame:
+    """Rows of versions, or of their postings, that later versions don't replace."""
+    return rows if old is None else rows.join(old.withColumnRenamed("id", key), [key, "batch"], "left_anti")
+
+
+def replaced(found: DataFrame) -> DataFrame | None:
+    """(id, batch) of the versions that later ones replace; None if there are none. Ids and batches alone are shuffled."""
+    last = found.groupBy("id").agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "last")
+    # What is few goes to all tasks, so that Spark doesn't shuffle the large side before it has measured this one.
+    few = lambda rows, n: F.broadcast(rows) if n <= BROADCAST else rows
+    if not (notes := last.count()):
+        return None
+    old = found.select("id", "batch").join(few(last, notes), "id").where("batch < last").select("id", "batch")
+    return few(old, old.count())
+
+
 def in_force(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
-    """The notes in force, and their postings."""
-    last = _last(versions(spark, output), "doc_ord", "title", "tags", "content_hash", "status", "snippet", "dl").where("status <> 'removed'")
-    postings = _table(spark, f"{output}/postings", POSTING)
-    return last, postings.join(last.select(F.col("id").alias("doc_id"), "batch"), ["doc_id", "batch"], "left_semi")
+    """The notes in force with their tokens, and their postings."""
+    found = versions(spark, output)
+    old = replaced(found)
+    notes = _in_force(found, old, "id").where("status <> 'removed'").select("id", "batch", "doc_ord", "title", "tags", "content_hash", "status", "snippet", "dl", "tokens")
+    return notes, _in_force(_table(spark, f"{output}/postings", POSTING), old, "doc_id")
 
 
 def changes(batch: DataFrame, before: DataFrame) -> DataFrame:
     """Notes of a batch with what they do to the versions before it (added, modified, removed); those that change nothing are left out."""
-    new = docstore.upsert(batch).withColumn("content_hash", content_hash("title", F.col("text")))
+    # Only notes that occur more than once in the batch are shuffled.
+    new = docstore.latest(batch).withColumn("content_hash", content_hash("title", F.col("text")))
     # Only ids of the batch are looked up; Spark sends a small batch to the versions instead of shuffling them.
     known = _last(before.join(new.select("id"), "id", "left_semi"), "content_hash", "status").select("id", F.col("content_hash").alias("was"), (F.col("status") != "removed").alias("there"))
     there = F.coalesce("there", F.lit(False))
@@ -110,8 +132,8 @@ def take(spark: SparkSession, feed: Feed, rows: DataFrame, number: int) -> dict[
     # Tokenised once, and read again.
     own = versions(spark, feed.output).where(F.col("batch") == number)
     postings = lexical.postings_of(own.select("id", "doc_ord", "tokens")).withColumns({"batch": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("term"), F.lit(feed.buckets)).cast("int")})
-    # By range, so that a common term of a large batch fills as many files as it needs.
-    _write(postings.repartitionByRange("bucket", "term", "doc_ord").sortWithinPartitions("bucket", "term", "doc_ord"), f"{feed.output}/postings", "batch", "bucket")
+    # Each task sorts those of its own notes, so nothing is shuffled and a common term fills all files alike.
+    _write(postings.sortWithinPartitions("bucket", "term", "doc_ord"), f"{feed.output}/postings", "batch", "bucket")
     n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("added", "modified", "removed")}
     return own.agg(*n.values(), F.coalesce(F.sum("dl"), F.lit(0)).alias("postings")).first().asDict()
 

@@ -1,6 +1,6 @@
 """Answers all saved searches over a note feed in one job, as a report that readers open by topic.
 
-The notes and postings in force come from the output of ``jobs.note_feed``. Every saved search gets its best ``k`` notes by BM25, with title, tags and snippet, and
+The notes in force come with their tokens from the output of ``jobs.note_feed``; two passes over them answer all searches, without a shuffle of notes or postings. Every saved search gets its best ``k`` notes by BM25, with title, tags and snippet, and
 whether a hit is new since the report before (the one with the greatest earlier ``as_of``). The report of one ``as_of`` is a folder of its own, with a folder for each topic (a note's first tag) in
 it; a run that comes again replaces that folder and no other, and compares itself with the same earlier report.
 
@@ -14,9 +14,7 @@ import sys
 from dataclasses import dataclass
 
 from jobs import note_feed, settings
-from noteloom.functions.tokens import tokens
 from noteloom.operators import lexical
-from noteloom.operators.lexical import LexicalIndex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +36,6 @@ class Searches:
     k: int = 10
 
 
-def index_of(notes: DataFrame, postings: DataFrame, terms: DataFrame) -> LexicalIndex:
-    """The index in force as far as ``terms`` (term) need it; lengths and counts are those of all notes."""
-    wanted = postings.join(terms, "term", "left_semi").select("term", "doc_ord", "doc_id", "tf", "dl")
-    corpus = notes.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avg_dl"))
-    return LexicalIndex(wanted, wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
-
-
 def reports(spark: SparkSession, output: str) -> DataFrame:
     """All reports written."""
     return note_feed._table(spark, output, HIT)
@@ -54,15 +45,15 @@ def run(spark: SparkSession, job: Searches) -> dict[str, int]:
     """Writes the report of ``as_of``, and returns what was read and written."""
     if not re.fullmatch(r"[\w.-]+", job.as_of):
         raise ValueError(f"as_of must be a date or a name: {job.as_of!r}")
-    notes, postings = note_feed.in_force(spark, job.feed)
+    notes, _ = note_feed.in_force(spark, job.feed)
     searches = spark.read.format(job.searches_format).load(job.searches).select(F.col(job.id).cast("long").alias("query_id"), F.col(job.query).cast("string").alias("query"))
-    terms = searches.select(F.explode(tokens("query")).alias("term")).distinct()
-    found = lexical.search_many(index_of(notes, postings, terms), searches, job.k)
+    found = lexical.search_rows(notes.select("doc_ord", F.col("id").alias("doc_id"), "tokens"), searches, job.k)
     details = notes.select(F.col("id").alias("doc_id"), "title", "tags", "snippet", F.coalesce(F.get("tags", F.lit(0)), F.lit("none")).alias("topic"))
     earlier = reports(spark, job.output).where(F.col("as_of") < job.as_of)
     before = earlier.agg(F.max("as_of")).first()[0]
     seen = earlier.where(F.col("as_of") == before).select("query_id", "doc_id", F.lit(False).alias("is_new"))
-    hits = found.join(details, "doc_id").join(seen, ["query_id", "doc_id"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
+    # Hits are k for each search at most, so they go to the notes.
+    hits = details.join(F.broadcast(found), "doc_id").join(seen, ["query_id", "doc_id"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
     hits = hits.select("query_id", "rank", "doc_id", "score", "title", "tags", "snippet", "is_new", "topic")
     path = f"{job.output}/as_of={job.as_of}"
     hits.repartitionByRange("topic", "query_id").sortWithinPartitions("topic", "query_id", "rank").write.mode("overwrite").partitionBy("topic").parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.similarity import cosine, literal, norm
 from noteloom.functions.text import embedding_clamp, embedding_text
+from noteloom.operators.best import HELD, Best, ranked_many
 from noteloom.operators.lexical import ranked
 
 
@@ -75,43 +76,6 @@ def blocks(frame: DataFrame, columns: list[str], block: int = BLOCK, by: str | N
     return frame.select(*columns, "embedding", *([by] if by else [])).mapInArrow(pack, schema)
 
 
-class _Best:
-    """The best k so far of each query of a block, by score and then document order."""
-
-    def __init__(self, ids: list, k: int):
-        self.ids, self.k = ids, k
-        self.score, self.order = np.zeros((len(ids), k)), np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.doc = np.full((len(ids), k), None, object)
-
-    def add(self, rows: np.ndarray, score: np.ndarray, order: np.ndarray, docs: np.ndarray) -> None:
-        """Scores of documents for some of the queries. Only what may still be among the best is rounded and sorted."""
-        least, last = self.score[rows, -1], self.order[rows, -1]
-        at, to = np.nonzero(score >= (least - 1e-6)[:, None])
-        found = np.round(score[at, to], 6)
-        keep = (found > 0) & ((found > least[at]) | (found == least[at]) & (order[to] < last[at]))
-        at, to, found = at[keep], to[keep], found[keep]
-        if not len(at):
-            return
-        touched = np.unique(at)
-        queries = np.concatenate([rows[at], np.repeat(rows[touched], self.k)])
-        values = np.concatenate([found, self.score[rows[touched]].ravel()])
-        orders = np.concatenate([order[to], self.order[rows[touched]].ravel()])
-        ids = np.concatenate([docs[to], self.doc[rows[touched]].ravel()])
-        by = np.lexsort((orders, -values, queries))
-        sorted_queries = queries[by]
-        place = np.arange(len(by)) - np.searchsorted(sorted_queries, sorted_queries)
-        by, place = by[place < self.k], place[place < self.k]
-        self.score[queries[by], place], self.order[queries[by], place], self.doc[queries[by], place] = values[by], orders[by], ids[by]
-
-    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
-        at, to = np.nonzero(self.score > 0)
-        return pa.RecordBatch.from_pydict({"query_id": [self.ids[i] for i in at.tolist()], "doc_ord": self.order[at, to], "doc_id": self.doc[at, to].tolist(), "score": self.score[at, to]}, schema=schema)
-
-
-#: Blocks of queries whose best a task holds at a time.
-HELD = 64
-
-
 def search_blocks(queries: DataFrame, vectors: DataFrame, kind: str, k: int) -> DataFrame:
     """Blocks of queries (query_id, size, data; lists) against blocks of vectors (doc_ord, doc_id, size, data; list), every pair, with lists only the queries that ask for the block's list.
 
@@ -120,7 +84,7 @@ def search_blocks(queries: DataFrame, vectors: DataFrame, kind: str, k: int) ->
     listed = "list" in vectors.columns
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[_Best, dict[int, np.ndarray] | None]] = {}
+        held: dict[int, tuple[Best, dict[int, np.ndarray] | None]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
@@ -133,7 +97,7 @@ def search_blocks(queries: DataFrame, vectors: DataFrame, kind: str, k: int) ->
                         lists = row["lists"].as_py()
                         flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                         asking = {x: owner[flat == x] for x in np.unique(flat).tolist()}
-                    held[number] = _Best(ids, k), asking
+                    held[number] = Best(ids, k), asking
                 top, asking = held[number]
                 rows = np.arange(len(top.ids)) if asking is None else asking.get(row["list"].as_py())
                 if rows is None:
@@ -158,12 +122,6 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     return search_blocks(blocks(queries, ["query_id"], block), blocks(vectors, ["doc_ord", "doc_id"], block), dict(queries.dtypes)["query_id"], k)
 
 
-def ranked_many(found: DataFrame, k: int) -> DataFrame:
-    """The best k of each query's (doc_ord, doc_id, score) with their ranks; ties go by document order."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_ord"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_ord", "doc_id", "score")
-
-
 def add(vectors: DataFrame, more: DataFrame) -> DataFrame:
     return vectors.unionByName(more, allowMissingColumns=True)
 

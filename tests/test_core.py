@@ -444,3 +444,17 @@ def test_driver_tables_are_documents(spark):
         got = frame(spark, d)
         assert got.columns == ["id", "title", "date", "tags", "text", "doc_ord"]
         assert got.count() == got.select("id").distinct().count()
+
+
+@pytest.mark.parametrize("size", (1, 256))
+def test_many_queries_over_tokens_pass_on_their_best_only(spark, monkeypatch, size):
+    """The same hits as from postings; rows that leave the tasks grow with queries and tasks, not with the pairs of documents and queries."""
+    monkeypatch.setattr(lexical, "QUERIES", size)
+    docs = corpus.documents(spark, "/root/testdata/sf0.001").repartition(3)
+    index = lexical.build(docs)
+    queries = docs.where("doc_ord % 40 = 0").selectExpr("doc_ord AS query_id", "left(text, 300) AS query")
+    want = lexical.search_many(lexical.LexicalIndex(index.postings, index.term_stats, index.corpus_stats), queries, 5).collect()
+    assert sorted(lexical.search_rows(index.rows, queries, 5).collect()) == sorted(want)
+    monkeypatch.setattr(lexical, "ranked_many", lambda found, k: found)
+    found = lexical.search_rows(index.rows, queries, 5)
+    assert 0 < found.count() <= 3 * 5 * queries.count()

@@ -91,6 +91,34 @@ def test_the_plan_looks_up_a_small_batch_without_shuffling_old_texts(spark, feed
     assert "snippet" not in scan and "tokens" not in scan
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_first_batch_and_notes_in_force_are_not_shuffled(spark, feed):
+    put(spark, feed, [(k, f"word{k} common", "en", "a") for k in range(20)])
+    batch = note_feed.notes(spark.read.parquet(feed.source), feed)
+    assert "Exchange" not in plan_of(note_feed.changes(batch, note_feed.versions(spark, feed.output)))
+    note_feed.run(spark, feed)
+    for rows in note_feed.in_force(spark, feed.output):
+        assert "Exchange" not in plan_of(rows) and "Join" not in plan_of(rows)
+    # What is replaced is taken away without a shuffle of the others.
+    put(spark, feed, [(1, "other", "en", "a"), (2, None, None, None)])
+    note_feed.run(spark, feed)
+    notes, postings = note_feed.in_force(spark, feed.output)
+    assert "BroadcastHashJoin" in plan_of(postings) and "SortMergeJoin" not in plan_of(postings)
+    assert notes.count() == 19 and sorted(r.term for r in postings.where("doc_id in ('1', '2')").collect()) == ["A", "EN", "OTHER"]
+
+
+def test_many_versions_are_not_sent_to_all_tasks(spark, feed, monkeypatch):
+    monkeypatch.setattr(note_feed, "BROADCAST", 1)
+    for text in ("one", "two", "three"):
+        put(spark, feed, [(k, f"{text} word", "en", "a") for k in range(5)])
+        note_feed.run(spark, feed)
+    found = state(spark, feed)
+    assert len(found) == 5 and all(v == ("modified", 2, "three word", ["A", "EN", "THREE", "WORD"]) for v in found.values())
+
+
 def answers(spark, job):
     return sorted((r.query_id, r.rank, r.doc_id, r.topic, r.is_new) for r in saved_searches.reports(spark, job.output).where(F.col("as_of") == job.as_of).collect())
 
