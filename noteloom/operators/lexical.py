@@ -120,6 +120,8 @@ def search(index: LexicalIndex, query: str, k: int = 10, analyser: Analyser = cj
 
 def search_many(index: LexicalIndex, queries: DataFrame, k: int = 10, analyser: Analyser = cjk_tokens) -> DataFrame:
     """The best k documents for each of many queries (query_id, query), in one job."""
+    if index.rows is not None:
+        return search_rows(index.rows, queries, k, analyser)
     terms = queries.select("query_id", F.explode(tokens("query", analyser=analyser)).alias("term"))
     stats = index.term_stats.crossJoin(F.broadcast(index.corpus_stats))
     # Spark broadcasts the queries' side when it measures it as small, else it shuffles both by term.

@@ -456,5 +456,5 @@ def test_many_queries_over_tokens_pass_on_their_best_only(spark, monkeypatch, si
     want = lexical.search_many(lexical.LexicalIndex(index.postings, index.term_stats, index.corpus_stats), queries, 5).collect()
     assert sorted(lexical.search_rows(index.rows, queries, 5).collect()) == sorted(want)
     monkeypatch.setattr(lexical, "ranked_many", lambda found, k: found)
-    found = lexical.search_rows(index.rows, queries, 5)
+    found = lexical.search_many(index, queries, 5)
     assert 0 < found.count() <= 3 * 5 * queries.count()
