@@ -30,7 +30,8 @@ def job1_note_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     _twice(note_feed.run, spark, feed)
     notes, postings = note_feed.in_force(spark, feed.output)
     notes = notes.select(F.col("id").alias("doc_id"), "title", F.array_join("tags", ",").alias("tags"), "content_hash", "status", "snippet", "dl")
-    return notes.join(postings.select("doc_id", "term"), "doc_id", "left")
+    # Notes are far fewer than postings, which need no sort that way.
+    return notes.hint("shuffle_hash").join(postings.select("doc_id", "term"), "doc_id", "left")
 
 
 _NOTE_FEED = f"""WITH {core._TOKENS}
