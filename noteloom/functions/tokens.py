@@ -19,7 +19,8 @@ from noteloom.functions.text import col
 
 WORD, DIGITS = r"[A-Za-z][A-Za-z0-9]*", r"\p{Nd}+"
 CAMEL = ((r"([a-z0-9])([A-Z])", "$1 $2"), (r"([A-Za-z])([0-9])", "$1 $2"), (r"([0-9])([A-Za-z])", "$1 $2"))
-_ANY_CAMEL = r"[a-z0-9][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+# A border has a capital or a digit on one side, which are rarer than small letters, so that most places take one comparison.
+_ANY_CAMEL = r"[A-Z0-9](?:(?<=[a-z][A-Z0-9]|[0-9][A-Z]|[A-Z][0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9]))"
 _KATAKANA, _HAN = r"[ァ-ヺー-ヿ]+", r"[㐀-䶿一-鿿豈-﫿]+"
 # Parts of speech that an analyser keeps, and details that it drops.
 KEPT_POS = ("名詞", "動詞", "形容詞", "副詞")
@@ -80,7 +81,8 @@ def cjk_tokens(text) -> Column:
     han = F.regexp_extract_all(t, F.lit(_HAN), F.lit(0))
     pairs = F.flatten(F.transform(han, lambda r: F.when(F.length(r) > 2, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
     found = F.concat(F.regexp_extract_all(t, F.lit(_KATAKANA), F.lit(0)), han, pairs)
-    return F.when(t.rlike(f"{_KATAKANA}|{_HAN}"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    # These characters take more than a byte, so texts of ASCII alone need no search.
+    return F.when((F.octet_length(t) > F.length(t)) & t.rlike(f"{_KATAKANA}|{_HAN}"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(*texts, analyser: Analyser = cjk_tokens) -> Column:

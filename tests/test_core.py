@@ -1,6 +1,8 @@
 """Behaviour of the core engine on small fixtures with known values."""
 import datetime as dt
+import itertools
 import os
+import re
 
 import pytest
 from noteloom import corpus
@@ -458,3 +460,11 @@ def test_many_queries_over_tokens_pass_on_their_best_only(spark, monkeypatch, si
     monkeypatch.setattr(lexical, "ranked_many", lambda found, k: found)
     found = lexical.search_many(index, queries, 5)
     assert 0 < found.count() <= 3 * 5 * queries.count()
+
+
+def test_borders_within_words_are_those_of_the_three_rules(spark):
+    """All strings of up to four characters; a text of ASCII and one with characters of two bytes have no Chinese characters or kana."""
+    words = ["".join(w) for n in range(5) for w in itertools.product("aB1-", repeat=n)]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.col("w").rlike(T._ANY_CAMEL).alias("border")).collect()
+    assert [r.w for r in found if r.border != bool(re.search(r"[a-z0-9][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]", r.w))] == []
+    assert [one(spark, T.cjk_tokens(F.lit(t))) for t in ("", "plain", "é", "é カ")] == [[], [], [], ["カ"]]
