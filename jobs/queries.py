@@ -29,9 +29,9 @@ def job1_note_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, _ = _feed(spark, sf_dir)
     _twice(note_feed.run, spark, feed)
     notes, postings = note_feed.in_force(spark, feed.output)
-    notes = notes.select(F.col("id").alias("doc_id"), "title", F.array_join("tags", ",").alias("tags"), "content_hash", "status", "snippet", "dl")
-    # Notes are far fewer than postings, which need no sort that way.
-    return notes.hint("shuffle_hash").join(postings.select("doc_id", "term"), "doc_id", "left")
+    notes = notes.select(F.col("id").alias("doc_id"), "doc_ord", "title", F.array_join("tags", ",").alias("tags"), "content_hash", "status", "snippet", "dl")
+    # Here ids are texts of the orders, which take less room in a shuffle. Merged, the rows of a note follow one another, so what they repeat of it takes hardly any room where they are written.
+    return notes.hint("merge").join(postings.select("doc_ord", "term"), "doc_ord", "left").drop("doc_ord")
 
 
 _NOTE_FEED = f"""WITH {core._TOKENS}

@@ -1,7 +1,9 @@
 """The jobs over growing input, after failures, and run again."""
+from itertools import groupby
+
 import pytest
 
-from jobs import note_feed, saved_searches, settings
+from jobs import note_feed, queries, saved_searches, settings
 from jobs.note_feed import Feed
 from jobs.saved_searches import Searches
 from noteloom import corpus
@@ -119,6 +121,12 @@ def test_many_versions_are_not_sent_to_all_tasks(spark, feed, monkeypatch):
     assert len(found) == 5 and all(v == ("modified", 2, "three word", ["A", "EN", "THREE", "WORD"]) for v in found.values())
 
 
+def test_the_rows_of_a_note_follow_one_another(spark):
+    """Else what they repeat of the note (a snippet, a hash) takes its room again in each row that is written."""
+    found = queries.job1_note_feed(spark, "/root/testdata/sf0.001").select("doc_id", F.spark_partition_id()).collect()
+    assert len(found) > 10_000 and sum(1 for _ in groupby(found)) == len(set(found)) == len({r.doc_id for r in found})
+
+
 def answers(spark, job):
     return sorted((r.query_id, r.rank, r.doc_id, r.topic, r.is_new) for r in saved_searches.reports(spark, job.output).where(F.col("as_of") == job.as_of).collect())
 
