@@ -15,6 +15,7 @@ before its commit, compares itself with the batches before it only and replaces
 from __future__ import annotations
 
 import logging
+import math
 import sys
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ POSTING = "term string, doc_ord long, doc_id string, tf long, dl long, batch lon
 SNIPPET = 150
 #: Versions that are sent to all tasks at most, about 50 MB.
 BROADCAST = 1_000_000
+#: Postings that a task sorts at a time, about 400 MB.
+SORTED = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -123,6 +126,11 @@ def _write(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
+def _turns(most: int, buckets: int) -> int:
+    """In how many turns the postings of a batch are written, of which a task has so many at most."""
+    return min(buckets, max(1, math.ceil(most / SORTED)))
+
+
 def take(spark: SparkSession, feed: Feed, rows: DataFrame, number: int) -> dict[str, int]:
     """Writes a batch: its versions, and the postings of what they hold."""
     before = versions(spark, feed.output).where(F.col("batch") < number)
@@ -132,11 +140,17 @@ def take(spark: SparkSession, feed: Feed, rows: DataFrame, number: int) -> dict[
     _write(found.select("id", "doc_ord", "title", "tags", "content_hash", "status", "snippet", "dl", "tokens", "batch"), f"{feed.output}/versions", "batch")
     # Tokenised once, and read again.
     own = versions(spark, feed.output).where(F.col("batch") == number)
-    postings = lexical.postings_of(own.select("id", "doc_ord", "tokens")).withColumns({"batch": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("term"), F.lit(feed.buckets)).cast("int")})
-    # Each task sorts those of its own notes, so nothing is shuffled and a common term fills all files alike.
-    _write(postings.sortWithinPartitions("bucket", "term", "doc_ord"), f"{feed.output}/postings", "batch", "bucket")
     n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("added", "modified", "removed")}
-    return own.agg(*n.values(), F.coalesce(F.sum("dl"), F.lit(0)).alias("postings")).first().asDict()
+    by_task = own.groupBy(F.spark_partition_id()).agg(*n.values(), F.sum("dl").alias("postings"))
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*n, "postings")]
+    found = by_task.agg(*total, F.coalesce(F.max("postings"), F.lit(0)).alias("most")).first().asDict()
+    postings = lexical.postings_of(own.select("id", "doc_ord", "tokens")).withColumns({"batch": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("term"), F.lit(feed.buckets)).cast("int")})
+    # So many buckets at a time that what a task sorts stays in memory, however much it reads: postings that spill take more disk than the notes, and the more the larger a task is.
+    turns = _turns(found.pop("most"), feed.buckets)
+    for turn in range(turns):
+        # Each task sorts those of its own notes, so nothing is shuffled and a common term fills all files alike.
+        _write(postings.where(F.col("bucket") % turns == turn).sortWithinPartitions("bucket", "term", "doc_ord"), f"{feed.output}/postings", "batch", "bucket")
+    return found
 
 
 def run(spark: SparkSession, feed: Feed) -> dict[str, int]:

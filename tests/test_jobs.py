@@ -121,6 +121,33 @@ def test_many_versions_are_not_sent_to_all_tasks(spark, feed, monkeypatch):
     assert len(found) == 5 and all(v == ("modified", 2, "three word", ["A", "EN", "THREE", "WORD"]) for v in found.values())
 
 
+def test_postings_are_sorted_a_part_at_a_time(spark, feed, monkeypatch):
+    """The more postings a task has, the more turns; a failure between turns leaves no trace."""
+    monkeypatch.setattr(note_feed, "SORTED", 10)
+    put(spark, feed, [(k, " ".join(f"word{j}" for j in range(k, k + 30)), "en", "a") for k in range(20)])
+    write, turns, lose = note_feed._write, [], [2]
+
+    def watched(rows, path, *by):
+        if path.endswith("postings"):
+            if len(turns) in lose:
+                lose.clear()
+                raise OSError("lost")
+            turns.append({r.bucket for r in rows.select("bucket").distinct().collect()})
+        write(rows, path, *by)
+
+    monkeypatch.setattr(note_feed, "_write", watched)
+    with pytest.raises(StreamingQueryException):
+        note_feed.run(spark, feed)
+    assert len(turns) == 2
+    turns.clear()
+    # WORD and each number are tokens too.
+    assert note_feed.run(spark, feed)["postings"] == 20 * (30 + 1 + 30 + 2)
+    assert len(turns) == feed.buckets and not set.intersection(*turns) and set.union(*turns) == set(range(feed.buckets))
+    found = state(spark, feed)
+    assert len(found) == 20 and all(v[3] == sorted(["A", "EN", "WORD", *(w for j in range(k, k + 30) for w in (str(j), f"WORD{j}"))]) for k, v in ((int(k), v) for k, v in found.items()))
+    assert note_feed._turns(0, 32) == 1 and note_feed._turns(11, 32) == 2 and note_feed._turns(10**9, 32) == 32
+
+
 def test_the_rows_of_a_note_follow_one_another(spark):
     """Else what they repeat of the note (a snippet, a hash) takes its room again in each row that is written."""
     found = queries.job1_note_feed(spark, "/root/testdata/sf0.001").select("doc_id", F.spark_partition_id()).collect()
